@@ -1,0 +1,8 @@
+"""Streaming.
+
+The surveyed material has no stream source, sink, watermark or stateful
+operator, so nothing is built here. The fitted plans are stateless per row
+except for the neighbour window and the trim, which need the whole frame;
+only ``CleaningModel`` statistics could be applied to micro-batches, and no
+such use exists in the material.
+"""
