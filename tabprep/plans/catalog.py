@@ -55,9 +55,19 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (and turn -0.0 into 0.0) for comparison."""
-    return df.withColumns({f.name: F.round(F.col(f.name), digits) + F.lit(0.0)
+def quantize(c, scale: float = 1e6, offset: float = 0.3183):
+    """floor(x * scale + offset) / scale: a 1e-6 grid whose cell edges sit at
+    x = (k + 0.6817) * 1e-6, never on a short decimal, so an exact average that
+    ends in ...5 (a rounding tie) lands mid-cell whatever the summation order.
+    Same IEEE operations in DuckDB (sqlfrag.r6), so equal inputs give equal
+    outputs; NaN passes through."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.when(F.isnan(x), x).otherwise(F.floor(x * F.lit(scale) + F.lit(offset)) / F.lit(scale))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Quantize every double column for comparison with the oracle."""
+    return df.withColumns({f.name: quantize(f.name)
                            for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))})
 
 

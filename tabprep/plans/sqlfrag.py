@@ -30,8 +30,9 @@ def radians(expr: str) -> str:
 
 
 def r6(expr: str) -> str:
-    """Round to 6 digits; + 0.0 turns -0.0 into 0.0."""
-    return f"(round({expr}, 6) + 0.0)"
+    """The comparison grid of catalog.quantize: floor(x * 1e6 + 0.3183) / 1e6."""
+    return (f"(case when isnan({expr}) then {expr} else "
+            f"floor(({expr}) * 1000000.0::double + 0.3183::double) / 1000000.0::double end)")
 
 
 def missing(c: str) -> str:
