@@ -77,6 +77,23 @@ def _ranked_first(cand: DataFrame, order: list[Column], k: int, n_cand: int) ->
     return ranked.filter(F.col("__off") + F.col("__pos") < k).drop("__pid", "__pos", "__off")
 
 
+def _plan_cut(df: DataFrame, col: str, fraction: float, side: str, accuracy: int):
+    """ONE pass: row count, non-NULL count and approximate quantiles on a grid.
+
+    ``percentile_approx`` guarantees a rank error of at most nn / accuracy, so
+    the cut at grid position g keeps at least g*fraction*nn - nn/accuracy
+    values beyond it; the smallest g with twice the needed margin is taken,
+    which proves the candidate set holds the whole removed set (no count job).
+    """
+    c = F.col(col)
+    grid = [1.5 * 2 ** i for i in range(24)]
+    qs = [min(1.0, g * fraction) for g in grid]
+    qs = [1.0 - q for q in qs] if side == "high" else qs
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.count(c).alias("nn"),
+                F.percentile_approx(c, qs, accuracy).alias("q")).first()
+    return int(st["n"]), int(st["nn"]), grid, st["q"]
+
+
 def extreme_rows(df: DataFrame, col: str, key: list[str], fraction: float = 0.001, side: str = "high",
                  accuracy: int = 10000, max_heap_rows: int = MAX_HEAP_ROWS) -> tuple[DataFrame, int]:
     """The rows a keep-(N - floor(N*fraction)) sort would cut, and their count.
@@ -84,39 +101,32 @@ def extreme_rows(df: DataFrame, col: str, key: list[str], fraction: float = 0.00
     ``side="high"``: ascending sort with NULLs first, so the highest values go
     (ties: larger key first). ``side="low"``: descending sort with NULLs last,
     so NULLs go first, then the lowest values (ties: smaller key first).
-    Only about 2k candidate rows above (below) an approximate cut are ordered.
+    One aggregate plans the cut; only the ~2k candidate rows beyond it are
+    ordered (each task keeps at most k of them), never the whole frame.
     """
     if side not in ("high", "low"):
         raise ValueError("side must be 'high' or 'low'")
     c = F.col(col)
-    st = df.agg(F.count(F.lit(1)).alias("n"), F.count(c).alias("nn")).first()
-    n, nn = int(st["n"]), int(st["nn"])
+    n, nn, grid, cuts = _plan_cut(df, col, fraction, side, accuracy)
     k = _floor_fraction(n, fraction)
     order = _order(col, key, side)
     if k == 0:
         return df.limit(0), 0
     n_null = n - nn
-    if side == "high":
-        need, base = k, F.lit(False)        # NULLs sort first: kept unless k > nn
-    else:
-        need, base = k - n_null, c.isNull()  # NULLs sort last descending: removed first
-    if side == "high" and k >= nn:
-        cand = df
-    elif side == "low" and need <= 0:
+    need = k if side == "high" else k - n_null  # NULLs sort last descending: removed first
+    if side == "low" and need <= 0:
         cand = df.filter(c.isNull())
-    elif side == "low" and need >= nn:
+    elif need >= nn or cuts is None:
         cand = df
     else:
-        margins = (1.5, 2.0, 4.0, 16.0)
-        qs = [min(1.0, m * need / nn) for m in margins]
-        qs = [1.0 - q for q in qs] if side == "high" else qs
-        cuts = df.agg(F.percentile_approx(c, qs, accuracy).alias("q")).first()["q"]
-        pred = [(c >= F.lit(v)) if side == "high" else (c <= F.lit(v)) for v in cuts]
-        cnts = df.agg(*[F.count_if(p).alias(f"c{i}") for i, p in enumerate(pred)]).first()
         cand = df
-        for i, p in enumerate(pred):
-            if cnts[f"c{i}"] >= need:
-                cand = df.filter(base | p)
+        for g, v in zip(grid, cuts):
+            sure = g * fraction * nn - nn / accuracy
+            if g * fraction >= 1.0:
+                break
+            if sure >= 2 * need:
+                beyond = (c >= F.lit(v)) if side == "high" else (c <= F.lit(v))
+                cand = df.filter(beyond | c.isNull()) if side == "low" else df.filter(beyond)
                 break
     if k <= max_heap_rows:
         return cand.orderBy(*order).limit(k), k

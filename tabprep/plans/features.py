@@ -6,8 +6,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabprep.operators.features import (
     assembler, bucket_counts, cyclic_month, label_indexer, pair_average, pair_average_floor,
@@ -28,17 +30,19 @@ class FeatureSpec:
     drop: tuple = DROP_COLUMNS
     continuous: tuple = CONTINUOUS_COLUMNS
     vector_cols: tuple = tuple(f"{c}_{a}" for c in DIRECTION_COLUMNS for a in ("ux", "uy"))
+    cyclic_prefix: str = "Month"
     cyclic: tuple = ("Month_sin", "Month_cos")
     relative_error: float = BIN_RELATIVE_ERROR
     bin_suffix: str = "_bin"
     buckets: dict = field(default_factory=dict)  # fixed bucket counts; empty = adaptive
+    strict: bool = False  # raise when a scaled input holds NULL/NaN (its mean would be NaN)
 
 
 def derive(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Pair averages, cyclic month, drops, continuous columns as double."""
     out = pair_average(df, spec.pairs)
     out = pair_average_floor(out, spec.pairs_floor)
-    out = cyclic_month(out, spec.month)
+    out = cyclic_month(out, spec.month, spec.cyclic_prefix)
     out = drop_columns(out, spec.drop)
     return cast_numeric(out, spec.continuous)
 
@@ -51,10 +55,25 @@ class FeatureModel:
 
     @classmethod
     def fit(cls, train: DataFrame, spec: FeatureSpec) -> "FeatureModel":
-        t = derive(train, spec)
+        """Fit every stage on ``train``. The derived training frame is read by
+        several fitting jobs (bucket counts, quantiles, moments, label counts),
+        so it is persisted for the duration of the fit and released after."""
+        t = derive(train, spec).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return cls._fit(t, spec)
+        finally:
+            t.unpersist()
+
+    @classmethod
+    def _fit(cls, t: DataFrame, spec: FeatureSpec) -> "FeatureModel":
         cont = present(t, spec.continuous)
         buckets = {c: spec.buckets[c] for c in cont} if spec.buckets else bucket_counts(t, cont)
         extra = present(t, list(spec.vector_cols) + list(spec.cyclic))
+        if spec.strict:
+            bad = t.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c))).alias(c) for c in cont + extra]).first()
+            holes = {c: bad[c] for c in cont + extra if bad[c]}
+            if holes:
+                raise ValueError(f"scaled inputs hold NULL/NaN values: {holes}")
         bins = [c + spec.bin_suffix for c in cont]
         stages = []
         if cont:
