@@ -51,15 +51,22 @@ def neighbour_values(df: DataFrame, entity: str, order: list[str], cols: Iterabl
         "__nb_first": F.row_number().over(wb) == 1,
         "__nb_last": F.lead(F.lit(1), 1).over(wb).isNull(),
     })
-    # One row per (entity, bucket): its first and last rows' values.
-    okey = F.struct(*[F.col(o) for o in order])
+    # The first and last row of every bucket (at most two rows per bucket,
+    # taken from the same window pass): in time order, a first row's
+    # predecessor is the previous bucket's last row and a last row's successor
+    # the next bucket's first row. One row per bucket is joined back on
+    # (entity, bucket), which the big side is already partitioned on.
     vals = F.struct(*[F.col(c) for c in cols])
-    edges = (df.withColumn(b, bexpr).groupBy(entity, b)
-               .agg(F.min_by(vals, okey).alias("__head"), F.max_by(vals, okey).alias("__tail")))
-    we = Window.partitionBy(entity).orderBy(b)
-    edges = edges.select(entity, b, F.lag("__tail", 1).over(we).alias("__before"),
-                         F.lead("__head", 1).over(we).alias("__after"))
-    d = d.join(edges, [entity, b], "left")
+    we = Window.partitionBy(entity).orderBy(*order)
+    ends = (d.filter(F.col("__nb_first") | F.col("__nb_last"))
+             .select(entity, b, *[o for o in order if o != entity], "__nb_first", "__nb_last",
+                     F.lag(vals, 1).over(we).alias("__p"), F.lead(vals, 1).over(we).alias("__n")))
+    edges = ends.groupBy(F.col(entity).alias("__e_entity"), F.col(b).alias("__e_bucket")).agg(
+        F.first(F.when(F.col("__nb_first"), F.col("__p")), ignorenulls=True).alias("__before"),
+        F.first(F.when(F.col("__nb_last"), F.col("__n")), ignorenulls=True).alias("__after"))
+    # null-safe keys: a NULL entity or bucket is a window partition like any other
+    on = F.col(entity).eqNullSafe(F.col("__e_entity")) & F.col(b).eqNullSafe(F.col("__e_bucket"))
+    d = d.join(edges, on, "left")
     fix = {}
     for c in cols:
         fix[c + prev_suffix] = F.when(F.col("__nb_first"), F.col("__before")[c]).otherwise(F.col(c + prev_suffix))

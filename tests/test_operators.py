@@ -29,6 +29,10 @@ def panel(spark):
         (8, "B", D(2020, 1, 1), 1, 5.0, "W"),
         (9, "B", D(2020, 4, 1), 4, None, None),
         (10, "B", D(2020, 4, 1), 4, None, "E"),
+        (11, None, D(2020, 1, 9), 1, 1.0, "N"),
+        (12, None, D(2020, 2, 9), 2, None, "S"),
+        (13, None, None, None, 3.0, "E"),
+        (14, "B", None, None, 4.0, "N"),
     ]
     return spark.createDataFrame(data, "id long, loc string, d date, m int, x double, dir string")
 
@@ -39,7 +43,7 @@ def test_neighbours_bucketed_equals_plain(panel):
     cols = ["id", "x_prev", "x_next", "dir_prev", "dir_next"]
     assert rows(plain, *cols) == rows(buck, *cols)
     got = {r.id: (r.x_prev, r.x_next) for r in buck.collect()}
-    assert got[1] == (None, 10.0) and got[4] == (None, None) and got[5] == (20.0, 40.0) and got[8] == (None, None)
+    assert got[1] == (None, 10.0) and got[4] == (None, None) and got[5] == (20.0, 40.0) and got[8] == (4.0, None) and got[14] == (None, 5.0)
 
 
 def test_neighbour_fill_only_isolated(panel):
@@ -52,7 +56,7 @@ def test_neighbour_fill_only_isolated(panel):
 def test_month_fill_and_empty_month(panel):
     out = I.fill_month(panel, panel, "m", means=["x"])
     got = {r.id: r.x for r in out.collect()}
-    assert got[1] == pytest.approx(35.0 / 3) and got[9] is None  # April has no value at all
+    assert got[1] == pytest.approx(9.0) and got[9] is None  # April has no value at all
     assert out.count() == panel.count()
 
 
