@@ -94,44 +94,51 @@ def _plan_cut(df: DataFrame, col: str, fraction: float, side: str, accuracy: int
     return int(st["n"]), int(st["nn"]), grid, st["q"]
 
 
-def extreme_rows(df: DataFrame, col: str, key: list[str], fraction: float = 0.001, side: str = "high",
-                 accuracy: int = 10000, max_heap_rows: int = MAX_HEAP_ROWS) -> tuple[DataFrame, int]:
-    """The rows a keep-(N - floor(N*fraction)) sort would cut, and their count.
+def trim_candidates(df: DataFrame, col: str, fraction: float = 0.001, side: str = "high",
+                    accuracy: int = 10000) -> tuple[DataFrame, int]:
+    """A subset of ``df`` proven to hold every removed row, and k.
 
-    ``side="high"``: ascending sort with NULLs first, so the highest values go
-    (ties: larger key first). ``side="low"``: descending sort with NULLs last,
-    so NULLs go first, then the lowest values (ties: smaller key first).
-    One aggregate plans the cut; only the ~2k candidate rows beyond it are
-    ordered (each task keeps at most k of them), never the whole frame.
+    One aggregate plans the cut (see ``_plan_cut``); the candidates are the
+    rows beyond it (plus NULLs when they sort into the removed end).
     """
     if side not in ("high", "low"):
         raise ValueError("side must be 'high' or 'low'")
     c = F.col(col)
     n, nn, grid, cuts = _plan_cut(df, col, fraction, side, accuracy)
     k = _floor_fraction(n, fraction)
-    order = _order(col, key, side)
     if k == 0:
         return df.limit(0), 0
-    n_null = n - nn
-    need = k if side == "high" else k - n_null  # NULLs sort last descending: removed first
+    need = k if side == "high" else k - (n - nn)  # NULLs sort last descending: removed first
     if side == "low" and need <= 0:
-        cand = df.filter(c.isNull())
-    elif need >= nn or cuts is None:
-        cand = df
-    else:
-        cand = df
-        for g, v in zip(grid, cuts):
-            sure = g * fraction * nn - nn / accuracy
-            if g * fraction >= 1.0:
-                break
-            if sure >= 2 * need:
-                beyond = (c >= F.lit(v)) if side == "high" else (c <= F.lit(v))
-                cand = df.filter(beyond | c.isNull()) if side == "low" else df.filter(beyond)
-                break
+        return df.filter(c.isNull()), k
+    if need >= nn or cuts is None:
+        return df, k
+    for g, v in zip(grid, cuts):
+        if g * fraction >= 1.0:
+            break
+        if g * fraction * nn - nn / accuracy >= 2 * need:
+            beyond = (c >= F.lit(v)) if side == "high" else (c <= F.lit(v))
+            return (df.filter(beyond | c.isNull()) if side == "low" else df.filter(beyond)), k
+    return df, k
+
+
+def extreme_rows(df: DataFrame, col: str, key: list[str], fraction: float = 0.001, side: str = "high",
+                 accuracy: int = 10000, max_heap_rows: int = MAX_HEAP_ROWS) -> tuple[DataFrame, int]:
+    """The rows a keep-(N - floor(N*fraction)) sort would cut, and their count.
+
+    ``side="high"``: ascending sort with NULLs first, so the highest values go
+    (ties: larger key first). ``side="low"``: descending sort with NULLs last,
+    so NULLs go first, then the lowest values (ties: smaller key first).
+    Only the ~2k candidate rows are ordered (each task keeps at most k of
+    them), never the whole frame.
+    """
+    cand, k = trim_candidates(df, col, fraction, side, accuracy)
+    if k == 0:
+        return cand, 0
+    order = _order(col, key, side)
     if k <= max_heap_rows:
         return cand.orderBy(*order).limit(k), k
-    n_cand = cand.count()
-    return _ranked_first(cand, order, k, n_cand), k
+    return _ranked_first(cand, order, k, cand.count()), k
 
 
 def trim_extreme(df: DataFrame, col: str, key: list[str], fraction: float = 0.001, side: str = "high",

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType
 
 from tabprep.functions.missing import all_present, is_missing
 from tabprep.operators.normalize import present
@@ -73,35 +73,40 @@ def distinct_values(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return _unpivot_strings(df, list(cols)).filter(F.col("value").isNotNull()).distinct()
 
 
-def _domain_table(df: DataFrame, domains: Mapping[str, Iterable[str]]) -> DataFrame:
-    rows = [(c, v) for c, vs in domains.items() for v in vs]
-    return df.sparkSession.createDataFrame(rows, "column_name string, value string")
+def _in_domain(domains: Mapping[str, Iterable[str]]) -> Column:
+    """(column_name, value) lies in its column's domain: a literal predicate
+    (the domain's size is the rule set's, not the data's), no join needed."""
+    expr = None
+    for c, vs in domains.items():
+        t = F.col("column_name") == F.lit(c)
+        e = F.col("value").isin(*list(vs))
+        expr = F.when(t, e) if expr is None else expr.when(t, e)
+    return F.coalesce(expr, F.lit(False)) if expr is not None else F.lit(False)
 
 
 def domain_violation_values(df: DataFrame, domains: Mapping[str, Iterable[str]]) -> DataFrame:
     """(column_name, value, n_rows) for every non-NULL value outside its domain.
 
-    Counts are pre-aggregated per (column, value) before the anti join, and the
-    domain table (its size is the rule set's, not the data's) is broadcast.
-    """
+    The domain test runs before the shuffle, so only offending values are
+    counted (partial aggregation first)."""
     cols = present(df, domains)
-    counts = (_unpivot_strings(df, cols).filter(F.col("value").isNotNull())
-              .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n_rows")))
-    dom = _domain_table(df, {c: domains[c] for c in cols})
-    return counts.join(F.broadcast(dom), ["column_name", "value"], "left_anti")
+    dom = {c: domains[c] for c in cols}
+    return (_unpivot_strings(df, cols).filter(F.col("value").isNotNull() & ~_in_domain(dom))
+            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n_rows")))
 
 
 def domain_violations(df: DataFrame, domains: Mapping[str, Iterable[str]]) -> DataFrame:
-    """Per column: number of offending distinct values, rows affected, OK flag."""
+    """Per column: number of offending distinct values, rows affected, OK flag.
+
+    Columns without violations come from a literal zero row per column that
+    joins the second grouping (a union, not a join)."""
     cols = present(df, domains)
-    bad = (domain_violation_values(df, domains).groupBy("column_name")
-           .agg(F.count(F.lit(1)).alias("n_invalid_values"), F.sum("n_rows").alias("n_rows_affected")))
-    allc = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
-    return (F.broadcast(allc).join(bad, "column_name", "left")
-            .select("column_name",
-                    F.coalesce("n_invalid_values", F.lit(0)).cast("long").alias("n_invalid_values"),
-                    F.coalesce("n_rows_affected", F.lit(0)).cast("long").alias("n_rows_affected"),
-                    F.col("n_invalid_values").isNull().alias("ok")))
+    zeros = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("string").alias("value"),
+                 F.lit(0).cast("long").alias("n_rows")) for c in cols])))
+    return (domain_violation_values(df, domains).unionByName(zeros).groupBy("column_name")
+            .agg(F.count("value").alias("n_invalid_values"), F.sum("n_rows").cast("long").alias("n_rows_affected"))
+            .withColumn("ok", F.col("n_invalid_values") == 0))
 
 
 # --- ranges and dates -----------------------------------------------------
@@ -293,3 +298,79 @@ def quality_summary(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | N
     )
     out = c.select(F.inline(rows))
     return out.filter(~F.col("issue").isin("invalid_dates", "out_of_range_values") | (F.col("value") > 0))
+
+
+# --- the whole report -----------------------------------------------------------
+
+def profile_report(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | None = None,
+                   domains: Mapping[str, Iterable[str]] | None = None, yes_no: Iterable[str] = (),
+                   date_col: str | None = None, numeric: Iterable[str] = (), date_fmt: str = DATE_FORMAT,
+                   tokens: Iterable[str] = PROFILE_TOKENS) -> DataFrame:
+    """The full quality profile as (section, column_name, metric, value) rows.
+
+    Three branches, whatever the number of columns: one wide aggregate (row
+    count, missing values, completeness, ranges, dates, statistics, boolean
+    shares), one grouping over all columns (duplicates, score) and one
+    grouping over the unpivoted domain columns (violations).
+    """
+    ranges, domains = dict(ranges or {}), dict(domains or {})
+    cols = df.columns
+    num = present(df, numeric)
+    yn = present(df, yes_no)
+    rc = present(df, ranges)
+    aggs = {"n_rows": F.count(F.lit(1)), "n_complete": F.count_if(all_present(cols, tokens))}
+    for i, c in enumerate(cols):
+        aggs[f"miss{i}"] = F.count_if(is_missing(c, tokens))
+    for i, c in enumerate(rc):
+        aggs[f"rng{i}"] = F.count_if(out_of_range_cast(c, *ranges[c]))
+    if date_col:
+        aggs["bad_dates"] = F.count_if(unparseable_date(df, date_col, date_fmt))
+        d = F.try_to_date(F.col(date_col), date_fmt) if isinstance(df.schema[date_col].dataType, StringType) \
+            else F.col(date_col).cast("date")
+        aggs["first_date"] = F.unix_date(F.min(d))
+        aggs["last_date"] = F.unix_date(F.max(d))
+    for i, c in enumerate(num):
+        x = F.col(c).try_cast("double")
+        aggs.update({f"min{i}": F.min(x), f"max{i}": F.max(x), f"mean{i}": F.avg(x), f"sd{i}": F.stddev_samp(x)})
+    for i, c in enumerate(yn):
+        low = F.lower(F.col(c).cast("string"))
+        aggs.update({f"yn{i}": F.count(c), f"yt{i}": F.count_if(low.isin(*TRUE_SPELLINGS)),
+                     f"yf{i}": F.count_if(low.isin(*FALSE_SPELLINGS))})
+    one = df.agg(*[v.alias(k) for k, v in aggs.items()])
+
+    def row(section, column, metric, value):
+        return F.struct(F.lit(section).alias("section"), F.lit(column).cast("string").alias("column_name"),
+                        F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+    n = F.col("n_rows")
+    out = [row("rows", None, "n_rows", n), row("completeness", None, "n_complete", F.col("n_complete")),
+           row("completeness", None, "pct_complete", F.col("n_complete") * 100.0 / n)]
+    out += [row("missing", c, "n_missing", F.col(f"miss{i}")) for i, c in enumerate(cols)]
+    out += [row("missing", c, "pct_missing", F.col(f"miss{i}") * 100.0 / n) for i, c in enumerate(cols)]
+    out += [row("range", c, "n_out_of_range", F.col(f"rng{i}")) for i, c in enumerate(rc)]
+    if date_col:
+        out += [row("dates", date_col, m, F.col(m)) for m in ("bad_dates", "first_date", "last_date")]
+    for i, c in enumerate(num):
+        out += [row("statistics", c, m, F.coalesce(F.col(f"{k}{i}"), F.lit(NAN)))
+                for m, k in (("minimum", "min"), ("maximum", "max"), ("mean", "mean"), ("stddev", "sd"))]
+    for i, c in enumerate(yn):
+        t, f_, nn = F.col(f"yt{i}"), F.col(f"yf{i}"), F.col(f"yn{i}")
+        out += [row("booleans", c, "n_non_null", nn), row("booleans", c, "pct_true", t * 100.0 / nn),
+                row("booleans", c, "pct_false", f_ * 100.0 / nn),
+                row("booleans", c, "pct_other", (nn - t - f_) * 100.0 / nn)]
+    wide = one.select(F.inline(F.array(*out)))
+
+    dup = row_groups(df).agg(F.sum("n_copies").alias("n"), F.count(F.lit(1)).alias("u"))
+    dup = dup.select(F.inline(F.array(
+        row("duplicates", None, "n_unique", F.col("u")), row("duplicates", None, "n_duplicates", F.col("n") - F.col("u")))))
+    parts = [wide, dup]
+    if domains:
+        dv = domain_violations(df, domains)
+        parts.append(dv.select(F.inline(F.array(
+            F.struct(F.lit("domain").alias("section"), F.col("column_name"), F.lit("n_invalid_values").alias("metric"),
+                     F.col("n_invalid_values").cast("double").alias("value")),
+            F.struct(F.lit("domain").alias("section"), F.col("column_name"), F.lit("n_rows_affected").alias("metric"),
+                     F.col("n_rows_affected").cast("double").alias("value"))))))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res

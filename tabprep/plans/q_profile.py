@@ -410,3 +410,54 @@ def q_normalize_vector(spark, sf):
 
 
 __all__ = ["nullify_tokens"]
+
+
+# ---------------------------------------------------------------- the full profile
+
+_REPORT_NUM = ["num_a", "num_b", "txt_num", "code"]
+
+
+def _report_sql() -> str:
+    cols = S.OBS_COLUMNS
+    aggs = ["count(*) as n_rows", f"count_if({_ALL_PRESENT}) as n_complete"]
+    aggs += [f"count_if({S.missing(c)}) as miss_{c}" for c in cols]
+    for c, (lo, hi) in RANGES.items():
+        x = f"try_cast({c} as double)"
+        aggs.append(f"count_if({x} is not null and ({x} < {lo} or {x} > {hi})) as rng_{c}")
+    d = "try_strptime(date_txt, '%Y-%m-%d')::date"
+    aggs += [f"count_if({_BAD_DATE}) as bad_dates", f"min({d}) - date '1970-01-01' as first_date",
+             f"max({d}) - date '1970-01-01' as last_date"]
+    for c in _REPORT_NUM:
+        x = f"try_cast({c} as double)"
+        aggs += [f"min({x}) as min_{c}", f"max({x}) as max_{c}", f"avg({x}) as mean_{c}", f"stddev_samp({x}) as sd_{c}"]
+    aggs += ["count(yn) as yn_n", "count_if(lower(yn) in ('true', 'yes', '1')) as yn_t",
+             "count_if(lower(yn) in ('false', 'no', '0')) as yn_f"]
+    rows = [("rows", None, "n_rows", "n_rows"), ("completeness", None, "n_complete", "n_complete"),
+            ("completeness", None, "pct_complete", "n_complete * 100.0 / n_rows")]
+    rows += [("missing", c, "n_missing", f"miss_{c}") for c in cols]
+    rows += [("missing", c, "pct_missing", f"miss_{c} * 100.0 / n_rows") for c in cols]
+    rows += [("range", c, "n_out_of_range", f"rng_{c}") for c in RANGES]
+    rows += [("dates", "date_txt", m, m) for m in ("bad_dates", "first_date", "last_date")]
+    for c in _REPORT_NUM:
+        rows += [("statistics", c, m, f"coalesce({k}_{c}, 'NaN'::double)")
+                 for m, k in (("minimum", "min"), ("maximum", "max"), ("mean", "mean"), ("stddev", "sd"))]
+    rows += [("booleans", "yn", "n_non_null", "yn_n"), ("booleans", "yn", "pct_true", "yn_t * 100.0 / yn_n"),
+             ("booleans", "yn", "pct_false", "yn_f * 100.0 / yn_n"),
+             ("booleans", "yn", "pct_other", "(yn_n - yn_t - yn_f) * 100.0 / yn_n")]
+
+    def sel(sec, col, met, expr, src):
+        c = "null::varchar" if col is None else f"'{col}'"
+        return f"select '{sec}' as section, {c} as column_name, '{met}' as metric, {S.r6(f'cast({expr} as double)')} as value from {src}"
+    parts = [sel(*r, "one") for r in rows]
+    parts += [sel("duplicates", None, "n_unique", "u", "dd"), sel("duplicates", None, "n_duplicates", "n - u", "dd")]
+    dom = _domain_sql()
+    parts += [sel("domain", None, m, m, "dv").replace("null::varchar as column_name", "column_name")
+              for m in ("n_invalid_values", "n_rows_affected")]
+    return W(S.OBS, f"one as (select {', '.join(aggs)} from obs)",
+             "dd as (select (select count(*) from obs) as n, (select count(*) from (select distinct * from obs)) as u)",
+             f"dv as ({dom})", body=" union all ".join(parts))
+
+
+@query("quality_report", _report_sql())
+def q_quality_report(spark, sf):
+    return rounded(PR.profile_report(obs(spark, sf), RANGES, DOMAINS, ["yn"], "date_txt", _REPORT_NUM))
