@@ -174,9 +174,28 @@ def row_groups(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_copies"))
 
 
-def duplicate_count(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
-    """Total rows, unique rows, extra copies and their %, in one shuffle."""
-    g = row_groups(df, cols).agg(F.sum("n_copies").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"))
+def _unique_by_hash(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(n_rows, n_unique) for wide rows: a 64-bit row hash is grouped first
+    (8 bytes per row cross the shuffle); a row whose hash no other row shares
+    is unique for sure, and only rows with a shared hash are grouped on all
+    columns to confirm (the semi join side is sized by AQE at run time)."""
+    h = F.xxhash64(*[F.col(c) for c in cols])
+    per = df.select(h.alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
+    shared = per.filter(F.col("__c") > 1).select("__h")
+    cand = df.withColumn("__h", h).join(shared, "__h", "left_semi").drop("__h")
+    a = per.agg(F.sum("__c").alias("n_rows"), F.count_if(F.col("__c") == 1).alias("n_unique"))
+    b = row_groups(cand, cols).agg(F.lit(0).cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"))
+    return a.unionByName(b).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_unique").alias("n_unique"))
+
+
+def duplicate_count(df: DataFrame, cols: Iterable[str] | None = None, hashed: bool = False) -> DataFrame:
+    """Total rows, unique rows, extra copies and their %, in one shuffle
+    (``hashed=True``: a hash-first plan for very wide rows, same result)."""
+    cols = list(cols or df.columns)
+    if hashed:
+        g = _unique_by_hash(df, cols)
+    else:
+        g = row_groups(df, cols).agg(F.sum("n_copies").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"))
     return g.select("n_rows", "n_unique", (F.col("n_rows") - F.col("n_unique")).alias("n_duplicates"),
                     ((F.col("n_rows") - F.col("n_unique")) * 100.0 / F.col("n_rows")).alias("pct_duplicates"))
 

@@ -137,6 +137,7 @@ def test_profile_reports(spark):
     assert (c.n_rows, c.n_complete) == (4, 0)
     d = PR.duplicate_count(df).first()
     assert (d.n_rows, d.n_unique, d.n_duplicates) == (4, 3, 1)
+    assert PR.duplicate_count(df, hashed=True).first() == d
     dv = {r.column_name: (r.n_invalid_values, r.n_rows_affected, r.ok)
           for r in PR.domain_violations(df, {"yn": ["Yes", "No"], "id": ["1", "2", "3"]}).collect()}
     assert dv == {"yn": (1, 1, False), "id": (0, 0, True)}

@@ -113,3 +113,11 @@ def test_random_split_per_class(spark):
     for cls in "FOP":
         total = n.filter(F.col("status") == cls).count()
         assert 0.65 < tr.filter(F.col("status") == cls).count() / total < 0.95
+
+
+def test_hashed_duplicates_match(spark):
+    from tabprep.operators.profile import duplicate_count
+    from tabprep.sources.fixtures import obs_with_duplicates
+    d = obs_with_duplicates(spark, SF001)
+    d = d.unionByName(d.limit(0)).withColumn("num_b", F.when(F.col("row_id") % 3 == 0, None).otherwise(F.col("num_b")))
+    assert duplicate_count(d).first() == duplicate_count(d, hashed=True).first()
