@@ -77,11 +77,10 @@ def modes_by_group(df: DataFrame, keys: list[str], targets: Iterable[str], suffi
                       for t in targets])
     long = df.select(*keys, F.inline(pairs)).filter(F.col("__d").isNotNull() | F.col("__s").isNotNull())
     counts = long.groupBy(*keys, "__col", "__d", "__s").agg(F.count(F.lit(1)).alias("count"))
-    best = counts.groupBy(*keys, "__col").agg(
-        F.min(F.struct((-F.col("count")).alias("n"), F.col("__d").alias("d"), F.col("__s").alias("s"))).alias("__b"))
-    wide = best.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__col") == t, F.col("__b.d" if t in num else "__b.s"))).alias(t + suffix)
-          for t in targets])
+    # one more aggregate: per group and column, the minimum of (-count, value)
+    best = F.struct((-F.col("count")).alias("n"), F.col("__d").alias("d"), F.col("__s").alias("s"))
+    wide = counts.groupBy(*keys).agg(
+        *[F.min(F.when(F.col("__col") == t, best))["d" if t in num else "s"].alias(t + suffix) for t in targets])
     return wide.select(*keys, *[F.col(t + suffix).cast(types[t]).alias(t + suffix) for t in targets])
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 PREV, NEXT = "_prev", "_next"
 
@@ -41,7 +42,13 @@ def neighbour_values(df: DataFrame, entity: str, order: list[str], cols: Iterabl
         w = Window.partitionBy(entity).orderBy(*order)
         return df.withColumns({**{c + prev_suffix: F.lag(c, 1).over(w) for c in cols},
                                **{c + next_suffix: F.lead(c, 1).over(w) for c in cols}})
-    bexpr = month_bucket(order[0]) if isinstance(bucket, str) and bucket == "month" else bucket
+    if isinstance(bucket, str) and bucket == "month":
+        if not isinstance(df.schema[order[0]].dataType, (DateType, TimestampType, TimestampNTZType)):
+            raise TypeError(f"bucket='month' needs a date/timestamp first order column, got {order[0]!r}; "
+                            "pass a monotone bucket Column or bucket=None")
+        bexpr = month_bucket(order[0])
+    else:
+        bexpr = bucket
     b = "__nb_bucket"
     d = df.withColumn(b, bexpr)
     wb = Window.partitionBy(entity, b).orderBy(*order)

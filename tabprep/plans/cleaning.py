@@ -25,6 +25,7 @@ from tabprep.operators.outliers import drop_sentinel_codes, drop_zero_vectors, r
 from tabprep.operators.stats import grouped_stats, modes_by_group
 from tabprep.operators.windows import NEXT, PREV, neighbour_values
 from tabprep.rules import CleaningSpec
+from tabprep.session import materialize
 
 
 def _uniq(xs):
@@ -113,18 +114,25 @@ class CleaningModel:
         d = d.withColumns(casc)
         return d.select(*base_cols, *vec)
 
-    def remove(self, df: DataFrame) -> DataFrame:
-        """Zero vectors, sentinel codes, then the extreme fraction."""
+    def remove(self, df: DataFrame, materialize_input: bool = True) -> DataFrame:
+        """Zero vectors, sentinel codes, then the extreme fraction.
+
+        The trim reads its input three times (plan of the cut, candidates,
+        anti join); with ``materialize_input`` the input is written once to
+        the shared checkpoint folder so the imputation plan is not recomputed.
+        """
         s, lay = self.spec, self.spec.layout
         out = drop_zero_vectors(df, self.columns["dirs"])
         out = drop_sentinel_codes(out, s.sentinel_columns, s.sentinel_code, s.null_is_ok)
         if s.trim_column and s.trim_column in out.columns:
+            if materialize_input:
+                out = materialize(out, "cleaned-before-trim")
             key = [lay.row_id] if lay.row_id else [lay.entity, lay.time]
             out = trim_extreme(out, s.trim_column, key, s.trim_fraction, s.trim_side, s.accuracy)
         return out
 
-    def transform(self, df: DataFrame, bucket="month") -> DataFrame:
-        return self.remove(self.impute(df, bucket))
+    def transform(self, df: DataFrame, bucket="month", materialize_input: bool = True) -> DataFrame:
+        return self.remove(self.impute(df, bucket), materialize_input)
 
     def report(self, imputed: DataFrame) -> DataFrame:
         s, lay = self.spec, self.spec.layout

@@ -61,3 +61,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared checkpoint folder (for written tables)."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as parquet in the shared checkpoint folder and read it
+    back: later passes scan the written table instead of recomputing the plan,
+    and the data survives the loss of the executors that computed it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
