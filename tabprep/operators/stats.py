@@ -8,6 +8,8 @@ medians use ``percentile_approx`` sketches, which merge across partitions.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,6 +86,33 @@ def modes_by_group(df: DataFrame, keys: list[str], targets: Iterable[str], suffi
     return wide.select(*keys, *[F.col(t + suffix).cast(types[t]).alias(t + suffix) for t in targets])
 
 
+def modes_by_sets(df: DataFrame, sets: list[list[str]], targets: Iterable[str],
+                  suffixes: list[str]) -> list[DataFrame]:
+    """``modes_by_group`` for several key sets (each a subset of the first) in
+    ONE pass: the value counts of all sets come from one GROUPING SETS
+    aggregate, so the frame is read once whatever the number of sets."""
+    targets = present(df, targets)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    num = {t for t in targets if isinstance(types[t], NumericType)}
+    allk = list(dict.fromkeys(k for ks in sets for k in ks))
+    pairs = F.array(*[F.struct(F.lit(t).alias("__col"),
+                               (F.col(t).cast("double") if t in num else F.lit(None).cast("double")).alias("__d"),
+                               (F.lit(None).cast("string") if t in num else F.col(t).cast("string")).alias("__s"))
+                      for t in targets])
+    long = df.select(*allk, F.inline(pairs)).filter(F.col("__d").isNotNull() | F.col("__s").isNotNull())
+    vcols = ["__col", "__d", "__s"]
+    counts = long.groupingSets([list(ks) + vcols for ks in sets], *allk, *vcols).agg(
+        F.count(F.lit(1)).alias("count"), *[F.grouping(k).alias(f"__g_{k}") for k in allk])
+    best = F.struct((-F.col("count")).alias("n"), F.col("__d").alias("d"), F.col("__s").alias("s"))
+    out = []
+    for ks, suffix in zip(sets, suffixes):
+        mine = counts.filter(reduce(and_, [F.col(f"__g_{k}") == (0 if k in ks else 1) for k in allk]))
+        wide = mine.groupBy(*ks).agg(
+            *[F.min(F.when(F.col("__col") == t, best))["d" if t in num else "s"].alias(t + suffix) for t in targets])
+        out.append(wide.select(*ks, *[F.col(t + suffix).cast(types[t]).alias(t + suffix) for t in targets]))
+    return out
+
+
 def mode_by_group_ties(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     """All values reaching the group's maximum count (ties kept)."""
     counts = value_counts(df, keys, target)

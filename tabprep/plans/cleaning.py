@@ -22,7 +22,7 @@ from tabprep.operators.impute import neighbour_mean_fill
 from tabprep.operators.joins import lookup_left_entity_month, lookup_left_month
 from tabprep.operators.normalize import normalize_observations, present
 from tabprep.operators.outliers import drop_sentinel_codes, drop_zero_vectors, removal_report, trim_extreme
-from tabprep.operators.stats import grouped_stats, modes_by_group
+from tabprep.operators.stats import modes_by_sets
 from tabprep.operators.windows import NEXT, PREV, neighbour_values
 from tabprep.rules import CleaningSpec
 from tabprep.session import materialize
@@ -55,25 +55,32 @@ class CleaningModel:
         dcasc = present(reference, spec.median_cascade)
         acc = spec.accuracy
 
-        # Month table: means, medians, cascade medians and circular means in one aggregate.
-        m_aggs = [F.avg(c).alias(f"{c}_mon_mean") for c in means]
-        m_aggs += [F.percentile_approx(c, 0.5, acc).alias(f"{c}_mon_median") for c in _uniq(medians + dcasc)]
+        # ONE grouping-sets aggregate gives the (entity, month) and the month
+        # statistics: means, medians (sketches), circular means.
+        keys = [lay.entity, lay.month]
+        meds = _uniq(medians + dcasc)
+        aggs = [F.avg(c).alias(f"{c}__mean") for c in means]
+        aggs += [F.percentile_approx(c, 0.5, acc).alias(f"{c}__median") for c in meds]
         for c in dirs:
             r = direction_to_radians(c)
-            m_aggs += [F.avg(F.cos(r)).alias(f"{c}_mon_ux"), F.avg(F.sin(r)).alias(f"{c}_mon_uy")]
-        mon = reference.groupBy(lay.month).agg(*m_aggs) if m_aggs else \
-            reference.select(lay.month).distinct()
-        mon = normalize_vectors(mon.withColumnsRenamed(
-            {f"{c}_mon_{a}": f"{c}__mon_{a}" for c in dirs for a in ("ux", "uy")}),
-            [f"{c}__mon" for c in dirs], spec.eps) if dirs else mon
+            aggs += [F.avg(F.cos(r)).alias(f"{c}__cx"), F.avg(F.sin(r)).alias(f"{c}__cy")]
+        gs = reference.groupingSets([keys, [lay.month]], *keys).agg(
+            F.grouping(lay.entity).alias("__g"), *aggs)
+        mon = gs.filter(F.col("__g") == 1).select(
+            lay.month, *[F.col(f"{c}__mean").alias(f"{c}_mon_mean") for c in means],
+            *[F.col(f"{c}__median").alias(f"{c}_mon_median") for c in meds],
+            *[F.col(f"{c}__c{a}").alias(f"{c}__mon_u{a}") for c in dirs for a in ("x", "y")])
+        mon = normalize_vectors(mon, [f"{c}__mon" for c in dirs], spec.eps) if dirs else mon
+        em = gs.filter(F.col("__g") == 0).select(
+            *keys, *[F.col(f"{c}__mean").alias(f"{c}_locmon_mean") for c in means],
+            *[F.col(f"{c}__median").alias(f"{c}_locmon_median") for c in meds])
+        # ONE pass of value counts gives both levels of modes.
+        em_modes, mon_modes = (modes_by_sets(reference, [keys, [lay.month]], _uniq(modes + mcasc),
+                                             ["_locmon_mode", "_mon_mode"]) if (modes or mcasc) else (None, None))
         if mcasc:
-            mon = mon.join(modes_by_group(reference, [lay.month], mcasc, "_mon_mode"), [lay.month], "full")
-
-        # (entity, month) table: means, medians, modes.
-        keys = [lay.entity, lay.month]
-        em = grouped_stats(reference, keys, means, _uniq(medians + dcasc), acc, "_locmon_mean", "_locmon_median")
+            mon = mon.join(mon_modes.select(lay.month, *[f"{c}_mon_mode" for c in mcasc]), [lay.month], "full")
         if modes or mcasc:
-            em = em.join(modes_by_group(reference, keys, _uniq(modes + mcasc), "_locmon_mode"), keys, "full")
+            em = em.join(em_modes, keys, "full")
         cols = dict(means=means, medians=medians, dirs=dirs, modes=modes, mcasc=mcasc, dcasc=dcasc)
         return cls(spec, mon, em, cols)
 
