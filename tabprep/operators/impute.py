@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tabprep.functions.missing import nullify_tokens
 from tabprep.operators.joins import lookup_join, lookup_left_entity_month, lookup_left_month
 from tabprep.operators.normalize import present
-from tabprep.operators.stats import grouped_stats, mode_by_group, modes_by_group
+from tabprep.operators.stats import grouped_stats, mode_by_group, modes_by_group, modes_by_sets
 from tabprep.operators.windows import NEXT, PREV, neighbour_values
 from tabprep.rules import CLEAN_TOKENS
 
@@ -129,9 +129,8 @@ def fill_token_mode_cascade(df: DataFrame, reference: DataFrame, entity: str, mo
     """
     cols, toks = present(df, cols), list(tokens)
     clean = lambda d: d.withColumns({c: _missing_to_null(c, toks) for c in cols})
-    ref = clean(reference)
-    lm = modes_by_group(ref, [entity, month], cols, "_locmon_mode")
-    mm = modes_by_group(ref, [month], cols, "_mon_mode")
+    # both levels of modes from one pass of value counts (grouping sets)
+    lm, mm = modes_by_sets(clean(reference), [[entity, month], [month]], cols, ["_locmon_mode", "_mon_mode"])
     out = lookup_left_month(lookup_left_entity_month(clean(df), lm, entity, month), mm, month)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_locmon_mode"), F.col(f"{c}_mon_mode"))
                             for c in cols}) \
@@ -151,9 +150,11 @@ def fill_token_median_cascade(df: DataFrame, reference: DataFrame, entity: str,
     double; tokens and blanks are missing)."""
     cols, toks = present(df, cols), list(tokens)
     parse = lambda d: d.withColumns({c: parse_tokens_to_double(c, toks) for c in cols})
-    ref = parse(reference)
-    lm = grouped_stats(ref, [entity, month], medians=cols, accuracy=accuracy, median_suffix="_locmon_median")
-    mm = grouped_stats(ref, [month], medians=cols, accuracy=accuracy, median_suffix="_mon_median")
+    # both levels of medians from one grouping-sets aggregate
+    gs = parse(reference).groupingSets([[entity, month], [month]], entity, month).agg(
+        F.grouping(entity).alias("__g"), *[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in cols])
+    lm = gs.filter(F.col("__g") == 0).select(entity, month, *[F.col(c).alias(f"{c}_locmon_median") for c in cols])
+    mm = gs.filter(F.col("__g") == 1).select(month, *[F.col(c).alias(f"{c}_mon_median") for c in cols])
     out = lookup_left_month(lookup_left_entity_month(parse(df), lm, entity, month), mm, month)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_locmon_median"), F.col(f"{c}_mon_median"))
                             for c in cols}) \
