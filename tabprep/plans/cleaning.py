@@ -141,8 +141,12 @@ class CleaningModel:
     def transform(self, df: DataFrame, bucket="month", materialize_input: bool = True) -> DataFrame:
         return self.remove(self.impute(df, bucket), materialize_input)
 
-    def report(self, imputed: DataFrame) -> DataFrame:
+    def report(self, imputed: DataFrame, materialize_input: bool = True) -> DataFrame:
+        """Rows removed per stage on ``imputed`` (see ``removal_report``); the
+        input is read several times, so by default it is written once first."""
         s, lay = self.spec, self.spec.layout
+        if materialize_input:
+            imputed = materialize(imputed, "imputed-for-report")
         key = [lay.row_id] if lay.row_id else [lay.entity, lay.time]
         return removal_report(imputed, self.columns["dirs"], s.sentinel_columns, s.sentinel_code,
                               s.trim_column, key, s.trim_fraction, s.trim_side, s.null_is_ok, s.accuracy)
