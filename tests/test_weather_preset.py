@@ -33,7 +33,7 @@ def _row(i, loc):
 
 @pytest.fixture(scope="module")
 def weather(spark):
-    data = [_row(i, loc) for loc in ("Albury", "Cobar") for i in range(70)]
+    data = [_row(i, loc) for loc in ("Loc1", "Loc2") for i in range(70)]
     data.append(data[5])  # an exact duplicate
     return spark.createDataFrame(data, ", ".join(f"{c} string" for c in COLS))
 
