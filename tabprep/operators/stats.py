@@ -113,25 +113,42 @@ def modes_by_sets(df: DataFrame, sets: list[list[str]], targets: Iterable[str],
     return out
 
 
-def mode_by_group_ties(df: DataFrame, keys: list[str], target: str) -> DataFrame:
-    """All values reaching the group's maximum count (ties kept)."""
-    counts = value_counts(df, keys, target)
-    mx = F.max("count").over(Window.partitionBy(*keys)) if keys else F.max("count").over(Window.partitionBy(F.lit(1)))
-    return counts.withColumn("__max", mx).filter(F.col("count") == F.col("__max")).drop("__max")
-
-
 def join_counts_to_max(df: DataFrame, keys: list[str], target: str) -> DataFrame:
-    """Group counts joined with their per-group maximum (equi-join on keys)."""
+    """Group counts joined with their per-group maximum (equi-join on keys).
+
+    The maximum is a partial aggregate, and the join of a hot key is split by
+    AQE's skew handling, so no group is gathered into one task."""
     counts = value_counts(df, keys, target)
     mx = counts.groupBy(*keys).agg(F.max("count").alias("max_count"))
     return counts.join(mx, keys, "inner").filter(F.col("count") == F.col("max_count")).drop("max_count")
 
 
-def top1_per_group(df: DataFrame, keys: list[str], target: str) -> DataFrame:
-    """``row_number`` by count desc, value asc; the first row per group."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("count"), F.col(target))
-    return (value_counts(df, keys, target).withColumn("__rn", F.row_number().over(w))
-            .filter(F.col("__rn") == 1).drop("__rn"))
+def mode_by_group_ties(df: DataFrame, keys: list[str], target: str, method: str = "join") -> DataFrame:
+    """All values reaching the group's maximum count (ties kept).
+
+    ``method="window"``: ``max(count) over (partition by keys)`` (one task per
+    group: only for groups of bounded size); default: the skew-safe join."""
+    if method == "window":
+        counts = value_counts(df, keys, target)
+        mx = F.max("count").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1)))
+        return counts.withColumn("__max", mx).filter(F.col("count") == F.col("__max")).drop("__max")
+    return join_counts_to_max(df, keys, target)
+
+
+def top1_per_group(df: DataFrame, keys: list[str], target: str, method: str = "aggregate") -> DataFrame:
+    """The first value per group by count desc, value asc, with its count.
+
+    ``method="window"`` is the literal ``row_number() ... = 1`` (one task per
+    group); the default is the same choice as ``min(struct(-count, value))``,
+    an aggregate that combines map-side, so a hot group never lands in one task.
+    """
+    counts = value_counts(df, keys, target)
+    if method == "window":
+        w = Window.partitionBy(*keys).orderBy(F.desc("count"), F.col(target))
+        return counts.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
+    best = F.min(F.struct((-F.col("count")).alias("n"), F.col(target).alias("v")))
+    return (counts.groupBy(*keys).agg(best.alias("__b"))
+            .select(*keys, F.col("__b.v").alias(target), (-F.col("__b.n")).alias("count")))
 
 
 def circular_mean_by(df: DataFrame, keys: list[str], dir_cols: Iterable[str], eps: float = 1e-9,

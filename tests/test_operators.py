@@ -70,7 +70,10 @@ def test_mode_ties_smallest(spark):
                                "k string, v string")
     assert rows(ST.mode_by_group(df, ["k"], "v")) == [("g", "a"), ("h", "z")]
     assert rows(ST.mode_by_group_ties(df, ["k"], "v"), "k", "v", "count") == [("g", "a", 2), ("g", "b", 2), ("h", "z", 1)]
-    assert rows(ST.top1_per_group(df, ["k"], "v"), "k", "v") == [("g", "a"), ("h", "z")]
+    assert rows(ST.top1_per_group(df, ["k"], "v"), "k", "v", "count") == [("g", "a", 2), ("h", "z", 1)]
+    assert rows(ST.top1_per_group(df, ["k"], "v", "window"), "k", "v", "count") == [("g", "a", 2), ("h", "z", 1)]
+    assert rows(ST.mode_by_group_ties(df, ["k"], "v", "window"), "k", "v", "count") == \
+        rows(ST.mode_by_group_ties(df, ["k"], "v"), "k", "v", "count")
     m = ST.modes_by_group(df.withColumn("n", F.length("v")), ["k"], ["v", "n"])
     assert rows(m) == [("g", "a", 1), ("h", "z", 1)]
 
