@@ -136,9 +136,13 @@ def extreme_rows(df: DataFrame, col: str, key: list[str], fraction: float = 0.00
     if k == 0:
         return cand, 0
     order = _order(col, key, side)
-    if k <= max_heap_rows:
+    # Ties at the cut can make the candidates far more than ~2k rows; the
+    # bounded top-k (whose last step gathers every task's top rows in one
+    # task) is used only when the candidate count itself is within the bound.
+    n_cand = cand.count()
+    if n_cand <= max_heap_rows:
         return cand.orderBy(*order).limit(k), k
-    return _ranked_first(cand, order, k, cand.count()), k
+    return _ranked_first(cand, order, k, n_cand), k
 
 
 def trim_extreme(df: DataFrame, col: str, key: list[str], fraction: float = 0.001, side: str = "high",

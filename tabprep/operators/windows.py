@@ -32,8 +32,10 @@ def neighbour_values(df: DataFrame, entity: str, order: list[str], cols: Iterabl
     the same entity in ``order`` (NULL at the entity's first / last row).
 
     ``bucket``: ``None`` = one window partition per entity (the literal form);
-    ``"month"`` = calendar month of ``order[0]``; or any Column that is
-    non-decreasing along ``order`` within an entity.
+    ``"month"`` / ``"week"`` / ``"day"`` = calendar unit of ``order[0]`` (pick
+    one that holds many rows per bucket and gives a hot entity many buckets);
+    or any Column that is non-decreasing along ``order`` within an entity,
+    e.g. ``struct(date, row_id div 1e6)`` to split a hot entity-day.
     """
     cols = list(cols)
     if not cols:
@@ -42,11 +44,12 @@ def neighbour_values(df: DataFrame, entity: str, order: list[str], cols: Iterabl
         w = Window.partitionBy(entity).orderBy(*order)
         return df.withColumns({**{c + prev_suffix: F.lag(c, 1).over(w) for c in cols},
                                **{c + next_suffix: F.lead(c, 1).over(w) for c in cols}})
-    if isinstance(bucket, str) and bucket == "month":
+    if isinstance(bucket, str):
         if not isinstance(df.schema[order[0]].dataType, (DateType, TimestampType, TimestampNTZType)):
-            raise TypeError(f"bucket='month' needs a date/timestamp first order column, got {order[0]!r}; "
+            raise TypeError(f"bucket={bucket!r} needs a date/timestamp first order column, got {order[0]!r}; "
                             "pass a monotone bucket Column or bucket=None")
-        bexpr = month_bucket(order[0])
+        day = F.col(order[0]).cast("date")
+        bexpr = {"month": month_bucket(order[0]), "week": F.date_trunc("week", day).cast("date"), "day": day}[bucket]
     else:
         bexpr = bucket
     b = "__nb_bucket"

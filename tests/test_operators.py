@@ -42,6 +42,8 @@ def test_neighbours_bucketed_equals_plain(panel):
     buck = neighbour_values(panel, "loc", ["d", "id"], ["x", "dir"], bucket="month")
     cols = ["id", "x_prev", "x_next", "dir_prev", "dir_next"]
     assert rows(plain, *cols) == rows(buck, *cols)
+    for b in ("day", "week", F.struct(F.col("d"), (F.col("id") / 3).cast("long"))):
+        assert rows(neighbour_values(panel, "loc", ["d", "id"], ["x", "dir"], bucket=b), *cols) == rows(plain, *cols)
     got = {r.id: (r.x_prev, r.x_next) for r in buck.collect()}
     assert got[1] == (None, 10.0) and got[4] == (None, None) and got[5] == (20.0, 40.0) and got[8] == (4.0, None) and got[14] == (None, 5.0)
 
@@ -155,3 +157,12 @@ def test_profile_reports(spark):
 def test_constant_column_stddev_zero(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "v double")
     assert PR.numeric_summary(df, ["v"]).first().stddev == 0.0
+
+
+def test_trim_ties_at_cut_use_ranked_path(spark):
+    # a third of the rows share the top value: the candidates are ~1000 rows, not ~2k
+    data = [(i, 100.0 if i % 3 == 0 else float(i % 97)) for i in range(3000)]
+    df = spark.createDataFrame(data, "id long, v double")
+    got = trim_extreme(df, "v", ["id"], 0.01, "high", max_heap_rows=50)
+    keep = df.orderBy(F.col("v").asc_nulls_first(), "id").limit(3000 - 30)
+    assert rows(got) == rows(keep)
