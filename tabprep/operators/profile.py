@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
@@ -252,10 +252,11 @@ def distinct_count_per_column(df: DataFrame, cols: Iterable[str], approx: bool =
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """Count and round(%, 2) per class, most frequent first.
 
-    The window for the total runs over the aggregated classes only.
+    The total is a scalar subquery over the aggregated classes (one value),
+    so there is neither an unpartitioned window nor a join.
     """
     counts = df.groupBy(F.col(label)).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy(F.lit(1)))
+    total = counts.select(F.sum("count")).scalar()
     return (counts.withColumn("pct", F.round(F.col("count") * 100.0 / total, 2))
                   .orderBy(F.desc("count"), label))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from tabprep.plans import sqlfrag as S
-from tabprep.sources.fixtures import OBS_LAYOUT, obs, obs_with_duplicates
+from tabprep.sources.fixtures import OBS_LAYOUT, obs
 from tabprep.operators.normalize import normalize_observations
 from tabprep.operators.split import in_train
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabprep.operators import impute as I
 from tabprep.operators import profile as PR
 from tabprep.operators import stats as ST
-from tabprep.operators.circular import fill_direction, normalize_vectors, direction_to_vector
+from tabprep.operators.circular import fill_direction
 from tabprep.operators.outliers import (drop_sentinel_codes, drop_zero_vectors, removal_report, trim_extreme)
 from tabprep.operators.windows import neighbour_values
 from tests.conftest import rows
