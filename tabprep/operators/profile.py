@@ -263,27 +263,36 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 
 # --- score and summary --------------------------------------------------------
 
-def _weighted_issue_counts(df: DataFrame, tokens, ranges, date_col, date_fmt) -> DataFrame:
-    """All row-level issue counts from ONE grouping over all columns.
-
-    Completeness, bad dates and range breaks are functions of a row's values,
-    so they are evaluated once per distinct row and weighted by its copies.
+def _weighted_issue_counts(df: DataFrame, tokens, ranges, date_col, date_fmt, hashed: bool = False) -> DataFrame:
+    """All row-level issue counts plus the unique-row count, as one row.
+
+    Default: ONE grouping over all columns; completeness, bad dates and range
+    breaks are functions of a row's values, so they are evaluated once per
+    distinct row and weighted by its copies. ``hashed=True`` (very wide rows):
+    the issue counts are a plain aggregate and unique rows come from the
+    hash-first plan of ``duplicate_count``.
     """
-    g = row_groups(df)
-    w = F.col("n_copies")
-    aggs = [F.sum(w).alias("n_rows"), F.count(F.lit(1)).alias("n_unique"),
-            F.sum(F.when(all_present(df.columns, tokens), w).otherwise(0)).alias("n_complete")]
-    if date_col:
-        aggs.append(F.sum(F.when(unparseable_date(df, date_col, date_fmt), w).otherwise(0)).alias("n_bad_dates"))
-    else:
-        aggs.append(F.lit(0).cast("long").alias("n_bad_dates"))
     rcols = present(df, ranges or {})
-    if rcols:
-        br = sum((F.when(out_of_range_cast(c, *ranges[c]), w).otherwise(0) for c in rcols), F.lit(0))
-        aggs.append(F.sum(br).alias("n_out_of_range"))
-    else:
-        aggs.append(F.lit(0).cast("long").alias("n_out_of_range"))
-    return g.agg(*aggs)
+
+    def issue_aggs(w):
+        a = [F.sum(F.when(all_present(df.columns, tokens), w).otherwise(0)).alias("n_complete")]
+        a.append(F.sum(F.when(unparseable_date(df, date_col, date_fmt), w).otherwise(0)).alias("n_bad_dates")
+                 if date_col else F.lit(0).cast("long").alias("n_bad_dates"))
+        if rcols:
+            br = sum((F.when(out_of_range_cast(c, *ranges[c]), w).otherwise(0) for c in rcols), F.lit(0))
+            a.append(F.sum(br).alias("n_out_of_range"))
+        else:
+            a.append(F.lit(0).cast("long").alias("n_out_of_range"))
+        return a
+    if not hashed:
+        w = F.col("n_copies")
+        return row_groups(df).agg(F.sum(w).alias("n_rows"), F.count(F.lit(1)).alias("n_unique"), *issue_aggs(w))
+    issues = df.agg(*issue_aggs(F.lit(1)))
+    uniq = _unique_by_hash(df, df.columns)
+    return (issues.withColumns({"n_rows": F.lit(None).cast("long"), "n_unique": F.lit(None).cast("long")})
+            .unionByName(uniq.withColumns({c: F.lit(None).cast("long")
+                                           for c in ("n_complete", "n_bad_dates", "n_out_of_range")}))
+            .agg(*[F.max(c).alias(c) for c in ("n_rows", "n_unique", "n_complete", "n_bad_dates", "n_out_of_range")]))
 
 
 def out_of_range_cast(col: str, lo: float, hi: float) -> Column:
@@ -291,9 +300,9 @@ def out_of_range_cast(col: str, lo: float, hi: float) -> Column:
     return c.isNotNull() & ((c < F.lit(lo)) | (c > F.lit(hi)))
 
 
-def quality_score(df: DataFrame, tokens: Iterable[str] = PROFILE_TOKENS) -> DataFrame:
+def quality_score(df: DataFrame, tokens: Iterable[str] = PROFILE_TOKENS, hashed: bool = False) -> DataFrame:
     """pct_complete * (1 - duplicates / total), from one grouping."""
-    c = _weighted_issue_counts(df, tokens, None, None, None)
+    c = _weighted_issue_counts(df, tokens, None, None, None, hashed)
     return c.select(_score(c).alias("quality_score"))
 
 
@@ -304,10 +313,10 @@ def _score(c) -> Column:
 
 def quality_summary(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | None = None,
                     date_col: str | None = None, date_fmt: str = DATE_FORMAT,
-                    tokens: Iterable[str] = PROFILE_TOKENS) -> DataFrame:
+                    tokens: Iterable[str] = PROFILE_TOKENS, hashed: bool = False) -> DataFrame:
     """(issue, value) rows: score, incomplete rows, duplicates, and bad dates /
     out-of-range values when non-zero. One shuffle in total."""
-    c = _weighted_issue_counts(df, tokens, ranges, date_col, date_fmt)
+    c = _weighted_issue_counts(df, tokens, ranges, date_col, date_fmt, hashed)
     n = F.col("n_rows")
     rows = F.array(
         F.struct(F.lit("quality_score").alias("issue"), _score(c).alias("value")),

@@ -121,3 +121,13 @@ def test_hashed_duplicates_match(spark):
     d = obs_with_duplicates(spark, SF001)
     d = d.unionByName(d.limit(0)).withColumn("num_b", F.when(F.col("row_id") % 3 == 0, None).otherwise(F.col("num_b")))
     assert duplicate_count(d).first() == duplicate_count(d, hashed=True).first()
+
+
+def test_hashed_quality_summary_matches(spark):
+    from tabprep.operators.profile import quality_summary
+    from tabprep.plans.q_profile import RANGES
+    from tabprep.sources.fixtures import obs_with_duplicates
+    d = obs_with_duplicates(spark, SF001)
+    a = rows(quality_summary(d, RANGES, "date_txt"))
+    b = rows(quality_summary(d, RANGES, "date_txt", hashed=True))
+    assert a == b and len(a) == 5
