@@ -163,8 +163,9 @@ def removal_report(df: DataFrame, dir_cols: Iterable[str], sentinel_cols: Iterab
                    trim_col: str | None, key: list[str], fraction: float = 0.001, side: str = "high",
                    null_is_ok: bool = False, accuracy: int = 10000) -> DataFrame:
     """Rows removed by each stage (zero vectors, sentinel codes, extreme
-    values), the total removed and the rows kept, each with its share of the
-    input rows. Every row is tagged with the first stage that removes it."""
+    values), the invalid ones (the first two), the total removed and the rows
+    kept, each with its share of the input rows. Every row is tagged with the
+    first stage that removes it."""
     dcols = [c for c in dir_cols if f"{c}_ux" in df.columns]
     z = zero_vector(dcols)
     s = sentinel(present(df, sentinel_cols), code)
@@ -184,7 +185,8 @@ def removal_report(df: DataFrame, dir_cols: Iterable[str], sentinel_cols: Iterab
                      F.count_if(st == "zero_vector").alias("zero_vector"),
                      F.count_if(st == "sentinel").alias("sentinel"),
                      F.count_if(st == "extreme").alias("extreme"))
-    rows = [("zero_vector", F.col("zero_vector")), ("sentinel", F.col("sentinel")), ("extreme", F.col("extreme")),
+    rows = [("zero_vector", F.col("zero_vector")), ("sentinel", F.col("sentinel")),
+            ("invalid", F.col("zero_vector") + F.col("sentinel")), ("extreme", F.col("extreme")),
             ("removed", F.col("zero_vector") + F.col("sentinel") + F.col("extreme")),
             ("kept", F.col("n") - F.col("zero_vector") - F.col("sentinel") - F.col("extreme"))]
     arr = F.array(*[F.struct(F.lit(a).alias("stage"), v.cast("long").alias("n_rows")) for a, v in rows])

@@ -369,6 +369,7 @@ def q_clean_pipeline(spark, sf):
 @query("removal_report", _nt(
     "select stage, n_rows, " + R6("n_rows * 100.0 / n") + " as pct_of_input from ("
     "select 'zero_vector' as stage, z as n_rows, n from agg union all select 'sentinel', s, n from agg union all "
+    "select 'invalid', z + s, n from agg union all "
     "select 'extreme', e, n from agg union all select 'removed', z + s + e, n from agg union all "
     "select 'kept', n - z - s - e, n from agg)",
     *_impute_ctes(), _SURV,
