@@ -11,11 +11,13 @@ The result equals the plain window exactly.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (BooleanType, ByteType, DateType, DecimalType, DoubleType, FloatType, IntegerType,
+                               LongType, ShortType, StringType, TimestampNTZType, TimestampType)
 
 PREV, NEXT = "_prev", "_next"
 
@@ -25,6 +27,26 @@ def month_bucket(time_col: str) -> Column:
     return F.trunc(F.col(time_col).cast("date"), "month")
 
 
+def _non_null_key(df: DataFrame, col: str) -> tuple[Column, Column]:
+    """(value with NULL replaced by a default of its type, is-NULL flag): a
+    non-NULL pair that groups exactly like the column (NULLs together)."""
+    t = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(t, StringType):
+        d = F.lit("")
+    elif isinstance(t, (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, DecimalType)):
+        d = F.lit(0).cast(t)
+    elif isinstance(t, DateType):
+        d = F.lit(dt.date(1970, 1, 1))
+    elif isinstance(t, (TimestampType, TimestampNTZType)):
+        d = F.lit(dt.datetime(1970, 1, 1)).cast(t)
+    elif isinstance(t, BooleanType):
+        d = F.lit(False)
+    else:  # nested bucket columns: their JSON text groups the same way
+        return F.coalesce(F.to_json(F.struct(c)), F.lit("")), c.isNull()
+    return F.coalesce(c, d), c.isNull()
+
+
 def neighbour_values(df: DataFrame, entity: str, order: list[str], cols: Iterable[str],
                      bucket: Column | str | None = "month", prev_suffix: str = PREV,
                      next_suffix: str = NEXT) -> DataFrame:
@@ -54,7 +76,15 @@ def neighbour_values(df: DataFrame, entity: str, order: list[str], cols: Iterabl
         bexpr = bucket
     b = "__nb_bucket"
     d = df.withColumn(b, bexpr)
-    wb = Window.partitionBy(entity, b).orderBy(*order)
+    # Non-NULL key columns (value-or-default, is-NULL) stand for (entity,
+    # bucket): a NULL entity or bucket stays a partition of its own, and the
+    # edge join below is a plain equi-join on the very columns the window is
+    # partitioned by, so the big side is not shuffled again.
+    ev, en = _non_null_key(d, entity)
+    bv, bn = _non_null_key(d, b)
+    d = d.withColumns({"__k_e": ev, "__k_en": en, "__k_b": bv, "__k_bn": bn})
+    keys = ["__k_e", "__k_en", "__k_b", "__k_bn"]
+    wb = Window.partitionBy(*keys).orderBy(*order)
     d = d.withColumns({
         **{c + prev_suffix: F.lag(c, 1).over(wb) for c in cols},
         **{c + next_suffix: F.lead(c, 1).over(wb) for c in cols},
@@ -64,19 +94,16 @@ def neighbour_values(df: DataFrame, entity: str, order: list[str], cols: Iterabl
     # The first and last row of every bucket (at most two rows per bucket,
     # taken from the same window pass): in time order, a first row's
     # predecessor is the previous bucket's last row and a last row's successor
-    # the next bucket's first row. One row per bucket is joined back on
-    # (entity, bucket), which the big side is already partitioned on.
+    # the next bucket's first row. One row per bucket is joined back.
     vals = F.struct(*[F.col(c) for c in cols])
-    we = Window.partitionBy(entity).orderBy(*order)
+    we = Window.partitionBy("__k_e", "__k_en").orderBy(*order)
     ends = (d.filter(F.col("__nb_first") | F.col("__nb_last"))
-             .select(entity, b, *[o for o in order if o != entity], "__nb_first", "__nb_last",
+             .select(*keys, *order, "__nb_first", "__nb_last",
                      F.lag(vals, 1).over(we).alias("__p"), F.lead(vals, 1).over(we).alias("__n")))
-    edges = ends.groupBy(F.col(entity).alias("__e_entity"), F.col(b).alias("__e_bucket")).agg(
+    edges = ends.groupBy(*keys).agg(
         F.first(F.when(F.col("__nb_first"), F.col("__p")), ignorenulls=True).alias("__before"),
         F.first(F.when(F.col("__nb_last"), F.col("__n")), ignorenulls=True).alias("__after"))
-    # null-safe keys: a NULL entity or bucket is a window partition like any other
-    on = F.col(entity).eqNullSafe(F.col("__e_entity")) & F.col(b).eqNullSafe(F.col("__e_bucket"))
-    d = d.join(edges, on, "left")
+    d = d.join(edges, keys, "left")
     fix = {}
     for c in cols:
         fix[c + prev_suffix] = F.when(F.col("__nb_first"), F.col("__before")[c]).otherwise(F.col(c + prev_suffix))

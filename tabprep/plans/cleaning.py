@@ -1,5 +1,6 @@
 """The cleaning plan: fit statistics on a reference frame, apply them to any
-frame with ONE broadcast month join, ONE window and ONE (entity, month) join.
+frame with ONE window and ONE (entity, month) join, plus two broadcast probes of
+the 13-row month table (before and after the window).
 
 Order of the stages (same as the surveyed script): month mean/median ->
 row-neighbour average -> (entity, month) mean/median -> compass vectors
@@ -86,16 +87,21 @@ class CleaningModel:
 
     # ---------------------------------------------------------------- apply
     def impute(self, df: DataFrame, bucket="month") -> DataFrame:
-        """All fills, no row removed: 1 broadcast join, 1 window, 1 join."""
+        """All fills, no row removed: the 13-row month table probed twice
+        (broadcast, before and after the window), 1 window, 1 (entity, month)
+        join."""
         lay, c = self.spec.layout, self.columns
         means, medians, dirs = c["means"], c["medians"], c["dirs"]
         num = means + medians
         base_cols = df.columns
 
-        # 1. month mean / median (broadcast: the month table is bounded)
-        d = lookup_left_month(df, self.month_stats, lay.month)
+        # 1. month mean / median (broadcast: the month table is bounded). Only
+        #    the columns used here are joined, so nothing extra rides the
+        #    window's shuffle; the rest is probed again after the window.
+        pre = [f"{x}_mon_mean" for x in means] + [f"{x}_mon_median" for x in medians]
+        d = lookup_left_month(df, self.month_stats.select(lay.month, *pre), lay.month)
         d = d.withColumns({**{x: F.coalesce(F.col(x), F.col(f"{x}_mon_mean")) for x in means},
-                           **{x: F.coalesce(F.col(x), F.col(f"{x}_mon_median")) for x in medians}})
+                           **{x: F.coalesce(F.col(x), F.col(f"{x}_mon_median")) for x in medians}}).drop(*pre)
         # 2. compass -> unit vectors
         d = direction_to_vector(d, dirs)
         vec = [f"{x}_{a}" for x in dirs for a in ("ux", "uy")]
@@ -105,8 +111,13 @@ class CleaningModel:
         for x in dirs:
             fills.update(neighbour_vector_fill(x))
         d = d.withColumns(fills).drop(*[x + s for x in num + vec for s in (PREV, NEXT)])
-        # 4. one (entity, month) join for every remaining fill
+        # 4. one (entity, month) join for every remaining fill, and the second
+        #    probe of the month table (compass means, cascade fallbacks)
         d = lookup_left_entity_month(d, self.entity_month_stats, lay.entity, lay.month)
+        post = [f"{x}__mon_{a}" for x in dirs for a in ("ux", "uy")]
+        post += [f"{x}_mon_mode" for x in c["mcasc"]] + [f"{x}_mon_median" for x in c["dcasc"]]
+        if post:
+            d = lookup_left_month(d, self.month_stats.select(lay.month, *post), lay.month)
         outs = {**{x: F.coalesce(F.col(x), F.col(f"{x}_locmon_mean")) for x in means},
                 **{x: F.coalesce(F.col(x), F.col(f"{x}_locmon_median")) for x in medians}}
         for x in dirs:

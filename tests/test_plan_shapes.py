@@ -47,9 +47,21 @@ def test_trim_orders_only_candidates(spark):
 
 def test_bucketed_window_partitions_by_entity_and_bucket(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet")
-    nb = neighbour_values(o, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"])
-    p = plan(nb)
-    assert re.search(r"Window \[.*\], \[o_custkey#\d+L, __nb_bucket#\d+\]", p)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the sort-merge plan of large data
+    try:
+        nb = neighbour_values(o, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"])
+        p = plan(nb)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert re.search(r"Window \[.*\], \[__k_e#\d+L, __k_en#\d+, __k_b#\d+, __k_bn#\d+\]", p)
+    # the edge join reuses the window's partitioning: the big side is shuffled
+    # once (for the window), never again for the join
+    lines = p.splitlines()
+    assert sum("SortMergeJoin" in ln for ln in lines) == 1
+    four = [ln for ln in lines if re.search(r"Exchange hashpartitioning\(__k_e#\d+L, __k_en#\d+, __k_b#\d+, __k_bn#\d+", ln)]
+    assert len(four) == 3  # big window, narrow edge window, the small edge table
+    assert not any("Exchange" in ln and "coalesce(" in ln for ln in lines)
 
 
 def test_domain_violations_without_join(spark):
