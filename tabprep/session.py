@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -27,8 +27,10 @@ def get_spark(master: str | None = None, app: str = "tabprep", shuffle_partition
     own settings win; locally it defaults to ``local[*]``.
     """
     b = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        b = b.master(master or "local[*]")
+    if master:
+        b = b.master(master)
+    elif not SparkConf().contains("spark.master"):  # spark-submit / cluster config wins
+        b = b.master("local[*]")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
