@@ -14,7 +14,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.functions.missing import nullify_tokens
 from tabprep.operators.joins import lookup_join, lookup_left_entity_month, lookup_left_month
 from tabprep.operators.normalize import present
 from tabprep.operators.stats import grouped_stats, mode_by_group, modes_by_group, modes_by_sets
@@ -172,5 +171,5 @@ __all__ = [
     "apply_entity_month", "apply_month", "fill_entity_month", "fill_mode_entity_month", "fill_month",
     "fill_month_mean", "fill_month_median", "fill_neighbour_mean", "fill_neighbours_then_entity_month",
     "fill_token_median_cascade", "fill_token_mode_cascade", "fit_entity_month", "fit_month",
-    "join_inner_month_mode", "neighbour_mean_fill", "nullify_tokens",
+    "join_inner_month_mode", "neighbour_mean_fill",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabprep.functions.compass import direction_to_radians, normalize_xy
-from tabprep.functions.missing import is_missing, nullify_tokens
+from tabprep.functions.missing import is_missing
 from tabprep.operators import normalize as N
 from tabprep.operators import predicates as P
 from tabprep.operators import profile as PR
@@ -409,8 +409,6 @@ def q_normalize_vector(spark, sf):
     return rounded(o.select("row_id", x.alias("v_ux"), y.alias("v_uy")))
 
 
-__all__ = ["nullify_tokens"]
-
 
 # ---------------------------------------------------------------- the full profile
 
