@@ -113,6 +113,29 @@ def modes_by_sets(df: DataFrame, sets: list[list[str]], targets: Iterable[str],
     return out
 
 
+def modes_two_levels(df: DataFrame, entity: str, month: str, targets: Iterable[str],
+                     flag: str = "__g") -> DataFrame:
+    """Modes per (entity, month) and per month in one frame: rows with
+    ``flag`` = 0 are (entity, month) groups, ``flag`` = 1 month groups (entity
+    NULL). One grouping-sets pass of value counts, one aggregate for both
+    levels, no join."""
+    targets = present(df, targets)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    num = {t for t in targets if isinstance(types[t], NumericType)}
+    pairs = F.array(*[F.struct(F.lit(t).alias("__col"),
+                               (F.col(t).cast("double") if t in num else F.lit(None).cast("double")).alias("__d"),
+                               (F.lit(None).cast("string") if t in num else F.col(t).cast("string")).alias("__s"))
+                      for t in targets])
+    long = df.select(entity, month, F.inline(pairs)).filter(F.col("__d").isNotNull() | F.col("__s").isNotNull())
+    vcols = ["__col", "__d", "__s"]
+    counts = long.groupingSets([[entity, month] + vcols, [month] + vcols], entity, month, *vcols).agg(
+        F.count(F.lit(1)).alias("count"), F.grouping(entity).alias(flag))
+    best = F.struct((-F.col("count")).alias("n"), F.col("__d").alias("d"), F.col("__s").alias("s"))
+    return counts.groupBy(entity, month, flag).agg(
+        *[F.min(F.when(F.col("__col") == t, best))["d" if t in num else "s"].cast(types[t]).alias(t)
+          for t in targets])
+
+
 def join_counts_to_max(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     """Group counts joined with their per-group maximum (equi-join on keys).
 

@@ -23,7 +23,7 @@ from tabprep.operators.impute import neighbour_mean_fill
 from tabprep.operators.joins import lookup_left_entity_month, lookup_left_month
 from tabprep.operators.normalize import normalize_observations, present
 from tabprep.operators.outliers import drop_sentinel_codes, drop_zero_vectors, removal_report, trim_extreme
-from tabprep.operators.stats import modes_by_sets
+from tabprep.operators.stats import modes_two_levels
 from tabprep.operators.windows import NEXT, PREV, neighbour_values
 from tabprep.rules import CleaningSpec
 from tabprep.session import materialize
@@ -67,21 +67,25 @@ class CleaningModel:
             aggs += [F.avg(F.cos(r)).alias(f"{c}__cx"), F.avg(F.sin(r)).alias(f"{c}__cy")]
         gs = reference.groupingSets([keys, [lay.month]], *keys).agg(
             F.grouping(lay.entity).alias("__g"), *aggs)
+        # ONE pass of value counts gives both levels of modes; they are merged
+        # with the statistics by a union and one small aggregate (no join).
+        mtargets = _uniq(modes + mcasc)
+        if mtargets:
+            mo = modes_two_levels(reference, lay.entity, lay.month, mtargets, "__g")
+            mo = mo.withColumnsRenamed({t: f"{t}__mode" for t in mtargets})
+            vals = [c for c in gs.columns if c not in (*keys, "__g")] + [f"{t}__mode" for t in mtargets]
+            gs = (gs.unionByName(mo, allowMissingColumns=True).groupBy(*keys, "__g")
+                    .agg(*[F.max(c).alias(c) for c in vals]))
         mon = gs.filter(F.col("__g") == 1).select(
             lay.month, *[F.col(f"{c}__mean").alias(f"{c}_mon_mean") for c in means],
             *[F.col(f"{c}__median").alias(f"{c}_mon_median") for c in meds],
-            *[F.col(f"{c}__c{a}").alias(f"{c}__mon_u{a}") for c in dirs for a in ("x", "y")])
+            *[F.col(f"{c}__c{a}").alias(f"{c}__mon_u{a}") for c in dirs for a in ("x", "y")],
+            *[F.col(f"{c}__mode").alias(f"{c}_mon_mode") for c in mcasc])
         mon = normalize_vectors(mon, [f"{c}__mon" for c in dirs], spec.eps) if dirs else mon
         em = gs.filter(F.col("__g") == 0).select(
             *keys, *[F.col(f"{c}__mean").alias(f"{c}_locmon_mean") for c in means],
-            *[F.col(f"{c}__median").alias(f"{c}_locmon_median") for c in meds])
-        # ONE pass of value counts gives both levels of modes.
-        em_modes, mon_modes = (modes_by_sets(reference, [keys, [lay.month]], _uniq(modes + mcasc),
-                                             ["_locmon_mode", "_mon_mode"]) if (modes or mcasc) else (None, None))
-        if mcasc:
-            mon = mon.join(mon_modes.select(lay.month, *[f"{c}_mon_mode" for c in mcasc]), [lay.month], "full")
-        if modes or mcasc:
-            em = em.join(em_modes, keys, "full")
+            *[F.col(f"{c}__median").alias(f"{c}_locmon_median") for c in meds],
+            *[F.col(f"{c}__mode").alias(f"{c}_locmon_mode") for c in mtargets])
         cols = dict(means=means, medians=medians, dirs=dirs, modes=modes, mcasc=mcasc, dcasc=dcasc)
         return cls(spec, mon, em, cols)
 
