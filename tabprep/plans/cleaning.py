@@ -46,7 +46,7 @@ class CleaningModel:
 
     # ---------------------------------------------------------------- fit
     @classmethod
-    def fit(cls, reference: DataFrame, spec: CleaningSpec) -> "CleaningModel":
+    def fit(cls, reference: DataFrame, spec: CleaningSpec, materialize_stats: bool = True) -> "CleaningModel":
         lay = spec.layout
         means = present(reference, spec.mean_filled)
         medians = present(reference, spec.median_filled)
@@ -76,6 +76,12 @@ class CleaningModel:
             vals = [c for c in gs.columns if c not in (*keys, "__g")] + [f"{t}__mode" for t in mtargets]
             gs = (gs.unionByName(mo, allowMissingColumns=True).groupBy(*keys, "__g")
                     .agg(*[F.max(c).alias(c) for c in vals]))
+        if materialize_stats:
+            # a fitted model holds its statistics: written once (they are
+            # small), so applying the model to train and test reads them
+            # instead of re-aggregating the reference, and the planner sees
+            # their real size when it picks the join strategy
+            gs = materialize(gs, "cleaning-stats")
         mon = gs.filter(F.col("__g") == 1).select(
             lay.month, *[F.col(f"{c}__mean").alias(f"{c}_mon_mean") for c in means],
             *[F.col(f"{c}__median").alias(f"{c}_mon_median") for c in meds],
