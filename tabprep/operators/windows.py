@@ -91,18 +91,19 @@ def neighbour_values(df: DataFrame, entity: str, order: list[str], cols: Iterabl
         "__nb_first": F.row_number().over(wb) == 1,
         "__nb_last": F.lead(F.lit(1), 1).over(wb).isNull(),
     })
-    # The first and last row of every bucket (at most two rows per bucket,
-    # taken from the same window pass): in time order, a first row's
-    # predecessor is the previous bucket's last row and a last row's successor
-    # the next bucket's first row. One row per bucket is joined back.
+    # One row per bucket with the values of its first and last rows, from a
+    # partial aggregate (map-side: each task emits one row per bucket it saw,
+    # so no row-level shuffle), then, in bucket order, the previous bucket's
+    # last row and the next bucket's first row; joined back on the very key
+    # columns the window is partitioned by.
     vals = F.struct(*[F.col(c) for c in cols])
-    we = Window.partitionBy("__k_e", "__k_en").orderBy(*order)
-    ends = (d.filter(F.col("__nb_first") | F.col("__nb_last"))
-             .select(*keys, *order, "__nb_first", "__nb_last",
-                     F.lag(vals, 1).over(we).alias("__p"), F.lead(vals, 1).over(we).alias("__n")))
-    edges = ends.groupBy(*keys).agg(
-        F.first(F.when(F.col("__nb_first"), F.col("__p")), ignorenulls=True).alias("__before"),
-        F.first(F.when(F.col("__nb_last"), F.col("__n")), ignorenulls=True).alias("__after"))
+    okey = F.struct(*[F.col(o) for o in order])
+    heads = (df.withColumn(b, bexpr).withColumns({"__k_e": ev, "__k_en": en, "__k_b": bv, "__k_bn": bn})
+               .groupBy(*keys).agg(F.min_by(vals, okey).alias("__head"), F.max_by(vals, okey).alias("__tail"),
+                                   F.min(okey).alias("__okey")))
+    we = Window.partitionBy("__k_e", "__k_en").orderBy("__okey")
+    edges = heads.select(*keys, F.lag("__tail", 1).over(we).alias("__before"),
+                         F.lead("__head", 1).over(we).alias("__after"))
     d = d.join(edges, keys, "left")
     fix = {}
     for c in cols:
