@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, records, rules_forest, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,21 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 @query("op2_bpe")
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules_forest.judge(docs, rules_forest.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_warc")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.read_warc(spark, folder, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_records")
+def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.read_records(spark, records.write_records(table(spark, sf_dir, "documents"), vocabulary()))
