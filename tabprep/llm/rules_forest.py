@@ -3,8 +3,8 @@
 A document's rule statistics are exact counts over its whole text.  The forest
 isolates documents by random splits on ratios of them; a short mean path marks an
 anomaly.  It is grown on the good ones of a bounded sample of labelled rows (the
-``sample_rows`` rows with the smallest hash of their id), and the threshold is the
-score that at most ``max_good_loss`` of the good rows of that sample exceed.
+``sample_rows`` rows with the smallest hash of their id), and the threshold is
+calibrated on all labelled rows of that sample, losing at most ``max_good_loss`` of the good ones.
 
 Defined cases: a NULL or empty text has no words and fails the word rule; a
 repeated row gets a row each; without labelled good rows the forest gives no
@@ -26,7 +26,8 @@ from .common import arrow_schema, batches_of
 SAMPLE_ROWS = 6000
 TREES = 120
 TREE_ROWS = 256
-MAX_GOOD_LOSS = 0.003
+MAX_GOOD_LOSS = 0.008
+GOOD_WEIGHT = 20
 #: Standard deviations of the labelled sample by which cuts may lie outside a node's rows.
 MARGIN = 0.5
 MIN_WORDS = 50
@@ -144,6 +145,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows of two numbers
 
 
+def calibrate(good: np.ndarray, bad: np.ndarray, max_good_loss: float) -> float:
+    """The highest score to keep: of those that lose at most ``max_good_loss`` of the good rows, the one with the
+    least GOOD_WEIGHT * (share of good rows lost) + (share of bad rows kept)."""
+    limits = np.unique(good[good >= np.quantile(good, 1 - max_good_loss)])
+    lost = np.array([(good > t).mean() for t in limits])
+    kept = np.array([(bad <= t).mean() if len(bad) else 0.0 for t in limits])
+    return float(limits[np.argmin(GOOD_WEIGHT * lost + kept)])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_good_loss: float = MAX_GOOD_LOSS):
     """(forest, threshold), or None without labelled good rows."""
     sample = labelled_sample(docs, labels, sample_rows)
@@ -167,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     if len(good) < 8:
         return None
     forest = IsolationForest(good, MARGIN * x.std(0) + 1e-9)
-    return forest, float(np.quantile(forest.score(good), 1 - max_good_loss))
+    bad = x[(got["quality"] == 0).to_numpy()]
+    return forest, calibrate(forest.score(good), forest.score(bad), max_good_loss)
 
 
 def judge(docs: DataFrame, model) -> DataFrame:
