@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, pii, records, rules_forest, warc
+from . import bpe, decontam, html_extract, pii, records, rules_forest, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_records")
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, records.write_records(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
