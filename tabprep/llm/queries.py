@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf_quality, decontam, html_extract, pii, records, rules_forest, warc
+from . import bpe, crf_quality, decontam, html_extract, ngram_join, pii, records, rules_forest, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = crf_quality.score(docs, crf_quality.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", crf_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
