@@ -19,6 +19,7 @@ import heapq
 import json
 from array import array
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,3 +210,29 @@ def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
         yield from batches_of(rows(), arrow_schema(ddl))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+
+
+def encode_documents(docs: DataFrame, vocab_path: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, decoded) of every document; decoded tells whether the ids give the text back."""
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(vocab_path))
+
+    def run(batches):
+        import pyarrow as pa
+
+        bpe = worker_bpe(spec.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                texts = [t.as_py() or "" for t in part.column(3)]
+                ids = [bpe.encode(t) for t in texts]
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(i.tobytes() for i in ids), np.int32)
+                same = [bpe.decode(i) == t for i, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(np.diff(offsets), pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(same, pa.bool_())],
+                    names=["doc_id", "lang", "source", "n_tokens", "ids", "decoded"])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
+                         F.col("source").cast("string").alias("source"), "text")
+    return chosen.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, decoded boolean")

@@ -30,11 +30,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import clean_edges, read_spec
+from .bpe import byte_alphabet, clean_edges, read_spec
 from .common import arrow_schema, batches_of, filesystem, scratch_path, worker_state
 
 CACHE_UNITS = 500_000
 CACHE_CHARS = 64
+PUNCTUATION = ".,;:!?%$&*#|"
 SHARD_BYTES = 64 << 20
 READ_BYTES = 8 << 20
 
@@ -81,11 +82,46 @@ class UnitEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "H" if width == 2 else "I"
+        self.alphabet = byte_alphabet()
         self.units: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def cut(self, unit: str) -> list[str]:
+        """A unit (with its space) cut where the pattern always cuts: around a line break between other
+        characters, and between a Latin letter and the punctuation that ends a line."""
+        lines = unit.split("\n")
+        if len(lines) > 1 and not all(map(clean_edges, (lines[0][1:], *lines[1:]))):
+            return [unit]
+        out = []
+        for i, line in enumerate(lines):
+            body = line.rstrip(PUNCTUATION)
+            out += ["\n"] if i else []
+            out += [body, line[len(body):]] if len(body) < len(line) and body[-1:].isalpha() and body[-1] < "\u0250" else [line]
+        return out
+
+    def learn(self, parts: list[str]) -> None:
+        """Remembers the packed ids of units."""
+        pieces, cuts = self.pieces, [self.cut(" " + p) for p in parts]
+        new = [x for x in dict.fromkeys(x for c in cuts for x in c) if x not in pieces]
+        if len(pieces) + len(new) > CACHE_UNITS:
+            pieces.clear()
+            new = list(dict.fromkeys(x for c in cuts for x in c))
+        plain = {x for x in new if (x[1:] if x[0] == " " else x).isalpha() and max(x) < "\u0250"}
+        tokenize, to_text = self.tokenizer.model.tokenize, self.alphabet.__getitem__
+        for x in plain:  # letters alone are one pre-token, which goes to the library's model
+            pieces[x] = array(self.kind, [t.id for t in tokenize("".join(map(to_text, x.encode())))]).tobytes()
+        mixed = [x for x in new if x not in plain]
+        if mixed:
+            found = self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False)
+            pieces.update((x, array(self.kind, e.ids).tobytes()) for x, e in zip(mixed, found))
+        self.units.update((p, b"".join([pieces[x] for x in c])) for p, c in zip(parts, cuts))
+        for x in new:
+            if len(x) > CACHE_CHARS:
+                del pieces[x]
+
     def encode(self, text: str) -> bytes:
         """Packed ids of the whole text."""
         parts = text.split(" ")
@@ -99,8 +135,7 @@ class UnitEncoder:
             if len(known) + len(new) > CACHE_UNITS:
                 known.clear()
                 new = list(dict.fromkeys(parts[1:]))
-            found = self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-            known.update((p, array(self.kind, e.ids).tobytes()) for p, e in zip(new, found))
+            self.learn(new)
         out = b"".join([self.whole(parts[0]), *[known[p] for p in parts[1:]]])
         for p in new:
             if len(p) > CACHE_CHARS:

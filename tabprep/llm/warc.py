@@ -5,7 +5,8 @@ equal payloads (SHA-1) of at least ``min_bytes`` bytes form a group; those with
 largest page id are ``response`` records, the others ``revisit`` records that refer
 to that id and carry the payload's digest and length but no payload.  The groups
 come from an aggregate over digests that combines on the map side, so a payload
-that a third of the pages share costs one row for each task.
+that a third of the pages share costs one row for each task.  Only digests of two
+or more pages are joined back, by broadcast after a count or else by a shuffle.
 
 Reading: every archive is cut into byte ranges.  A task scans its range for the
 gzip magic, decodes the start of each candidate and accepts it if a WARC header
@@ -29,7 +30,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, filesystem, scratch_path
+from .common import arrow_schema, batches_of, filesystem, scratch_path, small
 
 MAGIC = b"\x1f\x8b\x08"
 ARCHIVE_BYTES = 256 << 20
@@ -103,7 +104,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0,
     keyed = rows.withColumn("sha", F.unhex(F.sha1("payload")))
     groups = (keyed.filter(F.length("payload") >= min_bytes).groupBy("sha")
               .agg(F.max("page_id").alias("kept_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    joined = keyed.join(groups, "sha", "left").drop("sha")
+    joined = keyed.join(small(groups), "sha", "left").drop("sha")
 
     def run(batches):
         fs, base = filesystem(folder)
