@@ -31,7 +31,7 @@ def is_missing(c: str | Column, tokens: Iterable[str] = PROFILE_TOKENS, trim_tok
 def nullify_tokens(c: str | Column, tokens: Iterable[str] = CLEAN_TOKENS) -> Column:
     """Token values become NULL; everything else is kept as is."""
     v = _col(c)
-    return F.when(v.isin(*list(tokens)), F.lit(None).cast("string")).otherwise(v)
+    return F.when(v.cast("string").isin(*list(tokens)), F.lit(None)).otherwise(v)
 
 
 def all_present(cols: Iterable[str], tokens: Iterable[str] = PROFILE_TOKENS) -> Column:

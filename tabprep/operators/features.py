@@ -6,11 +6,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import QuantileDiscretizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tabprep.operators.normalize import present
 from tabprep.rules import BIN_MAX_BUCKETS, BIN_MIN_BUCKETS, BIN_RELATIVE_ERROR, PAIR_AVERAGES, PAIR_AVERAGES_FLOOR
@@ -53,8 +53,34 @@ def adaptive_bucket_count(df: DataFrame, cols: Iterable[str], lo: int = BIN_MIN_
 
 
 def bucket_counts(df: DataFrame, cols: Iterable[str], lo: int = BIN_MIN_BUCKETS, hi: int = BIN_MAX_BUCKETS) -> dict:
-    """Bucket count per column as a dict (one aggregate; one row per column)."""
-    return {r["column_name"]: int(r["n_buckets"]) for r in adaptive_bucket_count(df, cols, lo, hi).collect()}
+    """Bucket count per column as a dict, equal to ``adaptive_bucket_count``.
+
+    The count is clamped at ``hi``, so ``hi + 2`` distinct values of a column decide it: each
+    task passes on no more than that, instead of shuffling every value of continuous columns.
+    """
+    cols = present(df, cols)
+    enough = hi + 2
+    text = [F.coalesce((F.col(c) + F.lit(0) if isinstance(df.schema[c].dataType, NumericType) else F.col(c))
+                       .cast("string"), F.lit("\x00null")).alias(f"c{i}") for i, c in enumerate(cols)]
+
+    def distinct(batches):
+        import pyarrow as pa
+
+        seen = [set() for _ in cols]
+        for b in batches:
+            for own, column in zip(seen, b.columns):
+                if len(own) < enough:
+                    own.update(column.unique().to_pylist())
+        rows = [(i, v) for i, own in enumerate(seen) for v in sorted(own)[:enough]]
+        if rows:
+            i, v = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(v, pa.string())], names=["i", "v"])
+
+    counts = {}
+    if cols:
+        found = df.select(*text).mapInArrow(distinct, "i int, v string").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+        counts = {r["i"]: r["n"] for r in found.collect()}  # a row for each column
+    return {c: min(hi, max(lo, counts.get(i, 0) - 1)) for i, c in enumerate(cols)}
 
 
 def quantile_discretizer(cols: list[str], buckets: dict, relative_error: float = BIN_RELATIVE_ERROR,
@@ -90,12 +116,36 @@ def assemble_features(df: DataFrame, cols: Iterable[str], out: str = "features_c
     return assembler(present(df, cols), out).transform(df)
 
 
+def moments(train: DataFrame, cols: Iterable[str]) -> dict:
+    """Mean and sample standard deviation of the present (not NULL, not NaN) values of each column."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    known = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols]
+    one = train.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(known)],
+                    *[F.stddev_samp(x).alias(f"s{i}") for i, x in enumerate(known)]).first()
+    return {c: (one[f"m{i}"], one[f"s{i}"]) for i, c in enumerate(cols)}
+
+
+def scaled(col: str, mean: float | None, sd: float | None):
+    """(x - mean) / sd; 0 for a constant column, NULL where x is."""
+    x = F.col(col).cast("double")
+    if mean is None:
+        return F.lit(None).cast("double")
+    return (x - F.lit(mean)) * F.lit(1.0 / sd) if sd else F.when(x.isNotNull(), F.lit(0.0))
+
+
+def scale_vector(df: DataFrame, stats: dict, out: str) -> DataFrame:
+    """The scaled columns of ``stats`` as one vector; a missing value is NaN in its own place only."""
+    names = {c: f"__z{i}" for i, c in enumerate(stats)}
+    wide = df.withColumns({names[c]: scaled(c, *ms) for c, ms in stats.items()})
+    return assembler(list(names.values()), out).transform(wide).drop(*names.values())
+
+
 def standardize_features(train: DataFrame, df: DataFrame, cols: Iterable[str],
                          out: str = "features_cont_scaled") -> DataFrame:
-    """(x - mean) / sample stddev, both fitted on ``train``."""
-    cols = present(train, cols)
-    p = Pipeline(stages=[assembler(cols, "__raw"), scaler("__raw", out)]).fit(train)
-    return p.transform(df).drop("__raw")
+    """(x - mean) / sample stddev, both over the present values of ``train``."""
+    return scale_vector(df, moments(train, present(train, cols)), out)
 
 
 def index_label(train: DataFrame, df: DataFrame, label: str, out: str = "label") -> DataFrame:

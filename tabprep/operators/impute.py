@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.operators.joins import lookup_join, lookup_left_entity_month, lookup_left_month
+from tabprep.operators.joins import lookup_left_entity_month, lookup_left_month, month_table
 from tabprep.operators.normalize import present
 from tabprep.operators.stats import grouped_stats, mode_by_group, modes_by_group, modes_by_sets
 from tabprep.operators.windows import NEXT, PREV, neighbour_values
@@ -31,7 +31,7 @@ def _coalesce_from(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
 def fit_month(reference: DataFrame, month: str, means: Iterable[str] = (), medians: Iterable[str] = (),
               accuracy: int = 10000) -> DataFrame:
     """Month means / approximate medians of the reference (<= 13 rows)."""
-    return grouped_stats(reference, [month], means, medians, accuracy, "_mon_mean", "_mon_median")
+    return month_table(grouped_stats(reference, [month], means, medians, accuracy, "_mon_mean", "_mon_median"))
 
 
 def apply_month(df: DataFrame, stats: DataFrame, month: str, means: Iterable[str] = (),
@@ -45,6 +45,8 @@ def fill_month(df: DataFrame, reference: DataFrame, month: str, means: Iterable[
                medians: Iterable[str] = (), accuracy: int = 10000) -> DataFrame:
     """NULL -> the reference's month mean (``means``) or median (``medians``)."""
     means, medians = present(df, means), present(df, medians)
+    if not means and not medians:
+        return df
     return apply_month(df, fit_month(reference, month, means, medians, accuracy), month, means, medians)
 
 
@@ -59,13 +61,12 @@ def fill_month_median(df, reference, month, cols, accuracy: int = 10000):
 # --- neighbours ------------------------------------------------------------------
 
 def neighbour_mean_fill(c: str):
-    """NULL with both row neighbours present -> their average (= their median)."""
-    p, n = F.col(c + PREV), F.col(c + NEXT)
-    return F.when(F.col(c).isNull() & p.isNotNull() & n.isNotNull(), (p + n) / 2.0).otherwise(F.col(c))
+    """NULL -> the average (= the median) of the two row neighbours, NULL if one of them is."""
+    return F.coalesce(F.col(c), (F.col(c + PREV) + F.col(c + NEXT)) / 2)
 
 
 def fill_neighbour_mean(df: DataFrame, entity: str, order: list[str], cols: Iterable[str],
-                        bucket="month") -> DataFrame:
+                        bucket="range") -> DataFrame:
     cols = present(df, cols)
     nb = neighbour_values(df, entity, order, cols, bucket)
     return nb.withColumns({c: neighbour_mean_fill(c) for c in cols}) \
@@ -90,13 +91,15 @@ def fill_entity_month(df: DataFrame, reference: DataFrame, entity: str, month: s
                       means: Iterable[str] = (), medians: Iterable[str] = (), accuracy: int = 10000) -> DataFrame:
     """Remaining NULL -> (entity, month) mean / median of the reference."""
     means, medians = present(df, means), present(df, medians)
+    if not means and not medians:
+        return df
     st = fit_entity_month(reference, entity, month, means, medians, accuracy)
     return apply_entity_month(df, st, entity, month, means, medians)
 
 
 def fill_neighbours_then_entity_month(df: DataFrame, reference: DataFrame, entity: str, order: list[str],
                                       month: str, means: Iterable[str] = (), medians: Iterable[str] = (),
-                                      accuracy: int = 10000, bucket="month") -> DataFrame:
+                                      accuracy: int = 10000, bucket="range") -> DataFrame:
     """Neighbour average, then (entity, month) mean / median: one window, one join."""
     means, medians = present(df, means), present(df, medians)
     out = fill_neighbour_mean(df, entity, order, means + medians, bucket)
@@ -109,6 +112,8 @@ def fill_mode_entity_month(df: DataFrame, reference: DataFrame, entity: str, mon
                            cols: Iterable[str]) -> DataFrame:
     """NULL category -> the reference's (entity, month) mode (ties: smallest)."""
     cols = present(df, cols)
+    if not cols:
+        return df
     st = modes_by_group(reference, [entity, month], cols, "_locmon_mode")
     return _coalesce_from(lookup_left_entity_month(df, st, entity, month), {c: f"{c}_locmon_mode" for c in cols})
 
@@ -127,10 +132,12 @@ def fill_token_mode_cascade(df: DataFrame, reference: DataFrame, entity: str, mo
     smallest value; one value per group, so the frame's rows never multiply.
     """
     cols, toks = present(df, cols), list(tokens)
+    if not cols:
+        return df
     clean = lambda d: d.withColumns({c: _missing_to_null(c, toks) for c in cols})
     # both levels of modes from one pass of value counts (grouping sets)
     lm, mm = modes_by_sets(clean(reference), [[entity, month], [month]], cols, ["_locmon_mode", "_mon_mode"])
-    out = lookup_left_month(lookup_left_entity_month(clean(df), lm, entity, month), mm, month)
+    out = lookup_left_month(lookup_left_entity_month(clean(df), lm, entity, month), month_table(mm), month)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_locmon_mode"), F.col(f"{c}_mon_mode"))
                             for c in cols}) \
               .drop(*[f"{c}_{s}" for c in cols for s in ("locmon_mode", "mon_mode")])
@@ -148,13 +155,15 @@ def fill_token_median_cascade(df: DataFrame, reference: DataFrame, entity: str,
     """Missing -> (entity, month) median, else month median (values parsed to
     double; tokens and blanks are missing)."""
     cols, toks = present(df, cols), list(tokens)
+    if not cols:
+        return df
     parse = lambda d: d.withColumns({c: parse_tokens_to_double(c, toks) for c in cols})
     # both levels of medians from one grouping-sets aggregate
     gs = parse(reference).groupingSets([[entity, month], [month]], entity, month).agg(
         F.grouping(entity).alias("__g"), *[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in cols])
     lm = gs.filter(F.col("__g") == 0).select(entity, month, *[F.col(c).alias(f"{c}_locmon_median") for c in cols])
     mm = gs.filter(F.col("__g") == 1).select(month, *[F.col(c).alias(f"{c}_mon_median") for c in cols])
-    out = lookup_left_month(lookup_left_entity_month(parse(df), lm, entity, month), mm, month)
+    out = lookup_left_month(lookup_left_entity_month(parse(df), lm, entity, month), month_table(mm), month)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_locmon_median"), F.col(f"{c}_mon_median"))
                             for c in cols}) \
               .drop(*[f"{c}_{s}" for c in cols for s in ("locmon_median", "mon_median")])
@@ -164,7 +173,7 @@ def join_inner_month_mode(df: DataFrame, reference: DataFrame, month: str, col:
                           alias: str = "month_mode") -> DataFrame:
     """Inner join with the month mode of ``col``: months without a mode drop out."""
     mode = mode_by_group(reference, [month], col, alias)
-    return lookup_join(df, mode, [month], "inner", bounded_rows=13)
+    return df.join(month_table(mode), month)
 
 
 __all__ = [

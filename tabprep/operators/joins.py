@@ -5,37 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side whose key domain is bounded by construction (e.g. Month, at
-# most 12 values plus NULL) is broadcast; anything data-sized is left to AQE,
-# which measures the shuffled side at runtime and only then picks a broadcast
-# (below spark.sql.adaptive.autoBroadcastJoinThreshold) or a sort-merge join.
-MAX_BOUNDED_BROADCAST_ROWS = 100_000
+from tabprep.session import materialize
 
+#: 12 months and NULL.
+MONTH_ROWS = 13
 
-def lookup_join(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left",
-                bounded_rows: int | None = None) -> DataFrame:
-    """Equi-join ``stats`` on ``keys``.
 
-    ``bounded_rows``: a proven upper bound of the rows of ``stats`` (from its
-    key domain, not from data); only then is it broadcast explicitly.
-    """
-    if bounded_rows is not None and bounded_rows <= MAX_BOUNDED_BROADCAST_ROWS:
-        stats = F.broadcast(stats)
-    return df.join(stats, keys, how)
-
-
-MONTH_ROWS = 13  # 12 months + NULL
+def month_table(stats: DataFrame) -> DataFrame:
+    """A table of month statistics, written once and hinted for broadcast if it does have
+    at most MONTH_ROWS rows; a larger one (the column is no calendar month) is left to AQE."""
+    stats = materialize(stats, "month-stats")
+    return F.broadcast(stats) if stats.limit(MONTH_ROWS + 1).count() <= MONTH_ROWS else stats
 
 
 def lookup_left_month(df: DataFrame, stats: DataFrame, month: str = "Month") -> DataFrame:
-    return lookup_join(df, stats, [month], "left", bounded_rows=MONTH_ROWS)
+    return df.join(stats, month, "left")
 
 
 def lookup_left_entity_month(df: DataFrame, stats: DataFrame, entity: str = "Location",
                              month: str = "Month") -> DataFrame:
-    return lookup_join(df, stats, [entity, month], "left")
-
-
-def join_inner_month(df: DataFrame, stats: DataFrame, month: str = "Month") -> DataFrame:
-    """Inner join: rows of months without a statistic are dropped."""
-    return lookup_join(df, stats, [month], "inner", bounded_rows=MONTH_ROWS)
+    """No hint: AQE measures the statistics at run time."""
+    return df.join(stats, [entity, month], "left")

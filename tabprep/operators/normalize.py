@@ -110,4 +110,3 @@ def drop_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.drop(*present(df, cols))
 
 
-DEFAULT_DATE_FORMAT = DATE_FORMAT

@@ -6,18 +6,16 @@ from __future__ import annotations
 from collections.abc import Iterable
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.functions.missing import any_true
 from tabprep.operators.normalize import present
-from tabprep.session import checkpoint_dir
+from tabprep.session import checkpoint_dir, materialize
 
-# Removed sets up to this many rows are taken with a bounded top-k (each task
-# keeps at most this many rows) and broadcast to the anti join; larger ones
-# are ranked with a range partitioning instead (no single-task step).
-MAX_HEAP_ROWS = 1_000_000
+# Rows of one range partition when candidates are ranked: sets the parallelism, nothing else.
 ROWS_PER_RANGE = 1_000_000
+ROW_NUMBER = "__row_number"
 
 
 def zero_vector(cols: Iterable[str]) -> Column:
@@ -49,32 +47,46 @@ def _floor_fraction(n: int, fraction: float) -> int:
     return int((Fraction(n) * Fraction(fraction).limit_denominator(10**9)) // 1)
 
 
-def _order(col: str, key: list[str], side: str) -> list[Column]:
+def _order(cols: list[str], side: str) -> list[Column]:
     """Order whose first k rows are the removed ones."""
-    if side == "high":
-        return [F.col(col).desc_nulls_last()] + [F.col(k).desc() for k in key]
-    return [F.col(col).asc_nulls_first()] + [F.col(k).asc() for k in key]
+    return [F.col(c).desc_nulls_last() if side == "high" else F.col(c).asc_nulls_first() for c in cols]
 
 
-def _ranked_first(cand: DataFrame, order: list[Column], k: int, n_cand: int) -> DataFrame:
-    """First ``k`` rows of ``cand`` in ``order`` without a single-task sort.
+def _row_at(cand: DataFrame, cols: list[str], side: str, k: int):
+    """The ``k``-th row (from 1) of ``cand`` in the order, without a single-task sort.
 
     Range-partition by the order, sort inside partitions, cut lineage with a
     checkpoint in the shared folder (partition ids and positions become
-    stable), then rank = rows in earlier partitions + position in partition.
+    stable); the rows of earlier partitions tell which partition holds it.
     """
     checkpoint_dir(cand.sparkSession)
-    parts = max(1, -(-n_cand // ROWS_PER_RANGE))
+    order = _order(cols, side)
+    parts = max(1, -(-cand.count() // ROWS_PER_RANGE))
     ranged = cand.repartitionByRange(parts, *order).sortWithinPartitions(*order).checkpoint(eager=True)
     pid = F.spark_partition_id()
     pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
     local = ranged.withColumns({"__pid": pid, "__pos": pos})
-    sizes = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offs = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(
-        Window.partitionBy(F.lit(1)).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # one row per range partition: a proven bound, so broadcast
-    ranked = local.join(F.broadcast(offs.select("__pid", "__off")), "__pid")
-    return ranked.filter(F.col("__off") + F.col("__pos") < k).drop("__pid", "__pos", "__off")
+    before = 0
+    for r in local.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).orderBy("__pid").collect():  # a row a partition
+        if before + r["n"] >= k:
+            return local.filter((F.col("__pid") == r["__pid"]) & (F.col("__pos") == k - before - 1)).first()
+        before += r["n"]
+    raise ValueError(f"fewer than {k} rows")
+
+
+def _not_after(row, cols: list[str], side: str) -> Column:
+    """True for rows that do not come after ``row`` in the order."""
+    out = F.lit(True)
+    for c in reversed(cols):
+        v = row[c]
+        x = F.col(c)
+        if side == "high":  # NULL comes last
+            ahead = x.isNotNull() if v is None else F.coalesce(x > F.lit(v), F.lit(False))
+        else:  # NULL comes first
+            ahead = F.lit(False) if v is None else F.coalesce(x < F.lit(v), F.lit(True))
+        same = x.isNull() if v is None else x.eqNullSafe(F.lit(v))
+        out = ahead | (same & out)
+    return out
 
 
 def _plan_cut(df: DataFrame, col: str, fraction: float, side: str, accuracy: int):
@@ -122,41 +134,34 @@ def trim_candidates(df: DataFrame, col: str, fraction: float = 0.001, side: str
     return df, k
 
 
-def extreme_rows(df: DataFrame, col: str, key: list[str], fraction: float = 0.001, side: str = "high",
-                 accuracy: int = 10000, max_heap_rows: int = MAX_HEAP_ROWS) -> tuple[DataFrame, int]:
-    """The rows a keep-(N - floor(N*fraction)) sort would cut, and their count.
+def numbered(df: DataFrame, name: str = "numbered", written: list | None = None) -> DataFrame:
+    """``df`` written once with a row number, which makes any order total."""
+    return materialize(df.withColumn(ROW_NUMBER, F.monotonically_increasing_id()), name, written)
+
+
+def extreme_predicate(df: DataFrame, col: str, key: list[str], fraction: float = 0.001, side: str = "high",
+                      accuracy: int = 10000) -> Column:
+    """True for the floor(N * fraction) rows of a ``numbered`` frame that a keep-the-rest sort would cut.
 
     ``side="high"``: ascending sort with NULLs first, so the highest values go
     (ties: larger key first). ``side="low"``: descending sort with NULLs last,
-    so NULLs go first, then the lowest values (ties: smaller key first).
-    Only the ~2k candidate rows are ordered (each task keeps at most k of
-    them), never the whole frame.
+    so NULLs go first, then the lowest values (ties: smaller key first). The
+    row number ends every tie, so ``key`` need not identify rows. Only the
+    candidates beyond the planned cut are ordered, by the columns of the order
+    alone, and the rows are told by comparison with the last one removed.
     """
     cand, k = trim_candidates(df, col, fraction, side, accuracy)
     if k == 0:
-        return cand, 0
-    order = _order(col, key, side)
-    # Ties at the cut can make the candidates far more than ~2k rows; the
-    # bounded top-k (whose last step gathers every task's top rows in one
-    # task) is used only when the candidate count itself is within the bound.
-    n_cand = cand.count()
-    if n_cand <= max_heap_rows:
-        return cand.orderBy(*order).limit(k), k
-    return _ranked_first(cand, order, k, n_cand), k
+        return F.lit(False)
+    cols = list(dict.fromkeys([col, *key, ROW_NUMBER]))
+    return _not_after(_row_at(cand.select(*cols), cols, side, k), cols, side)
 
 
 def trim_extreme(df: DataFrame, col: str, key: list[str], fraction: float = 0.001, side: str = "high",
-                 accuracy: int = 10000, max_heap_rows: int = MAX_HEAP_ROWS) -> DataFrame:
-    """Keep N - floor(N * fraction) rows, cutting the extreme ``side`` of ``col``.
-
-    ``key`` must identify rows (it breaks ties and drives the anti join).
-    """
-    removed, k = extreme_rows(df, col, key, fraction, side, accuracy, max_heap_rows)
-    if k == 0:
-        return df
-    r = removed.select(*key)
-    r = F.broadcast(r) if k <= max_heap_rows else r
-    return df.join(r, key, "left_anti").select(*df.columns)
+                 accuracy: int = 10000) -> DataFrame:
+    """Keep N - floor(N * fraction) rows, cutting the extreme ``side`` of ``col``; ``key`` orders rows of one value."""
+    rows = numbered(df, "trim-input")
+    return rows.filter(~extreme_predicate(rows, col, key, fraction, side, accuracy)).select(*df.columns)
 
 
 def removal_report(df: DataFrame, dir_cols: Iterable[str], sentinel_cols: Iterable[str], code: int,
@@ -170,25 +175,21 @@ def removal_report(df: DataFrame, dir_cols: Iterable[str], sentinel_cols: Iterab
     z = zero_vector(dcols)
     s = sentinel(present(df, sentinel_cols), code)
     keep_s = ~F.coalesce(s, F.lit(False)) if null_is_ok else F.coalesce(~s, F.lit(False))
-    tagged = df.withColumn("__stage", F.when(~F.coalesce(~z, F.lit(False)), F.lit("zero_vector"))
-                                       .when(~keep_s, F.lit("sentinel")))
-    survivors = tagged.filter(F.col("__stage").isNull()).drop("__stage")
+    rows = numbered(df, "report-input")
+    tagged = rows.withColumn("__stage", F.when(~F.coalesce(~z, F.lit(False)), F.lit("zero_vector"))
+                                         .when(~keep_s, F.lit("sentinel")))
     if trim_col:
-        removed, k = extreme_rows(survivors, trim_col, key, fraction, side, accuracy)
-        if k:
-            mark = removed.select(*key).withColumn("__trim", F.lit(True))
-            mark = F.broadcast(mark) if k <= MAX_HEAP_ROWS else mark
-            tagged = tagged.join(mark, key, "left").withColumn(
-                "__stage", F.coalesce("__stage", F.when(F.col("__trim"), F.lit("extreme"))))
+        beyond = extreme_predicate(tagged.filter(F.col("__stage").isNull()), trim_col, key, fraction, side, accuracy)
+        tagged = tagged.withColumn("__stage", F.coalesce("__stage", F.when(beyond, F.lit("extreme"))))
     st = F.col("__stage")
     one = tagged.agg(F.count(F.lit(1)).alias("n"),
                      F.count_if(st == "zero_vector").alias("zero_vector"),
                      F.count_if(st == "sentinel").alias("sentinel"),
                      F.count_if(st == "extreme").alias("extreme"))
-    rows = [("zero_vector", F.col("zero_vector")), ("sentinel", F.col("sentinel")),
+    stages = [("zero_vector", F.col("zero_vector")), ("sentinel", F.col("sentinel")),
             ("invalid", F.col("zero_vector") + F.col("sentinel")), ("extreme", F.col("extreme")),
             ("removed", F.col("zero_vector") + F.col("sentinel") + F.col("extreme")),
             ("kept", F.col("n") - F.col("zero_vector") - F.col("sentinel") - F.col("extreme"))]
-    arr = F.array(*[F.struct(F.lit(a).alias("stage"), v.cast("long").alias("n_rows")) for a, v in rows])
+    arr = F.array(*[F.struct(F.lit(a).alias("stage"), v.cast("long").alias("n_rows")) for a, v in stages])
     return one.select(F.inline(arr), "n").select(
-        "stage", "n_rows", (F.col("n_rows") * 100.0 / F.col("n")).alias("pct_of_input"))
+        "stage", "n_rows", F.try_divide(F.col("n_rows") * 100.0, F.col("n")).alias("pct_of_input"))

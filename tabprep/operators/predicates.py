@@ -15,7 +15,7 @@ from tabprep.rules import DATE_FORMAT, PROFILE_TOKENS
 def complete_rows(df: DataFrame, cols: Iterable[str] | None = None,
                   tokens: Iterable[str] = PROFILE_TOKENS) -> DataFrame:
     """Rows where none of the columns (default: all) is missing."""
-    return df.filter(all_present(cols or df.columns, tokens))
+    return df.filter(all_present(df.columns if cols is None else cols, tokens))
 
 
 def filter_invalid_domain(df: DataFrame, col: str, domain: Iterable[str]) -> DataFrame:
@@ -25,7 +25,8 @@ def filter_invalid_domain(df: DataFrame, col: str, domain: Iterable[str]) -> Dat
 
 
 def out_of_range(col: str, lo: float, hi: float):
-    c = F.col(col)
+    """Present as a number and outside [lo, hi]; text that is no number is not."""
+    c = F.col(col).try_cast("double")
     return c.isNotNull() & ((c < F.lit(lo)) | (c > F.lit(hi)))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from tabprep.functions.missing import all_present, is_missing
 from tabprep.operators.normalize import present
@@ -26,6 +26,16 @@ def _rows(pairs: list[tuple[str, Column]], name: str = "column_name", value: str
     return F.inline(F.array(*[F.struct(F.lit(n).alias(name), v.alias(value)) for n, v in pairs]))
 
 
+def _share(part, whole) -> Column:
+    """Percent, NULL of nothing."""
+    return F.try_divide(part * F.lit(100.0), whole)
+
+
+def _empty(df: DataFrame, ddl: str) -> DataFrame:
+    """The result for no columns."""
+    return df.sparkSession.createDataFrame([], ddl)
+
+
 def _unpivot_strings(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, value) rows of the listed columns, values as text."""
     return df.select(_rows([(c, F.col(c).cast("string")) for c in cols]))
@@ -35,13 +45,16 @@ def _unpivot_strings(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def missing_profile(df: DataFrame, cols: Iterable[str] | None = None,
                     tokens: Iterable[str] = PROFILE_TOKENS, trim_tokens: bool = False) -> DataFrame:
-    """Per column: missing count and % of all rows, in one aggregate."""
-    cols = list(cols or df.columns)
+    """Per column: missing count and % of all rows, most first, in one aggregate."""
+    cols = list(df.columns if cols is None else cols)
+    if not cols:
+        return _empty(df, "column_name string, n_missing long, pct_missing double")
     aggs = [F.sum(is_missing(c, tokens, trim_tokens).cast("long")).alias(f"m{i}") for i, c in enumerate(cols)]
     one = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
     return (one.select(_rows([(c, F.col(f"m{i}")) for i, c in enumerate(cols)], value="n_missing"), "n_rows")
                .select("column_name", F.coalesce("n_missing", F.lit(0)).alias("n_missing"),
-                       (F.coalesce("n_missing", F.lit(0)) * 100.0 / F.col("n_rows")).alias("pct_missing")))
+                       _share(F.coalesce("n_missing", F.lit(0)), F.col("n_rows")).alias("pct_missing"))
+               .orderBy(F.desc("n_missing"), "column_name"))
 
 
 def top_missing(df: DataFrame, n: int = 5, cols: Iterable[str] | None = None,
@@ -58,19 +71,22 @@ def residual_missing(df: DataFrame, cols: Iterable[str], tokens: Iterable[str] =
 def completeness(df: DataFrame, cols: Iterable[str] | None = None,
                  tokens: Iterable[str] = PROFILE_TOKENS) -> DataFrame:
     """Complete rows, incomplete rows and their percentages (one row)."""
-    ok = all_present(cols or df.columns, tokens)
+    ok = all_present(df.columns if cols is None else cols, tokens)
     one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_complete"))
     return one.select(
         "n_rows", "n_complete", (F.col("n_rows") - F.col("n_complete")).alias("n_incomplete"),
-        (F.col("n_complete") * 100.0 / F.col("n_rows")).alias("pct_complete"),
-        ((F.col("n_rows") - F.col("n_complete")) * 100.0 / F.col("n_rows")).alias("pct_incomplete"))
+        _share(F.col("n_complete"), F.col("n_rows")).alias("pct_complete"),
+        _share(F.col("n_rows") - F.col("n_complete"), F.col("n_rows")).alias("pct_incomplete"))
 
 
 # --- domains --------------------------------------------------------------
 
 def distinct_values(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Distinct non-NULL values of each column, as (column_name, value)."""
-    return _unpivot_strings(df, list(cols)).filter(F.col("value").isNotNull()).distinct()
+    cols = present(df, cols)
+    if not cols:
+        return _empty(df, "column_name string, value string")
+    return _unpivot_strings(df, cols).filter(F.col("value").isNotNull()).distinct()
 
 
 def _in_domain(domains: Mapping[str, Iterable[str]]) -> Column:
@@ -91,6 +107,8 @@ def domain_violation_values(df: DataFrame, domains: Mapping[str, Iterable[str]])
     counted (partial aggregation first)."""
     cols = present(df, domains)
     dom = {c: domains[c] for c in cols}
+    if not cols:
+        return _empty(df, "column_name string, value string, n_rows long")
     return (_unpivot_strings(df, cols).filter(F.col("value").isNotNull() & ~_in_domain(dom))
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n_rows")))
 
@@ -101,6 +119,8 @@ def domain_violations(df: DataFrame, domains: Mapping[str, Iterable[str]]) -> Da
     Columns without violations come from a literal zero row per column that
     joins the second grouping (a union, not a join)."""
     cols = present(df, domains)
+    if not cols:
+        return _empty(df, "column_name string, n_invalid_values long, n_rows_affected long, ok boolean")
     zeros = df.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("string").alias("value"),
                  F.lit(0).cast("long").alias("n_rows")) for c in cols])))
@@ -114,8 +134,10 @@ def domain_violations(df: DataFrame, domains: Mapping[str, Iterable[str]]) -> Da
 def range_violations(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Per rule: rows outside [lo, hi] (values cast with ``try_cast``), plus the total."""
     cols = present(df, ranges)
-    num = df.select(*[F.col(c).try_cast("double").alias(c) for c in cols])
-    one = num.agg(*[F.count_if(out_of_range(c, *ranges[c])).alias(f"r{i}") for i, c in enumerate(cols)])
+    if not cols:
+        return _empty(df, "column_name string, min_value double, max_value double, n_out_of_range long, "
+                          "total_out_of_range long")
+    one = df.agg(*[F.count_if(out_of_range(c, *ranges[c])).alias(f"r{i}") for i, c in enumerate(cols)])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(float(ranges[c][0])).alias("min_value"),
                               F.lit(float(ranges[c][1])).alias("max_value"), F.col(f"r{i}").alias("n_out_of_range"))
                      for i, c in enumerate(cols)])
@@ -145,21 +167,31 @@ def value_frequency(df: DataFrame, col: str) -> DataFrame:
 def boolean_shares(df: DataFrame, cols: Iterable[str] = (), include_boolean_types: bool = True) -> DataFrame:
     """Per column: non-NULL count and % true / false / other over non-NULL values.
 
-    Text is compared with the true/false spellings lower-case, never as numbers.
+    Text is compared with the true/false spellings lower-case, numbers with 1 and 0.
     """
     cols = present(df, cols)
     if include_boolean_types:
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, BooleanType) and f.name not in cols] + cols
+    if not cols:
+        return _empty(df, "column_name string, n_non_null long, pct_true double, pct_false double, pct_other double")
+    types = {f.name: f.dataType for f in df.schema.fields}
     low = F.lower(F.col("value"))
-    agg = (_unpivot_strings(df, cols).groupBy("column_name")
+    agg = (df.select(_rows([(c, _spelling(c, types[c])) for c in cols])).groupBy("column_name")
            .agg(F.count("value").alias("n_non_null"),
                 F.count_if(low.isin(*TRUE_SPELLINGS)).alias("n_true"),
                 F.count_if(low.isin(*FALSE_SPELLINGS)).alias("n_false")))
     n = F.col("n_non_null")
-    return agg.select("column_name", "n_non_null",
-                      (F.col("n_true") * 100.0 / n).alias("pct_true"),
-                      (F.col("n_false") * 100.0 / n).alias("pct_false"),
-                      ((n - F.col("n_true") - F.col("n_false")) * 100.0 / n).alias("pct_other"))
+    return agg.select("column_name", "n_non_null", _share(F.col("n_true"), n).alias("pct_true"),
+                      _share(F.col("n_false"), n).alias("pct_false"),
+                      _share(n - F.col("n_true") - F.col("n_false"), n).alias("pct_other"))
+
+
+def _spelling(c: str, kind) -> Column:
+    """The value as text; a number equal to 1 or 0 is spelled so whatever its type."""
+    x = F.col(c)
+    if isinstance(kind, NumericType):
+        return F.when(x == 1, "1").when(x == 0, "0").otherwise(x.cast("string"))
+    return x.cast("string")
 
 
 # --- duplicates -------------------------------------------------------------
@@ -170,7 +202,7 @@ def row_groups(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     A partial aggregate runs before the shuffle, so a value combination that
     holds a large share of the rows is collapsed map-side.
     """
-    cols = list(cols or df.columns)
+    cols = list(df.columns if cols is None else cols)
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_copies"))
 
 
@@ -183,27 +215,24 @@ def _unique_by_hash(df: DataFrame, cols: list[str]) -> DataFrame:
     per = df.select(h.alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
     shared = per.filter(F.col("__c") > 1).select("__h")
     cand = df.withColumn("__h", h).join(shared, "__h", "left_semi").drop("__h")
-    a = per.agg(F.sum("__c").alias("n_rows"), F.count_if(F.col("__c") == 1).alias("n_unique"))
+    a = per.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("n_rows"), F.count_if(F.col("__c") == 1).alias("n_unique"))
     b = row_groups(cand, cols).agg(F.lit(0).cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"))
     return a.unionByName(b).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_unique").alias("n_unique"))
 
 
-def duplicate_count(df: DataFrame, cols: Iterable[str] | None = None, hashed: bool = False) -> DataFrame:
-    """Total rows, unique rows, extra copies and their %, in one shuffle
-    (``hashed=True``: a hash-first plan for very wide rows, same result)."""
-    cols = list(cols or df.columns)
-    if hashed:
-        g = _unique_by_hash(df, cols)
-    else:
-        g = row_groups(df, cols).agg(F.sum("n_copies").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"))
-    return g.select("n_rows", "n_unique", (F.col("n_rows") - F.col("n_unique")).alias("n_duplicates"),
-                    ((F.col("n_rows") - F.col("n_unique")) * 100.0 / F.col("n_rows")).alias("pct_duplicates"))
+def duplicate_count(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
+    """Total rows, unique rows, extra copies and their %. Only row hashes are
+    shuffled, and whole rows only where a hash is shared."""
+    cols = list(df.columns if cols is None else cols)
+    extra = F.col("n_rows") - F.col("n_unique")
+    return _unique_by_hash(df, cols).select("n_rows", "n_unique", extra.alias("n_duplicates"),
+                                            _share(extra, F.col("n_rows")).alias("pct_duplicates"))
 
 
 def duplicate_groups(df: DataFrame, n: int = 5, cols: Iterable[str] | None = None,
                      order_cols: Iterable[str] | None = None) -> DataFrame:
     """Top ``n`` groups of identical rows with more than one copy."""
-    cols = list(cols or df.columns)
+    cols = list(df.columns if cols is None else cols)
     order = list(order_cols or cols)
     return (row_groups(df, cols).filter(F.col("n_copies") > 1)
             .orderBy(F.desc("n_copies"), *order).limit(n))
@@ -226,24 +255,29 @@ def _stat_aggs(cols: list[str]) -> list[Column]:
 
 def numeric_summary_wide(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """min, max, mean, sample stddev of every numeric column, in one row."""
-    return df.agg(*_stat_aggs(present(df, cols)))
+    aggs = _stat_aggs(present(df, cols))
+    return df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("__n")).select()
 
 
 def numeric_summary(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Same, one row per attribute (missing statistic -> NaN)."""
+    """Same, one row per attribute by name (missing statistic -> NaN)."""
     cols = present(df, cols)
+    if not cols:
+        return _empty(df, "attribute string, minimum double, maximum double, mean double, stddev double")
     nan = F.lit(NAN)
     rows = F.array(*[F.struct(F.lit(c).alias("attribute"),
                               *[F.coalesce(F.col(f"{c}_{s}"), nan).alias(s) for s in ("min", "max", "mean", "stddev")])
                      for c in cols])
     return (numeric_summary_wide(df, cols).select(F.inline(rows))
-            .withColumnsRenamed({"min": "minimum", "max": "maximum"}))
+            .withColumnsRenamed({"min": "minimum", "max": "maximum"}).orderBy("attribute"))
 
 
 def distinct_count_per_column(df: DataFrame, cols: Iterable[str], approx: bool = False,
                               rsd: float = 0.05) -> DataFrame:
     """Distinct non-NULL values per column (exact, or HyperLogLog++ with ``approx``)."""
     cols = present(df, cols)
+    if not cols:
+        return _empty(df, "column_name string, n_distinct long")
     f = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
     one = df.agg(*[f(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
     return one.select(_rows([(c, F.col(f"d{i}")) for i, c in enumerate(cols)], value="n_distinct"))
@@ -263,60 +297,37 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 
 # --- score and summary --------------------------------------------------------
 
-def _weighted_issue_counts(df: DataFrame, tokens, ranges, date_col, date_fmt, hashed: bool = False) -> DataFrame:
-    """All row-level issue counts plus the unique-row count, as one row.
-
-    Default: ONE grouping over all columns; completeness, bad dates and range
-    breaks are functions of a row's values, so they are evaluated once per
-    distinct row and weighted by its copies. ``hashed=True`` (very wide rows):
-    the issue counts are a plain aggregate and unique rows come from the
-    hash-first plan of ``duplicate_count``.
-    """
-    rcols = present(df, ranges or {})
-
-    def issue_aggs(w):
-        a = [F.sum(F.when(all_present(df.columns, tokens), w).otherwise(0)).alias("n_complete")]
-        a.append(F.sum(F.when(unparseable_date(df, date_col, date_fmt), w).otherwise(0)).alias("n_bad_dates")
-                 if date_col else F.lit(0).cast("long").alias("n_bad_dates"))
-        if rcols:
-            br = sum((F.when(out_of_range_cast(c, *ranges[c]), w).otherwise(0) for c in rcols), F.lit(0))
-            a.append(F.sum(br).alias("n_out_of_range"))
-        else:
-            a.append(F.lit(0).cast("long").alias("n_out_of_range"))
-        return a
-    if not hashed:
-        w = F.col("n_copies")
-        return row_groups(df).agg(F.sum(w).alias("n_rows"), F.count(F.lit(1)).alias("n_unique"), *issue_aggs(w))
-    issues = df.agg(*issue_aggs(F.lit(1)))
+def _issue_counts(df: DataFrame, tokens, ranges, date_col, date_fmt) -> DataFrame:
+    """Row count, unique rows and the counts of row-level issues, as one row: a plain
+    aggregate for the issues and the hash-first plan of ``duplicate_count``."""
+    zero = F.lit(0).cast("long")
+    breaks = [out_of_range(c, *ranges[c]).cast("long") for c in present(df, ranges or {})]
+    issues = df.agg(
+        F.count_if(all_present(df.columns, tokens)).alias("n_complete"),
+        (F.count_if(unparseable_date(df, date_col, date_fmt)) if date_col else F.max(zero)).alias("n_bad_dates"),
+        F.coalesce(F.sum(sum(breaks[1:], breaks[0])) if breaks else F.max(zero), zero).alias("n_out_of_range"))
+    names = ("n_rows", "n_unique", "n_complete", "n_bad_dates", "n_out_of_range")
     uniq = _unique_by_hash(df, df.columns)
-    return (issues.withColumns({"n_rows": F.lit(None).cast("long"), "n_unique": F.lit(None).cast("long")})
-            .unionByName(uniq.withColumns({c: F.lit(None).cast("long")
-                                           for c in ("n_complete", "n_bad_dates", "n_out_of_range")}))
-            .agg(*[F.max(c).alias(c) for c in ("n_rows", "n_unique", "n_complete", "n_bad_dates", "n_out_of_range")]))
-
-
-def out_of_range_cast(col: str, lo: float, hi: float) -> Column:
-    c = F.col(col).try_cast("double")
-    return c.isNotNull() & ((c < F.lit(lo)) | (c > F.lit(hi)))
+    return issues.unionByName(uniq, allowMissingColumns=True).agg(*[F.coalesce(F.max(c), zero).alias(c) for c in names])
 
 
-def quality_score(df: DataFrame, tokens: Iterable[str] = PROFILE_TOKENS, hashed: bool = False) -> DataFrame:
-    """pct_complete * (1 - duplicates / total), from one grouping."""
-    c = _weighted_issue_counts(df, tokens, None, None, None, hashed)
+def quality_score(df: DataFrame, tokens: Iterable[str] = PROFILE_TOKENS) -> DataFrame:
+    """pct_complete * (1 - duplicates / total); NULL for an empty frame."""
+    c = _issue_counts(df, tokens, None, None, None)
     return c.select(_score(c).alias("quality_score"))
 
 
 def _score(c) -> Column:
     n = F.col("n_rows")
-    return (F.col("n_complete") * 100.0 / n) * (F.lit(1.0) - (n - F.col("n_unique")) / n)
+    return _share(F.col("n_complete"), n) * (F.lit(1.0) - F.try_divide(n - F.col("n_unique"), n))
 
 
 def quality_summary(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | None = None,
                     date_col: str | None = None, date_fmt: str = DATE_FORMAT,
-                    tokens: Iterable[str] = PROFILE_TOKENS, hashed: bool = False) -> DataFrame:
+                    tokens: Iterable[str] = PROFILE_TOKENS) -> DataFrame:
     """(issue, value) rows: score, incomplete rows, duplicates, and bad dates /
-    out-of-range values when non-zero. One shuffle in total."""
-    c = _weighted_issue_counts(df, tokens, ranges, date_col, date_fmt, hashed)
+    out-of-range values when non-zero."""
+    c = _issue_counts(df, tokens, ranges, date_col, date_fmt)
     n = F.col("n_rows")
     rows = F.array(
         F.struct(F.lit("quality_score").alias("issue"), _score(c).alias("value")),
@@ -339,7 +350,7 @@ def profile_report(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | No
 
     Three branches, whatever the number of columns: one wide aggregate (row
     count, missing values, completeness, ranges, dates, statistics, boolean
-    shares), one grouping over all columns (duplicates, score) and one
+    shares), one grouping of row hashes (duplicates, score) and one
     grouping over the unpivoted domain columns (violations).
     """
     ranges, domains = dict(ranges or {}), dict(domains or {})
@@ -351,7 +362,7 @@ def profile_report(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | No
     for i, c in enumerate(cols):
         aggs[f"miss{i}"] = F.count_if(is_missing(c, tokens))
     for i, c in enumerate(rc):
-        aggs[f"rng{i}"] = F.count_if(out_of_range_cast(c, *ranges[c]))
+        aggs[f"rng{i}"] = F.count_if(out_of_range(c, *ranges[c]))
     if date_col:
         aggs["bad_dates"] = F.count_if(unparseable_date(df, date_col, date_fmt))
         d = F.try_to_date(F.col(date_col), date_fmt) if isinstance(df.schema[date_col].dataType, StringType) \
@@ -362,7 +373,7 @@ def profile_report(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | No
         x = F.col(c).try_cast("double")
         aggs.update({f"min{i}": F.min(x), f"max{i}": F.max(x), f"mean{i}": F.avg(x), f"sd{i}": F.stddev_samp(x)})
     for i, c in enumerate(yn):
-        low = F.lower(F.col(c).cast("string"))
+        low = F.lower(_spelling(c, df.schema[c].dataType))
         aggs.update({f"yn{i}": F.count(c), f"yt{i}": F.count_if(low.isin(*TRUE_SPELLINGS)),
                      f"yf{i}": F.count_if(low.isin(*FALSE_SPELLINGS))})
     one = df.agg(*[v.alias(k) for k, v in aggs.items()])
@@ -372,9 +383,9 @@ def profile_report(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | No
                         F.lit(metric).alias("metric"), value.cast("double").alias("value"))
     n = F.col("n_rows")
     out = [row("rows", None, "n_rows", n), row("completeness", None, "n_complete", F.col("n_complete")),
-           row("completeness", None, "pct_complete", F.col("n_complete") * 100.0 / n)]
+           row("completeness", None, "pct_complete", _share(F.col("n_complete"), n))]
     out += [row("missing", c, "n_missing", F.col(f"miss{i}")) for i, c in enumerate(cols)]
-    out += [row("missing", c, "pct_missing", F.col(f"miss{i}") * 100.0 / n) for i, c in enumerate(cols)]
+    out += [row("missing", c, "pct_missing", _share(F.col(f"miss{i}"), n)) for i, c in enumerate(cols)]
     out += [row("range", c, "n_out_of_range", F.col(f"rng{i}")) for i, c in enumerate(rc)]
     if date_col:
         out += [row("dates", date_col, m, F.col(m)) for m in ("bad_dates", "first_date", "last_date")]
@@ -383,14 +394,14 @@ def profile_report(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | No
                 for m, k in (("minimum", "min"), ("maximum", "max"), ("mean", "mean"), ("stddev", "sd"))]
     for i, c in enumerate(yn):
         t, f_, nn = F.col(f"yt{i}"), F.col(f"yf{i}"), F.col(f"yn{i}")
-        out += [row("booleans", c, "n_non_null", nn), row("booleans", c, "pct_true", t * 100.0 / nn),
-                row("booleans", c, "pct_false", f_ * 100.0 / nn),
-                row("booleans", c, "pct_other", (nn - t - f_) * 100.0 / nn)]
+        out += [row("booleans", c, "n_non_null", nn), row("booleans", c, "pct_true", _share(t, nn)),
+                row("booleans", c, "pct_false", _share(f_, nn)),
+                row("booleans", c, "pct_other", _share(nn - t - f_, nn))]
     wide = one.select(F.inline(F.array(*out)))
 
-    dup = row_groups(df).agg(F.sum("n_copies").alias("n"), F.count(F.lit(1)).alias("u"))
-    dup = dup.select(F.inline(F.array(
-        row("duplicates", None, "n_unique", F.col("u")), row("duplicates", None, "n_duplicates", F.col("n") - F.col("u")))))
+    dup = _unique_by_hash(df, cols).select(F.inline(F.array(
+        row("duplicates", None, "n_unique", F.col("n_unique")),
+        row("duplicates", None, "n_duplicates", F.col("n_rows") - F.col("n_unique")))))
     parts = [wide, dup]
     if domains:
         dv = domain_violations(df, domains)

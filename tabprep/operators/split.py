@@ -7,38 +7,40 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.operators.predicates import filter_class
 from tabprep.operators.profile import class_distribution
 from tabprep.rules import SPLIT_FRACTIONS, SPLIT_SEED
 
 
-def stratified_split(df: DataFrame, label: str, classes: Iterable[str], fractions=SPLIT_FRACTIONS,
+def stratified_split(df: DataFrame, label: str, classes: Iterable[str] | None = None, fractions=SPLIT_FRACTIONS,
                      seed: int = SPLIT_SEED, trim: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``randomSplit`` inside each class with one seed, halves reunited by name.
+    """A seeded uniform draw for every row of the classes (default: all labelled rows).
 
-    No shuffle; the draw depends on the input partitioning (Spark samples each
-    partition after a local sort), so use the hashed split when the result
-    must not depend on how the data is laid out.
+    Every class keeps its share in expectation, without a shuffle, a sort or a
+    scan for each class. The draw depends on how the input is laid out, so use the
+    hashed split when the result must not.
     """
-    trains, tests = [], []
-    for cls in classes:
-        a, b = filter_class(df, label, cls, trim).randomSplit(list(fractions), seed)
-        trains.append(a)
-        tests.append(b)
-    train, test = trains[0], tests[0]
-    for a, b in zip(trains[1:], tests[1:]):
-        train, test = train.unionByName(a), test.unionByName(b)
-    return train, test
+    keep = F.col(label).isNotNull()
+    if classes is not None:
+        value = F.lower(F.trim(F.col(label)) if trim else F.col(label))
+        keep = value.isin(*[c.lower() for c in classes])
+    drawn = df.withColumn("__draw", F.rand(seed)).filter(keep)
+    share = F.lit(fractions[0] / sum(fractions))
+    return drawn.filter(F.col("__draw") < share).drop("__draw"), drawn.filter(F.col("__draw") >= share).drop("__draw")
+
+
+#: Buckets of the hashed split: fractions are honoured to one millionth.
+SPLIT_BUCKETS = 1_000_000
 
 
 def hash_bucket(id_col: str, seed: int = SPLIT_SEED) -> Column:
-    """0..99 from the first 32 bits of md5("<id>:<seed>") — partition-independent."""
-    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % 100
+    """0 .. SPLIT_BUCKETS - 1 from the first 32 bits of md5("<id>:<seed>"), whatever the layout; a NULL id
+    counts as the empty text."""
+    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % SPLIT_BUCKETS
 
 
 def in_train(id_col: str, fraction: float = SPLIT_FRACTIONS[0], seed: int = SPLIT_SEED) -> Column:
-    return hash_bucket(id_col, seed) < F.lit(int(round(fraction * 100)))
+    return hash_bucket(id_col, seed) < F.lit(int(round(fraction * SPLIT_BUCKETS)))
 
 
 def stratified_split_hashed(df: DataFrame, id_col: str, fraction: float = SPLIT_FRACTIONS[0],
@@ -53,6 +55,7 @@ def stratified_split_hashed(df: DataFrame, id_col: str, fraction: float = SPLIT_
 
 
 def split_report(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
-    """Class distribution of each half, with the half's name."""
-    return (class_distribution(train, label).withColumn("half", F.lit("train"))
-            .unionByName(class_distribution(test, label).withColumn("half", F.lit("test"))))
+    """Class distribution before the split (half ``all``) and of each half."""
+    halves = {"all": train.unionByName(test), "train": train, "test": test}
+    parts = [class_distribution(d, label).withColumn("half", F.lit(h)) for h, d in halves.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

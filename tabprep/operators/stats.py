@@ -13,7 +13,6 @@ from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from tabprep.functions.compass import direction_to_radians, normalize_xy
 from tabprep.functions.missing import nullify_tokens
@@ -63,77 +62,59 @@ def mode_by_group(df: DataFrame, keys: list[str], target: str, alias: str | None
             .select(*keys, F.col("__best.v").alias(alias or target)))
 
 
-def modes_by_group(df: DataFrame, keys: list[str], targets: Iterable[str], suffix: str = "_mode") -> DataFrame:
-    """Mode of several columns per group, in ONE pass over the frame.
+def _modes(df: DataFrame, sets: list[list[str]], targets: list[str], names: list[str]) -> DataFrame:
+    """Modes of the targets for every key set: the keys, ``__g_<key>`` (1 where a
+    set leaves the key out) and a column for each target.
 
-    The (column, value) pairs are unfolded into rows and counted together;
-    numeric values travel as double and others as text, so ties still go to
-    the smallest value in the column's own ordering.
+    The (column, value) pairs are unfolded into rows, every value in a field of
+    its own type, and counted in ONE grouping-sets pass; a second aggregate
+    takes the minimum of (-count, value), so ties go to the smallest value.
     """
-    targets = present(df, targets)
+    keys = list(dict.fromkeys(k for ks in sets for k in ks))
     types = {f.name: f.dataType for f in df.schema.fields}
-    num = {t for t in targets if isinstance(types[t], NumericType)}
-    pairs = F.array(*[F.struct(F.lit(t).alias("__col"),
-                               (F.col(t).cast("double") if t in num else F.lit(None).cast("double")).alias("__d"),
-                               (F.lit(None).cast("string") if t in num else F.col(t).cast("string")).alias("__s"))
-                      for t in targets])
-    long = df.select(*keys, F.inline(pairs)).filter(F.col("__d").isNotNull() | F.col("__s").isNotNull())
-    counts = long.groupBy(*keys, "__col", "__d", "__s").agg(F.count(F.lit(1)).alias("count"))
-    # one more aggregate: per group and column, the minimum of (-count, value)
-    best = F.struct((-F.col("count")).alias("n"), F.col("__d").alias("d"), F.col("__s").alias("s"))
-    wide = counts.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("__col") == t, best))["d" if t in num else "s"].alias(t + suffix) for t in targets])
-    return wide.select(*keys, *[F.col(t + suffix).cast(types[t]).alias(t + suffix) for t in targets])
+    fields = [f"__v{i}" for i in range(len(targets))]
+    pairs = F.array(*[F.struct(F.lit(i).alias("__col"), *[
+        (F.col(t) if j == i else F.lit(None).cast(types[targets[j]])).alias(f) for j, f in enumerate(fields)])
+        for i, t in enumerate(targets)])
+    long = df.select(*keys, F.inline(pairs)).filter(F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull())
+    flags = [f"__g_{k}" for k in keys]
+    counts = long.groupingSets([[*ks, "__col", *fields] for ks in sets], *keys, "__col", *fields).agg(
+        F.count(F.lit(1)).alias("count"), *[F.grouping(k).alias(f) for k, f in zip(keys, flags)])
+
+    def best(i):
+        struct = F.struct((-F.col("count")).alias("n"), F.col(fields[i]).alias("v"))
+        return F.min(F.when(F.col("__col") == i, struct))["v"].alias(names[i])
+    return counts.groupBy(*keys, *flags).agg(*[best(i) for i in range(len(targets))])
+
+
+def modes_by_group(df: DataFrame, keys: list[str], targets: Iterable[str], suffix: str = "_mode") -> DataFrame:
+    """Mode of several columns per group, in one pass over the frame."""
+    targets = present(df, targets)
+    if not targets:
+        return df.select(*keys).distinct()
+    names = [t + suffix for t in targets]
+    return _modes(df, [list(keys)], targets, names).select(*keys, *names)
 
 
 def modes_by_sets(df: DataFrame, sets: list[list[str]], targets: Iterable[str],
                   suffixes: list[str]) -> list[DataFrame]:
-    """``modes_by_group`` for several key sets (each a subset of the first) in
-    ONE pass: the value counts of all sets come from one GROUPING SETS
-    aggregate, so the frame is read once whatever the number of sets."""
+    """``modes_by_group`` for several key sets in one pass over the frame."""
     targets = present(df, targets)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    num = {t for t in targets if isinstance(types[t], NumericType)}
-    allk = list(dict.fromkeys(k for ks in sets for k in ks))
-    pairs = F.array(*[F.struct(F.lit(t).alias("__col"),
-                               (F.col(t).cast("double") if t in num else F.lit(None).cast("double")).alias("__d"),
-                               (F.lit(None).cast("string") if t in num else F.col(t).cast("string")).alias("__s"))
-                      for t in targets])
-    long = df.select(*allk, F.inline(pairs)).filter(F.col("__d").isNotNull() | F.col("__s").isNotNull())
-    vcols = ["__col", "__d", "__s"]
-    counts = long.groupingSets([list(ks) + vcols for ks in sets], *allk, *vcols).agg(
-        F.count(F.lit(1)).alias("count"), *[F.grouping(k).alias(f"__g_{k}") for k in allk])
-    best = F.struct((-F.col("count")).alias("n"), F.col("__d").alias("d"), F.col("__s").alias("s"))
-    out = []
-    for ks, suffix in zip(sets, suffixes):
-        mine = counts.filter(reduce(and_, [F.col(f"__g_{k}") == (0 if k in ks else 1) for k in allk]))
-        wide = mine.groupBy(*ks).agg(
-            *[F.min(F.when(F.col("__col") == t, best))["d" if t in num else "s"].alias(t + suffix) for t in targets])
-        out.append(wide.select(*ks, *[F.col(t + suffix).cast(types[t]).alias(t + suffix) for t in targets]))
-    return out
+    if not targets:
+        return [df.select(*ks).distinct() for ks in sets]
+    found = _modes(df, sets, targets, [f"{t}__mode" for t in targets])
+    keys = list(dict.fromkeys(k for ks in sets for k in ks))
+    return [found.filter(reduce(and_, [F.col(f"__g_{k}") == int(k not in ks) for k in keys])).select(
+        *ks, *[F.col(f"{t}__mode").alias(t + suffix) for t in targets]) for ks, suffix in zip(sets, suffixes)]
 
 
 def modes_two_levels(df: DataFrame, entity: str, month: str, targets: Iterable[str],
                      flag: str = "__g") -> DataFrame:
     """Modes per (entity, month) and per month in one frame: rows with
-    ``flag`` = 0 are (entity, month) groups, ``flag`` = 1 month groups (entity
-    NULL). One grouping-sets pass of value counts, one aggregate for both
-    levels, no join."""
+    ``flag`` = 0 are (entity, month) groups, ``flag`` = 1 month groups (entity NULL)."""
     targets = present(df, targets)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    num = {t for t in targets if isinstance(types[t], NumericType)}
-    pairs = F.array(*[F.struct(F.lit(t).alias("__col"),
-                               (F.col(t).cast("double") if t in num else F.lit(None).cast("double")).alias("__d"),
-                               (F.lit(None).cast("string") if t in num else F.col(t).cast("string")).alias("__s"))
-                      for t in targets])
-    long = df.select(entity, month, F.inline(pairs)).filter(F.col("__d").isNotNull() | F.col("__s").isNotNull())
-    vcols = ["__col", "__d", "__s"]
-    counts = long.groupingSets([[entity, month] + vcols, [month] + vcols], entity, month, *vcols).agg(
-        F.count(F.lit(1)).alias("count"), F.grouping(entity).alias(flag))
-    best = F.struct((-F.col("count")).alias("n"), F.col("__d").alias("d"), F.col("__s").alias("s"))
-    return counts.groupBy(entity, month, flag).agg(
-        *[F.min(F.when(F.col("__col") == t, best))["d" if t in num else "s"].cast(types[t]).alias(t)
-          for t in targets])
+    found = _modes(df, [[entity, month], [month]], targets, [f"__m_{t}" for t in targets])
+    return found.select(entity, month, F.col(f"__g_{entity}").alias(flag), *[F.col(f"__m_{t}").alias(t) for t in targets])
 
 
 def join_counts_to_max(df: DataFrame, keys: list[str], target: str) -> DataFrame:

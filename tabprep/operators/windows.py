@@ -1,12 +1,13 @@
 """Row neighbours (lag/lead by one) per entity in time order, skew-safe.
 
 A plain ``Window.partitionBy(entity)`` sends every row of an entity to one
-task, so an entity holding a third of the data becomes a third of the job in a
-single task. Here the window is partitioned by (entity, time bucket) instead;
-the rows at the edges of a bucket take their neighbour from the adjacent
-non-empty bucket through a small "edges" table (one row per bucket), joined
-back on (entity, bucket), which the big side is already partitioned on.
-The result equals the plain window exactly.
+task. Here the frame is range-partitioned by (entity, order, row number) and
+written once, so tasks have equal shares of the rows however they are spread
+over entities and times; the row number ends every tie of the order. The
+window runs over (range, entity), and the rows at the edges of a range take
+their neighbour from the adjacent one through a table with one row for each (range,
+entity), joined on the columns the window is partitioned by, so the frame is
+not shuffled again. The result equals the plain window over the same total order.
 """
 
 from __future__ import annotations
@@ -19,12 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, ByteType, DateType, DecimalType, DoubleType, FloatType, IntegerType,
                                LongType, ShortType, StringType, TimestampNTZType, TimestampType)
 
-PREV, NEXT = "_prev", "_next"
-
+from tabprep.session import materialize
 
-def month_bucket(time_col: str) -> Column:
-    """Calendar month of the time column (monotone in time)."""
-    return F.trunc(F.col(time_col).cast("date"), "month")
+PREV, NEXT = "_prev", "_next"
 
 
 def _non_null_key(df: DataFrame, col: str) -> tuple[Column, Column]:
@@ -42,72 +40,72 @@ def _non_null_key(df: DataFrame, col: str) -> tuple[Column, Column]:
         d = F.lit(dt.datetime(1970, 1, 1)).cast(t)
     elif isinstance(t, BooleanType):
         d = F.lit(False)
-    else:  # nested bucket columns: their JSON text groups the same way
+    else:  # nested columns: their JSON text groups the same way
         return F.coalesce(F.to_json(F.struct(c)), F.lit("")), c.isNull()
     return F.coalesce(c, d), c.isNull()
 
 
-def neighbour_values(df: DataFrame, entity: str, order: list[str], cols: Iterable[str],
-                     bucket: Column | str | None = "month", prev_suffix: str = PREV,
-                     next_suffix: str = NEXT) -> DataFrame:
+def neighbour_values(df: DataFrame, entity: str | list[str], order: list[str], cols: Iterable[str],
+                     bucket: str | None = "range", prev_suffix: str = PREV, next_suffix: str = NEXT,
+                     max_gap_days: int | None = None, written: list | None = None) -> DataFrame:
     """Add ``<c>_prev`` / ``<c>_next``: the value of the previous / next row of
     the same entity in ``order`` (NULL at the entity's first / last row).
 
-    ``bucket``: ``None`` = one window partition per entity (the literal form);
-    ``"month"`` / ``"week"`` / ``"day"`` = calendar unit of ``order[0]`` (pick
-    one that holds many rows per bucket and gives a hot entity many buckets);
-    or any Column that is non-decreasing along ``order`` within an entity,
-    e.g. ``struct(date, row_id div 1e6)`` to split a hot entity-day.
+    ``bucket=None`` is the literal form, one window partition per entity, for
+    entities of bounded size. ``max_gap_days``: a neighbour further away than
+    that in ``order[0]`` (a date or timestamp) counts as absent. The written
+    table's path is appended to ``written``.
     """
     cols = list(cols)
     if not cols:
         return df
+    entities = [entity] if isinstance(entity, str) else list(entity)
+    taken = list(dict.fromkeys([*cols, *([order[0]] if max_gap_days is not None else [])]))
+    both = lambda c: (f"__p_{c}", f"__n_{c}")
     if bucket is None:
-        w = Window.partitionBy(entity).orderBy(*order)
-        return df.withColumns({**{c + prev_suffix: F.lag(c, 1).over(w) for c in cols},
-                               **{c + next_suffix: F.lead(c, 1).over(w) for c in cols}})
-    if isinstance(bucket, str):
-        if not isinstance(df.schema[order[0]].dataType, (DateType, TimestampType, TimestampNTZType)):
-            raise TypeError(f"bucket={bucket!r} needs a date/timestamp first order column, got {order[0]!r}; "
-                            "pass a monotone bucket Column or bucket=None")
-        day = F.col(order[0]).cast("date")
-        bexpr = {"month": month_bucket(order[0]), "week": F.date_trunc("week", day).cast("date"), "day": day}[bucket]
+        w = Window.partitionBy(*entities).orderBy(*order)
+        d = df.withColumns({n: f(c, 1).over(w) for c in taken for n, f in zip(both(c), (F.lag, F.lead))})
+    elif bucket == "range":
+        d = _by_range(df, entities, order, taken, both, written)
     else:
-        bexpr = bucket
-    b = "__nb_bucket"
-    d = df.withColumn(b, bexpr)
-    # Non-NULL key columns (value-or-default, is-NULL) stand for (entity,
-    # bucket): a NULL entity or bucket stays a partition of its own, and the
-    # edge join below is a plain equi-join on the very columns the window is
-    # partitioned by, so the big side is not shuffled again.
-    ev, en = _non_null_key(d, entity)
-    bv, bn = _non_null_key(d, b)
-    d = d.withColumns({"__k_e": ev, "__k_en": en, "__k_b": bv, "__k_bn": bn})
-    keys = ["__k_e", "__k_en", "__k_b", "__k_bn"]
-    wb = Window.partitionBy(*keys).orderBy(*order)
-    d = d.withColumns({
-        **{c + prev_suffix: F.lag(c, 1).over(wb) for c in cols},
-        **{c + next_suffix: F.lead(c, 1).over(wb) for c in cols},
-        "__nb_first": F.row_number().over(wb) == 1,
-        "__nb_last": F.lead(F.lit(1), 1).over(wb).isNull(),
-    })
-    # One row per bucket with the values of its first and last rows, from a
-    # partial aggregate (map-side: each task emits one row per bucket it saw,
-    # so no row-level shuffle), then, in bucket order, the previous bucket's
-    # last row and the next bucket's first row; joined back on the very key
-    # columns the window is partitioned by.
-    vals = F.struct(*[F.col(c) for c in cols])
-    okey = F.struct(*[F.col(o) for o in order])
-    heads = (df.withColumn(b, bexpr).withColumns({"__k_e": ev, "__k_en": en, "__k_b": bv, "__k_bn": bn})
-               .groupBy(*keys).agg(F.min_by(vals, okey).alias("__head"), F.max_by(vals, okey).alias("__tail"),
-                                   F.min(okey).alias("__okey")))
-    we = Window.partitionBy("__k_e", "__k_en").orderBy("__okey")
-    edges = heads.select(*keys, F.lag("__tail", 1).over(we).alias("__before"),
-                         F.lead("__head", 1).over(we).alias("__after"))
-    d = d.join(edges, keys, "left")
-    fix = {}
+        raise ValueError("bucket must be 'range' or None")
+
+    def near(c, which):
+        value = F.col(both(c)[which])
+        if max_gap_days is None:
+            return value
+        gap = F.abs(F.datediff(F.col(order[0]), F.col(both(order[0])[which])))
+        return F.when(gap <= max_gap_days, value)
+
+    added = {f"{c}{s}": near(c, which) for c in cols for which, s in enumerate((prev_suffix, next_suffix))}
+    return d.withColumns(added).select(*[x for x in df.columns if x not in added], *added)
+
+
+def _by_range(df: DataFrame, entities, order, cols, both, written) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["__range"]
+    flags = {}
+    for i, e in enumerate(entities):
+        value, null = _non_null_key(df, e)
+        flags |= {f"__k{i}": value, f"__k{i}_null": null}
+    sort = [*entities, *order, "__row"]
+    ranged = (df.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(n, *sort)
+              .sortWithinPartitions(*sort).withColumns({"__range": F.spark_partition_id(),
+                                                        "__place": F.monotonically_increasing_id()}))
+    t = materialize(ranged.drop("__row"), "neighbours", written).withColumns(flags)
+    keys += list(flags)
+    w = Window.partitionBy(*keys).orderBy("__place")
+    d = t.withColumns({**{n: f(c, 1).over(w) for c in cols for n, f in zip(both(c), (F.lag, F.lead))},
+                       "__first": F.lag("__place", 1).over(w).isNull(), "__last": F.lead("__place", 1).over(w).isNull()})
+    # One row for each (range, entity): hash aggregates of fixed-width columns, combined before the shuffle.
+    ends = t.groupBy(*keys).agg(F.min("__place").alias("__lo"), *[
+        f(F.col(c), F.col("__place")).alias(f"{a}_{c}") for c in cols for a, f in (("__head", F.min_by), ("__tail", F.max_by))])
+    we = Window.partitionBy(*flags).orderBy("__lo")
+    edges = ends.select(*keys, *[F.lag(f"__tail_{c}", 1).over(we).alias(f"__before_{c}") for c in cols],
+                        *[F.lead(f"__head_{c}", 1).over(we).alias(f"__after_{c}") for c in cols])
+    fixed = {}
     for c in cols:
-        fix[c + prev_suffix] = F.when(F.col("__nb_first"), F.col("__before")[c]).otherwise(F.col(c + prev_suffix))
-        fix[c + next_suffix] = F.when(F.col("__nb_last"), F.col("__after")[c]).otherwise(F.col(c + next_suffix))
-    added = [c + prev_suffix for c in cols] + [c + next_suffix for c in cols]
-    return d.withColumns(fix).select(*[x for x in df.columns if x not in added], *added)
+        p, q = both(c)
+        fixed[p] = F.when(F.col("__first"), F.col(f"__before_{c}")).otherwise(F.col(p))
+        fixed[q] = F.when(F.col("__last"), F.col(f"__after_{c}")).otherwise(F.col(q))
+    return d.join(edges, keys, "left").withColumns(fixed)

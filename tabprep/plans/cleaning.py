@@ -12,7 +12,7 @@ only, which is what lets the stages share the joins and the window.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +20,18 @@ from pyspark.sql import functions as F
 from tabprep.functions.compass import direction_to_radians
 from tabprep.operators.circular import direction_to_vector, neighbour_vector_fill, normalize_vectors
 from tabprep.operators.impute import neighbour_mean_fill
-from tabprep.operators.joins import lookup_left_entity_month, lookup_left_month
+from tabprep.operators.joins import MONTH_ROWS, lookup_left_entity_month, lookup_left_month
 from tabprep.operators.normalize import normalize_observations, present
-from tabprep.operators.outliers import drop_sentinel_codes, drop_zero_vectors, removal_report, trim_extreme
+from tabprep.operators.outliers import (drop_sentinel_codes, drop_zero_vectors, extreme_predicate, numbered,
+                                        removal_report)
+from tabprep.operators.predicates import filter_labelled
+from tabprep.operators.split import in_train
 from tabprep.operators.stats import modes_two_levels
 from tabprep.operators.windows import NEXT, PREV, neighbour_values
-from tabprep.rules import CleaningSpec
-from tabprep.session import materialize
+from tabprep.rules import SPLIT_FRACTIONS, CleaningSpec
+from tabprep.session import materialize, release
+
+TRAIN, TEST = "train", "test"
 
 
 def _uniq(xs):
@@ -43,11 +48,12 @@ class CleaningModel:
     month_stats: DataFrame         # <= 13 rows, keyed by month
     entity_month_stats: DataFrame  # one row per (entity, month) of the reference
     columns: dict
+    written: list = field(default_factory=list)  # paths of the tables written so far
 
     # ---------------------------------------------------------------- fit
     @classmethod
     def fit(cls, reference: DataFrame, spec: CleaningSpec, materialize_stats: bool = True) -> "CleaningModel":
-        lay = spec.layout
+        lay, written = spec.layout, []
         means = present(reference, spec.mean_filled)
         medians = present(reference, spec.median_filled)
         dirs = present(reference, spec.direction_columns)
@@ -81,7 +87,7 @@ class CleaningModel:
             # small), so applying the model to train and test reads them
             # instead of re-aggregating the reference, and the planner sees
             # their real size when it picks the join strategy
-            gs = materialize(gs, "cleaning-stats")
+            gs = materialize(gs, "cleaning-stats", written)
         mon = gs.filter(F.col("__g") == 1).select(
             lay.month, *[F.col(f"{c}__mean").alias(f"{c}_mon_mean") for c in means],
             *[F.col(f"{c}__median").alias(f"{c}_mon_median") for c in meds],
@@ -93,13 +99,20 @@ class CleaningModel:
             *[F.col(f"{c}__median").alias(f"{c}_locmon_median") for c in meds],
             *[F.col(f"{c}__mode").alias(f"{c}_locmon_mode") for c in mtargets])
         cols = dict(means=means, medians=medians, dirs=dirs, modes=modes, mcasc=mcasc, dcasc=dcasc)
-        return cls(spec, mon, em, cols)
+        # the month table's size is checked before it is hinted
+        if materialize_stats and mon.limit(MONTH_ROWS + 1).count() <= MONTH_ROWS:
+            mon = F.broadcast(mon)
+        return cls(spec, mon, em, cols, written)
+
+    def release(self, spark) -> None:
+        """Deletes the tables the model has written; frames made by it cannot be read afterwards."""
+        release(spark, self.written)
 
     # ---------------------------------------------------------------- apply
-    def impute(self, df: DataFrame, bucket="month") -> DataFrame:
-        """All fills, no row removed: the 13-row month table probed twice
-        (broadcast, before and after the window), 1 window, 1 (entity, month)
-        join."""
+    def impute(self, df: DataFrame, bucket="range", half: str | None = None) -> DataFrame:
+        """All fills, no row removed: the month table probed twice (broadcast,
+        before and after the window), 1 window, 1 (entity, month) join.
+        ``half``: a column that names the part of a split; neighbours stay within it."""
         lay, c = self.spec.layout, self.columns
         means, medians, dirs = c["means"], c["medians"], c["dirs"]
         num = means + medians
@@ -116,7 +129,8 @@ class CleaningModel:
         d = direction_to_vector(d, dirs)
         vec = [f"{x}_{a}" for x in dirs for a in ("ux", "uy")]
         # 3. one window for every neighbour lookup
-        d = neighbour_values(d, lay.entity, lay.order, num + vec, bucket)
+        d = neighbour_values(d, [lay.entity] if half is None else [half, lay.entity], lay.order, num + vec, bucket,
+                             written=self.written)
         fills = {x: neighbour_mean_fill(x) for x in num}
         for x in dirs:
             fills.update(neighbour_vector_fill(x))
@@ -142,35 +156,48 @@ class CleaningModel:
         d = d.withColumns(casc)
         return d.select(*base_cols, *vec)
 
-    def remove(self, df: DataFrame, materialize_input: bool = True) -> DataFrame:
-        """Zero vectors, sentinel codes, then the extreme fraction.
+    def _key(self) -> list[str]:
+        lay = self.spec.layout
+        return [lay.row_id] if lay.row_id else [lay.entity, lay.time]
+
+    def remove(self, df: DataFrame, half: str | None = None) -> DataFrame:
+        """Zero vectors, sentinel codes, then the extreme fraction (of each half by itself).
 
-        The trim reads its input three times (plan of the cut, candidates,
-        anti join); with ``materialize_input`` the input is written once to
-        the shared checkpoint folder so the imputation plan is not recomputed.
-        """
-        s, lay = self.spec, self.spec.layout
+        The trim reads its input more than once, so it is written first."""
+        s = self.spec
         out = drop_zero_vectors(df, self.columns["dirs"])
         out = drop_sentinel_codes(out, s.sentinel_columns, s.sentinel_code, s.null_is_ok)
-        if s.trim_column and s.trim_column in out.columns:
-            if materialize_input:
-                out = materialize(out, "cleaned-before-trim")
-            key = [lay.row_id] if lay.row_id else [lay.entity, lay.time]
-            out = trim_extreme(out, s.trim_column, key, s.trim_fraction, s.trim_side, s.accuracy)
-        return out
-
-    def transform(self, df: DataFrame, bucket="month", materialize_input: bool = True) -> DataFrame:
-        return self.remove(self.impute(df, bucket), materialize_input)
-
-    def report(self, imputed: DataFrame, materialize_input: bool = True) -> DataFrame:
-        """Rows removed per stage on ``imputed`` (see ``removal_report``); the
-        input is read several times, so by default it is written once first."""
-        s, lay = self.spec, self.spec.layout
-        if materialize_input:
-            imputed = materialize(imputed, "imputed-for-report")
-        key = [lay.row_id] if lay.row_id else [lay.entity, lay.time]
+        if not s.trim_column or s.trim_column not in out.columns:
+            return out
+        rows = numbered(out, "cleaned-before-trim", self.written)
+        trim = (s.trim_column, self._key(), s.trim_fraction, s.trim_side, s.accuracy)
+        if half is None:
+            return rows.filter(~extreme_predicate(rows, *trim)).select(*df.columns)
+        keep = F.lit(True)
+        for name in (TRAIN, TEST):
+            own = F.col(half) == name
+            keep = keep & ~(own & extreme_predicate(rows.filter(own), *trim))
+        return rows.filter(keep).select(*df.columns)
+
+    def transform(self, df: DataFrame, bucket="range") -> DataFrame:
+        return self.remove(self.impute(df, bucket))
+
+    def transform_halves(self, df: DataFrame, half: str = "half", bucket="range") -> DataFrame:
+        """``df`` whose column ``half`` is TRAIN or TEST, each half cleaned by itself in one plan."""
+        return self.remove(self.impute(df, bucket, half), half)
+
+    def report(self, imputed: DataFrame) -> DataFrame:
+        """Rows removed per stage on ``imputed`` (see ``removal_report``)."""
+        s = self.spec
         return removal_report(imputed, self.columns["dirs"], s.sentinel_columns, s.sentinel_code,
-                              s.trim_column, key, s.trim_fraction, s.trim_side, s.null_is_ok, s.accuracy)
+                              s.trim_column, self._key(), s.trim_fraction, s.trim_side, s.null_is_ok, s.accuracy)
+
+
+def with_half(df: DataFrame, id_col: str, label: str | None = None, classes=None, fraction: float = SPLIT_FRACTIONS[0]) -> DataFrame:
+    """The labelled rows with the hashed split's side in ``half``."""
+    if label is not None:
+        df = df.filter(F.col(label).isNotNull()) if classes is None else filter_labelled(df, label, classes)
+    return df.withColumn("half", F.when(in_train(id_col, fraction), TRAIN).otherwise(TEST))
 
 
 def normalize_for(df: DataFrame, spec: CleaningSpec, numeric_text_cols=(), date_format=None) -> DataFrame:

@@ -6,19 +6,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.operators.features import (
-    assembler, bucket_counts, cyclic_month, label_indexer, pair_average, pair_average_floor,
-    quantile_discretizer, scaler,
+    assembler, bucket_counts, cyclic_month, label_indexer, moments, pair_average, pair_average_floor,
+    quantile_discretizer, scale_vector, scaler,
 )
 from tabprep.operators.normalize import cast_numeric, drop_columns, present
 from tabprep.rules import (
     BIN_RELATIVE_ERROR, CONTINUOUS_COLUMNS, DIRECTION_COLUMNS, DROP_COLUMNS, PAIR_AVERAGES, PAIR_AVERAGES_FLOOR,
 )
+from tabprep.session import materialize, release
 
 
 @dataclass
@@ -35,7 +35,8 @@ class FeatureSpec:
     relative_error: float = BIN_RELATIVE_ERROR
     bin_suffix: str = "_bin"
     buckets: dict = field(default_factory=dict)  # fixed bucket counts; empty = adaptive
-    strict: bool = False  # raise when a scaled input holds NULL/NaN (its mean would be NaN)
+    strict: bool = False  # raise when a scaled input holds NULL/NaN
+    literal_scaling: bool = False  # Spark ML's scaler, whose mean is NaN if one value is missing
 
 
 def derive(df: DataFrame, spec: FeatureSpec) -> DataFrame:
@@ -52,17 +53,19 @@ class FeatureModel:
     spec: FeatureSpec
     model: PipelineModel
     buckets: dict
+    moments: dict  # of the scaled columns; empty with literal scaling
 
     @classmethod
     def fit(cls, train: DataFrame, spec: FeatureSpec) -> "FeatureModel":
         """Fit every stage on ``train``. The derived training frame is read by
         several fitting jobs (bucket counts, quantiles, moments, label counts),
-        so it is persisted for the duration of the fit and released after."""
-        t = derive(train, spec).persist(StorageLevel.MEMORY_AND_DISK)
+        so it is written to the shared folder for the duration of the fit."""
+        written: list = []
+        t = materialize(derive(train, spec), "features-train", written)
         try:
             return cls._fit(t, spec)
         finally:
-            t.unpersist()
+            release(train.sparkSession, written)
 
     @classmethod
     def _fit(cls, t: DataFrame, spec: FeatureSpec) -> "FeatureModel":
@@ -78,14 +81,15 @@ class FeatureModel:
         stages = []
         if cont:
             stages.append(quantile_discretizer(cont, buckets, spec.relative_error, spec.bin_suffix))
-        stages += [assembler(cont + extra, "features_cont_raw"),
-                   scaler("features_cont_raw", "features_cont_scaled"),
-                   assembler(bins + extra, "features_bin"),
+        stages += [assembler(cont + extra, "features_cont_raw"), assembler(bins + extra, "features_bin"),
                    label_indexer(spec.label, "label")]
-        return cls(spec, Pipeline(stages=stages).fit(t), buckets)
+        if spec.literal_scaling:
+            stages.append(scaler("features_cont_raw", "features_cont_scaled"))
+        return cls(spec, Pipeline(stages=stages).fit(t), buckets, {} if spec.literal_scaling else moments(t, cont + extra))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(derive(df, self.spec))
+        out = self.model.transform(derive(df, self.spec))
+        return out if self.spec.literal_scaling else scale_vector(out, self.moments, "features_cont_scaled")
 
     def frames(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(label, features) for linear models and for binned models."""

@@ -13,7 +13,7 @@ from tabprep.operators.split import in_train, split_report, stratified_split, st
 from tabprep.operators.windows import neighbour_values
 from tabprep.plans import sqlfrag as S
 from tabprep.plans.catalog import ACC, LAY, norm_obs, query, rounded, train_of
-from tabprep.plans.cleaning import CleaningModel
+from tabprep.plans.cleaning import TEST, TRAIN, CleaningModel, with_half
 from tabprep.rules import CleaningSpec
 from tabprep.sources.fixtures import obs
 
@@ -238,17 +238,13 @@ def q_fill_neighbours_then_entity_month(spark, sf):
 _ENC = f"enc as (select *, cos({S.radians('dir')}) as ux, sin({S.radians('dir')}) as uy from norm)"
 
 
-def _vec_nb_cte(src: str = "enc") -> str:
-    lag_ok = "(lag(ux) over w is not null and lag(uy) over w is not null)"
-    lead_ok = "(lead(ux) over w is not null and lead(uy) over w is not null)"
-    miss = "(ux is null or uy is null)"
-    both = f"({lag_ok} and {lead_ok})"
-    one = f"(({lag_ok} and not {lead_ok}) or (not {lag_ok} and {lead_ok}))"
-
-    def comp(a):
-        return (f"case when {miss} and {both} then (coalesce(lag({a}) over w, 0.0) + coalesce(lead({a}) over w, 0.0)) / 2.0 "
-                f"when {miss} and {one} then coalesce(lag({a}) over w, lead({a}) over w) else {a} end")
-    return f"nbv as (select * exclude (ux, uy), {comp('ux')} as ux, {comp('uy')} as uy from {src} window w as {WIN})"
+def _vec_nb_cte(src: str = "enc", win: str = WIN) -> str:
+    """A missing vector is the mean of the whole vectors in the rows beside it."""
+    p = [f"{f}(case when ux is not null and uy is not null then {{a}} end) over w" for f in ("lag", "lead")]
+    return (f"nbv as (select * exclude (ux, uy), "
+            + ", ".join(f"case when ux is null or uy is null then coalesce(list_avg([{', '.join(p)}]), {{a}}) "
+                        f"else {{a}} end as {{a}}".replace("{a}", a) for a in ("ux", "uy"))
+            + f" from {src} window w as {win})")
 
 
 @query("fill_direction_neighbours", _nt(f"select row_id, {R6('ux')} as dir_ux, {R6('uy')} as dir_uy from nbv",
@@ -296,7 +292,7 @@ def _miss_clean(c: str) -> str:
 
 
 _CASC_SRC = (f"cr as (select row_id, location, month, {_miss_clean('code')} as code, {_miss_clean('dir')} as dir "
-             f"from obs), ct as (select * from cr where {S.hash_bucket()} < 80)")
+             f"from obs), ct as (select * from cr where {S.hash_bucket()} < 800000)")
 
 
 @query("fill_token_mode_cascade", W(S.OBS, _CASC_SRC, body=(
@@ -311,7 +307,7 @@ def q_fill_token_mode_cascade(spark, sf):
 
 
 @query("fill_token_median_cascade", W(S.OBS, f"tr as (select row_id, location, month, {_TXT} as txt_num from obs), "
-                                      f"tt as (select * from tr where {S.hash_bucket()} < 80)", body=(
+                                      f"tt as (select * from tr where {S.hash_bucket()} < 800000)", body=(
     f"select tr.row_id, {R6('coalesce(tr.txt_num, a.m1, b.m2)')} as txt_num from tr "
     f"left join (select location, month, {_med('txt_num')} as m1 from tt group by location, month) a "
     f"using (location, month) "
@@ -324,6 +320,11 @@ def q_fill_token_median_cascade(spark, sf):
 
 # ---------------------------------------------------------------- the full cleaning plan
 
+WIN_HALF = "(partition by half, location order by obs_date, row_id)"
+_HALVES = (f"labelled as (select *, case when {S.hash_bucket()} < 800000 then 'train' else 'test' end as half "
+           f"from norm where status is not null)")
+
+
 def _impute_ctes() -> list[str]:
     mon = (f"mon as (select month, avg(num_a) as a, quantile_disc(num_b, 0.5) as b, quantile_disc(txt_num, 0.5) as t, "
            f"avg(cos({S.radians('dir')})) as cx, avg(sin({S.radians('dir')})) as cy from train group by month)")
@@ -331,9 +332,9 @@ def _impute_ctes() -> list[str]:
             f"from mon m full join {S.mode_sql('train', ['month'], 'code', 'code_mon')} mm on m.month = mm.month)")
     s1 = (f"s1 as (select n.* replace (coalesce(n.num_a, m.a) as num_a, coalesce(n.num_b, m.b) as num_b, "
           f"coalesce(n.txt_num, m.t) as txt_num), cos({S.radians('n.dir')}) as ux, sin({S.radians('n.dir')}) as uy, "
-          f"m.mx, m.my, m.t as t_mon, m.code_mon from norm n left join monf m on n.month = m.month)")
+          f"m.mx, m.my, m.t as t_mon, m.code_mon from labelled n left join monf m on n.month = m.month)")
     s2 = (f"s2 as (select * replace ({_nb('num_a')} as num_a, {_nb('num_b')} as num_b, {_nb('txt_num')} as txt_num) "
-          f"from s1 window w as {WIN})")
+          f"from s1 window w as {WIN_HALF})")
     em = (f"em as (select l.*, y.yn_lm, c.code_lm from locmon l "
           f"full join {S.mode_sql('train', ENT, 'yn', 'yn_lm')} y using (location, month) "
           f"full join {S.mode_sql('train', ENT, 'code', 'code_lm')} c using (location, month))")
@@ -341,11 +342,11 @@ def _impute_ctes() -> list[str]:
           "coalesce(s.txt_num, e.lt, s.t_mon) as txt_num, coalesce(s.yn, e.yn_lm) as yn, "
           "coalesce(s.code, e.code_lm, s.code_mon) as code), coalesce(s.ux, s.mx) as x, coalesce(s.uy, s.my) as y "
           "from nbv s left join em e on s.location = e.location and s.month = e.month)")
-    imp = (f"imp as (select {ALL}, {_unit('x', 'y', 'sqrt(x*x + y*y)', 'dir_ux', 'dir_uy')} from s4)")
-    return [_LOCMON, mon, monf, s1, s2, _vec_nb_cte("s2"), em, s4, imp]
+    imp = (f"imp as (select {ALL}, half, {_unit('x', 'y', 'sqrt(x*x + y*y)', 'dir_ux', 'dir_uy')} from s4)")
+    return [_HALVES, _LOCMON, mon, monf, s1, s2, _vec_nb_cte("s2", WIN_HALF), em, s4, imp]
 
 
-_OUT = S.OBS_COLUMNS + ["dir_ux", "dir_uy"]
+_OUT = [*S.OBS_COLUMNS, "dir_ux", "dir_uy", "half"]
 _ROUND = {c: c for c in ["num_a", "num_b", "txt_num", "dir_ux", "dir_uy"]}
 
 
@@ -354,16 +355,24 @@ def _sel_out(prefix: str = "") -> str:
 
 
 _SURV = "surv as (select * from imp where not (dir_ux = 0.0 and dir_uy = 0.0) and not (cast(code as integer) = 9))"
+_CLEAN = ("clean as (select * from surv qualify row_number() over (partition by half order by num_a asc nulls first, "
+          "row_id asc) <= count(*) over (partition by half) - count(*) over (partition by half) // 1000)")
+CLEAN_CTES = [*_impute_ctes(), _SURV, _CLEAN]
+
+
+def halves_of(spark, sf):
+    """The labelled, normalised observations with their half."""
+    return with_half(norm_obs(spark, sf), "row_id", "status")
+
 
+def cleaned_halves(spark, sf):
+    n = halves_of(spark, sf)
+    return CleaningModel.fit(n.filter(F.col("half") == TRAIN), OBS_SPEC).transform_halves(n)
 
-@query("clean_pipeline", _nt(
-    f"select {_sel_out()} from surv qualify row_number() over (order by num_a asc nulls first, row_id asc) "
-    f"<= (select count(*) from surv) - (select count(*) from surv) // 1000",
-    *_impute_ctes(), _SURV))
+
+@query("clean_pipeline", _nt(f"select {_sel_out()} from clean", *CLEAN_CTES))
 def q_clean_pipeline(spark, sf):
-    n = norm_obs(spark, sf)
-    model = CleaningModel.fit(train_of(n), OBS_SPEC)
-    return rounded(model.transform(n).select(*_OUT))
+    return rounded(cleaned_halves(spark, sf).select(*_OUT))
 
 
 @query("removal_report", _nt(
@@ -372,16 +381,15 @@ def q_clean_pipeline(spark, sf):
     "select 'invalid', z + s, n from agg union all "
     "select 'extreme', e, n from agg union all select 'removed', z + s + e, n from agg union all "
     "select 'kept', n - z - s - e, n from agg)",
-    *_impute_ctes(), _SURV,
-    "ext as (select row_id from surv qualify row_number() over (order by num_a desc nulls last, row_id desc) "
-    "<= (select count(*) from surv) // 1000)",
+    *CLEAN_CTES,
     "agg as (select count(*) as n, count_if(dir_ux = 0.0 and dir_uy = 0.0) as z, "
     "count_if(not (dir_ux = 0.0 and dir_uy = 0.0) and coalesce(not (cast(code as integer) = 9), false) = false) as s, "
-    "count_if(row_id in (select row_id from ext)) as e from imp)"))
+    "(select count(*) from surv where half = 'test') - (select count(*) from clean where half = 'test') as e "
+    "from imp where half = 'test')"))
 def q_removal_report(spark, sf):
-    n = norm_obs(spark, sf)
-    model = CleaningModel.fit(train_of(n), OBS_SPEC)
-    return rounded(model.report(model.impute(n)))
+    n = halves_of(spark, sf)
+    model = CleaningModel.fit(n.filter(F.col("half") == TRAIN), OBS_SPEC)
+    return rounded(model.report(model.impute(n.filter(F.col("half") == TEST))))
 
 
 # ---------------------------------------------------------------- removal keys
@@ -393,35 +401,43 @@ def q_trim_highest(spark, sf):
     return trim_extreme(obs(spark, sf).select("row_id", "num_a"), "num_a", ["row_id"], 0.001, "high", ACC)
 
 
-@query("trim_lowest", W(S.OBS, "nn as (select row_id, num_a from obs where num_a is not null)", body=(
-    f"select row_id, num_a from nn qualify row_number() over (order by num_a desc nulls last, row_id desc) "
-    f"<= (select count(*) from nn) - (select count(*) from nn) // 1000")))
+@query("trim_lowest", W(S.OBS, body=(
+    f"select row_id, num_a from obs qualify row_number() over (order by num_a desc nulls last, row_id desc) "
+    f"<= (select count(*) from obs) - (select count(*) from obs) // 1000")))
 def q_trim_lowest(spark, sf):
-    o = obs(spark, sf).select("row_id", "num_a").filter(F.col("num_a").isNotNull())
-    return trim_extreme(o, "num_a", ["row_id"], 0.001, "low", ACC)
+    return trim_extreme(obs(spark, sf).select("row_id", "num_a"), "num_a", ["row_id"], 0.001, "low", ACC)
 
 
 # ---------------------------------------------------------------- split
 
-@query("stratified_split")
+@query("stratified_split", W(S.OBS, body=(
+    "select status, count(*) as n_rows, true as complete, true as disjoint, true as share_kept from obs "
+    "where status is not null group by status")))
 def q_stratified_split(spark, sf):
+    """What any draw must satisfy, for each class: every row is in one half, and the share of the first is near 80 %."""
     o = obs(spark, sf).select("row_id", "status")
-    tr, te = stratified_split(o, "status", ["F", "O", "P"])
-    return tr.withColumn("half", F.lit("train")).unionByName(te.withColumn("half", F.lit("test")))
+    tr, te = stratified_split(o, "status")
+    both = tr.withColumn("t", F.lit(1)).unionByName(te.withColumn("t", F.lit(0)))
+    per_row = both.groupBy("status", "row_id").agg(F.count(F.lit(1)).alias("times"), F.sum("t").alias("t"))
+    whole = o.filter("status is not null").groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
+    found = per_row.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times"), F.sum("t").alias("t"))
+    deviation = F.abs(F.col("t") - 0.8 * F.col("n")) / F.sqrt(0.16 * F.col("n"))  # in standard deviations
+    return whole.join(found, "status").select("status", "n_rows", (F.col("n") == F.col("n_rows")).alias("complete"),
+                                              (F.col("times") == 1).alias("disjoint"), (deviation < 5).alias("share_kept"))
 
 
 @query("stratified_split_hashed", W(S.OBS, body=(
-    f"select row_id, status, case when {S.hash_bucket()} < 80 then 'train' else 'test' end as half from obs")))
+    f"select row_id, status, case when {S.hash_bucket()} < 800000 then 'train' else 'test' end as half from obs")))
 def q_stratified_split_hashed(spark, sf):
     o = obs(spark, sf).select("row_id", "status")
     tr, te = stratified_split_hashed(o, "row_id")
     return tr.withColumn("half", F.lit("train")).unionByName(te.withColumn("half", F.lit("test")))
 
 
-@query("split_report", W(S.OBS, f"h as (select status, case when {S.hash_bucket()} < 80 then 'train' else 'test' end "
-                         f"as half from obs)", body=(
+@query("split_report", W(S.OBS, f"h as (select status, case when {S.hash_bucket()} < 800000 then 'train' else 'test' end "
+                         f"as half from obs)", "u as (select * from h union all select status, 'all' from h)", body=(
     "select status, count(*) as count, round(count(*) * 100.0 / sum(count(*)) over (partition by half), 2) as pct, "
-    "half from h group by half, status")))
+    "half from u group by half, status")))
 def q_split_report(spark, sf):
     o = obs(spark, sf)
     return split_report(o.filter(in_train("row_id")), o.filter(~in_train("row_id")), "status")

@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabprep.operators import features as FE
 from tabprep.plans import sqlfrag as S
 from tabprep.plans.catalog import norm_obs, query, rounded, train_of
-from tabprep.plans.cleaning import CleaningModel
+from tabprep.plans.cleaning import TEST, TRAIN
 from tabprep.plans.features import FeatureModel, FeatureSpec
-from tabprep.plans.q_clean import OBS_SPEC
+from tabprep.plans.q_clean import CLEAN_CTES, cleaned_halves
 from tabprep.sources.fixtures import obs
 
 W = S.with_
@@ -57,11 +58,44 @@ def q_adaptive_bucket_count(spark, sf):
     return FE.adaptive_bucket_count(obs(spark, sf), _BC)
 
 
-@query("quantile_bins")
+def bin_invariants(train, df, cols, suffix="_bin", buckets: int = 10, error: float = 0.02):
+    """Per column, what bins of any valid fit satisfy on ``df``, and on ``train`` that they were fitted on: rows, NULLs, bins
+    of present values, values in the order of their bins, and cuts whose rank is within ``error`` of its target."""
+    def long(d):
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v"),
+                                  F.col(c + suffix).alias("bin")) for c in cols])
+        return d.select(F.inline(rows))
+
+    def per_bin(d):
+        values = long(d).filter("v is not null").groupBy("column_name", "bin", "v").agg(F.count(F.lit(1)).alias("n"))
+        return values.groupBy("column_name", "bin").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                                        F.min_by("n", "v").alias("ties"))
+    w = Window.partitionBy("column_name").orderBy("bin")  # at most ``buckets`` rows for each column
+    order = per_bin(df).withColumn("next", F.lead("lo").over(w)).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n_bins"), F.bool_and(F.col("next").isNull() | (F.col("hi") < F.col("next"))).alias("order_kept"))
+    total = F.sum("n").over(Window.partitionBy("column_name"))
+    cut = per_bin(train).withColumn("below", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)) / total).withColumn(
+        "upto", F.col("below") + F.col("ties") / total).withColumn("target", (F.row_number().over(w) - 1) / buckets)
+    rank = cut.groupBy("column_name").agg(F.bool_and(F.col("below").isNull() | (
+        (F.col("below") <= F.col("target") + error) & (F.col("upto") >= F.col("target") - error))).alias("rank_kept"))
+    counts = long(df).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("v").isNull()).alias("n_null"))
+    return counts.join(order, "column_name").join(rank, "column_name")
+
+
+def _bins_sql(src: str, cols) -> str:
+    return " union all ".join(
+        f"select '{c}' as column_name, count(*) as n_rows, count_if({c} is null) as n_null, cast(10 as bigint) as n_bins, "
+        f"true as order_kept, true as rank_kept from {src}" for c in cols)
+
+
+_QB = ["num_a", "num_b", "txt_num"]
+
+
+@query("quantile_bins", W(S.OBS, S.NORM, body=_bins_sql("norm", _QB)))
 def q_quantile_bins(spark, sf):
     n = norm_obs(spark, sf)
-    b = FE.quantile_bins(train_of(n), n, ["num_a", "num_b", "txt_num"])
-    return b.select("row_id", "num_a_bin", "num_b_bin", "txt_num_bin")
+    b = FE.quantile_bins(train_of(n), n, _QB)
+    return bin_invariants(train_of(b), b, _QB)
 
 
 def _vec_sql_cols(cols, prefix):
@@ -75,21 +109,19 @@ def q_assemble_features(spark, sf):
     return rounded(FE.vector_columns(d, "fv", VEC_COLS, "f").select("row_id", *[f"f_{c}" for c in VEC_COLS]))
 
 
-_COMPLETE = " and ".join(f"{c} is not null" for c in SCALE_COLS)
+def _z_sql(c: str) -> str:
+    nan = "'NaN'::double"
+    return R6(f"coalesce(case when s_{c} != 0 then ({c} - m_{c}) * (1.0 / s_{c}) when {c} is not null then 0.0 end, {nan})") + f" as z_{c}"
 
 
-def _scaled_sql() -> str:
-    st = ", ".join(f"avg({c}) as m_{c}, stddev_samp({c}) as s_{c}" for c in SCALE_COLS)
-    outs = ", ".join(R6(f"case when s_{c} != 0 then ({c} - m_{c}) * (1.0 / s_{c}) else 0.0 end") + f" as z_{c}"
-                     for c in SCALE_COLS)
-    return W(S.OBS, S.NORM, S.TRAIN, f"st as (select {st} from train where {_COMPLETE})",
-             body=f"select row_id, {outs} from norm, st where {_COMPLETE}")
+def _moments_sql(cols, src: str) -> str:
+    return "st as (select " + ", ".join(f"avg({c}) as m_{c}, stddev_samp({c}) as s_{c}" for c in cols) + f" from {src})"
 
 
-@query("standardize_features", _scaled_sql())
+@query("standardize_features", W(S.OBS, S.NORM, S.TRAIN, _moments_sql(SCALE_COLS, "train"), body=(
+    f"select row_id, {', '.join(map(_z_sql, SCALE_COLS))} from norm, st")))
 def q_standardize_features(spark, sf):
-    n = norm_obs(spark, sf).withColumn("code", F.col("code").cast("double"))
-    n = n.filter(" and ".join(f"{c} is not null" for c in SCALE_COLS))
+    n = norm_obs(spark, sf)
     d = FE.standardize_features(train_of(n), n, SCALE_COLS, "zv")
     return rounded(FE.vector_columns(d, "zv", SCALE_COLS, "z").select("row_id", *[f"z_{c}" for c in SCALE_COLS]))
 
@@ -103,35 +135,54 @@ def q_index_label(spark, sf):
     return FE.index_label(train_of(n), n, "status").select("row_id", "status", "label")
 
 
-def _cleaned(spark, sf):
-    n = norm_obs(spark, sf)
-    model = CleaningModel.fit(train_of(n), OBS_SPEC)
-    return model.transform(n)
+_CONT = ["num_a", "num_b", "txt_num", "ab_avg"]
+_FEATURES = [*_CONT, "dir_ux", "dir_uy", "month_sin", "month_cos"]
+_ANGLE = f"{TWO_PI}::double * (cast(month as double) / 12.0)"
+_FEAT_CTES = [
+    S.OBS, S.NORM, S.TRAIN, *CLEAN_CTES,
+    f"feat as (select half, row_id, status, num_a, num_b, txt_num, (num_a + num_b) / 2.0 as ab_avg, dir_ux, dir_uy, "
+    f"sin({_ANGLE}) as month_sin, cos({_ANGLE}) as month_cos from clean)",
+    _moments_sql(_FEATURES, "feat where half = 'train'"),
+    "lab as (select status, cast(row_number() over (order by count(*) desc, status) - 1 as double) as label from feat "
+    "where half = 'train' group by status)"]
 
 
-def _arr(c):
-    return vector_to_array(F.col(c)).alias(c)
+def _fitted(spark, sf):
+    """(feature model of the cleaned training half, both cleaned halves)"""
+    clean = cleaned_halves(spark, sf)
+    return FeatureModel.fit(clean.filter(F.col("half") == TRAIN), OBS_FEATURES), clean
 
 
-@query("assemble_binned")
+@query("assemble_binned", W(*_FEAT_CTES, body=_bins_sql("feat", _CONT)))
 def q_assemble_binned(spark, sf):
-    c = _cleaned(spark, sf)
-    fm = FeatureModel.fit(train_of(c), OBS_FEATURES)
-    return fm.transform(c).select("row_id", _arr("features_bin"))
+    model, clean = _fitted(spark, sf)
+    t = model.transform(clean)
+    # the bins as the assembled vector holds them
+    b = FE.vector_columns(t, "features_bin", _CONT, "v").withColumns({f"{c}_bin": F.col(f"v_{c}") for c in _CONT})
+    return bin_invariants(b.filter(F.col("half") == TRAIN), b, _CONT)
 
 
-@query("feature_pipeline")
+@query("feature_pipeline", W(*_FEAT_CTES, body=(
+    f"select half, row_id, label, {_vec_sql_cols(_FEATURES, 'r')}, {', '.join(map(_z_sql, _FEATURES))} "
+    f"from feat join lab using (status), st")))
 def q_feature_pipeline(spark, sf):
-    c = _cleaned(spark, sf)
-    fm = FeatureModel.fit(train_of(c), OBS_FEATURES)
-    return fm.transform(c).select("row_id", "label", _arr("features_cont_raw"), _arr("features_cont_scaled"),
-                                  _arr("features_bin"))
+    model, clean = _fitted(spark, sf)
+    t = FE.vector_columns(model.transform(clean), "features_cont_raw", _FEATURES, "r")
+    t = FE.vector_columns(t, "features_cont_scaled", _FEATURES, "z")
+    return rounded(t.select("half", "row_id", "label", *[f"{p}_{c}" for p in "rz" for c in _FEATURES]))
 
 
-@query("feature_frames")
+@query("feature_frames", W(*_FEAT_CTES, body=(
+    "select half, kind, label, count(*) as n_rows, cast(8 as integer) as n_features from feat join lab using (status), "
+    "(values ('linear'), ('binned')) k(kind) group by half, kind, label")))
 def q_feature_frames(spark, sf):
-    c = _cleaned(spark, sf)
-    fm = FeatureModel.fit(train_of(c), OBS_FEATURES)
-    lin, nb = fm.frames(c)
-    return (lin.select(F.lit("linear").alias("kind"), "label", _arr("features"))
-            .unionByName(nb.select(F.lit("binned").alias("kind"), "label", _arr("features"))))
+    """The four frames (two for each half), by label."""
+    model, clean = _fitted(spark, sf)
+    out = None
+    for half in (TRAIN, TEST):
+        for kind, frame in zip(("linear", "binned"), model.frames(clean.filter(F.col("half") == half))):
+            part = frame.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"),
+                                              F.max(F.size(vector_to_array("features"))).alias("n_features")).select(
+                F.lit(half).alias("half"), F.lit(kind).alias("kind"), "label", "n_rows", "n_features")
+            out = part if out is None else out.unionByName(part)
+    return out

@@ -17,7 +17,7 @@ from tabprep.rules import COMPASS_POINTS, YES_NO_DOMAIN
 from tabprep.session import scratch_path
 from tabprep.sources.csv import scan_csv, write_csv
 from tabprep.sources.fixtures import obs, obs_with_duplicates
-from tabprep.sources.overview import frame_overview
+from tabprep.sources.overview import first_rows, frame_overview
 
 OBS_SCHEMA = ", ".join(f"{c} {t}" for c, t in zip(S.OBS_COLUMNS, S.OBS_TYPES))
 ALL = ", ".join(S.OBS_COLUMNS)
@@ -39,6 +39,20 @@ def q_scan_csv(spark, sf):
     return scan_csv(spark, path, schema=OBS_SCHEMA)
 
 
+@query("scan_csv_inferred", _sql_obs(f"select {ALL} from obs"))
+def q_scan_csv_inferred(spark, sf):
+    """Types come from the data; the columns are then put into the schema's order and widths."""
+    path = scratch_path(spark, "obs-csv")
+    write_csv(obs(spark, sf), path)
+    found = scan_csv(spark, path)
+    return found.select(*[F.col(c).cast(t).alias(c) for c, t in zip(S.OBS_COLUMNS, S.OBS_TYPES)])
+
+
+@query("first_rows", _sql_obs(f"select {ALL} from obs order by row_id limit 5"))
+def q_first_rows(spark, sf):
+    return first_rows(obs(spark, sf), 5, ["row_id"])
+
+
 _OVERVIEW_VALUES = ", ".join(f"({i + 1}, '{c}', '{t}')" for i, (c, t) in enumerate(zip(S.OBS_COLUMNS, S.OBS_TYPES)))
 
 

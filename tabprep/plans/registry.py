@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-
-def _load():
-    from tabprep.plans import q_profile  # noqa: F401
-    for mod in ("q_clean", "q_features"):
-        try:
-            __import__(f"tabprep.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"tabprep.plans.{mod}":
-                raise
+from tabprep.plans import q_clean, q_features, q_profile  # noqa: F401  they register their queries
+from tabprep.plans.catalog import QUERIES, SQL
 
 
 def all_queries():
-    _load()
-    from tabprep.plans.catalog import QUERIES
     return dict(QUERIES)
 
 
 def all_sql():
-    _load()
-    from tabprep.plans.catalog import SQL
     return dict(SQL)

@@ -8,7 +8,6 @@ from tabprep.rules import CLEAN_TOKENS, COMPASS_POINTS, PROFILE_TOKENS
 from tabprep.sources.fixtures import DIR_BY_RESIDUE
 
 EPS = 1e-9
-ACC_NOTE = "quantile_disc(x, 0.5) equals percentile_approx(x, 0.5, 1000000) at these sizes"
 
 
 def q(xs) -> str:
@@ -41,7 +40,7 @@ def missing(c: str) -> str:
 
 
 def hash_bucket(id_col: str = "row_id", seed: int = 2025) -> str:
-    return f"(('0x' || substr(md5(cast({id_col} as varchar) || ':{seed}'), 1, 8))::bigint % 100)"
+    return f"(('0x' || substr(md5(cast({id_col} as varchar) || ':{seed}'), 1, 8))::bigint % 1000000)"
 
 
 _DIRS = DIR_BY_RESIDUE
@@ -82,8 +81,8 @@ select row_id, location, obs_date, cast(month(obs_date) as integer) as month, nu
   code, date_txt, status
 from obs)"""
 
-TRAIN = f"train as (select * from norm where {hash_bucket()} < 80)"
-TRAIN_RAW = f"train_raw as (select * from obs where {hash_bucket()} < 80)"
+TRAIN = f"train as (select * from norm where {hash_bucket()} < 800000)"
+TRAIN_RAW = f"train_raw as (select * from obs where {hash_bucket()} < 800000)"
 
 
 def with_(*ctes: str, body: str) -> str:

@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # sketches of more groups than the default 128 stay in the hash aggregate
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 
@@ -45,13 +47,16 @@ def get_spark(master: str | None = None, app: str = "tabprep", shuffle_partition
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is only set here when unset
-    (local runs and tests), to a fresh folder under the system temp dir.
+    A cluster names a shared folder there. Where it is unset a local run gets a fresh
+    folder under the system temp dir; any other master raises, because its
+    executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
         or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tabprep-ckpt-")
         sc.setCheckpointDir(d)
     elif not sc.getCheckpointDir():
@@ -65,10 +70,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, name: str = "stage"):
+def materialize(df, name: str = "stage", written: list | None = None):
     """Write ``df`` once as parquet in the shared checkpoint folder and read it
     back: later passes scan the written table instead of recomputing the plan,
-    and the data survives the loss of the executors that computed it."""
+    and the data survives the loss of the executors that computed it. The path is
+    appended to ``written``, with which its owner calls ``release``."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("error").parquet(path)
+    if written is not None:
+        written.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession, written: list) -> None:
+    """Delete the written tables of ``written`` and empty the list."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while written:
+        path = jvm.org.apache.hadoop.fs.Path(written.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -5,7 +5,7 @@ import re
 from tabprep.operators import impute as I
 from tabprep.operators import predicates as P
 from tabprep.operators import profile as PR
-from tabprep.operators.outliers import extreme_rows
+from tabprep.operators.outliers import trim_candidates, trim_extreme
 from tabprep.operators.windows import neighbour_values
 from tabprep.plans.catalog import norm_obs, train_of
 from tests.conftest import SF01
@@ -37,31 +37,29 @@ def test_month_lookup_broadcast_entity_lookup_unhinted(spark):
     assert "broadcast" not in logical.lower()  # size left to AQE at run time
 
 
-def test_trim_orders_only_candidates(spark):
+def test_trim_is_a_filter(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet").select("o_orderkey", "o_totalprice")
-    removed, k = extreme_rows(o, "o_totalprice", ["o_orderkey"], 0.001, "high")
-    p = plan(removed)
-    assert "TakeOrderedAndProject(limit=15" in p and "GreaterThanOrEqual(o_totalprice" in p
-    assert removed.count() == k == 15
+    cand, k = trim_candidates(o, "o_totalprice", 0.001, "high")
+    assert k == 15 and k <= cand.count() <= 6 * k and "GreaterThanOrEqual(o_totalprice" in plan(cand)
+    p = plan(trim_extreme(o, "o_totalprice", ["o_orderkey"], 0.001, "high"))
+    assert "Join" not in p and "Exchange" not in p
 
 
-def test_bucketed_window_partitions_by_entity_and_bucket(spark):
+def test_neighbours_do_not_shuffle_by_entity_or_month(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the sort-merge plan of large data
     try:
-        nb = neighbour_values(o, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"])
-        p = plan(nb)
+        p = plan(neighbour_values(o, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"]))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert re.search(r"Window \[.*\], \[__k_e#\d+L, __k_en#\d+, __k_b#\d+, __k_bn#\d+\]", p)
-    # the edge join reuses the window's partitioning: the big side is shuffled
-    # once (for the window), never again for the join
+    assert "SortAggregate" not in p
+    assert "orders.parquet" not in p  # the source was read once, for the written table
     lines = p.splitlines()
     assert sum("SortMergeJoin" in ln for ln in lines) == 1
-    four = [ln for ln in lines if re.search(r"Exchange hashpartitioning\(__k_e#\d+L, __k_en#\d+, __k_b#\d+, __k_bn#\d+", ln)]
-    assert len(four) == 3  # big window, narrow edge window, the small edge table
-    assert not any("Exchange" in ln and "coalesce(" in ln for ln in lines)
+    # the frame and the small table of edges go by (range, entity); nothing else moves the frame
+    moved = [ln for ln in lines if "Exchange hashpartitioning" in ln]
+    assert len(moved) == 4 and sum("__range" in ln for ln in moved) == 3
 
 
 def test_domain_violations_without_join(spark):
