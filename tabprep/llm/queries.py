@@ -84,7 +84,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules_forest.judge(docs, rules_forest.fit(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op9_warc")
+OP9_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h,
+    max(page_id) over (partition by coalesce(html, '')) as kept from pages),
+g as (
+  select *, list_transform(range(8), lambda i: cast('0x' || substr(h, 5 * i + 1, 5) as integer)) as bits,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' as letters from p)
+select page_id, cast(strlen(body) as bigint) as payload_bytes,
+  array_to_string(list_transform(bits, lambda v: letters[(v >> 15) + 1] || letters[((v >> 10) & 31) + 1]
+    || letters[((v >> 5) & 31) + 1] || letters[(v & 31) + 1]), '') as payload_digest,
+  case when page_id = kept then 'response' else 'revisit' end as record_type,
+  case when page_id = kept then null else kept end as refers_to
+from g
+"""
+
+
+@query("op9_warc", OP9_SQL)
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_warc(table(spark, sf_dir, "pages"))
     return warc.read_warc(spark, folder, payloads=False).select(
@@ -108,12 +124,53 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", crf_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-@query("op4_ngram_join")
+OP4_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as gram
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+link as (
+  select a.doc_id as a, b.doc_id as b from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id
+  join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+edge as (select a, b from link union all select b, a from link),
+reach(v, u) as (select doc_id, doc_id from d union select reach.v, edge.b from reach join edge on reach.u = edge.a)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id
+from d left join n using (doc_id) join (select v as doc_id, min(u) as component_id from reach group by v) c using (doc_id)
+"""
+
+
+@query("op4_ngram_join", OP4_SQL)
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-@query("op3_suffix_dedup")
+OP3_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as materialized (
+  select doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) as s
+  from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as i from d where len(h) >= 100)),
+least_id as (select s, min(doc_id) as first from w group by s),
+hit as (select doc_id, i from w join least_id using (s) where first < doc_id),
+step as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from hit),
+span_start as (
+  select doc_id, i, sum(case when before is null or i > before + 50 then 1 else 0 end)
+    over (partition by doc_id order by i) as k from step),
+span as (select doc_id, k, min(i) as x, max(i) + 50 as y from span_start group by doc_id, k),
+cut as (
+  select doc_id, cast(sum(y - x) as bigint) as n_removed, count(*) as n_spans,
+    list(x order by x) || [null] as xs, [0] || list(y order by x) as ys from span group by doc_id)
+select d.doc_id, cast(len(h) // 2 as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when n_spans is null then h else array_to_string(list_transform(range(1, len(xs) + 1),
+    lambda k: substr(h, 2 * ys[k] + 1, 2 * (coalesce(xs[k], len(h) // 2) - ys[k]))), '') end)) as kept_sha256
+from d left join cut using (doc_id)
+"""
+
+
+@query("op3_suffix_dedup", OP3_SQL)
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.cut_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
