@@ -14,10 +14,10 @@ vertex is a distinct set, so copies cost nothing after the first step.
    n-grams that no other set has come first and join nothing.
 3. *Joining.*  Sets that share a prefix n-gram are candidates if they pass the length filter, the
    positional filter and the suffix filter (an upper bound of the overlap from the sizes of the sets'
-   parts).  To avoid all pairs within a large group, the first rounds pair each
-   set with one leader of its posting lists, and sets already in one component are not
+   parts).  To avoid all pairs within a large group, the first rounds pair sets
+   with one leader of each posting list, and sets already in one component are not
    paired again; a last round pairs all that share a prefix n-gram and are still in different
-   components, so no link between components is missed.  Every pair is verified once on the
+   components, once for each pair, so no link between components is missed.  Every pair is verified once on the
    whole sets.
 
 An n-gram is its 64-bit hash; a link could be wrong only if n-grams of
@@ -47,6 +47,7 @@ PERCENT = 75
 CHUNK_GRAMS = 1_500_000
 CHUNK_SETS = 60_000
 PARTS = 16
+RECENT = 8
 SHARED = 0xFFFF  # in place of a set's number: several sets of the chunk have the n-gram
 
 
@@ -219,7 +220,8 @@ def whole_sets(docs: DataFrame, members: DataFrame, kept: DataFrame, size: int,
 
 
 def postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(gram, vid, n, place): the prefix of each set in rare-first order, without n-grams of one set alone."""
+    """(gram, vid, n, place, before): the prefix of each set in rare-first order, without n-grams of one set alone; ``before``
+    are the RECENT n-grams of the prefix that precede it."""
     def run(batches):
         import pyarrow as pa
 
@@ -238,8 +240,10 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.size("shared")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     cut = ordered.withColumn("alone", alone).withColumn("own", length - alone).filter("own > 0").select(
-        "vid", "n", "alone", F.posexplode(F.slice("shared", 1, F.col("own"))).alias("i", "s"))
-    return materialize(cut.select("s.gram", "vid", "n", (F.col("alone") + F.col("i")).alias("place")), "join-postings")
+        "vid", "n", "alone", "shared", F.posexplode(F.slice("shared", 1, F.col("own"))).alias("i", "s"))
+    recent = F.slice(F.col("shared.gram"), F.greatest(F.col("i") - RECENT + 1, F.lit(1)), F.least(F.col("i"), F.lit(RECENT)))
+    return materialize(cut.select("s.gram", "vid", "n", (F.col("alone") + F.col("i")).alias("place"), recent.alias("before")),
+                       "join-postings")
 
 
 def may_link(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
@@ -255,25 +259,29 @@ def with_components(posted: DataFrame, labels: DataFrame | None) -> DataFrame:
     return posted.join(named, "vid", "left").withColumn("comp", F.coalesce("comp__", "vid")).drop("comp__")
 
 
-def leader_pairs(posted: DataFrame, last: bool, percent: int) -> DataFrame:
-    """(a, b): each set with the leader that it shares most prefix n-grams with, if that is in another component."""
-    pick = F.max if last else F.min
-    leaders = posted.groupBy("gram").agg(pick(F.struct("vid", "comp", "n", "place")).alias("l"),
+def leader_pairs(posted: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): sets with leaders of their posting lists that are in other components. Every list has one leader, drawn anew by
+    hash each turn, so there are at most as many pairs as postings. In the first turn a set takes only the leader that
+    it shares most prefix n-grams with, which is enough for most."""
+    drawn = F.col("vid") if turn == 0 else F.xxhash64(F.lit(turn), "gram", "vid")
+    leaders = posted.groupBy("gram").agg(F.min(F.struct(drawn.alias("draw"), "vid", "comp", "n", "place")).alias("l"),
                                          F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-    rows = posted.join(leaders, "gram").filter((F.col("comp") != F.col("l.comp")) & may_link(
+    rows = posted.drop("before").join(leaders, "gram").filter((F.col("comp") != F.col("l.comp")) & may_link(
         F.col("n"), F.col("place"), F.col("l.n"), F.col("l.place"), percent))
     counted = rows.groupBy("vid", F.col("l.vid").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    return counted.groupBy("vid").agg(F.max_by("b", F.struct("k", "b")).alias("b")).select(
-        F.least("vid", "b").alias("a"), F.greatest("vid", "b").alias("b")).distinct()
+    if turn == 0:
+        counted = counted.groupBy("vid").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+    return counted.select(F.least("vid", "b").alias("a"), F.greatest("vid", "b").alias("b")).distinct()
 
 
 def remaining_pairs(posted: DataFrame, percent: int) -> DataFrame:
     """(a, b): all sets of different components that share a prefix n-gram and pass the filters."""
     mixed = posted.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("gram")
     own = posted.join(mixed, "gram", "left_semi")
-    other = own.select("gram", *[F.col(c).alias(f"{c}2") for c in ("vid", "n", "place", "comp")])
+    other = own.select("gram", *[F.col(c).alias(f"{c}2") for c in ("vid", "n", "place", "comp", "before")])
+    # A pair counts at the first n-gram it shares. Where the n-grams just before have one in common, it is not the first.
     rows = own.join(other, "gram").filter((F.col("vid") < F.col("vid2")) & (F.col("comp") != F.col("comp2")) & may_link(
-        F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent))
+        F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent) & ~F.arrays_overlap("before", "before2"))
     return rows.select(F.col("vid").alias("a"), F.col("vid2").alias("b")).distinct()
 
 
@@ -308,13 +316,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long")
 
 
-def linked_sets(sets: DataFrame, percent: int, leader_rounds: int = 3) -> DataFrame | None:
+def linked_sets(sets: DataFrame, percent: int, leader_rounds: int = 4) -> DataFrame | None:
     """(v, component) of the sets that have links; None if there are none."""
     posted = postings(sets, percent)
     links, tested, labels = None, None, None
     for turn in range(leader_rounds + 1):
         current = with_components(posted, labels)
-        pairs = leader_pairs(current, turn % 2 == 1, percent) if turn < leader_rounds else remaining_pairs(current, percent)
+        pairs = leader_pairs(current, turn, percent) if turn < leader_rounds else remaining_pairs(current, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "join-pairs")
