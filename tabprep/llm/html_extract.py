@@ -33,7 +33,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, small
+from .common import arrow_schema, batches_of, materialize, small
 
 MIN_PAGES = 3
 MIN_SHARE = 0.5
@@ -88,7 +88,13 @@ def tokens(page: str):
     stack: list[tuple[str, str, bool]] = []  # (tag, path, boilerplate)
     at, n = 0, len(page)
     while at < n:
-        found = TOKEN.search(page, at)
+        found, start = None, at
+        while not found:  # a "<" that starts no tag is text
+            start = page.find("<", start)
+            if start < 0:
+                break
+            found = TOKEN.match(page, start)
+            start += 1
         text = page[at:found.start()] if found else page[at:]
         if text:
             _, path, bad = stack[-1] if stack else ("", "", False)
@@ -178,7 +184,7 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, main_path): the path of the main slot in the template of each host that has one."""
-    vectors = occurrence_vectors(pages)
+    vectors = materialize(occurrence_vectors(pages), "page-vectors")  # read by several branches
     host_pages = pages.groupBy(host_column().alias("host")).agg(F.count(F.lit(1)).alias("host_pages")).filter(
         F.col("host_pages") >= min_pages)
     tags = vectors.filter("text_hash = 0").join(host_pages, "host")
