@@ -25,6 +25,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from .bpe import byte_alphabet, clean_edges, read_spec
 from .common import arrow_schema, batches_of, filesystem, scratch_path, worker_state
 
-CACHE_UNITS = 500_000
+#: Units that a worker remembers; when they are too many it keeps the first CORE_UNITS, among which are the common words.
+CACHE_UNITS = 550_000
+CORE_UNITS = 200_000
 CACHE_CHARS = 64
 PUNCTUATION = ".,;:!?%$&*#|"
 SHARD_BYTES = 64 << 20
@@ -102,44 +105,52 @@ class UnitEncoder:
             out += [body, line[len(body):]] if len(body) < len(line) and body[-1:].isalpha() and body[-1] < "\u0250" else [line]
         return out
 
-    def learn(self, parts: list[str]) -> None:
-        """Remembers the packed ids of units."""
-        pieces, cuts = self.pieces, [self.cut(" " + p) for p in parts]
-        new = [x for x in dict.fromkeys(x for c in cuts for x in c) if x not in pieces]
-        if len(pieces) + len(new) > CACHE_UNITS:
-            pieces.clear()
-            new = list(dict.fromkeys(x for c in cuts for x in c))
-        plain = {x for x in new if (x[1:] if x[0] == " " else x).isalpha() and max(x) < "\u0250"}
+    def learn(self, parts: set[str]) -> None:
+        """Remembers the packed ids of units. A piece that begins with a space is itself a unit."""
+        units, pieces = self.units, self.pieces
+        cuts = {p: self.cut(" " + p) for p in parts}
+        wanted = {x for c in cuts.values() for x in c}
+        new = [x for x in wanted if (x[1:] not in units if x[0] == " " else x not in pieces)]
+        found = {}
         tokenize, to_text = self.tokenizer.model.tokenize, self.alphabet.__getitem__
-        for x in plain:  # letters alone are one pre-token, which goes to the library's model
-            pieces[x] = array(self.kind, [t.id for t in tokenize("".join(map(to_text, x.encode())))]).tobytes()
-        mixed = [x for x in new if x not in plain]
-        if mixed:
-            found = self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False)
-            pieces.update((x, array(self.kind, e.ids).tobytes()) for x, e in zip(mixed, found))
-        self.units.update((p, b"".join([pieces[x] for x in c])) for p, c in zip(parts, cuts))
+        mixed = []
         for x in new:
-            if len(x) > CACHE_CHARS:
-                del pieces[x]
+            if (x[1:] if x[0] == " " else x).isalpha() and max(x) < "\u0250":  # one pre-token, for the library's model
+                found[x] = array(self.kind, [t.id for t in tokenize("".join(map(to_text, x.encode())))]).tobytes()
+            else:
+                mixed.append(x)
+        if mixed:
+            encoded = self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False)
+            found.update((x, array(self.kind, e.ids).tobytes()) for x, e in zip(mixed, encoded))
+        for x, packed in found.items():
+            if x[0] == " ":
+                units[x[1:]] = packed
+            else:
+                pieces[x] = packed
+        for p, c in cuts.items():
+            if len(c) > 1:
+                units[p] = b"".join([units[x[1:]] if x[0] == " " else pieces[x] for x in c])
 
     def encode(self, text: str) -> bytes:
         """Packed ids of the whole text."""
-        parts = text.split(" ")
-        if len(parts) < 3 or not all(map(clean_edges, (parts[0], parts[-1]))) or any(s in text for s in self.special):
+        first, *rest = text.split(" ")
+        if len(rest) < 2 or not clean_edges(first) or any(s in text for s in self.special):
             return self.whole(text)
-        known = self.units
-        new = [p for p in dict.fromkeys(parts[1:]) if p not in known]
+        units = self.units
+        new = set(rest).difference(units)
         if new:
             if not all(map(clean_edges, new)):  # white space beside a space: the text is not cut
                 return self.whole(text)
-            if len(known) + len(new) > CACHE_UNITS:
-                known.clear()
-                new = list(dict.fromkeys(parts[1:]))
+            if len(units) + len(new) > CACHE_UNITS:
+                units = self.units = dict(islice(units.items(), CORE_UNITS))
+                self.pieces.clear()
+                new = set(rest).difference(units)
             self.learn(new)
-        out = b"".join([self.whole(parts[0]), *[known[p] for p in parts[1:]]])
-        for p in new:
-            if len(p) > CACHE_CHARS:
-                del known[p]
+        out = b"".join([self.whole(first), *map(units.__getitem__, rest)])
+        for long in [p for p in new if len(p) > CACHE_CHARS]:
+            for x in self.cut(" " + long):
+                (self.units if x[0] == " " else self.pieces).pop(x[1:] if x[0] == " " else x, None)
+            units.pop(long, None)
         return out
 
 
