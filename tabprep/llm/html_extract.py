@@ -5,17 +5,16 @@ texts between them.  A token's occurrence vector says how often each page of
 the host has it.  Vectors are compared by signature, a sum over pages of a hash of
 the page times the count, which is aggregated with a map-side combine, so a host
 that holds a third of all pages is never gathered.  Tokens of a host with equal
-vectors form an equivalence class.  A class is valid if enough pages have it and
-its tags nest: the path of each tag's parent belongs to a class with at least as many pages.
-The valid classes, nested by path, are the host's template; what lies between its
-tags are the slots.
+vectors form an equivalence class.  A class is accepted or rejected whole: it needs tags and
+enough pages, and it must nest, that is, lie in one other valid class.  The valid classes, with the texts
+in them that all pages have, are the host's template; what lies between its tags are the slots.
 
 Slots under elements for menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments are boilerplate.  The main slot is the template's ``article``, else its
-``main``; if it has neither, it is the path whose slots hold most text that
-differs between pages.  A page of a host without a template is read by
-the same rules with its own tags as the template.  The blocks of the main slot give
-the text; nothing inside it is dropped but nested boilerplate.
+``main``, and nothing inside these is dropped but nested boilerplate.  If the template has neither, the
+pages of the host are read again: the main slot is the container of the template whose slots hold most
+text, without the template's own, which is left out of the result too.  A page of a host without a template is read by
+the same rules with its own tags as the template.  The blocks of the main slot give the text.
 
 Defined cases: NULL or empty html gives an empty text; a page without a main slot
 gives the text of its body without boilerplate; repeated rows give a row each;
@@ -53,6 +52,8 @@ BOILERPLATE_WORDS = frozenset(
     "breadcrumb breadcrumbs header masthead footer sidebar aside notice notices cookie cookies consent gdpr popup modal "
     "overlay newsletter subscribe signup login comment comments disqus reply replies respond share sharing social related "
     "recommended widget pagination pager toolbar".split())
+#: Elements that can be the main slot where a template has neither article nor main.
+CONTAINERS = ("body", "center", "dd", "div", "section", "table", "tbody", "td", "tr")
 #: A start tag of these closes an open paragraph.
 CLOSES_P = BLOCKS - {"body", "html", "caption", "legend", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li"}
 
@@ -149,10 +150,14 @@ def signature(page_key: str, n: int) -> int:
     return ((zlib.crc32(data) << 29) ^ zlib.crc32(data[::-1] + b"\x01")) * n % (1 << 31)
 
 
+def hash_of(text: str) -> int:
+    return zlib.crc32(text.encode()) + 1
+
+
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """(host, path, text_hash, n_pages, vector, chars): a row for each host and token. Tag tokens have the hash 0; a
+    """(host, path, text_hash, n_pages, vector): a row for each host and token. Tag tokens have the hash 0; a
     text token's hash is that of its text."""
-    ddl = "host string, path string, text_hash long, n_pages long, vector long, chars long"
+    ddl = "host string, path string, text_hash long, n_pages long, vector long"
 
     def run(batches):
         for b in batches:
@@ -160,56 +165,119 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
             for page_id, url, page in zip(*(b.column(i) for i in range(3))):
                 url, page = url.as_py(), page.as_py() or ""
                 counts: Counter = Counter()
-                chars: Counter = Counter()
                 for kind, _, path, bad, text in tokens(page):
                     if kind in ("open", "void"):
                         counts[path, 0] += 1
                     elif kind == "text" and not bad and (text := " ".join(text.split())):
-                        key = path, zlib.crc32(text.encode()) + 1
-                        counts[key] += 1
-                        chars[key] += len(text)
+                        counts[path, hash_of(text)] += 1
                 host, key = host_of(url), f"{page_id.as_py()}|{url}"
                 for (path, text_hash), n in counts.items():
-                    # Texts of one page alone belong to no class; they only add to their path's differing text.
-                    row = held.setdefault((host, path, text_hash), [0, 0, 0])
+                    row = held.setdefault((host, path, text_hash), [0, 0])
                     row[0] += 1
                     row[1] += signature(key, n)
-                    row[2] += chars[path, text_hash]
             yield from batches_of(((*k, *v) for k, v in held.items()), arrow_schema(ddl), 20000)
 
     rows = pages.select("page_id", "url", "html").mapInArrow(run, ddl)
     return rows.groupBy("host", "path", "text_hash").agg(
-        F.sum("n_pages").alias("n_pages"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"))
+        F.sum("n_pages").alias("n_pages"), F.sum("vector").alias("vector"))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, main_path): the path of the main slot in the template of each host that has one."""
-    vectors = materialize(occurrence_vectors(pages), "page-vectors")  # read by several branches
+def valid_classes(tokens_of: list[tuple[str, int, int, int]]) -> set[tuple[int, int]]:
+    """The valid equivalence classes (n_pages, vector) of a host's frequent tokens (path, text_hash, n_pages, vector).
+    A class is accepted or rejected whole: it has tags, and it lies in one other valid class, that is, the parents of its
+    tags that are not its own belong to one valid class, or there are none."""
+    class_of = {path: (n, vector) for path, text_hash, n, vector in tokens_of if not text_hash}
+    outer: dict[tuple, set] = defaultdict(set)
+    for path, own in class_of.items():
+        parent = path.rpartition("/")[0]
+        outer[own] |= {class_of.get(parent)} - {own} if parent else set()
+    valid = {c for c, of in outer.items() if len(of) <= 1}
+    while rejected := {c for c in valid if not outer[c] <= valid}:
+        valid -= rejected
+    return valid
+
+
+def named_slot(tags: list[str]) -> str | None:
+    """The outermost ``article`` of a template's tags, else its outermost ``main``."""
+    for name in ("article", "main"):
+        found = [p for p in tags if step_tag(p) == name]
+        if found:
+            return min(found, key=lambda p: (p.count("/"), p))
+    return None
+
+
+def step_tag(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+def deduced(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """(host, path, text_hash, named): the tokens of each host's template; ``named`` marks its article or main."""
+    vectors = occurrence_vectors(pages)
     host_pages = pages.groupBy(host_column().alias("host")).agg(F.count(F.lit(1)).alias("host_pages")).filter(
         F.col("host_pages") >= min_pages)
-    tags = vectors.filter("text_hash = 0").join(host_pages, "host")
-    classes = tags.groupBy("host", "n_pages", "vector").agg(F.count(F.lit(1)).alias("class_size"))
-    frequent = tags.filter(F.col("n_pages") >= min_share * F.col("host_pages")).join(
-        classes, ["host", "n_pages", "vector"]).select("host", "path", "n_pages", "class_size")
-    # A tag nests if its parent is in the template too and on at least as many pages.
-    parent = F.regexp_replace("path", "/[^/]*$", "")
-    parents = frequent.select("host", F.col("path").alias("parent"), F.col("n_pages").alias("parent_pages"))
-    nested = frequent.withColumn("parent", parent).join(parents, ["host", "parent"], "left").filter(
-        (F.col("parent") == "") | (F.col("parent_pages") >= F.col("n_pages"))).select("host", "path", "class_size")
-    # Text that all pages share is the template's own; the rest fills slots.
-    slots = vectors.filter("text_hash != 0").join(host_pages, "host").filter(
-        F.col("n_pages") < F.col("host_pages")).groupBy("host", "path").agg(F.sum("chars").alias("chars"))
-    step = F.regexp_extract("path", "/([a-z0-9]+)[^/]*$", 1)
-    rank = F.when(step == "article", 3).when(step == "main", 2).otherwise(1)
-    depth = F.size(F.split("path", "/"))
-    container = nested.join(slots, ["host", "path"], "left").withColumn("rank", rank).withColumn("depth", depth)
-    # Where neither article nor main is in the template: the parent of the paths with most differing text.
-    fallback = slots.withColumn("path", parent).groupBy("host", "path").agg(F.sum("chars").alias("chars")).filter(
-        "path rlike '/body'").groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("fallback"))
-    named = container.filter("rank > 1").groupBy("host").agg(
-        F.max_by("path", F.struct("rank", -F.col("depth"), "path")).alias("named"))
-    return host_pages.select("host").join(named, "host", "left").join(fallback, "host", "left").select(
-        "host", F.coalesce("named", "fallback").alias("main_path")).filter("main_path is not null")
+    # A page has at least min_share of a host's frequent tags on average, so their number is bounded by that of a page. A text
+    # is the template's own only if all pages have it: a repeated page is no template.
+    frequent = vectors.join(host_pages, "host").filter(F.when(F.col("text_hash") == 0, F.col("n_pages") >= min_share * F.col(
+        "host_pages")).otherwise(F.col("n_pages") == F.col("host_pages")))
+    ddl = "host string, path string, text_hash long, named boolean"
+
+    def run(table):
+        import pyarrow as pa
+
+        host, *of = (table.column(c).to_pylist() for c in ("host", "path", "text_hash", "n_pages", "vector"))
+        of = list(zip(*of))
+        valid = valid_classes(of)
+        kept = [(path, text_hash) for path, text_hash, *own in of if tuple(own) in valid]
+        slot = named_slot([path for path, text_hash in kept if not text_hash])
+        out = [(host[0], path, text_hash, not text_hash and path == slot) for path, text_hash in kept]
+        schema = arrow_schema(ddl)
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
+
+    return frequent.select("host", "path", "text_hash", "n_pages", "vector").groupBy("host").applyInArrow(run, ddl)
+
+
+def slot_chars(pages: DataFrame, template: DataFrame) -> DataFrame:
+    """(host, path, chars): unmarked text in the slots of each container of the template, without the template's own text.
+    A text counts for the innermost container it lies in."""
+    ddl = "host string, path string, chars long"
+
+    def run(batches):
+        for b in batches:
+            held: Counter = Counter()
+            known: dict[str, tuple[set, set]] = {}
+            for host, page, paths, texts in zip(*(b.column(i) for i in range(4))):
+                host = host.as_py()
+                if host not in known:
+                    known[host] = set(paths.as_py()), {(t["path"], t["text_hash"]) for t in texts.as_py()}
+                containers, own = known[host]
+                for kind, _, path, bad, text in tokens(page.as_py() or ""):
+                    if kind == "text" and not bad and (text := " ".join(text.split())) and (path, hash_of(text)) not in own:
+                        while path and path not in containers:
+                            path = path.rpartition("/")[0]
+                        held[host, path] += len(text)
+            yield from batches_of(((*k, n) for k, n in held.items()), arrow_schema(ddl), 20000)
+
+    rows = pages.select(host_column().alias("host"), "html").join(small(template), "host").select("host", "html", "paths", "texts")
+    return rows.mapInArrow(run, ddl).groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, main_path, texts): the path of the main slot in the template of each host that has one. ``texts`` are the
+    template's own (path, text_hash) where the main slot is neither an article nor a main."""
+    found = materialize(deduced(pages, min_pages, min_share), "page-template")  # read by several branches
+    texts_type = "array<struct<path:string,text_hash:bigint>>"
+    named = found.filter("named").select("host", F.col("path").alias("main_path"), F.array().cast(texts_type).alias("texts"))
+    rest = found.join(small(named.select("host")), "host", "left_anti")
+    if not rest.head(1):
+        return named
+    tag = F.regexp_extract("path", "/([a-z0-9]+)[^/]*$", 1)
+    template = materialize(rest.groupBy("host").agg(
+        F.collect_list(F.when((F.col("text_hash") == 0) & tag.isin(*CONTAINERS), F.col("path"))).alias("paths"),
+        F.collect_list(F.when(F.col("text_hash") != 0, F.struct("path", "text_hash"))).cast(texts_type).alias("texts")),
+        "page-open-template")
+    chosen = slot_chars(pages, template).filter("path != ''").groupBy("host").agg(
+        F.max_by("path", F.struct("chars", "path")).alias("main_path"))
+    return named.unionByName(chosen.join(template, "host").select("host", "main_path", "texts"))
 
 
 def host_column():
@@ -243,8 +311,9 @@ def under(path: str, top: str) -> bool:
     return path == top or path.startswith(top + "/")
 
 
-def main_text(page: str | None, main_path: str | None) -> str:
-    """The main text of a page; ``main_path`` is that of its host's template, or None."""
+def main_text(page: str | None, main_path: str | None, texts=frozenset()) -> str:
+    """The main text of a page; ``main_path`` is that of its host's template, or None, and ``texts`` the template's own
+    (path, text_hash), which are left out of a slot that is neither article nor main."""
     if not page:
         return ""
     items = list(tokens(page))
@@ -257,6 +326,8 @@ def main_text(page: str | None, main_path: str | None) -> str:
             tops = set(named)
     else:
         tops = set(named)
+    if texts and tops == {main_path} and not named:
+        items = [x for x in items if x[0] != "text" or (x[2], hash_of(" ".join(x[4].split()))) not in texts]
     if tops:
         found = blocks_under(items, lambda path, bad: not bad and any(under(path, t) for t in tops))
     else:
@@ -273,10 +344,11 @@ def extract(pages: DataFrame, **options) -> DataFrame:
     def run(batches):
         def rows():
             for b in batches:
-                for page_id, url, page, main_path in zip(*(b.column(i) for i in range(4))):
-                    text = main_text(page.as_py(), main_path.as_py())
+                for page_id, url, page, main_path, texts in zip(*(b.column(i) for i in range(5))):
+                    texts = frozenset((t["path"], t["text_hash"]) for t in texts.as_py() or ())
+                    text = main_text(page.as_py(), main_path.as_py(), texts)
                     yield page_id.as_py(), url.as_py(), text, len(text)
 
         yield from batches_of(rows(), arrow_schema(ddl), 500)
 
-    return chosen.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main_path").mapInArrow(run, ddl)
+    return chosen.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main_path", "texts").mapInArrow(run, ddl)

@@ -315,6 +315,21 @@ def test_template_without_article(spark):
         f"long differing text number {i}\n\nmore of it {i}" for i in range(5)}
 
 
+def test_classes_decide_the_template(spark):
+    root, odd = (6, 1), (4, 2)
+    of = [("/body", 0, *root), ("/body/div.a", 0, *root), ("/body/div.a/p", 0, 6, 9), ("/body/div.a/p", 7, *root)]
+    assert html_extract.valid_classes(of) == {root, (6, 9)}
+    # A class whose tags lie in two other classes is rejected whole, and with it what lies in it.
+    of += [("/body/i", 0, *odd), ("/body/div.a/p/article", 0, *odd), ("/body/i/b", 0, 3, 5)]
+    assert html_extract.valid_classes(of) == {root, (6, 9)}
+    # The template's own text is taken out of a main slot that is neither article nor main.
+    page = "<body><div class=text><span>Share this page with all of your friends</span><p>{a}</p><p>{b}</p></div></body>"
+    rows = [(i, "http://h/x", page.format(a=f"differing text number {i}", b=f"more of it {i}")) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in html_extract.extract(pages).collect()} == {
+        f"differing text number {i}\n\nmore of it {i}" for i in range(5)}
+
+
 # ---------------------------------------------------------------- 6, 8 quality
 
 @pytest.fixture(scope="module")
