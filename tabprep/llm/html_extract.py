@@ -11,7 +11,9 @@ in them that all pages have, are the host's template; what lies between its tags
 
 Slots under elements for menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments are boilerplate.  The main slot is the template's ``article``, else its
-``main``, and nothing inside these is dropped but nested boilerplate.  If the template has neither, the
+``main``, and nothing inside these is dropped but nested boilerplate.  A class or id marks
+boilerplate only as a whole token or id.  A page whose articles or mains all lie below marked elements is read
+from these, if they hold at least as much text as the rest; marks on their ancestors do not count.  If the template has neither, the
 pages of the host are read again: the main slot is the container of the template whose slots hold most
 text, without the template's own, which is left out of the result too.  A page of a host without a template is read by
 the same rules with its own tags as the template.  The blocks of the main slot give the text.
@@ -46,12 +48,14 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 BOILERPLATE = frozenset("nav header footer aside form script style noscript template iframe button select option "
                         "textarea input menu dialog svg canvas object embed head title noembed noframes xmp".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Words of a class or id that mark boilerplate.
+#: Whole class tokens or ids that mark boilerplate.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising sponsor sponsored promo banner nav navbar navigation menu menubar "
     "breadcrumb breadcrumbs header masthead footer sidebar aside notice notices cookie cookies consent gdpr popup modal "
     "overlay newsletter subscribe signup login comment comments disqus reply replies respond share sharing social related "
-    "recommended widget pagination pager toolbar".split())
+    "recommended widget pagination pager toolbar main-nav main-menu nav-menu site-nav site-header site-footer page-header "
+    "page-footer cookie-banner cookie-notice cookie-consent share-buttons social-share social-links related-posts "
+    "related-articles comment-list comments-area comment-form disqus_thread".split())
 #: Elements that can be the main slot where a template has neither article nor main.
 CONTAINERS = ("body", "center", "dd", "div", "section", "table", "tbody", "td", "tr")
 #: A start tag of these closes an open paragraph.
@@ -60,7 +64,6 @@ CLOSES_P = BLOCKS - {"body", "html", "caption", "legend", "summary", "tbody", "t
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 NAME = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-WORD = re.compile(r"[a-z]+")
 
 
 def is_boilerplate(tag: str, attributes: str) -> bool:
@@ -69,7 +72,8 @@ def is_boilerplate(tag: str, attributes: str) -> bool:
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for name, *values in NAME.findall(attributes):
-        words = WORD.findall("".join(values).lower())
+        value = "".join(values).lower()
+        words = [value.strip()] if name.lower() == "id" else value.split()
         known = BOILERPLATE_ROLES if name.lower() == "role" else BOILERPLATE_WORDS
         if any(w in known for w in words):
             return True
@@ -80,13 +84,14 @@ def label(tag: str, attributes: str) -> str:
     """A tag as a step of a path: with its class, which tells elements of a template apart."""
     for name, *values in NAME.findall(attributes) if attributes else ():
         if name.lower() == "class" and "".join(values):
-            return f"{tag}.{'.'.join(sorted(''.join(values).split()))}"
+            return f"{tag}.{'.'.join(sorted(''.join(values).split()))}".replace("/", "|")  # "/" parts the steps of a path
     return tag
 
 
 def tokens(page: str):
-    """(kind, tag, path, boilerplate, text): kind is open, close, void or text; path is that of the element."""
-    stack: list[tuple[str, str, bool]] = []  # (tag, path, boilerplate)
+    """(kind, tag, path, boilerplate, text): kind is open, close, void or text; path is that of the element; boilerplate
+    is the length of the path of the innermost boilerplate element around, or 0."""
+    stack: list[tuple[str, str, int]] = []  # (tag, path, boilerplate)
     at, n = 0, len(page)
     while at < n:
         found, start = None, at
@@ -98,7 +103,7 @@ def tokens(page: str):
             start += 1
         text = page[at:found.start()] if found else page[at:]
         if text:
-            _, path, bad = stack[-1] if stack else ("", "", False)
+            _, path, bad = stack[-1] if stack else ("", "", 0)
             yield "text", "", path, bad, text
         if not found:
             return
@@ -115,7 +120,7 @@ def tokens(page: str):
                 if stack[i][0] in ("article", "main", "body", "table") and tag not in ("body", "html", "article", "main"):
                     break
             else:
-                yield "void", tag, stack[-1][1] if stack else "", stack[-1][2] if stack else False, ""
+                yield "void", tag, stack[-1][1] if stack else "", stack[-1][2] if stack else 0, ""
             continue
         attributes = found[3] or ""
         if tag in CLOSES_P or tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
@@ -126,8 +131,9 @@ def tokens(page: str):
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        _, path, bad = stack[-1] if stack else ("", "", False)
-        path, bad = f"{path}/{label(tag, attributes)}", bad or is_boilerplate(tag, attributes)
+        _, path, bad = stack[-1] if stack else ("", "", 0)
+        path = f"{path}/{label(tag, attributes)}"
+        bad = len(path) if is_boilerplate(tag, attributes) else bad
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS:
             yield "void", tag, path, bad, ""
             continue
@@ -155,9 +161,9 @@ def hash_of(text: str) -> int:
 
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """(host, path, text_hash, n_pages, vector): a row for each host and token. Tag tokens have the hash 0; a
-    text token's hash is that of its text."""
-    ddl = "host string, path string, text_hash long, n_pages long, vector long"
+    """(host, path, text_hash, n_pages, vector, n_free): a row for each host and token. Tag tokens have the hash 0; a
+    text token's hash is that of its text. ``n_free`` of the pages have the path unmarked."""
+    ddl = "host string, path string, text_hash long, n_pages long, vector long, n_free long"
 
     def run(batches):
         for b in batches:
@@ -165,21 +171,25 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
             for page_id, url, page in zip(*(b.column(i) for i in range(3))):
                 url, page = url.as_py(), page.as_py() or ""
                 counts: Counter = Counter()
+                free: set[str] = set()
                 for kind, _, path, bad, text in tokens(page):
                     if kind in ("open", "void"):
                         counts[path, 0] += 1
+                        if not bad:
+                            free.add(path)
                     elif kind == "text" and not bad and (text := " ".join(text.split())):
                         counts[path, hash_of(text)] += 1
                 host, key = host_of(url), f"{page_id.as_py()}|{url}"
                 for (path, text_hash), n in counts.items():
-                    row = held.setdefault((host, path, text_hash), [0, 0])
+                    row = held.setdefault((host, path, text_hash), [0, 0, 0])
                     row[0] += 1
                     row[1] += signature(key, n)
+                    row[2] += path in free
             yield from batches_of(((*k, *v) for k, v in held.items()), arrow_schema(ddl), 20000)
 
     rows = pages.select("page_id", "url", "html").mapInArrow(run, ddl)
     return rows.groupBy("host", "path", "text_hash").agg(
-        F.sum("n_pages").alias("n_pages"), F.sum("vector").alias("vector"))
+        F.sum("n_pages").alias("n_pages"), F.sum("vector").alias("vector"), F.sum("n_free").alias("n_free"))
 
 
 def valid_classes(tokens_of: list[tuple[str, int, int, int]]) -> set[tuple[int, int]]:
@@ -224,16 +234,16 @@ def deduced(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
     def run(table):
         import pyarrow as pa
 
-        host, *of = (table.column(c).to_pylist() for c in ("host", "path", "text_hash", "n_pages", "vector"))
+        host, *of = (table.column(c).to_pylist() for c in ("host", "path", "text_hash", "n_pages", "vector", "n_free"))
         of = list(zip(*of))
-        valid = valid_classes(of)
-        kept = [(path, text_hash) for path, text_hash, *own in of if tuple(own) in valid]
-        slot = named_slot([path for path, text_hash in kept if not text_hash])
-        out = [(host[0], path, text_hash, not text_hash and path == slot) for path, text_hash in kept]
+        valid = valid_classes([x[:4] for x in of])
+        kept = [(path, text_hash, 2 * free >= n) for path, text_hash, n, vector, free in of if (n, vector) in valid]
+        slot = named_slot([path for path, text_hash, free in kept if free and not text_hash])
+        out = [(host[0], path, text_hash, not text_hash and path == slot) for path, text_hash, _ in kept]
         schema = arrow_schema(ddl)
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
 
-    return frequent.select("host", "path", "text_hash", "n_pages", "vector").groupBy("host").applyInArrow(run, ddl)
+    return frequent.select("host", "path", "text_hash", "n_pages", "vector", "n_free").groupBy("host").applyInArrow(run, ddl)
 
 
 def slot_chars(pages: DataFrame, template: DataFrame) -> DataFrame:
@@ -311,6 +321,15 @@ def under(path: str, top: str) -> bool:
     return path == top or path.startswith(top + "/")
 
 
+def marked_slots(items: list[tuple]) -> set[str]:
+    """The outermost articles, else mains, of a page that has them only below marked elements. Such a mark does not count, but
+    what lies in a menu, an aside or the like is not the page's own article."""
+    opened = [(path, tag) for kind, tag, path, _, _ in items if kind == "open" and tag in ("article", "main")]
+    opened = [(p, tag) for p, tag in opened if not any(step_tag("/" + x) in BOILERPLATE - {"form"} for x in p.split("/"))]
+    found = [p for p, tag in opened if tag == "article"] or [p for p, _ in opened]
+    return {p for p in found if not any(p != o and under(p, o) for o in found)}
+
+
 def main_text(page: str | None, main_path: str | None, texts=frozenset()) -> str:
     """The main text of a page; ``main_path`` is that of its host's template, or None, and ``texts`` the template's own
     (path, text_hash), which are left out of a slot that is neither article nor main."""
@@ -332,6 +351,10 @@ def main_text(page: str | None, main_path: str | None, texts=frozenset()) -> str
         found = blocks_under(items, lambda path, bad: not bad and any(under(path, t) for t in tops))
     else:
         found = blocks_under(items, lambda path, bad: not bad)
+    if not named and (marked := marked_slots(items)):
+        inner = blocks_under(items, lambda path, bad: any(under(path, t) and bad <= len(t) for t in marked))
+        if sum(map(len, inner)) >= sum(map(len, found)):
+            found = inner
     return "\n\n".join(found)
 
 

@@ -330,6 +330,21 @@ def test_classes_decide_the_template(spark):
         f"differing text number {i}\n\nmore of it {i}" for i in range(5)}
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<div class='layout has-sidebar'><p>skip</p><article><p>x</p></article></div>", "x"),
+    ("<div id='page' class='no-comments'><article><p>x</p></article></div>", "x"),
+    ("<div class='layout sidebar'><article><p>body text<div class=comments>c</div></article></div><p>q</p>", "body text"),
+    ("<form><div class=overlay><main><p>body text</main></div></form>", "body text"),
+    ("<article><h2 id='share-prices-rise'>h</h2><section id='related-work'>r</section><div class='social-science'>s</div>"
+     "<div class='box share'>n</div><div id=comments>c</div></article>", "h\n\nr\n\ns"),
+    ("<body><p>The page's own text</p><div class=related><article>teaser</article></div><aside><article>" + "t " * 99, "The page's own text"),
+])
+def test_marks_around_and_inside_the_slot(spark, html, text):
+    assert html_extract.main_text(html, None) == text
+    pages = spark.createDataFrame([(i, "http://h/x", html) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in html_extract.extract(pages).collect()} == {text}
+
+
 # ---------------------------------------------------------------- 6, 8 quality
 
 @pytest.fixture(scope="module")
