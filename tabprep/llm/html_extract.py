@@ -14,8 +14,8 @@ scripts, styles and comments are boilerplate.  The main slot is the template's `
 ``main``, and nothing inside these is dropped but nested boilerplate.  A class or id marks
 boilerplate only as a whole token or id.  A page whose articles or mains all lie below marked elements is read
 from these, if they hold at least as much text as the rest; marks on their ancestors do not count.  If the template has neither, the
-pages of the host are read again: the main slot is the container of the template whose slots hold most
-text, without the template's own, which is left out of the result too.  A page of a host without a template is read by
+pages of the host are read again: the main slot is the deepest container of the template that covers nearly
+all text in its slots, titles included, without the template's own text, which is left out of the result too.  A page of a host without a template is read by
 the same rules with its own tags as the template.  The blocks of the main slot give the text.
 
 Defined cases: NULL or empty html gives an empty text; a page without a main slot
@@ -38,6 +38,7 @@ from .common import arrow_schema, batches_of, materialize, small
 
 MIN_PAGES = 3
 MIN_SHARE = 0.5
+COVER = 0.95
 
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -247,13 +248,13 @@ def deduced(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
 
 
 def slot_chars(pages: DataFrame, template: DataFrame) -> DataFrame:
-    """(host, path, chars): unmarked text in the slots of each container of the template, without the template's own text.
-    A text counts for the innermost container it lies in."""
-    ddl = "host string, path string, chars long"
+    """(host, path, chars, titles): unmarked text in the slots of each container of the template, without the template's own text.
+    A text counts for the innermost container it lies in; ``titles`` are the characters of it that lie in an h1."""
+    ddl = "host string, path string, chars long, titles long"
 
     def run(batches):
         for b in batches:
-            held: Counter = Counter()
+            held: dict[tuple, list[int]] = {}
             known: dict[str, tuple[set, set]] = {}
             for host, page, paths, texts in zip(*(b.column(i) for i in range(4))):
                 host = host.as_py()
@@ -262,13 +263,32 @@ def slot_chars(pages: DataFrame, template: DataFrame) -> DataFrame:
                 containers, own = known[host]
                 for kind, _, path, bad, text in tokens(page.as_py() or ""):
                     if kind == "text" and not bad and (text := " ".join(text.split())) and (path, hash_of(text)) not in own:
+                        title = False
                         while path and path not in containers:
+                            title |= step_tag(path) == "h1"
                             path = path.rpartition("/")[0]
-                        held[host, path] += len(text)
-            yield from batches_of(((*k, n) for k, n in held.items()), arrow_schema(ddl), 20000)
+                        row = held.setdefault((host, path), [0, 0])
+                        row[0] += len(text)
+                        row[1] += len(text) * title
+            yield from batches_of(((*k, *v) for k, v in held.items()), arrow_schema(ddl), 20000)
 
     rows = pages.select(host_column().alias("host"), "html").join(small(template), "host").select("host", "html", "paths", "texts")
-    return rows.mapInArrow(run, ddl).groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    return rows.mapInArrow(run, ddl).groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.sum("titles").alias("titles"))
+
+
+def covering(slots: list[tuple[str, int, int]]) -> str | None:
+    """The deepest path with at least COVER of the characters, its own and those of the paths in it, and all of the titles."""
+    sums: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for path, chars, titles in slots:
+        while True:
+            sums[path][0] += chars
+            sums[path][1] += titles
+            if not path:
+                break
+            path = path.rpartition("/")[0]
+    chars, titles = sums[""]
+    found = [p for p, (n, t) in sums.items() if p and n >= COVER * chars and t == titles]
+    return max(found, key=lambda p: (p.count("/"), sums[p], p), default=None)
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -285,8 +305,17 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         F.collect_list(F.when((F.col("text_hash") == 0) & tag.isin(*CONTAINERS), F.col("path"))).alias("paths"),
         F.collect_list(F.when(F.col("text_hash") != 0, F.struct("path", "text_hash"))).cast(texts_type).alias("texts")),
         "page-open-template")
-    chosen = slot_chars(pages, template).filter("path != ''").groupBy("host").agg(
-        F.max_by("path", F.struct("chars", "path")).alias("main_path"))
+    ddl = "host string, main_path string"
+
+    def choose(table):
+        import pyarrow as pa
+
+        host, *slots = (table.column(c).to_pylist() for c in ("host", "path", "chars", "titles"))
+        return pa.table([pa.array(c, f.type) for c, f in zip(([host[0]], [covering(list(zip(*slots)))]), arrow_schema(ddl))],
+                        schema=arrow_schema(ddl))
+
+    # A row for each container of a template, whose number is bounded by that of a page.
+    chosen = slot_chars(pages, template).groupBy("host").applyInArrow(choose, ddl).filter("main_path is not null")
     return named.unionByName(chosen.join(template, "host").select("host", "main_path", "texts"))
 
 

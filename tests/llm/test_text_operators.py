@@ -345,6 +345,15 @@ def test_marks_around_and_inside_the_slot(spark, html, text):
     assert {r.text for r in html_extract.extract(pages).collect()} == {text}
 
 
+def test_body_in_sibling_containers(spark):
+    page = ("<body><div id=top class=top><p>Menu</p></div><div class=post><h1>T{i}</h1><div class=s1><p>first part {i} {i}</p></div>"
+            "<div class=s2><p>second part {i} which is longer</p></div></div><div class=foot><p>same</p></div></body>")
+    pages = spark.createDataFrame([(i, "http://h/x", page.format(i=i)) for i in range(5)], "page_id long, url string, html string")
+    assert [r.main_path for r in html_extract.templates(pages).collect()] == ["/body/div.post"]
+    assert {r.text for r in html_extract.extract(pages).collect()} == {
+        f"T{i}\n\nfirst part {i} {i}\n\nsecond part {i} which is longer" for i in range(5)}
+
+
 # ---------------------------------------------------------------- 6, 8 quality
 
 @pytest.fixture(scope="module")
