@@ -39,6 +39,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabprep.session import release
+
 from .common import arrow_schema, batches_of, materialize, small
 from .components import components
 
@@ -106,8 +108,9 @@ def source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def screened(docs: DataFrame, size: int, percent: int, buckets: int, text_col: str) -> DataFrame:
-    """(sig) of the sets that may have a link, besides some that have none."""
+def screened(docs: DataFrame, size: int, percent: int, buckets: int, text_col: str, written: list | None = None) -> DataFrame:
+    """(sig) of the sets that may have a link, besides some that have none. What the tasks send is written first, so that a
+    chunk has one name and one content whatever is computed again; its path goes to ``written``."""
     ddl = "bucket int, chunk string, kind int, a binary, b binary"
 
     def send(batches):
@@ -188,7 +191,7 @@ def screened(docs: DataFrame, size: int, percent: int, buckets: int, text_col: s
         kept = [a[own][16 * i:16 * i + 16] for i, n in enumerate(sizes.tolist()) if shared[i] >= shared_needed(n, percent)]
         return pa.table([pa.array(kept, pa.binary())], names=["sig"])
 
-    sent = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(send, ddl)
+    sent = materialize(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(send, ddl), "join-sent", written)
     answers = sent.groupBy("bucket").applyInArrow(answer, answer_ddl)
     return answers.groupBy("chunk").applyInArrow(decide, "sig binary").distinct()
 
@@ -342,7 +345,9 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     buckets = buckets or max(64, 4 * docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     members = materialize(document_sets(docs, size, id_col, text_col), "join-members")
-    kept = materialize(screened(docs, size, percent, buckets, text_col), "join-kept")
+    written: list[str] = []
+    kept = materialize(screened(docs, size, percent, buckets, text_col, written), "join-kept")
+    release(spark, written)
     sets = whole_sets(docs, members, kept, size, id_col, text_col)
     labels = linked_sets(sets, percent)
     classes = members.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id"))

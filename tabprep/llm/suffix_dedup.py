@@ -28,6 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabprep.session import release
+
 from .common import arrow_schema, batches_of, materialize, small, worker_state
 from .suffix_array import common_prefixes, suffix_array
 
@@ -126,8 +128,9 @@ def split_by(keys: np.ndarray, buckets: int):
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
 
 
-def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int) -> DataFrame:
-    """(d, t, anchors): the low 32 bits of the anchors that each document shares with another, sorted."""
+def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, written: list | None = None) -> DataFrame:
+    """(d, t, anchors): the low 32 bits of the anchors that each document shares with another, sorted. What the tasks send is
+    written first, so that a chunk has one name and one content whatever is computed again; its path goes to ``written``."""
     ddl = "bucket int, chunk string, kind int, a binary, b binary"
 
     def send(batches):
@@ -205,7 +208,7 @@ def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int) ->
         packed = [low[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
         return pa.table([pa.array(docs[has, 0]), pa.array(docs[has, 1]), pa.array(packed, pa.binary())], names=["d", "t", "anchors"])
 
-    sent = source.mapInArrow(send, ddl)
+    sent = materialize(source.mapInArrow(send, ddl), "dedup-sent-anchors", written)
     answers = sent.groupBy("bucket").applyInArrow(answer, answer_ddl)
     return answers.groupBy("chunk").applyInArrow(decide, "d long, t long, anchors binary").groupBy("d", "t").agg(
         F.first("anchors").alias("anchors"))
@@ -229,8 +232,9 @@ def smallest_owners(parts: list[bytes], owners: np.ndarray, length: int) -> list
     return [at[e - n:e - length + 1] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
-def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int) -> DataFrame:
-    """(d, t, cuts) of the documents that lose bytes: int32 pairs (start, end), merged and sorted."""
+def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, written: list | None = None) -> DataFrame:
+    """(d, t, cuts) of the documents that lose bytes: int32 pairs (start, end), merged and sorted. What the tasks send is
+    written first, as in ``shared_anchors``."""
     ddl = "bucket int, chunk string, kind int, a binary, b binary, c binary"
 
     def send(batches):
@@ -377,7 +381,7 @@ def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int) ->
         schema = arrow_schema("d long, t long, cuts binary")
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
 
-    sent = source.mapInArrow(send, ddl)
+    sent = materialize(source.mapInArrow(send, ddl), "dedup-sent-segments", written)
     answers = sent.groupBy("bucket").applyInArrow(answer, answer_ddl)
     return answers.groupBy("chunk").applyInArrow(decide, "d long, t long, cuts binary").groupBy("d", "t").agg(
         F.first("cuts").alias("cuts"))
@@ -391,9 +395,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = keyed(docs, id_col, text_col)
     copies = materialize(later_copies(source), "dedup-copies")
     firsts = source.filter("d is not null").join(small(copies), ["d", "t"], "left_anti")
-    shared = materialize(shared_anchors(firsts.select("d", "t", "text"), length, anchor, buckets), "dedup-anchors")
+    written: list[str] = []
+    shared = materialize(shared_anchors(firsts.select("d", "t", "text"), length, anchor, buckets, written), "dedup-anchors")
+    release(spark, written)
     meeting = firsts.join(shared, ["d", "t"]).select("d", "t", "text", "anchors")
-    cuts = materialize(smallest_runs(meeting, length, anchor, buckets), "dedup-cuts")
+    cuts = materialize(smallest_runs(meeting, length, anchor, buckets, written), "dedup-cuts")
+    release(spark, written)
     return cuts.withColumn("whole", F.lit(False)).unionByName(copies.select(
         "d", "t", F.lit(None).cast("binary").alias("cuts"), F.lit(True).alias("whole")))
 

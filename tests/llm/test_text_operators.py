@@ -276,6 +276,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_messages_are_written_before_they_are_shuffled(spark):
+    """A task that is computed again must not name its chunks anew, so no plan names chunks and shuffles them."""
+    docs = frame(spark, ROWS)
+    source = suffix_dedup.keyed(docs, "doc_id", "text").filter("d is not null")
+    shared = suffix_dedup.shared_anchors(source, 50, 24, 8)
+    meeting = source.join(shared, ["d", "t"]).select("d", "t", "text", "anchors")
+    for df in (shared, suffix_dedup.smallest_runs(meeting, 50, 24, 8), ngram_join.screened(docs, 5, 75, 8, "text")):
+        assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.count()
+
+
 # ---------------------------------------------------------------- 5 html
 
 PAGE = ("<!DOCTYPE html><html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href='/'>Home</a></nav>"
