@@ -21,13 +21,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of
+from .common import BROADCAST_ROWS, arrow_schema, batches_of
 
 SAMPLE_ROWS = 6000
 TREES = 120
 TREE_ROWS = 256
 MAX_GOOD_LOSS = 0.008
 GOOD_WEIGHT = 20
+#: Upper ends of the bins by which labelled rows are counted.
+EDGES = np.arange(10_001) / 10_000
 #: Standard deviations of the labelled sample by which cuts may lie outside a node's rows.
 MARGIN = 0.5
 MIN_WORDS = 50
@@ -146,16 +148,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def calibrate(good: np.ndarray, bad: np.ndarray, max_good_loss: float) -> float:
-    """The highest score to keep: of those that lose at most ``max_good_loss`` of the good rows, the one with the
-    least GOOD_WEIGHT * (share of good rows lost) + (share of bad rows kept)."""
-    limits = np.unique(good[good >= np.quantile(good, 1 - max_good_loss)])
-    lost = np.array([(good > t).mean() for t in limits])
-    kept = np.array([(bad <= t).mean() if len(bad) else 0.0 for t in limits])
-    return float(limits[np.argmin(GOOD_WEIGHT * lost + kept)])
+    """The highest score to keep, from the numbers of good and bad rows by score bin: of the EDGES that lose at most
+    ``max_good_loss`` of the good rows, the one with the least GOOD_WEIGHT * (share of good rows lost) + (share of bad rows kept)."""
+    lost = 1 - np.cumsum(good) / good.sum()
+    kept = np.cumsum(bad) / max(bad.sum(), 1)
+    cost = np.where(lost <= max_good_loss, GOOD_WEIGHT * lost + kept, np.inf)
+    return float(EDGES[np.argmin(cost)])
+
+
+def scored_bins(docs: DataFrame, labels: DataFrame, forest) -> DataFrame:
+    """(quality, bin, n): the labelled rows that pass the base rules by score; a score of bin i is at most EDGES[i]."""
+    labelled = labels.filter("quality is not null and doc_id is not null").groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if labelled.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else all are scored, as ids shuffle and texts do not
+        texts = texts.join(F.broadcast(labelled.select("doc_id")), "doc_id", "left_semi")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ids, ratios = [], []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                base, found = statistics(text.as_py())
+                if not base_failed(base[0], base[4]):
+                    ids.append(doc_id), ratios.append(found)
+            if ids:
+                bins = np.searchsorted(EDGES, np.minimum(forest.score(np.array(ratios, float)), 1.0))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bins.astype(np.int32))], names=["doc_id", "bin"])
+
+    return texts.mapInArrow(run, "doc_id long, bin int").join(labelled, "doc_id").groupBy("quality", "bin").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_good_loss: float = MAX_GOOD_LOSS):
-    """(forest, threshold), or None without labelled good rows."""
+    """(forest, threshold), or None without labelled good rows. The forest grows on a sample, the threshold covers all
+    labelled rows."""
     sample = labelled_sample(docs, labels, sample_rows)
 
     def run(batches):
@@ -171,14 +199,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
         yield from batches_of(rows(), arrow_schema(ddl))
 
     stats = sample.mapInArrow(run, "quality int, " + ", ".join(f"{c} double" for c in RATIOS))
-    got = stats.limit(4 * sample_rows).orderBy(*stats.columns).toPandas()  # bounded by the sample
+    # Ids may repeat in documents; a bounded sample by hash grows the forest, whatever the order of rows.
+    got = stats.orderBy(F.xxhash64(*stats.columns), *stats.columns).limit(4 * sample_rows).toPandas().sort_values(stats.columns)
     x = got[list(RATIOS)].to_numpy(float)
     good = x[(got["quality"] == 1).to_numpy()]
     if len(good) < 8:
         return None
     forest = IsolationForest(good, MARGIN * x.std(0) + 1e-9)
-    bad = x[(got["quality"] == 0).to_numpy()]
-    return forest, calibrate(forest.score(good), forest.score(bad), max_good_loss)
+    counts = np.zeros((2, len(EDGES)))
+    for r in scored_bins(docs, labels, forest).collect():  # at most two rows for each bin
+        if r.quality in (0, 1):
+            counts[r.quality, r.bin] += r.n
+    return forest, calibrate(counts[1], counts[0], max_good_loss)
 
 
 def judge(docs: DataFrame, model) -> DataFrame:

@@ -449,6 +449,18 @@ BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
+def test_threshold_covers_all_labelled_rows(spark, labelled):
+    rows, labels = labelled
+    docs = frame(spark, rows + rows[:50])  # repeated ids count as often as they occur
+    forest, limit = rules_forest.fit(docs, labels, sample_rows=40)
+    bins = rules_forest.scored_bins(docs, labels, forest).collect()
+    assert limit in rules_forest.EDGES and sum(r.n for r in bins) == sum(
+        not rules_forest.base_failed(s[0][0], s[0][4]) for s in (rules_forest.statistics(x) for _, x in rows + rows[:50]))
+    good = {r.bin: r.n for r in bins if r.quality == 1}
+    lost = sum(n for i, n in good.items() if rules_forest.EDGES[i] > limit)
+    assert lost <= rules_forest.MAX_GOOD_LOSS * sum(good.values())
+
+
 def luhn(digits):
     return sum(x - 9 if x > 9 else x for x in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits)))) % 10 == 0
 
