@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf_quality, decontam, html_extract, ngram_join, pii, records, rules_forest, suffix_dedup, warc
+from . import (bpe, crf_quality, decontam, html_extract, ngram_join, pii, ranked_search, records, rules_forest, suffix_dedup, url_filter,
+               warc, whitening)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +175,69 @@ from d left join cut using (doc_id)
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.cut_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+with d as (
+  select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as terms from documents),
+total as (
+  select cast(count(*) as bigint) as docs, cast(sum(len(terms)) as bigint) as words from d where len(terms) > 0),
+tf as (
+  select doc_id, n, term, cast(count(*) as bigint) as tf
+  from (select doc_id, cast(len(terms) as bigint) as n, unnest(terms) as term from d) group by all),
+item as (
+  select distinct item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) as term from benchmark),
+weight as (
+  select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w
+  from tf, total group by term, docs),
+scored as (
+  select item_id, doc_id,
+    cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) as bigint) as score
+  from item join weight using (term) join tf using (term), total group by item_id, doc_id),
+placed as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as place from scored where score > 0)
+select item_id, cast(place as integer) as rank, doc_id, score from placed where place <= 10
+"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+OP12_SQL = r"""
+with p as (
+  select page_id, coalesce(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as low,
+    case when contains(url, '://') then split_part(split_part(substr(url, instr(url, '://') + 3), '?', 1), '#', 1)
+      else '' end as rest from pages),
+u as (
+  select page_id, low, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    substr(rest, len(split_part(rest, '/', 1)) + 1) as path from p),
+rules(verdict, rhost, rpath) as (values %s),
+fits as (
+  select distinct low, host, path, rhost || rpath as rule, verdict,
+    row_number() over (partition by low, host, path order by len(rhost) desc, len(rpath) desc) as place
+  from (select distinct low, host, path from u) join rules
+    on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)),
+vocabulary(term, weight) as (values %s),
+hits as (
+  select low, sum(weight) as weight from (select distinct low from u) join vocabulary
+    on regexp_matches(low, '(^|[\x00-\x2F\x3A-\x60\x7B-\x7F])' || term || '([\x00-\x2F\x3A-\x60\x7B-\x7F]|$)')
+  group by low)
+select page_id, host, path, rule, coalesce(verdict, case when coalesce(weight, 0) >= %d then 'block' else 'allow' end) as verdict
+from u left join (select * from fits where place = 1) using (low, host, path) left join hits using (low)
+""" % (", ".join(map(str, url_filter.RULES)),
+       ", ".join(map(str, [*url_filter.SOFT.items(), *((t, url_filter.LIMIT) for t in url_filter.STRICT)])), url_filter.LIMIT)
+
+
+@query("op12_url_filter", OP12_SQL)
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
