@@ -8,10 +8,12 @@ have a term, L terms in all, n terms in a document, df documents that hold a ter
     impact = (10**9 * tf) div (1000 * tf + 8 * m)
     score = sum of w * impact over the terms of the query, once each
 
-*Index.*  Documents are range-partitioned by (m, hash), so that equal m meet and a normaliser that a third of all documents
-have is spread over many tasks.  A row of the written index is a segment: documents of one stratum (equal m), at most
-``SEGMENT_POSTINGS`` postings or one document.  Its postings are ordered by term and falling tf, as runs of equal tf:
-within a stratum an impact depends on tf alone, so it is computed once for each run, and the first run of a term bounds it.
+*Index.*  Strata lie side by side in the order of m, each as long as the bytes of its documents; a document's place in its stratum is
+its hash, and a task gets ``PART_BYTES`` of that line.  So equal m meet, a normaliser that a third of all documents have is
+spread over many tasks, and long documents weigh what they hold.  A row of the written index is a segment: documents of one
+stratum (equal m), at most ``SEGMENT_POSTINGS`` postings or one document.  Its postings are ordered by term and falling tf,
+as runs of equal tf: within a stratum an impact depends on tf alone, so it is computed once for each run, and the first run of
+a term bounds it.
 
 *Search.*  A segment's bound for a query is the sum of w * (impact of the first run) over the query's terms in it.  The
 segments with the highest bounds of the whole index are scored first and give each query a threshold: the score of
@@ -39,15 +41,18 @@ from pyspark.sql import functions as F
 
 from tabprep.session import release
 
-from .common import arrow_schema, batches_of, materialize
+from .common import arrow_schema, batches_of, materialize, small
 
 #: Fixed values of the score.
 UNIT, TF_WEIGHT, M_WEIGHT, M_BASE, M_SLOPE = 1_000_000_000, 1000, 8, 10, 90
 
 SEGMENT_POSTINGS = 500_000
 SEGMENT_DOCS = 0xFFFF
-#: Postings of the segments that a task orders by bound at a time.
-GROUP_POSTINGS = 8_000_000
+#: Postings, and bounds for queries, of the segments that a task orders at a time.
+GROUP_POSTINGS = 1_000_000
+GROUP_BOUNDS = 2_000_000
+#: Bytes of distinct terms and counts that a task turns into segments.
+PART_BYTES = 16_000_000
 BLOCK_TERMS = 200_000
 #: Segments scored first for each query, besides the k that are wanted.
 SEEDS = 6
@@ -84,11 +89,16 @@ def forward(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         yield (NO_ID if doc_id is None else doc_id, len(words), b" ".join(counts),
                                np.fromiter(counts.values(), np.int32, len(counts)).tobytes())
 
-        yield from batches_of(rows(), arrow_schema(FORWARD), 500)
+        yield from batches_of(rows(), arrow_schema(FORWARD), 64)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FORWARD)
 
 
+def values(batch):
+    """The rows of an Arrow batch, one at a time."""
+    return (tuple(v.as_py() for v in row) for row in zip(*batch.columns))
+
+
 def segment_row(m: int, held: list) -> tuple:
     """SEGMENT of documents (doc_id, terms, tfs) of one stratum."""
     import xxhash
@@ -116,7 +126,7 @@ def segments(batches):
     def rows():
         now, held, total = None, [], 0
         for b in batches:
-            for m, doc_id, terms, tfs in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for m, doc_id, terms, tfs in values(b):
                 if held and (m != now or total + len(tfs) // 4 > SEGMENT_POSTINGS or len(held) >= SEGMENT_DOCS):
                     yield segment_row(now, held)
                     held, total = [], 0
@@ -190,17 +200,18 @@ class Segment:
 
 
 def opened(batches, queries: Queries):
-    """Lists of Segments of at most GROUP_POSTINGS postings, or one segment."""
+    """Lists of Segments of at most GROUP_POSTINGS postings, or one segment. A list is emptied before the next one is read."""
     group, total = [], 0
     for b in batches:
         names = b.schema.names
-        for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
+        for row in values(b):
             segment = Segment(dict(zip(names, row)), queries)
             if not segment.at:
                 continue
-            if group and total + segment.n_postings > GROUP_POSTINGS:
+            if group and (total + segment.n_postings > GROUP_POSTINGS or len(group) * len(queries.ids) > GROUP_BOUNDS):
                 yield group
-                group, total = [], 0
+                group.clear()
+                total = 0
             group.append(segment)
             total += segment.n_postings
     if group:
@@ -254,15 +265,22 @@ class Index:
     written: list[str] = field(default_factory=list)
 
     @staticmethod
-    def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> Index:
+    def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
         spark, passing, written = docs.sparkSession, [], []
-        partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
         texts = materialize(forward(docs, id_col, text_col), "search-forward", passing)
-        total = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("l")).first()
-        m = F.expr(f"{M_BASE} + ({M_SLOPE} * n * {total.n}L) div {max(total.l, 1)}L")
-        placed = texts.select(m.alias("m"), "doc_id", "terms", "tfs").repartitionByRange(
-            partitions, "m", F.xxhash64("doc_id", "terms")).sortWithinPartitions("m")
-        found = materialize(placed.mapInArrow(segments, SEGMENT), "search-index", written)
+        weight = F.length("terms") + F.length("tfs")
+        total = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("l"),
+                          F.coalesce(F.sum(weight), F.lit(0)).alias("bytes")).first()
+        texts = texts.withColumn("m", F.expr(f"{M_BASE} + ({M_SLOPE} * n * {total.n}L) div {max(total.l, 1)}L"))
+        # One row for each m: at most as many as the longest document has words for its share of the average.
+        strata = texts.groupBy("m").agg(F.sum(weight).alias("bytes")).withColumn("start", F.coalesce(F.sum("bytes").over(
+            Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        parts = max(total.bytes // PART_BYTES + 1, spark.sparkContext.defaultParallelism)
+        at = F.col("start") + F.pmod(F.xxhash64("doc_id", "terms"), "bytes")
+        part = F.floor(at / F.lit(float(max(total.bytes, 1))) * parts)
+        placed = texts.join(small(strata), "m").select("m", "doc_id", "terms", "tfs", F.least(
+            part, F.lit(parts - 1)).cast("int").alias("part")).repartitionById(parts, "part").sortWithinPartitions("m")
+        found = materialize(placed.select("m", "doc_id", "terms", "tfs").mapInArrow(segments, SEGMENT), "search-index", written)
         release(spark, passing)
         return Index(found, total.n, total.l, written)
 
@@ -297,16 +315,16 @@ class Index:
         most = k + SEEDS
 
         def run(batches):
-            ids, bounds = np.zeros((0,), np.int64), np.zeros((0, len(queries.ids)), np.int64)
+            size = len(queries.ids)
+            ids, bounds = np.zeros((0, size), np.int64), np.zeros((0, size), np.int64)  # the best so far, a column a query
             for group in opened(batches, queries):
-                ids = np.r_[ids, [s.id for s in group]]
+                ids = np.vstack([ids, np.repeat([[s.id] for s in group], size, axis=1)])
                 bounds = np.vstack([bounds, *[s.bounds for s in group]])
-                if len(ids) > most:  # the best for any query
-                    kept = np.unique(np.argpartition(-bounds, most - 1, axis=0)[:most])
-                    ids, bounds = ids[kept], bounds[kept]
-            ddl = arrow_schema("query int, segment long, bound long")
-            yield from batches_of(((q, int(ids[i]), int(bounds[i, q])) for q in range(bounds.shape[1])
-                                   for i in np.argsort(-bounds[:, q], kind="stable")[:most] if bounds[i, q] > 0), ddl)
+                if len(ids) > most:
+                    kept = np.argpartition(-bounds, most - 1, axis=0)[:most]
+                    ids, bounds = np.take_along_axis(ids, kept, 0), np.take_along_axis(bounds, kept, 0)
+            yield from batches_of(((q, i, b) for q in range(size) for i, b in zip(ids[:, q].tolist(), bounds[:, q].tolist()) if b > 0),
+                                  arrow_schema("query int, segment long, bound long"))
 
         seeds = ranked(self.segments.mapInArrow(run, "query int, segment long, bound long"), "query", "bound", "segment", most)
         chosen = {r.segment for r in seeds.select("segment").distinct().collect()}  # at most ``most`` for each query
