@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.functions.missing import any_true
+from tabprep.functions.names import unused
 from tabprep.operators.normalize import present
-from tabprep.session import checkpoint_dir, materialize
+from tabprep.session import materialize, release
 
 # Rows of one range partition when candidates are ranked: sets the parallelism, nothing else.
 ROWS_PER_RANGE = 1_000_000
@@ -55,22 +56,23 @@ def _order(cols: list[str], side: str) -> list[Column]:
 def _row_at(cand: DataFrame, cols: list[str], side: str, k: int):
     """The ``k``-th row (from 1) of ``cand`` in the order, without a single-task sort.
 
-    Range-partition by the order, sort inside partitions, cut lineage with a
-    checkpoint in the shared folder (partition ids and positions become
-    stable); the rows of earlier partitions tell which partition holds it.
+    Range-partition by the order, sort inside partitions and write the order
+    columns with their partition and place; the rows of earlier partitions
+    tell which partition holds it. The written table is deleted again.
     """
-    checkpoint_dir(cand.sparkSession)
-    order = _order(cols, side)
+    order, written = _order(cols, side), []
     parts = max(1, -(-cand.count() // ROWS_PER_RANGE))
-    ranged = cand.repartitionByRange(parts, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-    pid = F.spark_partition_id()
-    pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
-    local = ranged.withColumns({"__pid": pid, "__pos": pos})
-    before = 0
-    for r in local.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).orderBy("__pid").collect():  # a row a partition
-        if before + r["n"] >= k:
-            return local.filter((F.col("__pid") == r["__pid"]) & (F.col("__pos") == k - before - 1)).first()
-        before += r["n"]
+    part, place = unused(cols, "__pid"), unused(cols, "__pos")
+    ranged = cand.select(*cols).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns(
+        {part: F.spark_partition_id(), place: F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)})
+    local, before = materialize(ranged, "trim-order", written), 0
+    try:
+        for r in local.groupBy(part).agg(F.count(F.lit(1)).alias("n")).orderBy(part).collect():  # a row a partition
+            if before + r["n"] >= k:
+                return local.filter((F.col(part) == r[part]) & (F.col(place) == k - before - 1)).first()
+            before += r["n"]
+    finally:
+        release(cand.sparkSession, written)
     raise ValueError(f"fewer than {k} rows")
 
 

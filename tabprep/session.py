@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
@@ -16,10 +19,11 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # sketches of more groups than the default 128 stay in the hash aggregate
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
+#: Paths of the tables written inside the innermost open ``scope``.
+_SCOPE: ContextVar[list | None] = ContextVar("tabprep_scope", default=None)
+
 
 def get_spark(master: str | None = None, app: str = "tabprep", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
@@ -74,16 +78,32 @@ def materialize(df, name: str = "stage", written: list | None = None):
     """Write ``df`` once as parquet in the shared checkpoint folder and read it
     back: later passes scan the written table instead of recomputing the plan,
     and the data survives the loss of the executors that computed it. The path is
-    appended to ``written``, with which its owner calls ``release``."""
+    appended to ``written``, with which its owner calls ``release``, and belongs to
+    the open ``scope`` besides."""
     path = scratch_path(df.sparkSession, name)
+    owner = _SCOPE.get()
+    for paths in (written, owner):
+        if paths is not None:
+            paths.append(path)
     df.write.mode("error").parquet(path)
-    if written is not None:
-        written.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list]:
+    """Owner of every table written inside it by any operator or query: they are deleted when it closes, so
+    results must be collected or written before. Scopes nest; a table belongs to the innermost one."""
+    paths: list = []
+    token = _SCOPE.set(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.reset(token)
+        release(spark, paths)
+
+
 def release(spark: SparkSession, written: list) -> None:
-    """Delete the written tables of ``written`` and empty the list."""
+    """Delete the written tables of ``written`` and empty the list; one that is gone already is passed over."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while written:
         path = jvm.org.apache.hadoop.fs.Path(written.pop())
