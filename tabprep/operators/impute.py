@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from tabprep.operators.joins import lookup_left_entity_month, lookup_left_month, month_table
 from tabprep.operators.normalize import present
-from tabprep.operators.stats import grouped_stats, mode_by_group, modes_by_group, modes_by_sets
+from tabprep.operators.stats import grouped_stats, mode_by_group, modes_by_group, modes_two_levels, two_level_stats
 from tabprep.operators.windows import NEXT, PREV, neighbour_values
 from tabprep.rules import CLEAN_TOKENS
+from tabprep.session import materialize
 
 
 def _coalesce_from(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
@@ -66,7 +67,7 @@ def neighbour_mean_fill(c: str):
 
 
 def fill_neighbour_mean(df: DataFrame, entity: str, order: list[str], cols: Iterable[str],
-                        bucket="range") -> DataFrame:
+                        bucket="auto") -> DataFrame:
     cols = present(df, cols)
     nb = neighbour_values(df, entity, order, cols, bucket)
     return nb.withColumns({c: neighbour_mean_fill(c) for c in cols}) \
@@ -99,7 +100,7 @@ def fill_entity_month(df: DataFrame, reference: DataFrame, entity: str, month: s
 
 def fill_neighbours_then_entity_month(df: DataFrame, reference: DataFrame, entity: str, order: list[str],
                                       month: str, means: Iterable[str] = (), medians: Iterable[str] = (),
-                                      accuracy: int = 10000, bucket="range") -> DataFrame:
+                                      accuracy: int = 10000, bucket="auto") -> DataFrame:
     """Neighbour average, then (entity, month) mean / median: one window, one join."""
     means, medians = present(df, means), present(df, medians)
     out = fill_neighbour_mean(df, entity, order, means + medians, bucket)
@@ -118,6 +119,12 @@ def fill_mode_entity_month(df: DataFrame, reference: DataFrame, entity: str, mon
     return _coalesce_from(lookup_left_entity_month(df, st, entity, month), {c: f"{c}_locmon_mode" for c in cols})
 
 
+def _levels(both: DataFrame, entity: str, month: str, fine: dict, coarse: dict, flag: str = "__g") -> tuple[DataFrame, DataFrame]:
+    """(entity, month) rows and month rows of a written two-level table, with the columns renamed."""
+    return (both.filter(F.col(flag) == 0).select(entity, month, *[F.col(c).alias(a) for c, a in fine.items()]),
+            both.filter(F.col(flag) == 1).select(month, *[F.col(c).alias(a) for c, a in coarse.items()]))
+
+
 def _missing_to_null(c: str, tokens) -> F.Column:
     s = F.col(c)
     t = F.trim(s.cast("string"))
@@ -135,9 +142,10 @@ def fill_token_mode_cascade(df: DataFrame, reference: DataFrame, entity: str, mo
     if not cols:
         return df
     clean = lambda d: d.withColumns({c: _missing_to_null(c, toks) for c in cols})
-    # both levels of modes from one pass of value counts (grouping sets)
-    lm, mm = modes_by_sets(clean(reference), [[entity, month], [month]], cols, ["_locmon_mode", "_mon_mode"])
-    out = lookup_left_month(lookup_left_entity_month(clean(df), lm, entity, month), month_table(mm), month)
+    # both levels of modes from one pass of value counts, written once: each lookup reads its rows of the written table
+    both = materialize(modes_two_levels(clean(reference), entity, month, cols, "__g"), "cascade-modes")
+    lm, mm = _levels(both, entity, month, {c: f"{c}_locmon_mode" for c in cols}, {c: f"{c}_mon_mode" for c in cols})
+    out = lookup_left_month(lookup_left_entity_month(clean(df), lm, entity, month), month_table(mm, is_written=True), month)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_locmon_mode"), F.col(f"{c}_mon_mode"))
                             for c in cols}) \
               .drop(*[f"{c}_{s}" for c in cols for s in ("locmon_mode", "mon_mode")])
@@ -158,12 +166,10 @@ def fill_token_median_cascade(df: DataFrame, reference: DataFrame, entity: str,
     if not cols:
         return df
     parse = lambda d: d.withColumns({c: parse_tokens_to_double(c, toks) for c in cols})
-    # both levels of medians from one grouping-sets aggregate
-    gs = parse(reference).groupingSets([[entity, month], [month]], entity, month).agg(
-        F.grouping(entity).alias("__g"), *[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in cols])
-    lm = gs.filter(F.col("__g") == 0).select(entity, month, *[F.col(c).alias(f"{c}_locmon_median") for c in cols])
-    mm = gs.filter(F.col("__g") == 1).select(month, *[F.col(c).alias(f"{c}_mon_median") for c in cols])
-    out = lookup_left_month(lookup_left_entity_month(parse(df), lm, entity, month), month_table(mm), month)
+    # both levels of medians from one pass of mergeable sketches, written once
+    both = materialize(two_level_stats(parse(reference), entity, month, {}, {c: F.col(c) for c in cols}, accuracy), "cascade-medians")
+    lm, mm = _levels(both, entity, month, {c: f"{c}_locmon_median" for c in cols}, {c: f"{c}_mon_median" for c in cols})
+    out = lookup_left_month(lookup_left_entity_month(parse(df), lm, entity, month), month_table(mm, is_written=True), month)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_locmon_median"), F.col(f"{c}_mon_median"))
                             for c in cols}) \
               .drop(*[f"{c}_{s}" for c in cols for s in ("locmon_median", "mon_median")])

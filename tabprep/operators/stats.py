@@ -1,17 +1,20 @@
 """Grouped statistics: means, medians, modes and circular means.
 
 Each function is ONE grouped aggregate over all the requested columns (partial
-aggregation runs before the shuffle, so hot groups are pre-combined map-side);
-medians use ``percentile_approx`` sketches, which merge across partitions.
+aggregation runs before the shuffle, so hot groups are pre-combined map-side).
+Medians are KLL sketches of ``accuracy`` values: exact for groups of up to that many, with
+a rank error of about 2.3 / accuracy**0.9 (0.06 % for 10,000) beyond, and at most some
+three times that many doubles however large the group. They merge across
+partitions, and across groups: two-level statistics come from one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprep.functions.compass import direction_to_radians, normalize_xy
@@ -20,14 +23,42 @@ from tabprep.operators.normalize import present
 from tabprep.rules import CLEAN_TOKENS
 
 
+def sketch(x: Column, accuracy: int) -> Column:
+    """Aggregate: a mergeable sketch of the values that are neither NULL nor NaN."""
+    return F.kll_sketch_agg_double(x.cast("double"), accuracy)
+
+
+def middle(sketched: Column) -> Column:
+    """Lower median of a sketch; NULL if it holds no value."""
+    return F.when(F.kll_sketch_get_n_double(sketched) > 0, F.kll_sketch_get_quantile_double(sketched, F.lit(0.5)))
+
+
+def median(df: DataFrame, c: str, accuracy: int) -> Column:
+    """Aggregate: the lower median of a column, in its own type."""
+    return middle(sketch(F.col(c), accuracy)).cast(df.schema[c].dataType)
+
+
 def grouped_stats(df: DataFrame, keys: list[str], means: Iterable[str] = (), medians: Iterable[str] = (),
                   accuracy: int = 10000, mean_suffix: str = "_mean", median_suffix: str = "_median") -> DataFrame:
     """Per group: ``avg`` of ``means`` and approximate median of ``medians``."""
     aggs = [F.avg(F.col(c)).alias(c + mean_suffix) for c in present(df, means)]
-    aggs += [F.percentile_approx(F.col(c), 0.5, accuracy).alias(c + median_suffix) for c in present(df, medians)]
+    aggs += [median(df, c, accuracy).alias(c + median_suffix) for c in present(df, medians)]
     return df.groupBy(*keys).agg(*aggs)
 
 
+def two_level_stats(df: DataFrame, entity: str, month: str, means: Mapping[str, Column], medians: Mapping[str, Column],
+                    accuracy: int = 10000, flag: str = "__g") -> DataFrame:
+    """Means and medians (output name -> expression) per (entity, month), with ``flag`` = 0, and per month, with ``flag`` = 1 and
+    entity NULL. The rows are aggregated once, by (entity, month), into sums, counts and sketches; both levels merge these."""
+    parts = [f for i, x in enumerate(means.values()) for f in (
+        F.sum(x.cast("double")).alias(f"__s{i}"), F.count(x).alias(f"__n{i}"))]
+    parts += [sketch(x, accuracy).alias(f"__q{i}") for i, x in enumerate(medians.values())]
+    fine = df.groupBy(entity, month).agg(*parts) if parts else df.select(entity, month).distinct()
+    both = [F.try_divide(F.sum(f"__s{i}"), F.sum(f"__n{i}")).alias(name) for i, name in enumerate(means)]
+    both += [middle(F.kll_merge_agg_double(f"__q{i}", accuracy)).alias(name) for i, name in enumerate(medians)]
+    return fine.groupingSets([[entity, month], [month]], entity, month).agg(F.grouping(entity).alias(flag), *both)
+
+
 def mean_by(df: DataFrame, keys: list[str], cols: Iterable[str]) -> DataFrame:
     return grouped_stats(df, keys, means=cols)
 
@@ -43,7 +74,7 @@ def median_excluding_tokens(df: DataFrame, keys: list[str], col: str, tokens: It
     s = F.trim(F.col(col).cast("string"))
     v = F.when(s == "", F.lit(None)).otherwise(nullify_tokens(F.upper(s), list(tokens)))
     x = F.when(v.isNull(), F.lit(None)).otherwise(s).try_cast("double")
-    return df.groupBy(*keys).agg(F.percentile_approx(x, 0.5, accuracy).alias(f"{col}_median"))
+    return df.groupBy(*keys).agg(middle(sketch(x, accuracy)).alias(f"{col}_median"))
 
 
 def value_counts(df: DataFrame, keys: list[str], target: str) -> DataFrame:

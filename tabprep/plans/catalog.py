@@ -3,9 +3,9 @@
 Every query reads the driver's parquet tables (the ``obs`` projection of
 ``orders``, FIXTURES.md) at ``sf_dir`` and runs over whole tables. Doubles are
 rounded to 6 digits on both sides. Statistics are fitted on the hashed 80 %
-training half (``train``) and applied to the whole frame. Medians use
-``percentile_approx`` with accuracy 10,000, which DuckDB's ``quantile_disc``
-reproduces for groups of up to that many rows.
+training half (``train``) and applied to the whole frame. Medians use sketches of
+10,000 values, which DuckDB's ``quantile_disc`` reproduces for groups of up to
+that many rows.
 """
 
 from __future__ import annotations

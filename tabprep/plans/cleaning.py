@@ -1,6 +1,6 @@
 """The cleaning plan: fit statistics on a reference frame, apply them to any
-frame with ONE window and ONE (entity, month) join, plus two broadcast probes of
-the 13-row month table (before and after the window).
+frame with ONE window, ONE (entity, month) join and ONE broadcast probe of the
+13-row month table before the window (what is needed of it after the window are literals).
 
 Order of the stages (same as the surveyed script): month mean/median ->
 row-neighbour average -> (entity, month) mean/median -> compass vectors
@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from tabprep.functions.compass import direction_to_radians
 from tabprep.operators.circular import direction_to_vector, neighbour_vector_fill, normalize_vectors
 from tabprep.operators.impute import neighbour_mean_fill
-from tabprep.operators.joins import MONTH_ROWS, lookup_left_entity_month, lookup_left_month
+from tabprep.operators.joins import MONTH_ROWS, lookup_left_entity_month, lookup_left_month, month_values
 from tabprep.operators.normalize import normalize_observations, present
 from tabprep.operators.outliers import (drop_sentinel_codes, drop_zero_vectors, extreme_predicate, numbered,
                                         removal_report)
 from tabprep.operators.predicates import filter_labelled
 from tabprep.operators.split import in_train
-from tabprep.operators.stats import modes_two_levels
+from tabprep.operators.stats import modes_two_levels, two_level_stats
 from tabprep.operators.windows import NEXT, PREV, neighbour_values
 from tabprep.rules import SPLIT_FRACTIONS, CleaningSpec
 from tabprep.session import materialize, release
@@ -49,6 +49,7 @@ class CleaningModel:
     entity_month_stats: DataFrame  # one row per (entity, month) of the reference
     columns: dict
     written: list = field(default_factory=list)  # paths of the tables written so far
+    month_rows: list = field(default_factory=list)  # the rows of month_stats where they are few
 
     # ---------------------------------------------------------------- fit
     @classmethod
@@ -62,17 +63,15 @@ class CleaningModel:
         dcasc = present(reference, spec.median_cascade)
         acc = spec.accuracy
 
-        # ONE grouping-sets aggregate gives the (entity, month) and the month
-        # statistics: means, medians (sketches), circular means.
+        # ONE aggregate by (entity, month) into sums, counts and sketches gives both
+        # levels of means, medians and circular means by merging.
         keys = [lay.entity, lay.month]
         meds = _uniq(medians + dcasc)
-        aggs = [F.avg(c).alias(f"{c}__mean") for c in means]
-        aggs += [F.percentile_approx(c, 0.5, acc).alias(f"{c}__median") for c in meds]
+        averaged = {f"{c}__mean": F.col(c) for c in means}
         for c in dirs:
             r = direction_to_radians(c)
-            aggs += [F.avg(F.cos(r)).alias(f"{c}__cx"), F.avg(F.sin(r)).alias(f"{c}__cy")]
-        gs = reference.groupingSets([keys, [lay.month]], *keys).agg(
-            F.grouping(lay.entity).alias("__g"), *aggs)
+            averaged |= {f"{c}__cx": F.cos(r), f"{c}__cy": F.sin(r)}
+        gs = two_level_stats(reference, *keys, averaged, {f"{c}__median": F.col(c) for c in meds}, acc, "__g")
         # ONE pass of value counts gives both levels of modes; they are merged
         # with the statistics by a union and one small aggregate (no join).
         mtargets = _uniq(modes + mcasc)
@@ -90,18 +89,19 @@ class CleaningModel:
             gs = materialize(gs, "cleaning-stats", written)
         mon = gs.filter(F.col("__g") == 1).select(
             lay.month, *[F.col(f"{c}__mean").alias(f"{c}_mon_mean") for c in means],
-            *[F.col(f"{c}__median").alias(f"{c}_mon_median") for c in meds],
+            *[F.col(f"{c}__median").cast(reference.schema[c].dataType).alias(f"{c}_mon_median") for c in meds],
             *[F.col(f"{c}__c{a}").alias(f"{c}__mon_u{a}") for c in dirs for a in ("x", "y")],
             *[F.col(f"{c}__mode").alias(f"{c}_mon_mode") for c in mcasc])
         mon = normalize_vectors(mon, [f"{c}__mon" for c in dirs], spec.eps) if dirs else mon
         em = gs.filter(F.col("__g") == 0).select(
             *keys, *[F.col(f"{c}__mean").alias(f"{c}_locmon_mean") for c in means],
-            *[F.col(f"{c}__median").alias(f"{c}_locmon_median") for c in meds],
+            *[F.col(f"{c}__median").cast(reference.schema[c].dataType).alias(f"{c}_locmon_median") for c in meds],
             *[F.col(f"{c}__mode").alias(f"{c}_locmon_mode") for c in mtargets])
         cols = dict(means=means, medians=medians, dirs=dirs, modes=modes, mcasc=mcasc, dcasc=dcasc)
-        # the month table's size is checked before it is hinted
-        if materialize_stats and mon.limit(MONTH_ROWS + 1).count() <= MONTH_ROWS:
-            mon = F.broadcast(mon)
+        # the month table's size is checked before it is hinted; its few rows also serve as literals
+        rows = mon.limit(MONTH_ROWS + 1).collect() if materialize_stats else []
+        if 0 < len(rows) <= MONTH_ROWS:
+            return cls(spec, F.broadcast(mon), em, cols, written, rows)
         return cls(spec, mon, em, cols, written)
 
     def release(self, spark) -> None:
@@ -109,9 +109,9 @@ class CleaningModel:
         release(spark, self.written)
 
     # ---------------------------------------------------------------- apply
-    def impute(self, df: DataFrame, bucket="range", half: str | None = None) -> DataFrame:
-        """All fills, no row removed: the month table probed twice (broadcast,
-        before and after the window), 1 window, 1 (entity, month) join.
+    def impute(self, df: DataFrame, bucket="auto", half: str | None = None) -> DataFrame:
+        """All fills, no row removed: the month table probed once (broadcast,
+        before the window), 1 window, 1 (entity, month) join.
         ``half``: a column that names the part of a split; neighbours stay within it."""
         lay, c = self.spec.layout, self.columns
         means, medians, dirs = c["means"], c["medians"], c["dirs"]
@@ -135,12 +135,14 @@ class CleaningModel:
         for x in dirs:
             fills.update(neighbour_vector_fill(x))
         d = d.withColumns(fills).drop(*[x + s for x in num + vec for s in (PREV, NEXT)])
-        # 4. one (entity, month) join for every remaining fill, and the second
-        #    probe of the month table (compass means, cascade fallbacks)
+        # 4. one (entity, month) join for every remaining fill; the month's compass
+        #    means and cascade fallbacks are literals of the plan
         d = lookup_left_entity_month(d, self.entity_month_stats, lay.entity, lay.month)
         post = [f"{x}__mon_{a}" for x in dirs for a in ("ux", "uy")]
         post += [f"{x}_mon_mode" for x in c["mcasc"]] + [f"{x}_mon_median" for x in c["dcasc"]]
-        if post:
+        if post and self.month_rows:
+            d = d.withColumns(month_values(self.month_rows, lay.month, post))
+        elif post:
             d = lookup_left_month(d, self.month_stats.select(lay.month, *post), lay.month)
         outs = {**{x: F.coalesce(F.col(x), F.col(f"{x}_locmon_mean")) for x in means},
                 **{x: F.coalesce(F.col(x), F.col(f"{x}_locmon_median")) for x in medians}}
@@ -179,10 +181,10 @@ class CleaningModel:
             keep = keep & ~(own & extreme_predicate(rows.filter(own), *trim))
         return rows.filter(keep).select(*df.columns)
 
-    def transform(self, df: DataFrame, bucket="range") -> DataFrame:
+    def transform(self, df: DataFrame, bucket="auto") -> DataFrame:
         return self.remove(self.impute(df, bucket))
 
-    def transform_halves(self, df: DataFrame, half: str = "half", bucket="range") -> DataFrame:
+    def transform_halves(self, df: DataFrame, half: str = "half", bucket="auto") -> DataFrame:
         """``df`` whose column ``half`` is TRAIN or TEST, each half cleaned by itself in one plan."""
         return self.remove(self.impute(df, bucket, half), half)
 
