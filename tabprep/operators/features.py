@@ -10,7 +10,7 @@ from pyspark.ml.feature import QuantileDiscretizer, StandardScaler, StringIndexe
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DoubleType, FloatType
 
 from tabprep.operators.normalize import present
 from tabprep.rules import BIN_MAX_BUCKETS, BIN_MIN_BUCKETS, BIN_RELATIVE_ERROR, PAIR_AVERAGES, PAIR_AVERAGES_FLOOR
@@ -36,51 +36,41 @@ def cyclic_month(df: DataFrame, month: str = "Month", prefix: str = "Month") ->
     return df.withColumns({f"{prefix}_sin": F.sin(a), f"{prefix}_cos": F.cos(a)})
 
 
-def bucket_count_expr(n_distinct, lo: int = BIN_MIN_BUCKETS, hi: int = BIN_MAX_BUCKETS):
-    return F.least(F.lit(hi), F.greatest(F.lit(lo), n_distinct - 1))
+def _comparable(df: DataFrame, c: str):
+    """The column with one zero."""
+    return F.col(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, (FloatType, DoubleType)) else F.col(c)
+
+
+def saturating_distinct(df: DataFrame, cols: Iterable[str], limit: int) -> dict[str, int]:
+    """Distinct values (NULL counts as one) of each column, exact below ``limit`` and ``limit`` from there on.
+
+    One pass of HyperLogLog++ sketches tells the columns of many values: up to ``limit`` values fill at most as many
+    of its registers, and its count of that few registers exceeds them by under one half, so an estimate
+    above ``limit + 1`` proves that there are more. Only the others, which have few values, are counted exactly, as sets that
+    combine map-side; no value of a continuous column crosses a shuffle."""
+    cols = present(df, cols)
+    if not cols:
+        return {}
+    rough = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    few = [c for i, c in enumerate(cols) if rough[f"d{i}"] <= limit + 1]
+    exact = {}
+    if few:
+        one = df.agg(*[(F.size(F.collect_set(_comparable(df, c))) + F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0))).alias(f"d{i}")
+                       for i, c in enumerate(few)]).first()  # sets of some ``limit`` values
+        exact = {c: min(limit, one[f"d{i}"]) for i, c in enumerate(few)}
+    return {c: exact.get(c, limit) for c in cols}
 
 
 def adaptive_bucket_count(df: DataFrame, cols: Iterable[str], lo: int = BIN_MIN_BUCKETS,
                           hi: int = BIN_MAX_BUCKETS) -> DataFrame:
-    """Per column: distinct values (NULL counts as one) and min(hi, max(lo, d - 1))."""
-    cols = present(df, cols)
-    one = df.agg(*[(F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).alias(f"d{i}")
-                   for i, c in enumerate(cols)])
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").cast("long").alias("n_distinct"))
-                    for i, c in enumerate(cols)])
-    return one.select(F.inline(arr)).withColumn(
-        "n_buckets", bucket_count_expr(F.col("n_distinct"), lo, hi).cast("int"))
+    """Per column: distinct values d (NULL counts as one) as far as hi + 2, which decide the count, and min(hi, max(lo, d - 1))."""
+    rows = [(c, n, min(hi, max(lo, n - 1))) for c, n in saturating_distinct(df, cols, hi + 2).items()]
+    return df.sparkSession.createDataFrame(rows, "column_name string, n_distinct long, n_buckets int")
 
 
 def bucket_counts(df: DataFrame, cols: Iterable[str], lo: int = BIN_MIN_BUCKETS, hi: int = BIN_MAX_BUCKETS) -> dict:
-    """Bucket count per column as a dict, equal to ``adaptive_bucket_count``.
-
-    The count is clamped at ``hi``, so ``hi + 2`` distinct values of a column decide it: each
-    task passes on no more than that, instead of shuffling every value of continuous columns.
-    """
-    cols = present(df, cols)
-    enough = hi + 2
-    text = [F.coalesce((F.col(c) + F.lit(0) if isinstance(df.schema[c].dataType, NumericType) else F.col(c))
-                       .cast("string"), F.lit("\x00null")).alias(f"c{i}") for i, c in enumerate(cols)]
-
-    def distinct(batches):
-        import pyarrow as pa
-
-        seen = [set() for _ in cols]
-        for b in batches:
-            for own, column in zip(seen, b.columns):
-                if len(own) < enough:
-                    own.update(column.unique().to_pylist())
-        rows = [(i, v) for i, own in enumerate(seen) for v in sorted(own)[:enough]]
-        if rows:
-            i, v = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(v, pa.string())], names=["i", "v"])
-
-    counts = {}
-    if cols:
-        found = df.select(*text).mapInArrow(distinct, "i int, v string").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-        counts = {r["i"]: r["n"] for r in found.collect()}  # a row for each column
-    return {c: min(hi, max(lo, counts.get(i, 0) - 1)) for i, c in enumerate(cols)}
+    """Bucket count per column as a dict, equal to ``adaptive_bucket_count``."""
+    return {c: min(hi, max(lo, n - 1)) for c, n in saturating_distinct(df, cols, hi + 2).items()}
 
 
 def quantile_discretizer(cols: list[str], buckets: dict, relative_error: float = BIN_RELATIVE_ERROR,

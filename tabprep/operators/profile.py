@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from tabprep.functions.missing import all_present, is_missing
+from tabprep.functions.names import unused
 from tabprep.operators.normalize import present
 from tabprep.operators.predicates import out_of_range, unparseable_date
 from tabprep.rules import DATE_FORMAT, FALSE_SPELLINGS, PROFILE_TOKENS, TRUE_SPELLINGS
+from tabprep.session import materialize, release
 
 NAN = float("nan")
+#: Row hashes (8 bytes each) that are broadcast after a count.
+BROADCAST_HASHES = 1_000_000
 
 
 def _rows(pairs: list[tuple[str, Column]], name: str = "column_name", value: str = "value") -> Column:
@@ -113,6 +117,12 @@ def domain_violation_values(df: DataFrame, domains: Mapping[str, Iterable[str]])
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n_rows")))
 
 
+def _zero_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("string").alias("value"),
+                 F.lit(0).cast("long").alias("n_rows")) for c in cols])))
+
+
 def domain_violations(df: DataFrame, domains: Mapping[str, Iterable[str]]) -> DataFrame:
     """Per column: number of offending distinct values, rows affected, OK flag.
 
@@ -121,10 +131,7 @@ def domain_violations(df: DataFrame, domains: Mapping[str, Iterable[str]]) -> Da
     cols = present(df, domains)
     if not cols:
         return _empty(df, "column_name string, n_invalid_values long, n_rows_affected long, ok boolean")
-    zeros = df.sparkSession.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("string").alias("value"),
-                 F.lit(0).cast("long").alias("n_rows")) for c in cols])))
-    return (domain_violation_values(df, domains).unionByName(zeros).groupBy("column_name")
+    return (domain_violation_values(df, domains).unionByName(_zero_rows(df, cols)).groupBy("column_name")
             .agg(F.count("value").alias("n_invalid_values"), F.sum("n_rows").cast("long").alias("n_rows_affected"))
             .withColumn("ok", F.col("n_invalid_values") == 0))
 
@@ -206,18 +213,29 @@ def row_groups(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_copies"))
 
 
-def _unique_by_hash(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(n_rows, n_unique) for wide rows: a 64-bit row hash is grouped first
-    (8 bytes per row cross the shuffle); a row whose hash no other row shares
+def _row_hash(cols: Iterable[str]) -> Column:
+    return F.xxhash64(*[F.col(c) for c in cols])
+
+
+def _unique_parts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(n_rows, n_unique) rows that add up to the rows and the unique rows of ``df``. For wide rows: a 64-bit row
+    hash is grouped first (8 bytes per row cross the shuffle); a row whose hash no other row shares
     is unique for sure, and only rows with a shared hash are grouped on all
     columns to confirm (the semi join side is sized by AQE at run time)."""
-    h = F.xxhash64(*[F.col(c) for c in cols])
-    per = df.select(h.alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
-    shared = per.filter(F.col("__c") > 1).select("__h")
-    cand = df.withColumn("__h", h).join(shared, "__h", "left_semi").drop("__h")
-    a = per.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("n_rows"), F.count_if(F.col("__c") == 1).alias("n_unique"))
-    b = row_groups(cand, cols).agg(F.lit(0).cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"))
-    return a.unionByName(b).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_unique").alias("n_unique"))
+    h = unused(df.columns, "__h")
+    per = df.select(_row_hash(cols).alias(h)).groupBy(h).agg(F.count(F.lit(1)).alias("n_rows"))
+    shared = per.filter("n_rows > 1").select(h)
+    cand = df.withColumn(h, _row_hash(cols)).join(shared, h, "left_semi").drop(h)
+    hashes = per.select("n_rows", (F.col("n_rows") == 1).cast("long").alias("n_unique"))
+    confirmed = row_groups(cand, cols).select(F.lit(0).cast("long").alias("n_rows"), F.lit(1).cast("long").alias("n_unique"))
+    return hashes.unionByName(confirmed)
+
+
+def _unique_by_hash(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(n_rows, n_unique) as one row."""
+    zero = F.lit(0).cast("long")
+    return _unique_parts(df, cols).agg(F.coalesce(F.sum("n_rows"), zero).alias("n_rows"),
+                                       F.coalesce(F.sum("n_unique"), zero).alias("n_unique"))
 
 
 def duplicate_count(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
@@ -231,11 +249,34 @@ def duplicate_count(df: DataFrame, cols: Iterable[str] | None = None) -> DataFra
 
 def duplicate_groups(df: DataFrame, n: int = 5, cols: Iterable[str] | None = None,
                      order_cols: Iterable[str] | None = None) -> DataFrame:
-    """Top ``n`` groups of identical rows with more than one copy."""
+    """Top ``n`` groups of identical rows with more than one copy.
+
+    Hashes of rows are counted first (8 bytes per row cross the shuffle). A group has at most as many copies as its hash, so
+    only hashes that reach the count of the ``n``-th largest can hold the result; their rows alone are
+    grouped on all columns. If rows of one hash turn out to differ, so that a group confirmed last
+    has fewer copies than a hash left out, the hashes down to that count are confirmed as well.
+    """
     cols = list(df.columns if cols is None else cols)
     order = list(order_cols or cols)
-    return (row_groups(df, cols).filter(F.col("n_copies") > 1)
-            .orderBy(F.desc("n_copies"), *order).limit(n))
+    h, count = unused(df.columns, "__h"), unused([*df.columns, *cols], "__c")
+    written: list = []
+    hashes = materialize(df.select(_row_hash(cols).alias(h)).groupBy(h).agg(F.count(F.lit(1)).alias(count)).filter(
+        F.col(count) > 1), "duplicate-hashes", written)
+    try:
+        least = min((r[count] for r in hashes.orderBy(F.desc(count)).limit(n).collect()), default=2)  # n rows
+        while True:
+            chosen = hashes.filter(F.col(count) >= least).select(h)
+            few = chosen.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
+            rows = df.withColumn(h, _row_hash(cols)).join(F.broadcast(chosen) if few else chosen, h, "left_semi")
+            found = (row_groups(rows, cols).filter(F.col("n_copies") > 1).orderBy(F.desc("n_copies"), *order).limit(n)).collect()
+            left = hashes.filter(F.col(count) < least).agg(F.max(count).alias("most")).first().most
+            if left is None or (len(found) == n and found[-1]["n_copies"] > left):
+                break
+            least = min(left, max(found[-1]["n_copies"], 2)) if len(found) == n else left
+    finally:
+        release(df.sparkSession, written)
+    schema = df.select(*cols).withColumn("n_copies", F.lit(0).cast("long")).schema
+    return df.sparkSession.createDataFrame([tuple(r) for r in found], schema).orderBy(F.desc("n_copies"), *order)
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
@@ -350,8 +391,9 @@ def profile_report(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | No
 
     Three branches, whatever the number of columns: one wide aggregate (row
     count, missing values, completeness, ranges, dates, statistics, boolean
-    shares), one grouping of row hashes (duplicates, score) and one
-    grouping over the unpivoted domain columns (violations).
+    shares), one grouping of row hashes with its confirmation (duplicates) and
+    one grouping over the unpivoted domain columns (violations); the last two
+    end in the same aggregate.
     """
     ranges, domains = dict(ranges or {}), dict(domains or {})
     cols = df.columns
@@ -399,18 +441,20 @@ def profile_report(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | No
                 row("booleans", c, "pct_other", _share(nn - t - f_, nn))]
     wide = one.select(F.inline(F.array(*out)))
 
-    dup = _unique_by_hash(df, cols).select(F.inline(F.array(
-        row("duplicates", None, "n_unique", F.col("n_unique")),
-        row("duplicates", None, "n_duplicates", F.col("n_rows") - F.col("n_unique")))))
-    parts = [wide, dup]
-    if domains:
-        dv = domain_violations(df, domains)
-        parts.append(dv.select(F.inline(F.array(
-            F.struct(F.lit("domain").alias("section"), F.col("column_name"), F.lit("n_invalid_values").alias("metric"),
-                     F.col("n_invalid_values").cast("double").alias("value")),
-            F.struct(F.lit("domain").alias("section"), F.col("column_name"), F.lit("n_rows_affected").alias("metric"),
-                     F.col("n_rows_affected").cast("double").alias("value"))))))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    # Duplicates and domains end in one aggregate: a group for the rows (NULL) and one for each domain column.
+    zero = F.lit(0).cast("long")
+    own = present(df, domains)
+    parts = _unique_parts(df, cols).select(F.lit(None).cast("string").alias("column_name"), "n_rows", F.col("n_unique").alias("n_values"))
+    none = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("column_name"), zero.alias("n_rows"), zero.alias("n_values"))
+    parts = parts.unionByName(none)
+    if own:
+        found = domain_violation_values(df, domains).unionByName(_zero_rows(df, own))
+        parts = parts.unionByName(found.select("column_name", "n_rows", F.col("value").isNotNull().cast("long").alias("n_values")))
+    sums = parts.groupBy("column_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_values").alias("n_values"))
+    entry = lambda section, column, metric, value: F.struct(
+        F.lit(section).alias("section"), column.alias("column_name"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+    c, total, values = F.col("column_name"), F.col("n_rows"), F.col("n_values")
+    rest = sums.select(F.inline(F.when(c.isNull(), F.array(
+        entry("duplicates", c, "n_unique", values), entry("duplicates", c, "n_duplicates", total - values))).otherwise(F.array(
+            entry("domain", c, "n_invalid_values", values), entry("domain", c, "n_rows_affected", total)))))
+    return wide.unionByName(rest)

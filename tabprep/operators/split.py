@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprep.operators.profile import class_distribution
+from tabprep.functions.names import unused
 from tabprep.rules import SPLIT_FRACTIONS, SPLIT_SEED
 
 
@@ -55,7 +55,11 @@ def stratified_split_hashed(df: DataFrame, id_col: str, fraction: float = SPLIT_
 
 
 def split_report(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
-    """Class distribution before the split (half ``all``) and of each half."""
-    halves = {"all": train.unionByName(test), "train": train, "test": test}
-    parts = [class_distribution(d, label).withColumn("half", F.lit(h)) for h, d in halves.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Class distribution before the split (half ``all``) and of each half: one aggregate over grouping sets. The shares come
+    from its rows, which are as many as there are classes, three times."""
+    half, whole = unused([label], "half"), unused([label], "__whole")
+    both = train.select(F.col(label), F.lit("train").alias(half)).unionByName(test.select(F.col(label), F.lit("test").alias(half)))
+    counts = both.groupingSets([[half, label], [label]], half, label).agg(F.grouping(half).alias(whole), F.count(F.lit(1)).alias("count"))
+    named = counts.withColumn(half, F.when(F.col(whole) == 1, "all").otherwise(F.col(half)))
+    total = F.sum("count").over(Window.partitionBy(half))
+    return named.withColumn("pct", F.round(F.col("count") * 100.0 / total, 2)).select(label, "count", "pct", half)

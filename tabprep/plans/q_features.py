@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
@@ -51,7 +53,7 @@ _BC = ["num_a", "code", "month", "yn", "status"]
 
 
 @query("adaptive_bucket_count", W(S.OBS, body=" union all ".join(
-    f"select '{c}' as column_name, n as n_distinct, cast(least(10, greatest(3, n - 1)) as integer) as n_buckets from "
+    f"select '{c}' as column_name, least(n, 12) as n_distinct, cast(least(10, greatest(3, n - 1)) as integer) as n_buckets from "
     f"(select cast(count(distinct {c}) + max(case when {c} is null then 1 else 0 end) as bigint) as n from obs)"
     for c in _BC)))
 def q_adaptive_bucket_count(spark, sf):
@@ -172,17 +174,34 @@ def q_feature_pipeline(spark, sf):
     return rounded(t.select("half", "row_id", "label", *[f"{p}_{c}" for p in "rz" for c in _FEATURES]))
 
 
+_EXTRAS = ["dir_ux", "dir_uy", "month_sin", "month_cos"]
+_RAW_SQL = ", ".join(f"{R6(f'coalesce({c}, {chr(39)}NaN{chr(39)}::double)')} as z_{c}" for c in _EXTRAS)
+
+_MISSING_SQL = "case when {c} is null then 'NaN'::double end as z_{c}"
+
+
 @query("feature_frames", W(*_FEAT_CTES, body=(
-    "select half, kind, label, count(*) as n_rows, cast(8 as integer) as n_features from feat join lab using (status), "
-    "(values ('linear'), ('binned')) k(kind) group by half, kind, label")))
+    f"select half, 'linear' as kind, label, {', '.join(map(_z_sql, _FEATURES))}, cast(null as boolean) as bins_valid "
+    f"from feat join lab using (status), st union all by name select half, 'binned' as kind, label, "
+    f"{', '.join(_MISSING_SQL.format(c=c) for c in _CONT)}, {_RAW_SQL}, true as bins_valid "
+    f"from feat join lab using (status)")))
 def q_feature_frames(spark, sf):
-    """The four frames (two for each half), by label."""
+    """All rows of the four frames (two for each half): label and features. The features of the linear frames are scaled
+    values. Those of the binned ones are bins, checked to be whole numbers that the fit can give and NaN only for missing values
+    (``assemble_binned`` checks their cuts), and the values that are not binned."""
     model, clean = _fitted(spark, sf)
     out = None
     for half in (TRAIN, TEST):
-        for kind, frame in zip(("linear", "binned"), model.frames(clean.filter(F.col("half") == half))):
-            part = frame.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"),
-                                              F.max(F.size(vector_to_array("features"))).alias("n_features")).select(
-                F.lit(half).alias("half"), F.lit(kind).alias("kind"), "label", "n_rows", "n_features")
+        linear, binned = model.frames(clean.filter(F.col("half") == half))
+        linear = FE.vector_columns(linear, "features", _FEATURES, "z").withColumn("bins_valid", F.lit(None).cast("boolean"))
+        array = vector_to_array("features")
+        # a fit of b buckets gives bins 0 .. b - 1, and NaN to missing values
+        valid = [F.isnan(array[i]) | ((array[i] == F.floor(array[i])) & array[i].between(0, model.buckets[c] - 1))
+                 for i, c in enumerate(_CONT)]
+        binned = binned.withColumns({f"z_{c}": array[len(_CONT) + i] for i, c in enumerate(_EXTRAS)} | {
+            f"z_{c}": F.when(F.isnan(array[i]), array[i]) for i, c in enumerate(_CONT)} | {
+            "bins_valid": reduce(and_, valid) & (F.size(array) == len(_FEATURES))})
+        for kind, frame in (("linear", linear), ("binned", binned)):
+            part = frame.select(F.lit(half).alias("half"), F.lit(kind).alias("kind"), "label", *[f"z_{c}" for c in _FEATURES], "bins_valid")
             out = part if out is None else out.unionByName(part)
-    return out
+    return rounded(out)
