@@ -41,9 +41,11 @@ def panel(spark):
 
 def test_neighbours_by_range_equal_plain(panel):
     plain = neighbour_values(panel, "loc", ["d", "id"], ["x", "dir"], bucket=None)
-    buck = neighbour_values(panel, "loc", ["d", "id"], ["x", "dir"])
+    buck = neighbour_values(panel, "loc", ["d", "id"], ["x", "dir"], bucket="range")
     cols = ["id", "x_prev", "x_next", "dir_prev", "dir_next"]
     assert rows(plain, *cols) == rows(buck, *cols)
+    for limit in (1, 5, 100):
+        assert rows(neighbour_values(panel, "loc", ["d", "id"], ["x", "dir"], rows_per_range=limit), *cols) == rows(plain, *cols)
     got = {r.id: (r.x_prev, r.x_next) for r in buck.collect()}
     assert got[1] == (None, 10.0) and got[4] == (None, None) and got[5] == (20.0, 40.0) and got[8] == (4.0, None) and got[14] == (None, 5.0)
 
@@ -237,3 +239,73 @@ def test_odd_frames(spark, name):
 def test_boolean_shares_of_numbers(spark):
     r = PR.boolean_shares(spark.createDataFrame([(1.0,), (0.0,), (1.0,), (2.0,)], "x double"), ["x"]).first()
     assert (r.pct_true, r.pct_false, r.pct_other) == (50.0, 25.0, 25.0)
+
+
+def test_neighbours_beside_columns_with_helper_names(panel):
+    clash = {c: F.lit("z") for c in ("__row", "__range", "__place", "__first", "__last", "__k0", "__k0_null", "__p0", "__n0", "__head0",
+                                     "__tail0", "__before0", "__after0", "__lo")}
+    plain = neighbour_values(panel, "loc", ["d", "id"], ["x"], bucket=None)
+    for bucket in ("auto", "range", None):
+        got = neighbour_values(panel.withColumns(clash), "loc", ["d", "id"], ["x"], bucket=bucket)
+        assert got.columns == [*panel.columns, *clash, "x_prev", "x_next"]
+        assert rows(got, "id", "x_prev", "x_next") == rows(plain, "id", "x_prev", "x_next")
+        assert set(got.first()[c] for c in clash) == {"z"}
+
+
+# ---------------------------------------------------------------- medians from mergeable sketches
+
+def _values(spark, sizes, seed=3):
+    import random
+    rng = random.Random(seed)
+    return [(e, m, rng.uniform(-5, 5)) for (e, m), n in sizes.items() for _ in range(n)]
+
+
+def lower_median(xs):
+    return sorted(xs)[(len(xs) - 1) // 2] if xs else None
+
+
+def test_medians_are_exact_up_to_the_accuracy(spark):
+    data = _values(spark, {("a", 1): 301, ("a", 2): 2, ("b", 1): 150, (None, 1): 9, ("b", None): 4})
+    df = spark.createDataFrame([*data, ("c", 3, None), ("d", 4, float("nan"))], "e string, m int, v double").repartition(6)
+    df = df.withColumn("k", (F.col("v") * 10).cast("int"))
+    got = {(r.e, r.m): r.v_median for r in ST.median_by(df, ["e", "m"], ["v"], 1000).collect()}
+    assert got == {**{g: lower_median([v for e, m, v in data if (e, m) == g]) for g in {x[:2] for x in data}},
+                   ("c", 3): None, ("d", 4): None}
+    assert ST.median_by(df, ["e"], ["k"], 1000).schema["k_median"].dataType.simpleString() == "int"
+    both = ST.two_level_stats(df.select("e", "m", "v"), "e", "m", {"avg": F.col("v")}, {"mid": F.col("v")}, 1000).collect()
+    fine = {(r.e, r.m): r.mid for r in both if r["__g"] == 0}
+    assert fine == got
+    month = {r.m: (r.mid, r.avg) for r in both if r["__g"] == 1}
+    for m in (1, 2, None):
+        xs = [v for _, mm, v in data if mm == m]
+        assert month[m][0] == lower_median(xs) and month[m][1] == pytest.approx(sum(xs) / len(xs))
+    assert month[3] == (None, None)
+
+
+def test_medians_of_large_groups_keep_their_rank(spark):
+    df = spark.range(0, 400_000, numPartitions=8).select((F.col("id") % 2).alias("e"), F.lit(1).alias("m"),
+                                                         (F.hash("id") % 1000003).cast("double").alias("v"))
+    accuracy = 500
+    for r in ST.median_by(df, ["e"], ["v"], accuracy).collect():
+        below = df.filter((F.col("e") == r.e) & (F.col("v") <= r.v_median)).count() / 200_000
+        assert abs(below - 0.5) < 4 * 2.3 / accuracy ** 0.9
+    month = [r for r in ST.two_level_stats(df, "e", "m", {}, {"mid": F.col("v")}, accuracy).collect() if r["__g"] == 1][0]
+    assert abs(df.filter(F.col("v") <= month.mid).count() / 400_000 - 0.5) < 4 * 2.3 / accuracy ** 0.9
+
+
+# ---------------------------------------------------------------- hash-first duplicates
+
+def test_duplicate_groups_with_colliding_hashes(spark, monkeypatch):
+    data = [(i % 17, "x" * (i % 5)) for i in range(300)] + [(100 + i, "alone") for i in range(80)] + [(None, None)] * 4
+    df = spark.createDataFrame(data, "a int, b string").repartition(5).withColumn("__h", F.lit(1))
+    literal = PR.row_groups(df).filter("n_copies > 1").orderBy(F.desc("n_copies"), "a", "b").limit(7).collect()
+    hashes = {"own": PR._row_hash, "few": lambda cols: F.pmod(F.hash(*cols), F.lit(11)).cast("long"),
+              "one": lambda cols: F.lit(5).cast("long"), "uneven": lambda cols: F.when(F.col("a") < 3, F.lit(0)).otherwise(F.hash(*cols)).cast("long")}
+    for name, fn in hashes.items():
+        monkeypatch.setattr(PR, "_row_hash", fn)
+        assert PR.duplicate_groups(df, 7, order_cols=["a", "b"]).collect() == literal, name
+        assert PR.duplicate_count(df).first()[:2] == (384, df.distinct().count()), name
+    monkeypatch.setattr(PR, "BROADCAST_HASHES", 2)
+    assert PR.duplicate_groups(df, 7, order_cols=["a", "b"]).collect() == literal
+    assert PR.duplicate_groups(df.limit(0), 7).collect() == []
+    assert PR.duplicate_groups(df.filter("a >= 100"), 7).collect() == []

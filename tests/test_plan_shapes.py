@@ -50,7 +50,7 @@ def test_neighbours_do_not_shuffle_by_entity_or_month(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the sort-merge plan of large data
     try:
-        p = plan(neighbour_values(o, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"]))
+        p = plan(neighbour_values(o, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"], bucket="range"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortAggregate" not in p
@@ -68,3 +68,59 @@ def test_domain_violations_without_join(spark):
     assert "Join" not in p
     got = {r.column_name: (r.n_invalid_values, r.ok) for r in PR.domain_violations(o, {"o_orderstatus": ["F", "O"]}).collect()}
     assert got == {"o_orderstatus": (1, False)}
+
+
+def test_neighbours_of_bounded_entities_shuffle_once(spark):
+    o = spark.read.parquet(f"{SF01}/orders.parquet")
+    p = plan(neighbour_values(o, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"]))
+    assert p.count("Exchange hashpartitioning") == 1 and "Join" not in p
+    assert "orders.parquet" not in p  # the source was read once, for the written table
+
+
+def test_cascades_scan_the_reference_once(spark):
+    n = norm_obs(spark, SF01)
+    reference = train_of(n)
+    seen = lambda d: plan(d).count("orders.parquet")
+    for filled in (I.fill_token_mode_cascade(n, reference, "location", "month", ["code", "dir"]),
+                   I.fill_token_median_cascade(n, reference, "location", "month", ["txt_num"])):
+        # both lookups read the written statistics; the source is scanned for the filled frame alone
+        assert seen(filled) == seen(n) and plan(filled).count("cascade-") == 2
+
+
+def test_imputation_has_two_lookups_and_one_window(spark):
+    from tabprep.plans.cleaning import CleaningModel
+    from tabprep.plans.q_clean import OBS_SPEC
+    n = norm_obs(spark, SF01)
+    p = plan(CleaningModel.fit(train_of(n), OBS_SPEC).impute(n))
+    # the month lookup runs before the frame is written for the window
+    assert p.count("LeftOuter") == 1 and len(re.findall(r"\bWindow \[", p)) == 1
+
+
+def test_split_report_aggregates_the_frame_once(spark):
+    from tabprep.operators.split import split_report
+    o = spark.read.parquet(f"{SF01}/orders.parquet")
+    p = plan(split_report(o.filter("o_orderkey % 5 > 0"), o.filter("o_orderkey % 5 = 0"), "o_orderstatus"))
+    assert p.count("Expand") == 1 and p.count("HashAggregate") == 2 and p.count("FileScan") == 2  # a scan for each half
+
+
+def test_scope_deletes_what_operators_and_queries_write(spark):
+    import os
+
+    import __spark_entry__ as E
+    from tabprep.session import checkpoint_dir, scope
+    from tests.conftest import SF001
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    queries = E.queries()
+    with scope(spark) as outer:
+        for key in ("trim_highest", "trim_lowest", "removal_report", "neighbour_values", "fill_month", "fill_direction", "lookup_left_month",
+                    "join_inner_month_mode", "fill_token_mode_cascade", "fill_token_median_cascade", "clean_pipeline", "feature_pipeline",
+                    "feature_frames", "duplicate_groups", "quantile_bins"):
+            with scope(spark) as own:
+                queries[key](spark, SF001).collect()
+                made = set(os.listdir(folder)) - before
+                assert all(p.split("/")[-1] in made for p in own if os.path.exists(p.removeprefix("file:")))
+            assert set(os.listdir(folder)) == before, key
+        queries["trim_highest"](spark, SF001).collect()
+        assert outer and set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before

@@ -27,7 +27,8 @@ def test_bucketed_neighbours_equal_plain(spark, data):
                                "id long, e string, d date, x double")
     cols = ["id", "x_prev", "x_next"]
     plain = neighbour_values(df, "e", ["d", "id"], ["x"], bucket=None)
-    assert rows(neighbour_values(df, "e", ["d", "id"], ["x"]), *cols) == rows(plain, *cols)
+    for bucket in ("auto", "range"):
+        assert rows(neighbour_values(df, "e", ["d", "id"], ["x"], bucket=bucket), *cols) == rows(plain, *cols)
 
 
 def test_neighbours_with_ties_and_a_hot_entity_day(spark):
@@ -36,13 +37,14 @@ def test_neighbours_with_ties_and_a_hot_entity_day(spark):
     base = dt.date(2020, 1, 1)
     df = spark.createDataFrame([(i, "hot" if i % 10 else f"e{i % 3}", base + dt.timedelta(days=0 if i % 10 else i % 40), float(i))
                                 for i in range(3000)], "id long, e string, d date, x double").repartition(7)
-    tied = neighbour_values(df, "e", ["d"], ["id"]).select("id", "id_prev", "id_next").collect()
-    after = {r.id: r.id_next for r in tied}
-    assert all(r.id_prev is None or after[r.id_prev] == r.id for r in tied)
-    assert sum(r.id_prev is None for r in tied) == sum(r.id_next is None for r in tied) == 4
     cols = ["id", "x_prev", "x_next"]
-    assert rows(neighbour_values(df, "e", ["d", "id"], ["x"]), *cols) == \
-        rows(neighbour_values(df, "e", ["d", "id"], ["x"], bucket=None), *cols)
+    for bucket in ("auto", "range"):
+        tied = neighbour_values(df, "e", ["d"], ["id"], bucket=bucket).select("id", "id_prev", "id_next").collect()
+        after = {r.id: r.id_next for r in tied}
+        assert all(r.id_prev is None or after[r.id_prev] == r.id for r in tied)
+        assert sum(r.id_prev is None for r in tied) == sum(r.id_next is None for r in tied) == 4
+        assert rows(neighbour_values(df, "e", ["d", "id"], ["x"], bucket=bucket), *cols) == \
+            rows(neighbour_values(df, "e", ["d", "id"], ["x"], bucket=None), *cols)
 
 
 def test_max_gap_days(spark):
@@ -57,8 +59,20 @@ def test_max_gap_days(spark):
 def test_saturating_bucket_counts(spark, values):
     from tabprep.operators.features import adaptive_bucket_count, bucket_counts
     df = spark.createDataFrame([(v, None if v is None else float(v), str(v)) for v in values], "a long, b double, c string")
-    exact = {r.column_name: r.n_buckets for r in adaptive_bucket_count(df, ["a", "b", "c"]).collect()}
-    assert bucket_counts(df.repartition(3), ["a", "b", "c"]) == exact
+    d = len(set(values))
+    want = {c: (min(d, 12), min(10, max(3, d - 1))) for c in "abc"}
+    assert {r.column_name: (r.n_distinct, r.n_buckets) for r in adaptive_bucket_count(df, ["a", "b", "c"]).collect()} == want
+    assert bucket_counts(df.repartition(3), ["a", "b", "c"]) == {c: n for c, (_, n) in want.items()}
+
+
+def test_saturating_distinct_around_the_limit(spark):
+    """For every number of values near the limit, and for many draws of them, the rough pass clears no column of few values."""
+    from tabprep.operators.features import saturating_distinct
+    for k in range(4):
+        df = spark.range(500, numPartitions=2).select(*[F.xxhash64(F.lit(d * 100 + k), F.col("id") % d).alias(f"c{d}") for d in (1, 10, 11, 12, 13, 14, 40)])
+        assert saturating_distinct(df, df.columns, 12) == {c: min(12, int(c[1:])) for c in df.columns}
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (None,)], "x double")
+    assert saturating_distinct(zeros, ["x", "absent"], 12) == {"x": 3}
 
 
 @SETTINGS
