@@ -24,7 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, small
+from tabprep.functions.names import unused
+
+from .common import BROADCAST_ROWS, ascii_lower, materialize, small
 
 #: Fixed value: what stands between words, after lower-casing A-Z.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,10 +90,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
     wanted = small(in_window.select("size", "h").distinct(), broadcast_rows)
     counts = of_docs.select("size", "h").join(wanted, ["size", "h"]).groupBy("size", "h").agg(
         F.count(F.lit(1)).alias("n_places"))
-    rarest = (in_window.join(counts, ["size", "h"], "left").groupBy("item_id", "window_words", "n", "size")
+    rarest = materialize(in_window.join(counts, ["size", "h"], "left").groupBy("item_id", "window_words", "n", "size")
               .agg(F.min(F.struct(F.coalesce("n_places", F.lit(0)).alias("n_places"), "h", "offset")).alias("first"))
               .filter("first.n_places > 0")
-              .select("item_id", "window_words", "n", "size", "first.h", "first.offset"))
+              .select("item_id", "window_words", "n", "size", "first.h", "first.offset"), "decontam-rarest")
     bounds = (F.col("place") >= F.col("offset")) & (F.col("place") - F.col("offset") + F.col("n") <= F.col("n_words"))
     start = (F.col("place") - F.col("offset")).alias("start")
     same = lambda w: F.slice(w, F.col("start") + 1, F.col("n")) == F.col("window_words")
@@ -129,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       **options) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
-    bad = occurrences(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(
-        F.col("d").alias("d__"), F.col("t").alias("t__")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("d__")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("t__")),
-                     "left_anti")
+    d, t = unused(docs.columns, "__d"), unused(docs.columns, "__t")
+    bad = materialize(occurrences(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(
+        F.col("d").alias(d), F.col("t").alias(t)).distinct(), "decontam-bad")
+    return docs.join(small(bad), docs[id_col].eqNullSafe(F.col(d)) & F.xxhash64(docs[text_col]).eqNullSafe(F.col(t)), "left_anti")

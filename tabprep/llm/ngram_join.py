@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: all links between documents whose sets of word n-grams are similar.
+"""N-gram Jaccard join: the components of documents that link because their sets of word n-grams are similar.
 
 Two documents link if 100 * |intersection| >= percent * |union| of their sets.  A
 vertex is a distinct set, so copies cost nothing after the first step.
@@ -9,8 +9,9 @@ vertex is a distinct set, so copies cost nothing after the first step.
    to a bucket of n-grams; the bucket answers which of them other tasks have
    too.  Only sets with enough shared n-grams go on.  An n-gram that a third of all
    documents share costs one entry for each task.
-2. *Rare-first prefixes.*  The n-grams of the sets that are left are counted exactly and
-   ordered by count, rarest first.  A set's prefix of n - ceil(t * n) + 1 n-grams is its posting list;
+2. *Rare-first prefixes.*  The n-grams of the sets that are left are counted exactly, again through
+   buckets that each chunk of sets sends every n-gram to once, and a chunk orders its sets by the
+   counts that come back, rarest first.  A set's prefix of n - ceil(t * n) + 1 n-grams is its posting list;
    n-grams that no other set has come first and join nothing.
 3. *Joining.*  Sets that share a prefix n-gram are candidates if they pass the length filter, the
    positional filter and the suffix filter (an upper bound of the overlap from the sizes of the sets'
@@ -39,15 +40,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.session import release
+from tabprep.functions.names import unused
 
 from .common import arrow_schema, batches_of, materialize, small
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
-CHUNK_GRAMS = 1_500_000
+CHUNK_GRAMS = 600_000
 CHUNK_SETS = 60_000
+#: Documents with one set from which on the set's row is broadcast to them instead of shuffled with them.
+HEAVY_COPIES = 1000
 PARTS = 16
 RECENT = 8
 SHARED = 0xFFFF  # in place of a set's number: several sets of the chunk have the n-gram
@@ -87,33 +90,28 @@ def shared_needed(n: int, percent: int) -> int:
     return max(1, overlap_needed(n, percent) // 4)
 
 
-def document_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, sig, n) of every document."""
-    ddl = "doc_id long, text_hash long, sig binary, n int"
-
-    def run(batches):
-        def rows():
-            for b in batches:
-                for doc_id, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                    grams = gram_hashes(text.as_py(), size)
-                    yield doc_id, text_hash, signature(grams) if len(grams) else None, len(grams)
+def source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
-        yield from batches_of(rows(), arrow_schema(ddl), 5000)
 
-    return source(docs, id_col, text_col).mapInArrow(run, ddl)
+def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
 
 
-def source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+def by_bucket(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, places): the n-grams in ``order`` go bucket by bucket; bucket i has those from places[i] to places[i + 1]."""
+    bucket = bucket_of(grams, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
 
 
-def screened(docs: DataFrame, size: int, percent: int, buckets: int, text_col: str, written: list | None = None) -> DataFrame:
-    """(sig) of the sets that may have a link, besides some that have none. What the tasks send is written first, so that a
-    chunk has one name and one content whatever is computed again; its path goes to ``written``."""
-    ddl = "bucket int, chunk string, kind int, a binary, b binary"
+def sent_sets(docs: DataFrame, size: int, percent: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """What the tasks find in one pass over the texts: a row of kind 2 for each document (a is its signature), and for each
+    chunk of distinct sets its n-grams by bucket (kind 0) and its sets (kind 1)."""
+    ddl = "bucket int, chunk string, kind int, a binary, b binary, doc_id long, text_hash long, n int"
 
-    def send(batches):
+    def run(batches):
         held: dict[bytes, np.ndarray] = {}
 
         def flush():
@@ -125,25 +123,24 @@ def screened(docs: DataFrame, size: int, percent: int, buckets: int, text_col: s
                                                    return_counts=True)
             own = np.bincount(number[counts[back] > 1], minlength=len(held))  # shared inside the chunk
             entry = np.where(counts > 1, SHARED, number[first]).astype(np.uint16)
-            bucket = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            places = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            order, places = by_bucket(grams, buckets)
             low, entry = grams[order].astype(np.uint32), entry[order]
             # A chunk's own sets travel with one of the buckets.
             yield (zlib.crc32(chunk.encode()) % buckets, chunk, 1, b"".join(held),
-                   np.concatenate([sizes, own]).astype(np.int32).tobytes())
-            for i in range(buckets):
+                   np.concatenate([sizes, own]).astype(np.int32).tobytes(), None, None, None)
+            for i in np.flatnonzero(np.diff(places)).tolist():
                 x, y = places[i], places[i + 1]
-                if y > x:
-                    yield i, chunk, 0, low[x:y].tobytes(), entry[x:y].tobytes()
+                yield i, chunk, 0, low[x:y].tobytes(), entry[x:y].tobytes(), None, None, None
             held.clear()
 
         def rows():
             total = 0
             for b in batches:
-                for text in b.column(0):
+                for doc_id, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                     grams = gram_hashes(text.as_py(), size)
-                    if not len(grams) or (sig := signature(grams)) in held:
+                    sig = signature(grams) if len(grams) else None
+                    yield None, None, 2, sig, None, doc_id, text_hash, len(grams)
+                    if sig is None or sig in held:
                         continue
                     held[sig] = grams
                     total += len(grams)
@@ -153,8 +150,14 @@ def screened(docs: DataFrame, size: int, percent: int, buckets: int, text_col: s
             if held:
                 yield from flush()
 
-        yield from batches_of(rows(), arrow_schema(ddl), 64)
+        yield from batches_of(rows(), arrow_schema(ddl), 1000)
+
+    return source(docs, id_col, text_col).mapInArrow(run, ddl)
 
+
+def screened(sent: DataFrame, percent: int) -> DataFrame:
+    """(sig) of the sets that may have a link, besides some that have none, from the written ``sent_sets``: a
+    chunk has one name and one content whatever is computed again."""
     answer_ddl = "chunk string, kind int, a binary, b binary"
 
     def answer(table):
@@ -191,16 +194,15 @@ def screened(docs: DataFrame, size: int, percent: int, buckets: int, text_col: s
         kept = [a[own][16 * i:16 * i + 16] for i, n in enumerate(sizes.tolist()) if shared[i] >= shared_needed(n, percent)]
         return pa.table([pa.array(kept, pa.binary())], names=["sig"])
 
-    sent = materialize(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(send, ddl), "join-sent", written)
-    answers = sent.groupBy("bucket").applyInArrow(answer, answer_ddl)
+    messages = sent.filter("kind < 2").select("bucket", "chunk", "kind", "a", "b")
+    answers = messages.groupBy("bucket").applyInArrow(answer, answer_ddl)
     return answers.groupBy("chunk").applyInArrow(decide, "sig binary").distinct()
 
 
-def whole_sets(docs: DataFrame, members: DataFrame, kept: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def whole_sets(docs: DataFrame, classes: DataFrame, kept: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(vid, sig, n, grams, parts) of the screened sets, each read from one document that has it."""
-    chosen = materialize(members.join(kept, "sig").groupBy("sig").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("of")).select(
-        F.monotonically_increasing_id().alias("vid"), "sig", F.col("of.doc_id").alias("d"), F.col("of.text_hash").alias("t")),
+    chosen = materialize(kept.join(classes, "sig").select(
+        F.monotonically_increasing_id().alias("vid"), "sig", F.col("of_id").alias("d"), F.col("of_hash").alias("t")),
         "join-chosen")
     wanted = small(chosen)
     text = source(docs, id_col, text_col)
@@ -222,31 +224,93 @@ def whole_sets(docs: DataFrame, members: DataFrame, kept: DataFrame, size: int,
     return materialize(rows.mapInArrow(run, ddl).dropDuplicates(["vid"]), "join-sets")
 
 
-def postings(sets: DataFrame, percent: int) -> DataFrame:
+def postings(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(gram, vid, n, place, before): the prefix of each set in rare-first order, without n-grams of one set alone; ``before``
-    are the RECENT n-grams of the prefix that precede it."""
-    def run(batches):
+    are the RECENT n-grams of the prefix that precede it.
+
+    Chunks of sets send every n-gram to its bucket once, with the number of their sets that have it; the bucket answers with the number
+    of all. So an n-gram that all sets have is one entry for each chunk."""
+    ddl = "bucket int, chunk string, kind int, a binary, b binary"
+
+    def send(batches):
+        held: list[tuple] = []
+
+        def flush():
+            chunk = uuid.uuid4().hex
+            grams, counts = np.unique(np.concatenate([g for _, g in held]), return_counts=True)
+            order, places = by_bucket(grams, buckets)
+            grams, counts = grams[order], counts[order].astype(np.int32)
+            yield (None, chunk, 1, np.array([[vid, len(g)] for vid, g in held], np.int64).tobytes(),
+                   b"".join(g.tobytes() for _, g in held))
+            for i in np.flatnonzero(np.diff(places)).tolist():
+                x, y = places[i], places[i + 1]
+                yield i, chunk, 0, grams[x:y].tobytes(), counts[x:y].tobytes()
+            held.clear()
+
+        def rows():
+            total = 0
+            for b in batches:
+                for vid, grams in zip(b.column(0).to_pylist(), b.column(1)):
+                    held.append((vid, np.frombuffer(grams.as_py(), np.int64)))
+                    total += len(held[-1][1])
+                    if total >= CHUNK_GRAMS or len(held) >= CHUNK_SETS:
+                        yield from flush()
+                        total = 0
+            if held:
+                yield from flush()
+
+        yield from batches_of(rows(), arrow_schema(ddl), 64)
+
+    def answer(table):
         import pyarrow as pa
 
-        for b in batches:
-            for vid, n, grams in zip(*(b.column(i).to_pylist() for i in range(3))):
-                values = np.frombuffer(grams, np.int64)
-                for at in range(0, len(values), 100_000):
-                    own = values[at:at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), vid)),
-                                                      pa.array(np.full(len(own), n, np.int32))], names=["gram", "vid", "n"])
-
-    each = sets.select("vid", "n", "grams").mapInArrow(run, "gram long, vid long, n int")
-    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # A set has at most n n-grams, so its array is bounded by its text.
-    ordered = each.join(counts, "gram").groupBy("vid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("shared"))
-    alone = F.col("n") - F.size("shared")
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    cut = ordered.withColumn("alone", alone).withColumn("own", length - alone).filter("own > 0").select(
-        "vid", "n", "alone", "shared", F.posexplode(F.slice("shared", 1, F.col("own"))).alias("i", "s"))
-    recent = F.slice(F.col("shared.gram"), F.greatest(F.col("i") - RECENT + 1, F.lit(1)), F.least(F.col("i"), F.lit(RECENT)))
-    return materialize(cut.select("s.gram", "vid", "n", (F.col("alone") + F.col("i")).alias("place"), recent.alias("before")),
-                       "join-postings")
+        grams, counts = ([np.frombuffer(v.as_buffer(), t) for v in table.column(c)] for c, t in (("a", np.int64), ("b", np.int32)))
+        _, back = np.unique(np.concatenate(grams), return_inverse=True)
+        df = np.bincount(back, np.concatenate(counts)).astype(np.int32)[back]
+        ends = np.cumsum([len(g) for g in grams]).tolist()
+        return pa.table([table.column("bucket"), table.column("chunk"), pa.array(np.zeros(len(ends), np.int32)),
+                         pa.array([df[y - len(g):y].tobytes() for y, g in zip(ends, grams)], pa.binary()),
+                         pa.nulls(len(ends), pa.binary())], names=["bucket", "chunk", "kind", "a", "b"])
+
+    def order_sets(table):
+        """The postings of a chunk's sets."""
+        import pyarrow as pa
+
+        kinds = table.column("kind").to_pylist()
+        own = kinds.index(1)
+        vids, sizes = np.frombuffer(table.column("a")[own].as_py(), np.int64).reshape(-1, 2).T
+        grams = np.frombuffer(table.column("b")[own].as_py(), np.int64)
+        unique, back = np.unique(grams, return_inverse=True)
+        order, places = by_bucket(unique, buckets)
+        df = np.zeros(len(unique), np.int64)
+        for i, kind in enumerate(kinds):
+            if not kind:
+                bucket = table.column("bucket")[i].as_py()
+                df[order[places[bucket]:places[bucket + 1]]] = np.frombuffer(table.column("a")[i].as_buffer(), np.int32)
+        df = df[back]
+        owner = np.repeat(np.arange(len(vids)), sizes)
+        shared = df > 1
+        alone = sizes - np.bincount(owner[shared], minlength=len(vids))
+        owner, grams, df = owner[shared], grams[shared], df[shared]
+        sort = np.lexsort((grams, df, owner))
+        owner, grams = owner[sort], grams[sort]
+        starts = np.searchsorted(owner, np.arange(len(vids)))
+        i = np.arange(len(owner)) - starts[owner]  # the place among the set's shared n-grams
+        needed = -(-percent * sizes // 100)
+        prefix = np.flatnonzero(i < (sizes - needed + 1 - alone)[owner])
+        at, i = owner[prefix], i[prefix]
+        few = np.minimum(i, RECENT)
+        ends = np.cumsum(few)
+        recent = np.repeat(prefix - few - (ends - few), few) + np.arange(int(few.sum()))
+        before = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(grams[recent]))
+        return pa.table([pa.array(grams[prefix]), pa.array(vids[at]), pa.array(sizes[at].astype(np.int32)),
+                         pa.array((alone[at] + i).astype(np.int32)), before], names=["gram", "vid", "n", "place", "before"])
+
+    sent = materialize(sets.select("vid", "grams").mapInArrow(send, ddl), "join-counted")
+    answers = sent.filter("kind = 0").groupBy("bucket").applyInArrow(answer, ddl)
+    both = answers.unionByName(sent.filter("kind = 1"))
+    return materialize(both.groupBy("chunk").applyInArrow(
+        order_sets, "gram long, vid long, n int, place int, before array<long>"), "join-postings")
 
 
 def may_link(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
@@ -319,10 +383,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a long, b long")
 
 
-def linked_sets(sets: DataFrame, percent: int, leader_rounds: int = 4) -> DataFrame | None:
+def contracted(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(v, component) after links are added: only the new links are followed, between the components found so far."""
+    if labels is None:
+        return components(new)
+    named = lambda k: labels.select(F.col("v").alias(k), F.col("component").alias(f"{k}_label"))
+    ends = new.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
+        F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    step = components(ends)
+    moved = labels.join(step.select(F.col("v").alias("component"), F.col("component").alias("next")), "component", "left")
+    return materialize(moved.select("v", F.coalesce("next", "component").alias("component")).unionByName(
+        step.join(labels, "v", "left_anti").select("v", "component")), "join-labels")
+
+
+def linked_sets(sets: DataFrame, percent: int, buckets: int, leader_rounds: int = 4) -> DataFrame | None:
     """(v, component) of the sets that have links; None if there are none."""
-    posted = postings(sets, percent)
-    links, tested, labels = None, None, None
+    posted = postings(sets, percent, buckets)
+    tested, labels = None, None
     for turn in range(leader_rounds + 1):
         current = with_components(posted, labels)
         pairs = leader_pairs(current, turn, percent) if turn < leader_rounds else remaining_pairs(current, percent)
@@ -334,8 +411,7 @@ def linked_sets(sets: DataFrame, percent: int, leader_rounds: int = 4) -> DataFr
         tested = pairs if tested is None else tested.union(pairs)
         new = materialize(verified(pairs, sets, percent), "join-links")
         if new.head(1):
-            links = new if links is None else links.union(new)
-            labels = components(links)
+            labels = contracted(labels, new)
     return labels
 
 
@@ -344,28 +420,39 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, text_hash, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
     buckets = buckets or max(64, 4 * docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    members = materialize(document_sets(docs, size, id_col, text_col), "join-members")
-    written: list[str] = []
-    kept = materialize(screened(docs, size, percent, buckets, text_col, written), "join-kept")
-    release(spark, written)
-    sets = whole_sets(docs, members, kept, size, id_col, text_col)
-    labels = linked_sets(sets, percent)
-    classes = members.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id"))
+    sent = materialize(sent_sets(docs, size, percent, buckets, id_col, text_col), "join-sent")
+    members = sent.filter("kind = 2").select("doc_id", "text_hash", F.col("a").alias("sig"), "n")
+    # One row for each set, combined before the shuffle: its smallest document, and how many have it.
+    classes = materialize(members.filter("sig is not null").groupBy("sig").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("of"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")).select(
+        "sig", "class_id", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash"), "copies"), "join-classes")
+    kept = materialize(screened(sent, percent), "join-kept")
+    sets = whole_sets(docs, classes, kept, size, id_col, text_col)
+    labels = linked_sets(sets, percent, buckets)
     if labels is not None:
         named = sets.select("sig", "vid").join(labels.withColumnRenamed("v", "vid"), "vid").select("sig", "component")
         linked = classes.join(named, "sig", "left")
         lowest = linked.filter("component is not null").groupBy("component").agg(F.min("class_id").alias("lowest"))
-        classes = linked.join(lowest, "component", "left").select("sig", F.coalesce("lowest", "class_id").alias("class_id"))
-    return members.join(classes, "sig", "left").select(
-        "doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        classes = materialize(linked.join(lowest, "component", "left").select(
+            "sig", F.coalesce("lowest", "class_id").alias("class_id"), "copies"), "join-named")
+    # Documents without words, and those of sets with many copies, would meet in one task of a join on sig.
+    answer = lambda d, component: d.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"),
+                                           component.alias("component_id"))
+    light = lambda c: c.select("sig", "class_id")
+    heavy = small(light(classes.filter(F.col("copies") >= HEAVY_COPIES)))
+    rare = light(classes.filter(F.col("copies") < HEAVY_COPIES))
+    worded = members.filter("sig is not null")
+    return answer(members.filter("sig is null"), F.col("doc_id")).unionByName(
+        answer(worded.join(heavy, "sig"), F.col("class_id"))).unionByName(
+        answer(worded.join(heavy.select("sig"), "sig", "left_anti").join(rare, "sig"), F.col("class_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` but those linked with a document of smaller id, directly or through others; of rows with
     one id, which a component may keep, all of the kept one's text stay."""
     found = join_documents(docs, id_col, text_col, **options)
-    gone = found.filter("component_id is not null and (doc_id is null or doc_id != component_id)").select(
-        F.col("doc_id").alias("d__"), F.col("text_hash").alias("t__")).distinct()
+    d, t = unused(docs.columns, "__d"), unused(docs.columns, "__t")
+    gone = materialize(found.filter("component_id is not null and (doc_id is null or doc_id != component_id)").select(
+        F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct(), "join-gone")
     key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("d__")) & (key == F.col("t__")), "left_anti")
+    return docs.join(small(gone), docs[id_col].cast("long").eqNullSafe(F.col(d)) & (key == F.col(t)), "left_anti")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabprep.llm import (bpe, crf_quality, decontam, html_extract, ngram_join, pii, records, rules_forest, suffix_array,
                          suffix_dedup, warc)
+from tabprep.llm.common import materialize
 from tabprep.llm.components import components
 from tabprep.llm.queries import vocabulary
 
@@ -23,7 +24,8 @@ DOCS = "doc_id long, text string"
 def frame(spark, rows, parts=4):
     """Documents with extra columns whose names the operators use inside."""
     df = spark.createDataFrame(rows, DOCS).repartition(parts)
-    return df.withColumns({c: F.lit("x") for c in ("t", "d", "n", "w", "kind", "start", "sig", "vid", "words", "id", "spans")})
+    return df.withColumns({c: F.lit("x") for c in ("t", "d", "n", "w", "kind", "start", "sig", "vid", "words", "id", "spans", "d__", "t__",
+                                               "__d", "__t", "cuts__", "__cuts", "gram", "chunk", "class_id")})
 
 
 def found(df):
@@ -269,6 +271,43 @@ def test_screening_bounds_hold():
             assert shared >= ngram_join.shared_needed(len(x), 75) and shared >= ngram_join.shared_needed(len(y), 75)
 
 
+@pytest.mark.parametrize("chunk", [600_000, 50])
+def test_postings_are_rare_first_prefixes(spark, monkeypatch, chunk):
+    """Against brute force: the n-grams of every set by count and value, those of one set alone left out, cut at the prefix."""
+    monkeypatch.setattr(ngram_join, "CHUNK_GRAMS", chunk)
+    rng = np.random.default_rng(5)
+    draw = lambda: rng.zipf(1.4, int(rng.integers(1, 80))).astype(np.uint64) % np.uint64(300)
+    sets = {i: np.unique(draw() << np.uint64(55 if i % 3 else 0)) for i in range(70)}
+    df = Counter(g for s in sets.values() for g in s.view(np.int64).tolist())
+    want = []
+    for vid, s in sets.items():
+        order = sorted(s.view(np.int64).tolist(), key=lambda g: (df[g], g))
+        shared = [g for g in order if df[g] > 1]
+        for place, g in enumerate(order[:len(s) - -(-75 * len(s) // 100) + 1]):
+            if df[g] > 1:
+                i = shared.index(g)
+                want.append((g, vid, len(s), place, tuple(shared[max(0, i - 8):i])))
+    table = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in sets.items()], "vid long, n int, grams binary").repartition(3)
+    got = [(r.gram, r.vid, r.n, r.place, tuple(r.before)) for r in ngram_join.postings(table, 75, 7).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_new_links_are_contracted_into_components(spark):
+    frames = [spark.createDataFrame(e, "a long, b long") for e in ([(5, 9), (6, 7)], [(7, 9), (20, 30)], [(1, 30), (3, 30), (40, 41)], [(1, 5)])]
+    labels = None
+    for f in frames:
+        labels = ngram_join.contracted(labels, f)
+    assert sorted(map(tuple, labels.collect())) == sorted([(v, 1) for v in (1, 3, 5, 6, 7, 9, 20, 30)] + [(40, 40), (41, 40)])
+
+
+def test_long_text_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAVY_COPIES", 5)
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, None)] + [(i, "the same five words and more of them") for i in range(10, 40)] + [(50, "")] * 3
+    got = {r.doc_id: r.component_id for r in ngram_join.join_documents(frame(spark, rows), buckets=5).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 50: 50, **{i: 10 for i in range(10, 40)}}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70), (200, 200), (7, 3), (7, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -282,7 +321,11 @@ def test_messages_are_written_before_they_are_shuffled(spark):
     source = suffix_dedup.keyed(docs, "doc_id", "text").filter("d is not null")
     shared = suffix_dedup.shared_anchors(source, 50, 24, 8)
     meeting = source.join(shared, ["d", "t"]).select("d", "t", "text", "anchors")
-    for df in (shared, suffix_dedup.smallest_runs(meeting, 50, 24, 8), ngram_join.screened(docs, 5, 75, 8, "text")):
+    screened = ngram_join.screened(materialize(ngram_join.sent_sets(docs, 5, 75, 8, "doc_id", "text")), 75)
+    grams = [np.array(g, np.uint64) for g in ([1, 2, 3], [2, 3, 4], [9])]
+    sets = spark.createDataFrame([(i, len(g), bytearray(g.tobytes())) for i, g in enumerate(grams)], "vid long, n int, grams binary")
+    postings = ngram_join.postings(sets, 50, 8)
+    for df in (shared, suffix_dedup.smallest_runs(meeting, 50, 24, 8), screened, postings):
         assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
         assert df.count()
 
