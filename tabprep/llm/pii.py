@@ -1,17 +1,23 @@
 """Personal data: base patterns, and terms that disclose the entities they name.
 
 Base spans (email, ip, card, phone) come from patterns and checks.  The
-information-theoretic part takes each distinct base value as a protected entity
-and every term in the characters around its mentions as a possible disclosure.
-Over the distinct texts of the corpus, with n texts in all,
+information-theoretic part protects the entities that base values name: the value itself, and what it
+has in common with others (an email's domain, an ip's first three parts, a card's first
+six digits, a phone number without its last four).  Terms are words outside emails.  Co-occurrence is counted in the distinct texts
+of the corpus, each as a whole, however far apart term and entity stand.  With n texts in all,
 
     IC(entity) = -ln(n_entity / n)
     PMI(entity, term) = ln(n_both * n / (n_entity * n_term))
 
 a term discloses an entity if PMI / IC reaches ``threshold``, that is, if seeing
-the term gives away that share of the information the entity holds, and at least
-``min_support`` texts have both.  Its occurrences near mentions of that entity are
-added as spans of kind ``term``.
+the term gives away that share of the information the entity holds, and if so many
+common texts are no chance: with e = n_entity * n_term / n texts expected, the Chernoff
+bound exp(-(n_both * ln(n_both / e) - n_both + e)) of that many or more is at most ``level`` / n.
+Every occurrence of the term in every document that holds the entity is a span of kind ``term``.
+
+What cannot disclose is left out before pairs are made, by consequences of the two rules: an entity or
+a term in one text only never passes the second, and a term passes the first only if
+n_term <= n_entity**threshold * n**(1 - threshold).
 
 Only DataFrame functions are used.  The spans of a text are found from the pieces
 between matches, whose lengths are summed in a window over the matches of the text:
@@ -20,15 +26,19 @@ are written with possessive repeats and a look-behind, which match what the plai
 patterns match but neither recurse nor restart inside a failed run.
 
 Defined cases: a NULL text is empty and has no spans; rows with equal
-(doc_id, text) get equal results, one row each; an empty table gives no rows; other
-columns are not read.
+(doc_id, text) get equal results, one row each, and copies of a text count once as evidence; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabprep.functions.names import unused
+
 from .common import materialize, small
 
 #: Kinds in order, and their patterns.
@@ -43,10 +53,11 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-CONTEXT_CHARS = 60
-MIN_SUPPORT = 3
 THRESHOLD = 0.8
+LEVEL = 0.05
 TERM = r"[\p{L}][\p{L}\p{N}]{2,}+"
+#: In texts with an "@": emails, which are dropped from the terms, or terms that do not run into one.
+EMAIL_OR_TERM = PATTERNS["email"] + "|" + TERM + r"(?![A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++\.[A-Za-z0-9-])"
 
 
 def valid(kind: Column, match: Column) -> Column:
@@ -65,8 +76,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
-    """(d, t, kind, match, start, end, left, right) of every valid base span of keyed documents. ``left`` and
-    ``right`` are the characters beside it, back to and up to the neighbouring matches of the kind."""
+    """(d, t, kind, match, start, end) of every valid base span of keyed documents."""
     found = []
     for kind in KINDS:
         pattern = PATTERNS[kind].replace("\\", "\\\\")
@@ -77,69 +87,98 @@ def base_matches(docs: DataFrame) -> DataFrame:
     per_kind = docs.select("d", "t", F.explode_outer(F.array(*found)).alias("k")).filter("size(k.matches) > 0")
     rows = per_kind.select("d", "t", "k.kind", F.col("k.pieces").alias("pieces"),
                            F.posexplode_outer("k.matches").alias("i", "match")).select(
-        "d", "t", "kind", "i", "match", F.length(F.get("pieces", F.col("i"))).cast("long").alias("gap"),
-        F.right(F.get("pieces", F.col("i")), F.lit(CONTEXT_CHARS + 1)).alias("left"),
-        F.left(F.get("pieces", F.col("i") + 1), F.lit(CONTEXT_CHARS + 1)).alias("right"))
+        "d", "t", "kind", "i", "match", F.length(F.get("pieces", F.col("i"))).cast("long").alias("gap"))
     once = rows.repartition("d", "t").dropDuplicates(["d", "t", "kind", "i"])
     upto = Window.partitionBy("d", "t", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     ends = once.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(upto))
     return ends.filter(valid(F.col("kind"), F.col("match"))).select(
-        "d", "t", "kind", "match", (F.col("end") - F.length("match")).alias("start"), "end", "left", "right")
-
-
-def terms_in(context: Column) -> Column:
-    """[(term, from, to)] of the terms of a short string; the numbers are places in it."""
-    parts = F.split(context, TERM, -1)
-    terms = F.regexp_extract_all(context, F.lit(TERM), F.lit(0))
-    size = lambda k, x: F.aggregate(F.slice(x, 1, k), F.lit(0), lambda a, p: a + F.length(p))  # noqa: E731  short arrays
-    return F.transform(terms, lambda term, i: F.struct(
-        F.lower(term).alias("term"), (size(i + 1, parts) + size(i, terms)).alias("from"),
-        (size(i + 1, parts) + size(i + 1, terms)).alias("to")))
-
-
-def context_terms(matches: DataFrame) -> DataFrame:
-    """(d, t, entity, term, start, end) of the terms around each base span; terms cut by the context's edge are left out."""
-    entity = F.concat("kind", F.lit(":"), F.when(F.col("kind") == "email", F.lower("match")).when(
-        F.col("kind") == "ip", F.col("match")).otherwise(F.regexp_replace("match", "[^0-9]", "")))
-    left = F.when(F.length("left") > CONTEXT_CHARS, F.regexp_replace("left", r"^[\p{L}\p{N}]*+", "")).otherwise(F.col("left"))
-    right = F.when(F.length("right") > CONTEXT_CHARS, F.regexp_replace("right", r"[\p{L}\p{N}]*+$", "")).otherwise(F.col("right"))
-    sides = matches.select("d", "t", entity.alias("entity"), F.explode(F.array(
-        F.struct((F.col("start") - F.length(left)).alias("at"), left.alias("context")),
-        F.struct(F.col("end").alias("at"), right.alias("context")))).alias("s"))
-    each = sides.select("d", "t", "entity", "s.at", F.explode(terms_in(F.col("s.context"))).alias("x"))
-    return each.select("d", "t", "entity", "x.term", (F.col("at") + F.col("x.from")).alias("start"),
-                       (F.col("at") + F.col("x.to")).alias("end"))
-
-
-def disclosing(docs: DataFrame, context: DataFrame, matches: DataFrame, min_support: int, threshold: float) -> DataFrame:
-    """(entity, term) pairs whose PMI reaches ``threshold`` of the entity's information content."""
-    both = context.select("entity", "term", "t").distinct().groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= min_support)
-    n_entity = context.select("entity", "t").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # A term is in at least as many texts as it is near entities, which bounds its PMI before its texts are counted.
-    near = context.select("term", "t").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    total = docs.agg(F.count_distinct("t").alias("n"))
-    share = lambda n_term: F.try_divide(
-        F.log(F.col("n_both") * F.col("n") / (F.col("n_entity") * n_term)), -F.log(F.col("n_entity") / F.col("n")))
-    possible = materialize(both.join(n_entity, "entity").join(near, "term").join(F.broadcast(total)).filter(  # one row
-        share(F.col("n_near")) >= threshold), "pii-pairs")
-    words = docs.select("t", F.explode_outer(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = words.join(small(possible.select("term").distinct()), "term").distinct().groupBy("term").agg(
-        F.count(F.lit(1)).alias("n_term"))
-    scored = possible.join(n_term, "term")
-    return scored.filter(share(F.col("n_term")) >= threshold).select("entity", "term")
-
-
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT,
-               threshold: float = THRESHOLD) -> DataFrame:
+        "d", "t", "kind", "match", (F.col("end") - F.length("match")).alias("start"), "end")
+
+
+def entities(kind: Column, match: Column) -> Column:
+    """The entities that a base value names: itself, and what it shares with others."""
+    low, digits = F.lower(match), F.regexp_replace(match, "[^0-9]", "")
+    named = lambda k, *values: F.array(*[F.concat(F.lit(f"{k}{i}:"), v) for i, v in enumerate(values)])
+    return (F.when(kind == "email", named("email", low, F.substring_index(low, "@", -1)))
+            .when(kind == "ip", named("ip", match, F.substring_index(match, ".", 3)))
+            .when(kind == "card", named("card", digits, F.left(digits, F.lit(6))))
+            .otherwise(named("phone", digits, F.expr("left(regexp_replace(match, '[^0-9]', ''), "
+                                                     "greatest(length(regexp_replace(match, '[^0-9]', '')) - 4, 1))"))))
+
+
+def term_array(text: Column) -> Column:
+    """Distinct lower-cased terms of a text."""
+    mixed = F.filter(F.regexp_extract_all(text, F.lit(EMAIL_OR_TERM), F.lit(0)), lambda x: ~F.contains(x, F.lit("@")))
+    plain = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.transform(F.when(F.contains(text, F.lit("@")), mixed).otherwise(plain), F.lower))
+
+
+def distinct_texts(source: DataFrame) -> DataFrame:
+    """(t, text): every text once. Only texts that several rows have are looked up and shuffled."""
+    copies = materialize(source.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first")).filter("n > 1").select(
+        F.col("t").alias("t2"), "first"), "pii-copies")
+    hinted = small(copies)
+    single = source.join(hinted, F.col("t") == F.col("t2"), "left_anti").select("t", "text")
+    shared = source.join(hinted, (F.col("t") == F.col("t2")) & F.col("d").eqNullSafe(F.col("first"))).select("t", "text")
+    return single.unionByName(shared.dropDuplicates(["t"]))
+
+
+def disclosing(source: DataFrame, held: DataFrame, threshold: float, level: float) -> DataFrame:
+    """(entity, term) pairs that disclose, from the distinct (t, entity) of the corpus."""
+    total = source.agg(F.count_distinct("t").alias("n")).first().n  # one number
+    counted = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    recurring = materialize(counted.filter(F.col("n_entity").between(2, total - 1)), "pii-entities")  # all texts: IC is 0
+    if not recurring.head(1):
+        return source.sparkSession.createDataFrame([], "entity string, term string")
+    known = materialize(held.join(small(recurring), "entity"), "pii-held")  # (entity, t, n_entity)
+    n = float(total)
+    texts = distinct_texts(source)
+    of_texts = known.select(F.col("t").alias("t2")).distinct()
+    inside = materialize(texts.join(small(of_texts), F.col("t") == F.col("t2"), "left_semi").select(
+        "t", F.explode(term_array(F.col("text"))).alias("term")), "pii-terms")
+    # A term that discloses is in two of these texts at least, and in no more of all texts than the most frequent entity allows.
+    most = recurring.agg(F.max("n_entity").alias("most")).first().most
+    bound = lambda n_entity: F.pow(n_entity, F.lit(threshold)) * n ** (1 - threshold) * (1 + 1e-9)
+    wanted = materialize(inside.groupBy("term").agg(F.count(F.lit(1)).alias("n_inside")).filter(
+        (F.col("n_inside") >= 2) & (F.col("n_inside") <= bound(F.lit(float(most))))).select("term"), "pii-wanted")
+    words = texts.select("t", F.explode_outer(term_array(F.col("text"))).alias("term"))
+    n_term = materialize(words.join(small(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter(
+        F.col("n_term") <= bound(F.lit(float(most)))), "pii-counts")
+    pairs = inside.join(small(n_term), "term").join(known, "t").filter(F.col("n_term") <= bound(F.col("n_entity")))
+    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
+    expected = F.col("n_entity") * F.col("n_term") / n
+    share = F.log(F.col("n_both") / expected) / -F.log(F.col("n_entity") / n)
+    surprise = F.col("n_both") * F.log(F.col("n_both") / expected) - F.col("n_both") + expected
+    return both.filter((F.col("n_both") > expected) & (share >= threshold) & (surprise >= math.log(n / level))).select("entity", "term")
+
+
+def term_spans(source: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(d, t, kind, start, end) of every occurrence of a disclosing term in the documents that hold its entity."""
+    accepted = materialize(held.join(small(pairs), "entity").select("t", "term").distinct(), "pii-accepted")
+    texts = source.join(small(accepted.select(F.col("t").alias("t2")).distinct()), F.col("t") == F.col("t2"), "left_semi")
+    found = texts.select("d", "t", F.expr(f"split(text, {_quoted(EMAIL_OR_TERM)}, -1)").alias("pieces"), F.posexplode(
+        F.regexp_extract_all("text", F.lit(EMAIL_OR_TERM), F.lit(0))).alias("i", "match")).select(
+        "d", "t", "i", "match", F.length(F.get("pieces", F.col("i"))).cast("long").alias("gap"))
+    once = found.repartition("d", "t").dropDuplicates(["d", "t", "i"])
+    upto = Window.partitionBy("d", "t").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ends = once.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(upto)).withColumn("term", F.lower("match"))
+    return ends.join(accepted, ["t", "term"], "left_semi").select(
+        "d", "t", F.lit("term").alias("kind"), (F.col("end") - F.length("match")).alias("start"), "end")
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+               level: float = LEVEL) -> DataFrame:
     """(d, t, kind, start, end) of all base and term spans; places are code points, ends exclusive."""
     source = keyed(docs, id_col, text_col)
     matches = materialize(base_matches(source), "pii-matches")
-    context = context_terms(matches)
-    pairs = disclosing(source, context, matches, min_support, threshold)
-    terms = context.join(pairs, ["entity", "term"]).select("d", "t", F.lit("term").alias("kind"), "start", "end").distinct()
-    return matches.select("d", "t", "kind", "start", "end").unionByName(terms)
+    held = materialize(matches.select("t", F.explode(entities(F.col("kind"), F.col("match"))).alias("entity")).distinct(), "pii-named")
+    spans = matches.select("d", "t", "kind", "start", "end")
+    pairs = materialize(disclosing(source, held, threshold, level), "pii-pairs")
+    return spans.unionByName(term_spans(source, held, pairs)) if pairs.head(1) else spans
 
 
 def order_of(kind: Column) -> Column:
@@ -170,10 +209,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
                .withColumn("new", (F.col("start") >= F.coalesce(F.max("end").over(before), F.lit(0))).cast("int"))
                .withColumn("island", F.sum("new").over(upto)).groupBy("d", "t", "island")
                .agg(F.min(F.struct("start", "order", "kind")).alias("first"), F.max("end").alias("end")))
+    d, t, own = (unused(docs.columns, name) for name in ("__d", "__t", "__cuts"))
     cuts = islands.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias("cuts__")).withColumnsRenamed(
-        {"d": "d__", "t": "t__"})
-    text, cut = F.col(text_col), F.col("cuts__")
+        F.col("first.start").alias("start"), "end", F.col("first.kind").alias("kind")))).alias(own)).withColumnsRenamed({"d": d, "t": t})
+    text, cut = F.col(text_col), F.col(own)
     piece = lambda c, i: F.concat(
         F.substring(text, (F.coalesce(F.get(cut, i - 1)["end"], F.lit(0)) + 1).cast("int"),
                     (c["start"] - F.coalesce(F.get(cut, i - 1)["end"], F.lit(0))).cast("int")),
@@ -181,5 +220,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     tail = F.substring(text, (F.get(cut, F.size(cut) - 1)["end"] + 1).cast("int"), F.length(text))
     changed = F.when(cut.isNull(), text).otherwise(F.concat(F.concat_ws("", F.transform(cut, piece)), tail))
     key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    joined = docs.join(cuts, docs[id_col].eqNullSafe(F.col("d__")) & (key == F.col("t__")), "left")
+    joined = docs.join(cuts, docs[id_col].eqNullSafe(F.col(d)) & (key == F.col(t)), "left")
     return joined.withColumn(text_col, changed).select(*docs.columns)

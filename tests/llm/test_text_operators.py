@@ -549,6 +549,75 @@ def test_personal_data(spark):
     assert pii.documents_with_spans(frame(spark, [])).count() == 0 and pii.sanitise(frame(spark, [])).count() == 0
 
 
+def brute_terms(x):
+    """Distinct terms outside emails; a run of letters that reaches into an email is none."""
+    import regex
+
+    spans = [m.span() for m in regex.finditer(BASE["email"], x or "")]
+    out = {}
+    for m in regex.finditer(r"\p{L}[\p{L}\p{N}]{2,}", x or ""):
+        if not any(m.start() < b and a < m.end() for a, b in spans):
+            out.setdefault(m[0].lower(), []).append(m.span())
+    return out
+
+
+def brute_entities(x):
+    out = set()
+    for a, _, b, kind in brute_spans(x):
+        m, digits = x[a:b], re.sub("[^0-9]", "", x[a:b])
+        out |= {"email": {m.lower(), "@" + m.lower().split("@")[-1]}, "ip": {m, m.rpartition(".")[0] + "."},
+                "card": {"c" + digits, "c" + digits[:6] + "*"}, "phone": {"p" + digits, "p" + digits[:-4] + "*"}}[kind]
+    return out
+
+
+def brute_disclosing(texts, threshold, level):
+    import math
+
+    texts = set(texts)
+    terms, holds = {x: set(brute_terms(x)) for x in texts}, {x: brute_entities(x) for x in texts}
+    n, n_term, n_entity, n_both = len(texts), Counter(), Counter(), Counter()
+    for x in texts:
+        n_term.update(terms[x])
+        n_entity.update(holds[x])
+        n_both.update((e, t) for e in holds[x] for t in terms[x])
+    out = set()
+    for (e, t), k in n_both.items():
+        expected = n_entity[e] * n_term[t] / n
+        if n_entity[e] < n and k > expected:
+            pmi, ic = math.log(k / expected), -math.log(n_entity[e] / n)
+            if pmi / ic >= threshold - 1e-12 and k * math.log(k / expected) - k + expected >= math.log(n / level):
+                out.add((e, t))
+    return out
+
+
+@pytest.mark.parametrize("seed, threshold, level", [(1, 0.8, 0.05), (2, 0.6, 1.0), (3, 0.9, 1e-4)])
+def test_disclosing_terms_equal_brute_force(spark, seed, threshold, level):
+    rng = random.Random(seed)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(5)]
+    people = [("Zorro", "zorro@hq.mask.org"), ("Batman", "+1 (555) 123-45%02d"), ("Éva", "10.20.30.%d"), ("Clark", "c%d@daily.net"), ("Luthor", "4111 1111 1111 1111")]
+    rows = []
+    for i in range(260):
+        body = [rng.choice(words) for _ in range(rng.randint(3, 40))]
+        if i % 4 == 0:
+            name, value = people[i // 4 % 5]
+            at = rng.randrange(len(body))
+            body[at:at] = [name if rng.random() < 0.9 else "someone", "x" * rng.choice([1, 400]), value % rng.randint(10, 40) if "%" in value else value]
+            body += [name.upper()] * rng.randint(0, 2)
+        rows.append((i, " ".join(body)))
+    rows += [(1000 + i, rows[4 * i][1]) for i in range(20)] + [rows[0], (2000, "éjohn@x.com foo.éjohn@x.com a.b@c.d.e@f.g abcd@ efgh"), (2001, None), (2002, "")]
+    want = brute_disclosing([x or "" for _, x in rows], threshold, level)
+    assert {t for _, t in want} >= {"zorro", "batman"} or seed == 3
+    spans = {}
+    for d, x in rows:
+        accepted = {t for e, t in want if e in brute_entities(x)}
+        spans.setdefault(d, set()).add(tuple(sorted((a, b) for t, at in brute_terms(x).items() if t in accepted for a, b in at)))
+    got = pii.documents_with_spans(frame(spark, rows), threshold=threshold, level=level).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert tuple((s.start, s.end) for s in r.spans if s.kind == "term") in spans[r.doc_id], r.doc_id
+    assert sum(s.kind == "term" for r in got for s in r.spans) > 20 or seed == 3
+
+
 # ---------------------------------------------------------------- 9 WARC
 
 def test_warc(spark):
