@@ -39,6 +39,36 @@ def worker_state(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def lean_worker() -> None:
+    """Give back what this (reused) Python worker holds for other operators, and what its allocators keep though it is free."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    holder = sys.modules.get("tabprep_llm_worker_state")
+    for name in [k for k, v in vars(holder).items() if isinstance(v, dict) and not k.startswith("__")] if holder else ():
+        del holder.__dict__[name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Bytes of an Arrow batch between Spark and a Python worker, in place of Spark's default of 64 MB: a task holds a batch on
+#: both sides, and texts come back through the same channel.
+ARROW_BYTES = 8_000_000
+ARROW_CONF, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 * 1024 * 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the size of Arrow batches to ARROW_BYTES in a session that has Spark's default."""
+    if spark.conf.get(ARROW_CONF).rstrip("b") in (str(ARROW_DEFAULT), "64m"):
+        spark.conf.set(ARROW_CONF, str(ARROW_BYTES))
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a folder in the shared storage."""
     from pyarrow import fs
@@ -67,5 +97,5 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(part.split()[0], kinds[part.split()[1]]) for part in ddl.split(",")])
 
 
-__all__ = ["ascii_lower", "arrow_schema", "batches_of", "filesystem", "materialize", "scratch_path", "small",
-           "table", "worker_state"]
+__all__ = ["ascii_lower", "arrow_schema", "batches_of", "filesystem", "lean_worker", "materialize", "scratch_path", "small",
+           "small_batches", "table", "worker_state"]

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tabprep.functions.names import unused
 
-from .common import arrow_schema, batches_of, materialize, small
+from .common import arrow_schema, batches_of, lean_worker, materialize, small, small_batches
 from .components import components
 
 SHINGLE = 5
@@ -135,6 +135,7 @@ def sent_sets(docs: DataFrame, size: int, percent: int, buckets: int, id_col: st
 
         def rows():
             total = 0
+            lean_worker()
             for b in batches:
                 for doc_id, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                     grams = gram_hashes(text.as_py(), size)
@@ -149,6 +150,7 @@ def sent_sets(docs: DataFrame, size: int, percent: int, buckets: int, id_col: st
                         total = 0
             if held:
                 yield from flush()
+            lean_worker()
 
         yield from batches_of(rows(), arrow_schema(ddl), 1000)
 
@@ -240,8 +242,8 @@ def postings(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
             grams, counts = np.unique(np.concatenate([g for _, g in held]), return_counts=True)
             order, places = by_bucket(grams, buckets)
             grams, counts = grams[order], counts[order].astype(np.int32)
-            yield (None, chunk, 1, np.array([[vid, len(g)] for vid, g in held], np.int64).tobytes(),
-                   b"".join(g.tobytes() for _, g in held))
+            for vid, g in held:
+                yield None, chunk, 1, int(vid).to_bytes(8, "little", signed=True), g.tobytes()
             for i in np.flatnonzero(np.diff(places)).tolist():
                 x, y = places[i], places[i + 1]
                 yield i, chunk, 0, grams[x:y].tobytes(), counts[x:y].tobytes()
@@ -276,17 +278,17 @@ def postings(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
         """The postings of a chunk's sets."""
         import pyarrow as pa
 
-        kinds = table.column("kind").to_pylist()
-        own = kinds.index(1)
-        vids, sizes = np.frombuffer(table.column("a")[own].as_py(), np.int64).reshape(-1, 2).T
-        grams = np.frombuffer(table.column("b")[own].as_py(), np.int64)
+        kinds = np.array(table.column("kind").to_pylist(), np.int32)
+        own = table.filter(pa.array(kinds == 1))
+        vids = np.frombuffer(b"".join(own.column("a").to_pylist()), np.int64)
+        each = [np.frombuffer(g.as_buffer(), np.int64) for g in own.column("b")]
+        sizes, grams = np.array([len(g) for g in each], np.int64), np.concatenate(each)
         unique, back = np.unique(grams, return_inverse=True)
         order, places = by_bucket(unique, buckets)
         df = np.zeros(len(unique), np.int64)
-        for i, kind in enumerate(kinds):
-            if not kind:
-                bucket = table.column("bucket")[i].as_py()
-                df[order[places[bucket]:places[bucket + 1]]] = np.frombuffer(table.column("a")[i].as_buffer(), np.int32)
+        answers = table.filter(pa.array(kinds == 0))
+        for bucket, found in zip(answers.column("bucket").to_pylist(), answers.column("a")):
+            df[order[places[bucket]:places[bucket + 1]]] = np.frombuffer(found.as_buffer(), np.int32)
         df = df[back]
         owner = np.repeat(np.arange(len(vids)), sizes)
         shared = df > 1
@@ -419,6 +421,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = buckets or max(64, 4 * docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = materialize(sent_sets(docs, size, percent, buckets, id_col, text_col), "join-sent")
     members = sent.filter("kind = 2").select("doc_id", "text_hash", F.col("a").alias("sig"), "n")

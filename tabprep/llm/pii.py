@@ -85,9 +85,10 @@ def base_matches(docs: DataFrame) -> DataFrame:
             F.lit(kind).alias("kind"), F.expr(f"regexp_extract_all(text, '{pattern}', 0)").alias("matches"),
             F.split("text", PATTERNS[kind], -1).alias("pieces"))))
     per_kind = docs.select("d", "t", F.explode_outer(F.array(*found)).alias("k")).filter("size(k.matches) > 0")
-    rows = per_kind.select("d", "t", "k.kind", F.col("k.pieces").alias("pieces"),
-                           F.posexplode_outer("k.matches").alias("i", "match")).select(
-        "d", "t", "kind", "i", "match", F.length(F.get("pieces", F.col("i"))).cast("long").alias("gap"))
+    # A row holds its own match and the length of the piece before it, never the arrays; behind the last piece is no match.
+    pairs = F.arrays_zip(F.transform("k.pieces", F.length).alias("gap"), F.col("k.matches").alias("match"))
+    rows = per_kind.select("d", "t", "k.kind", F.posexplode_outer(pairs).alias("i", "m")).select(
+        "d", "t", "kind", "i", F.col("m.match").alias("match"), F.col("m.gap").cast("long").alias("gap")).filter("match is not null")
     once = rows.repartition("d", "t").dropDuplicates(["d", "t", "kind", "i"])
     upto = Window.partitionBy("d", "t", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     ends = once.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(upto))
@@ -156,20 +157,17 @@ def term_spans(source: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFram
     """(d, t, kind, start, end) of every occurrence of a disclosing term in the documents that hold its entity."""
     accepted = materialize(held.join(small(pairs), "entity").select("t", "term").distinct(), "pii-accepted")
     texts = source.join(small(accepted.select(F.col("t").alias("t2")).distinct()), F.col("t") == F.col("t2"), "left_semi")
-    found = texts.select("d", "t", F.expr(f"split(text, {_quoted(EMAIL_OR_TERM)}, -1)").alias("pieces"), F.posexplode(
-        F.regexp_extract_all("text", F.lit(EMAIL_OR_TERM), F.lit(0))).alias("i", "match")).select(
-        "d", "t", "i", "match", F.length(F.get("pieces", F.col("i"))).cast("long").alias("gap"))
+    pairs = F.arrays_zip(F.transform(F.split("text", EMAIL_OR_TERM, -1), F.length).alias("gap"),
+                         F.regexp_extract_all("text", F.lit(EMAIL_OR_TERM), F.lit(0)).alias("match"))
+    found = texts.select("d", "t", F.posexplode_outer(pairs).alias("i", "m")).select(
+        "d", "t", "i", F.col("m.match").alias("match"), F.col("m.gap").cast("long").alias("gap")).filter("match is not null")
     once = found.repartition("d", "t").dropDuplicates(["d", "t", "i"])
     upto = Window.partitionBy("d", "t").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     ends = once.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(upto)).withColumn("term", F.lower("match"))
-    return ends.join(accepted, ["t", "term"], "left_semi").select(
+    return ends.join(small(accepted), ["t", "term"]).select(
         "d", "t", F.lit("term").alias("kind"), (F.col("end") - F.length("match")).alias("start"), "end")
 
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                level: float = LEVEL) -> DataFrame:
     """(d, t, kind, start, end) of all base and term spans; places are code points, ends exclusive."""

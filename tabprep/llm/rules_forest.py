@@ -4,7 +4,7 @@ A document's rule statistics are exact counts over its whole text.  The forest
 isolates documents by random splits on ratios of them; a short mean path marks an
 anomaly.  It is grown on the good ones of a bounded sample of labelled rows (the
 ``sample_rows`` rows with the smallest hash of their id), and the threshold is
-calibrated on all labelled rows of that sample, losing at most ``max_good_loss`` of the good ones.
+calibrated on all labelled rows, losing at most ``max_good_loss`` of the good ones.
 
 Defined cases: a NULL or empty text has no words and fails the word rule; a
 repeated row gets a row each; without labelled good rows the forest gives no
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_schema, batches_of
+from .common import BROADCAST_ROWS, arrow_schema, batches_of, lean_worker, small_batches
 
 SAMPLE_ROWS = 6000
 TREES = 120
@@ -240,10 +240,12 @@ def judge(docs: DataFrame, model) -> DataFrame:
 def keep_documents(docs: DataFrame, model) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
+        lean_worker()
         for b in batches:
             if not b.num_rows:
                 continue
