@@ -23,13 +23,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, worker_state
+from .common import arrow_schema, batches_of, lean_worker, small_batches, worker_state
 
 #: Fixed value: the pattern that the byte-level tokenizer files mean by ``use_regex``.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Units remembered by a worker; the memory is emptied when it is full.
 CACHE_UNITS = 400_000
+#: The same where a task returns the ids of whole documents and has to hold these besides.
+CACHE_UNITS_LEAN = 80_000
 CACHE_CHARS = 64
 
 
@@ -81,9 +83,11 @@ def clean_edges(unit: str) -> bool:
 class ByteBPE:
     """Encoder and decoder of a byte-level BPE file (the text of its JSON)."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, cache_units: int = CACHE_UNITS):
         import regex
 
+        self.cache_units = cache_units
+
         j = json.loads(spec)
         vocab, alphabet = j["model"]["vocab"], byte_alphabet()
         back = {c: b for b, c in alphabet.items()}
@@ -111,7 +115,7 @@ class ByteBPE:
                 to_id = self.bytes_to_id
                 ids = tuple(merge_symbols([to_id[b] for b in t.encode()], self.merges))
                 if len(t) <= CACHE_CHARS:
-                    if len(known) >= CACHE_UNITS:
+                    if len(known) >= self.cache_units:
                         known.clear()
                     known[t] = ids
             out.extend(ids)
@@ -134,7 +138,7 @@ class ByteBPE:
                     return self.pre_tokens(text)
                 ids = self.pre_tokens(" " + part)
                 if len(part) <= CACHE_CHARS:
-                    if len(units) >= CACHE_UNITS:
+                    if len(units) >= self.cache_units:
                         units.clear()
                     units[part] = ids
             out += ids
@@ -145,11 +149,11 @@ class ByteBPE:
         return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
 
 
-def worker_bpe(spec: str) -> ByteBPE:
+def worker_bpe(spec: str, cache_units: int = CACHE_UNITS) -> ByteBPE:
     held = worker_state("bpe")
-    key = hashlib.sha1(spec.encode()).hexdigest()
+    key = hashlib.sha1(spec.encode()).hexdigest(), cache_units
     if key not in held:
-        held[key] = ByteBPE(spec)
+        held[key] = ByteBPE(spec, cache_units)
     return held[key]
 
 
@@ -215,14 +219,16 @@ def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
 def encode_documents(docs: DataFrame, vocab_path: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded) of every document; decoded tells whether the ids give the text back."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(vocab_path))
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        bpe = worker_bpe(spec.value)
+        bpe = worker_bpe(spec.value, CACHE_UNITS_LEAN)
+        lean_worker("bpe")
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
                 texts = [t.as_py() or "" for t in part.column(3)]
                 ids = [bpe.encode(t) for t in texts]
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)

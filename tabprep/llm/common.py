@@ -39,15 +39,16 @@ def worker_state(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
-def lean_worker() -> None:
-    """Give back what this (reused) Python worker holds for other operators, and what its allocators keep though it is free."""
+def lean_worker(*keep: str) -> None:
+    """Give back what this (reused) Python worker holds for other operators than ``keep``, and what its allocators
+    hold though it is free."""
     import ctypes
     import gc
 
     import pyarrow as pa
 
     holder = sys.modules.get("tabprep_llm_worker_state")
-    for name in [k for k, v in vars(holder).items() if isinstance(v, dict) and not k.startswith("__")] if holder else ():
+    for name in [k for k, v in vars(holder).items() if isinstance(v, dict) and not k.startswith("__") and k not in keep] if holder else ():
         del holder.__dict__[name]
     gc.collect()
     pa.default_memory_pool().release_unused()

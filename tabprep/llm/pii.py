@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tabprep.functions.names import unused
 
-from .common import materialize, small
+from .common import BROADCAST_ROWS, materialize, small
 
 #: Kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -218,5 +218,13 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     tail = F.substring(text, (F.get(cut, F.size(cut) - 1)["end"] + 1).cast("int"), F.length(text))
     changed = F.when(cut.isNull(), text).otherwise(F.concat(F.concat_ws("", F.transform(cut, piece)), tail))
     key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    joined = docs.join(cuts, docs[id_col].eqNullSafe(F.col(d)) & (key == F.col(t)), "left")
-    return joined.withColumn(text_col, changed).select(*docs.columns)
+    same = docs[id_col].eqNullSafe(F.col(d)) & (key == F.col(t))
+    cuts = materialize(cuts, "pii-cuts")
+    few = cuts.select(d, t)  # rows of bounded width
+    if few.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return docs.join(cuts, same, "left").withColumn(text_col, changed).select(*docs.columns)
+    # Only the texts that change are shuffled to their cuts, which may be long; the others stay where they are.
+    touched = docs.join(F.broadcast(few), same, "left_semi")
+    again = F.xxhash64(F.coalesce(touched[text_col], F.lit("")))
+    return docs.join(F.broadcast(few), same, "left_anti").unionByName(touched.join(
+        cuts, touched[id_col].eqNullSafe(F.col(d)) & (again == F.col(t))).withColumn(text_col, changed).select(*docs.columns))
