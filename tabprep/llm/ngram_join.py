@@ -37,7 +37,7 @@ import zlib
 from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprep.functions.names import unused
@@ -53,6 +53,9 @@ CHUNK_SETS = 60_000
 HEAVY_COPIES = 1000
 PARTS = 16
 RECENT = 8
+#: Leaders of a posting list in each turn, and how many of those that a set meets it is paired with. Sets that are still
+#: unlinked are fewer in each turn.
+LEADERS = (1, 8, 32, 64)
 SHARED = 0xFFFF  # in place of a set's number: several sets of the chunk have the n-gram
 
 
@@ -329,18 +332,25 @@ def with_components(posted: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def leader_pairs(posted: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): sets with leaders of their posting lists that are in other components. Every list has one leader, drawn anew by
-    hash each turn, so there are at most as many pairs as postings. In the first turn a set takes only the leader that
-    it shares most prefix n-grams with, which is enough for most."""
-    drawn = F.col("vid") if turn == 0 else F.xxhash64(F.lit(turn), "gram", "vid")
-    leaders = posted.groupBy("gram").agg(F.min(F.struct(drawn.alias("draw"), "vid", "comp", "n", "place")).alias("l"),
-                                         F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
+    """(a, b): sets with leaders of their posting lists that are in other components. In the first turn every list has one leader
+    and a set takes the one that it shares most prefix n-grams with, which is enough for most. Later a list has more, drawn anew by
+    hash each turn, and a set takes as many that it shares most with: a set that links with few of a large
+    component finds one of them without being paired with all. There are at most LEADERS[turn] pairs for each set in a turn."""
+    most = LEADERS[turn]
+    drawn = F.col("vid") if turn == 0 else F.xxhash64(F.lit(turn), "vid")
+    slot = F.pmod(F.xxhash64(F.lit(-turn), "vid"), F.lit(most)).alias("slot")
+    mixed = posted.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("gram")
+    leaders = posted.drop("before").join(mixed, "gram", "left_semi").groupBy("gram", slot).agg(
+        F.min(F.struct(drawn.alias("draw"), "vid", "comp", "n", "place")).alias("l"))
     rows = posted.drop("before").join(leaders, "gram").filter((F.col("comp") != F.col("l.comp")) & may_link(
         F.col("n"), F.col("place"), F.col("l.n"), F.col("l.place"), percent))
     counted = rows.groupBy("vid", F.col("l.vid").alias("b")).agg(F.count(F.lit(1)).alias("k"))
     if turn == 0:
-        counted = counted.groupBy("vid").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
-    return counted.select(F.least("vid", "b").alias("a"), F.greatest("vid", "b").alias("b")).distinct()
+        chosen = counted.groupBy("vid").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+    else:
+        best = Window.partitionBy("vid").orderBy(F.desc("k"), "b")  # at most ``most`` for each n-gram of a prefix
+        chosen = counted.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most)
+    return chosen.select(F.least("vid", "b").alias("a"), F.greatest("vid", "b").alias("b")).distinct()
 
 
 def remaining_pairs(posted: DataFrame, percent: int) -> DataFrame:
@@ -398,13 +408,13 @@ def contracted(labels: DataFrame | None, new: DataFrame) -> DataFrame:
         step.join(labels, "v", "left_anti").select("v", "component")), "join-labels")
 
 
-def linked_sets(sets: DataFrame, percent: int, buckets: int, leader_rounds: int = 4) -> DataFrame | None:
+def linked_sets(sets: DataFrame, percent: int, buckets: int) -> DataFrame | None:
     """(v, component) of the sets that have links; None if there are none."""
     posted = postings(sets, percent, buckets)
     tested, labels = None, None
-    for turn in range(leader_rounds + 1):
+    for turn in range(len(LEADERS) + 1):
         current = with_components(posted, labels)
-        pairs = leader_pairs(current, turn, percent) if turn < leader_rounds else remaining_pairs(current, percent)
+        pairs = leader_pairs(current, turn, percent) if turn < len(LEADERS) else remaining_pairs(current, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "join-pairs")
