@@ -143,8 +143,9 @@ def disclosing(source: DataFrame, held: DataFrame, threshold: float, level: floa
     wanted = materialize(inside.groupBy("term").agg(F.count(F.lit(1)).alias("n_inside")).filter(
         (F.col("n_inside") >= 2) & (F.col("n_inside") <= bound(F.lit(float(most))))).select("term"), "pii-wanted")
     words = texts.select("t", F.explode_outer(term_array(F.col("text"))).alias("term"))
-    n_term = materialize(words.join(small(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter(
-        F.col("n_term") <= bound(F.lit(float(most)))), "pii-counts")
+    # Counted before they are joined, so that a task sends a term once, not with every text that has it.
+    n_term = materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter(
+        F.col("n_term") <= bound(F.lit(float(most)))).join(wanted, "term"), "pii-counts")
     pairs = inside.join(small(n_term), "term").join(known, "t").filter(F.col("n_term") <= bound(F.col("n_entity")))
     both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
     expected = F.col("n_entity") * F.col("n_term") / n
