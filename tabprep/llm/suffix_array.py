@@ -2,17 +2,20 @@
 
 Suffixes are classified as S (smaller than the next one) or L.  The leftmost S
 suffixes (LMS) are put in the order of their substrings by one induction, named, and the
-string of names is sorted; from the order of the LMS suffixes a second induction
-gives all suffixes.  Both inductions are linear.  They go by first character and, within one, by
-generations, so every step is an array operation on all suffixes that
-are induced at once.  A string of names with many letters has no such form; it is sorted by
-doubling the length of compared prefixes.
+string of names is sorted by recursion, unless all names differ; from the order of the LMS suffixes a second induction
+gives all suffixes.  A string of few letters is induced letter by letter and, within one, by
+generations, so every step is an array operation on all suffixes that are induced at once.  A string of names has too many
+letters for that: there an L suffix is ranked by its letters up to the next LMS suffix and the rank of that, and then an S
+suffix by its letters up to the next L suffix and the rank of that.  The letters of such a chain are joined two, four, eight
+at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+LETTERS = 256  # a string of at most so many is induced letter by letter
+
 
 def suffix_types(s: np.ndarray) -> np.ndarray:
     """True for S suffixes. The last suffix is L: the end counts as smaller than any letter."""
@@ -94,24 +97,57 @@ def names_of(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.nd
     return by_place[lms], int(name[-1]) + 1
 
 
-def by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names."""
-    n = len(names)
-    rank, h = names.astype(np.int64), 1
+def dense(key: np.ndarray) -> np.ndarray:
+    """The rank of each key among the different keys, from 0."""
+    order = np.argsort(key)
+    out = np.empty(len(key), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+    return out
+
+
+def chain_ranks(key: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """The rank of each entry by the keys of the chain that starts there; the last entry of a chain follows itself."""
+    rank = dense(key)
     while True:
-        following = np.zeros(n, np.int64)
-        following[:max(n - h, 0)] = rank[h:] + 1
-        key = rank * (n + 2) + following
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank, h = new, 2 * h
-        if rank[order[-1]] == n - 1 or h >= n:
-            return order
+        rank = dense(rank * len(rank) + rank[following])
+        further = following[following]
+        if np.array_equal(further, following):
+            return rank
+        following = further
+
+
+def ranks_by_chains(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, lms_rank: np.ndarray) -> np.ndarray:
+    """The rank of every suffix, induced from the ranks of the LMS suffixes: equal ones give equal ranks to suffixes that are
+    alike as far as that tells."""
+    n = len(s)
+    letter = s.astype(np.int64) * 2 + is_s  # of suffixes with one first letter, the L suffixes are smaller
+    out = np.empty(n, np.int64)
+
+    def induced(places, last, ranks):
+        """Ranks of places followed by others of them, where ``last``, with their ranks, end the chains."""
+        number = np.full(n + 1, len(places), np.int64)  # the end of the text is the last entry
+        number[places] = np.arange(len(places))
+        following = number[places + 1]
+        following[number[last]] = number[last]
+        key = np.append((letter[places] + 1) * (n + 2), 0)
+        key[number[last]] += ranks + 1
+        return chain_ranks(key, np.append(following, len(places)))[:-1]
+
+    chained = ~is_s
+    chained[lms] = True
+    places = np.flatnonzero(chained)
+    out[places] = induced(places, lms, lms_rank)
+    falling = np.flatnonzero(~is_s)
+    everything = np.arange(n)
+    return induced(everything, falling, out[falling])
+
+
+def induced_array(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, lms_rank: np.ndarray) -> np.ndarray:
+    return np.argsort(ranks_by_chains(s, is_s, lms, lms_rank)).astype(lms.dtype)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Places of the suffixes of a byte string (an integer array with few letters) in order."""
+    """Places of the suffixes of a string of letters from 0 on, an integer array, in order."""
     n = len(s)
     kind = np.int32 if n < 1 << 31 else np.int64
     if n < 2:
@@ -119,15 +155,23 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     is_s = suffix_types(s)
     lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(kind)
     letters = np.flatnonzero(np.bincount(s)).tolist()
+    few = len(letters) <= LETTERS
     if len(lms) < 2:
-        return induce(s, is_s, lms, letters)
-    first = induce(s, is_s, lms, letters)
-    marked = np.zeros(n, bool)
-    marked[lms] = True
-    ordered = first[marked[first]]
-    names, count = names_of(s, lms, ordered)
-    order = np.argsort(names, kind="stable") if count == len(lms) else by_doubling(names)
-    return induce(s, is_s, lms[order], letters)
+        return induce(s, is_s, lms, letters) if few else induced_array(s, is_s, lms, np.zeros(len(lms), np.int64))
+    if few:
+        first = induce(s, is_s, lms, letters)
+        marked = np.zeros(n, bool)
+        marked[lms] = True
+        names, count = names_of(s, lms, first[marked[first]])
+    else:
+        names = dense(ranks_by_chains(s, is_s, lms, np.zeros(len(lms), np.int64))[lms])
+        count = int(names.max()) + 1
+    order = np.argsort(names) if count == len(lms) else suffix_array(names)
+    if few:
+        return induce(s, is_s, lms[order], letters)
+    rank = np.empty(len(lms), np.int64)
+    rank[order] = np.arange(len(lms))
+    return induced_array(s, is_s, lms, rank)
 
 
 def common_prefixes(data: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
