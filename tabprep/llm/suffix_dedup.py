@@ -10,7 +10,10 @@ Whole copies of a text go first, by digest.  What is left is cut so that equal s
    shard.  The shard dedups them again, and for anchors with several different segments builds the suffix array of their
    concatenation by induced sorting, and its permuted common prefixes.  Neighbours that have ``length`` bytes in common are
    one string, and the smallest document id of each string goes back, as runs over the segment, to the tasks that sent it.
-3. The runs of a document are merged and cut out of its text.
+3. An anchor with more than ``hot`` different segments is a common string within unlike texts.  Its windows leave 1 and 2 and
+   go through them apart, each with the hash of the whole window as its anchor, so they spread over all buckets, and only windows
+   that several documents have are sent.
+4. The runs of a document are merged and cut out of its text.
 
 A passage that a third of all documents share is one segment of each task, wherever it goes.
 
@@ -39,6 +42,7 @@ READ_BYTES = 1 << 20
 CHUNK_ENTRIES = 1_500_000
 CHUNK_BYTES = 24 << 20
 CHUNK_DOCS = 60_000
+HOT = 1_000
 SHARED = 0xFFFF  # in place of a document's number: several documents of the chunk have the anchor
 #: Odd multiplier of the rolling hash, its inverse modulo 2 ** 64, and the multipliers that mix a hash.
 BASE = 0x9E3779B97F4A7C15
@@ -57,15 +61,22 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return held["up"][:n], held["down"][:n]
 
 
-def anchors(data: np.ndarray, length: int, anchor: int) -> np.ndarray:
-    """The anchor of the window at each place of the bytes."""
-    n = len(data)
-    up, down = powers(n)
+def hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the ``width`` bytes at each place."""
+    up, down = powers(len(data))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up)])
-    h = (sums[anchor:] - sums[:-anchor]) * down[:n - anchor + 1]
+    return mixed((sums[width:] - sums[:-width]) * down[:len(data) - width + 1])
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
     for shift, factor in zip((31, 29), MIX):
         h = (h ^ (h >> np.uint64(shift))) * factor
-    h ^= h >> np.uint64(32)
+    return h ^ (h >> np.uint64(32))
+
+
+def anchors(data: np.ndarray, length: int, anchor: int) -> np.ndarray:
+    """The anchor of the window at each place of the bytes."""
+    h = hashes(data, anchor)
     size, width = length - anchor + 1, 1
     while 2 * width <= size:  # minimum of ``width`` neighbours
         h = np.minimum(h[:-width], h[width:])
@@ -73,8 +84,14 @@ def anchors(data: np.ndarray, length: int, anchor: int) -> np.ndarray:
     return np.minimum(h[:len(h) - (size - width)], h[size - width:]) if size > width else h
 
 
-def segments(texts: list[bytes], length: int, anchor: int):
-    """(document, start, end, anchor) of the segments of texts, as arrays; places count from the start of the document."""
+def codes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and low 32 bits of anchors: what the bucket that judges an anchor knows of it."""
+    return ((keys >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+
+
+def segments(texts: list[bytes], length: int, anchor: int, hot: list[np.ndarray] | None = None, buckets: int = 1):
+    """(document, start, end, anchor) of the segments of texts, as arrays; places count from the start of the document.
+    With the codes of each document's hot anchors, the segments by whole windows of those windows that have one."""
     none = np.zeros(0, np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
@@ -84,6 +101,11 @@ def segments(texts: list[bytes], length: int, anchor: int):
     found = anchors(data, length, anchor)
     doc = np.repeat(np.arange(len(texts)), sizes)[:len(found)]
     valid = np.arange(length, length + len(found)) <= ends[doc]
+    if hot is not None:
+        code = codes(found, buckets)
+        for start, end, own in zip((ends - sizes).tolist(), ends.tolist(), hot):
+            valid[start:end] &= np.isin(code[start:end], own)
+        found = hashes(data, length)
     alike = np.zeros(len(found), bool)
     alike[1:] = valid[1:] & valid[:-1] & (found[1:] == found[:-1])
     first = np.flatnonzero(valid & ~alike)
@@ -92,6 +114,17 @@ def segments(texts: list[bytes], length: int, anchor: int):
     return doc[first], first - origin, last - origin + length, found[first]
 
 
+def variants(texts: list[bytes], doc: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray):
+    """(anchor, hash of anchor and segment) of the different segments."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    origin = (np.cumsum(sizes) - sizes)[doc]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    up, down = powers(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up)])
+    both, at = np.unique(mixed((sums[origin + end] - sums[origin + start]) * down[origin + start]) ^ key, return_index=True)
+    return key[at], both
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, t, text)"""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -106,13 +139,13 @@ def later_copies(source: DataFrame) -> DataFrame:
 
 
 def grouped_reads(batches, length: int):
-    """Lists of (d, t, text bytes) of about READ_BYTES."""
+    """Lists of (d, t, text bytes, codes of hot anchors) of about READ_BYTES."""
     held, size = [], 0
     for b in batches:
-        for d, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+        for d, t, text, hot in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
             data = text.as_buffer().to_pybytes()
             if len(data) >= length:
-                held.append((d, t, data))
+                held.append((d, t, data, np.frombuffer(hot.as_py() or b"", np.uint64)))
                 size += len(data)
                 if size >= READ_BYTES:
                     yield held
@@ -128,15 +161,19 @@ def split_by(keys: np.ndarray, buckets: int):
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
 
 
-def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, written: list | None = None) -> DataFrame:
-    """(d, t, anchors): the low 32 bits of the anchors that each document shares with another, sorted. What the tasks send is
-    written first, so that a chunk has one name and one content whatever is computed again; its path goes to ``written``."""
+def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, written: list | None = None, most: int = HOT,
+                   apart: bool = False) -> DataFrame:
+    """(d, t, anchors, hot): the low 32 bits of the anchors that each document shares with another, sorted, and the codes of
+    those with more than ``most`` different segments, beyond the first of each chunk. ``apart`` takes the windows of the hot
+    anchors that ``source`` names, by whole windows. What the tasks send is written first, so that a chunk has one name and
+    one content whatever is computed again; its path goes to ``written``."""
     ddl = "bucket int, chunk string, kind int, a binary, b binary"
 
     def send(batches):
         docs: list[tuple[int, int]] = []
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
+        kinds: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
             chunk, key, owner = uuid.uuid4().hex, np.concatenate(keys), np.concatenate(owners)
@@ -145,23 +182,33 @@ def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, wr
             entry = np.where(counts > 1, SHARED, owner[first]).astype(np.uint16)
             order, places = split_by(unique, buckets)
             low, entry = unique[order].astype(np.uint32), entry[order]
+            more = np.zeros(len(unique), np.int64)
+            if kinds:
+                _, at = np.unique(np.concatenate([x[1] for x in kinds]), return_index=True)
+                more = np.bincount(np.searchsorted(unique, np.concatenate([x[0] for x in kinds])[at]), minlength=len(unique)) - 1
+            more = more[order]
             own = b"".join((owner[inside].astype(np.uint16).tobytes(), key[inside].astype(np.uint32).tobytes()))
             yield zlib.crc32(chunk.encode()) % buckets, chunk, 1, np.array(docs, np.int64).tobytes(), own
             for i in range(buckets):
                 x, y = places[i], places[i + 1]
                 if y > x:
-                    yield i, chunk, 0, low[x:y].tobytes(), entry[x:y].tobytes()
-            docs.clear(), keys.clear(), owners.clear()
+                    of = np.flatnonzero(more[x:y])  # few anchors have several segments
+                    told = np.column_stack([of, more[x:y][of]]).astype(np.uint32)
+                    yield i, chunk, 0, low[x:y].tobytes(), entry[x:y].tobytes() + told.tobytes()
+            docs.clear(), keys.clear(), owners.clear(), kinds.clear()
 
         def rows():
             total = 0
             for read in grouped_reads(batches, length):
-                doc, _, _, key = segments([x[2] for x in read], length, anchor)
+                texts = [x[2] for x in read]
+                doc, start, end, key = segments(texts, length, anchor, [x[3] for x in read] if apart else None, buckets)
+                if not apart:
+                    kinds.append(variants(texts, doc, start, end, key))
                 order = np.lexsort((key, doc))
                 doc, key = doc[order], key[order]
-                new = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))
+                new = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))[:len(doc)]
                 keys.append(key[new]), owners.append(doc[new] + len(docs))
-                docs.extend((d, t) for d, t, _ in read)
+                docs.extend((d, t) for d, t, _, _ in read)
                 total += len(keys[-1])
                 if total >= CHUNK_ENTRIES or len(docs) >= CHUNK_DOCS - 40_000:
                     yield from flush()
@@ -174,19 +221,32 @@ def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, wr
     answer_ddl = "chunk string, kind int, a binary, b binary"
 
     def answer(table):
+        """For each chunk the (owner, low 32 bits) of anchors that other chunks have, and the codes of hot ones."""
         import pyarrow as pa
 
         out, sent = [], []
-        for chunk, kind, a, b in zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", "a", "b"))):
-            out.append((chunk, 1, a, b)) if kind else sent.append((chunk, np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint16)))
+        for bucket, chunk, kind, a, b in zip(*(table.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "a", "b"))):
+            if kind:
+                out.append((chunk, 1, a, b))
+            else:
+                low = np.frombuffer(a, np.uint32)
+                sent.append((chunk, low, np.frombuffer(b, np.uint16, len(low)), np.frombuffer(b[2 * len(low):], np.uint32).reshape(-1, 2)))
         if sent:
             _, back, counts = np.unique(np.concatenate([x[1] for x in sent]), return_inverse=True, return_counts=True)
-            at = 0
-            for chunk, low, entry in sent:
-                found = (counts[back[at:at + len(low)]] > 1) & (entry != SHARED)
+            several, at = np.zeros(len(counts), np.int64), 0
+            for _, low, _, told in sent:
+                np.add.at(several, back[at + told[:, 0].astype(np.int64)], told[:, 1].astype(np.int64))
+                at += len(low)
+            hot, at = several > most, 0
+            for chunk, low, entry, _ in sent:
+                mine = back[at:at + len(low)]
                 at += len(low)
+                found = (counts[mine] > 1) & (entry != SHARED)
                 if found.any():
                     out.append((chunk, 0, entry[found].tobytes() + low[found].tobytes(), b""))
+                if (found := hot[mine]).any():
+                    code = low[found].astype(np.uint64) | np.uint64(bucket << 32)
+                    out.append((chunk, 2, code.tobytes(), b""))
         schema = arrow_schema(answer_ddl)
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
 
@@ -194,7 +254,11 @@ def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, wr
         import pyarrow as pa
 
         owners, lows, docs = [], [], None
+        hot_codes = [np.zeros(0, np.uint64)]
         for kind, a, b in zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b"))):
+            if kind == 2:
+                hot_codes.append(np.frombuffer(a, np.uint64))
+                continue
             packed = b if kind else a
             n = len(packed) // 6
             owners.append(np.frombuffer(packed[:2 * n], np.uint16))
@@ -206,12 +270,26 @@ def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, wr
         has = np.unique(owner)
         cuts = np.searchsorted(owner, np.append(has, 1 << 16))
         packed = [low[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
-        return pa.table([pa.array(docs[has, 0]), pa.array(docs[has, 1]), pa.array(packed, pa.binary())], names=["d", "t", "anchors"])
-
-    sent = materialize(source.mapInArrow(send, ddl), "dedup-sent-anchors", written)
+        # A hot anchor belongs to the documents that have its low bits: only those that share it matter.
+        code = np.unique(np.concatenate(hot_codes))
+        hot = [b""] * len(has)
+        if len(code):
+            code = code[np.argsort(code.astype(np.uint32), kind="stable")]
+            first = np.searchsorted(code.astype(np.uint32), low)
+            times = np.searchsorted(code.astype(np.uint32), low, "right") - first
+            run = np.repeat(np.arange(len(low)), times)
+            mine = code[np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times) + first[run]]
+            edges = np.searchsorted(run, cuts)
+            hot = [mine[x:y].tobytes() for x, y in zip(edges, edges[1:])]
+        return pa.table([pa.array(docs[has, 0]), pa.array(docs[has, 1]), pa.array(packed, pa.binary()), pa.array(hot, pa.binary())],
+                        names=["d", "t", "anchors", "hot"])
+
+    if not apart:
+        source = source.select("d", "t", "text", F.lit(b"").alias("hot"))
+    sent = materialize(source.select("d", "t", "text", "hot").mapInArrow(send, ddl), "dedup-sent-anchors", written)
     answers = sent.groupBy("bucket").applyInArrow(answer, answer_ddl)
-    return answers.groupBy("chunk").applyInArrow(decide, "d long, t long, anchors binary").groupBy("d", "t").agg(
-        F.first("anchors").alias("anchors"))
+    return answers.groupBy("chunk").applyInArrow(decide, "d long, t long, anchors binary, hot binary").groupBy("d", "t").agg(
+        F.first("anchors").alias("anchors"), F.first("hot").alias("hot"))
 
 
 def smallest_owners(parts: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
@@ -232,9 +310,10 @@ def smallest_owners(parts: list[bytes], owners: np.ndarray, length: int) -> list
     return [at[e - n:e - length + 1] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
-def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, written: list | None = None) -> DataFrame:
-    """(d, t, cuts) of the documents that lose bytes: int32 pairs (start, end), merged and sorted. What the tasks send is
-    written first, as in ``shared_anchors``."""
+def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, written: list | None = None,
+                  apart: bool = False) -> DataFrame:
+    """(d, t, cuts) of the documents that lose bytes: int32 pairs (start, end), merged and sorted. ``apart`` takes the windows
+    of hot anchors, else all others are taken. What the tasks send is written first, as in ``shared_anchors``."""
     ddl = "bucket int, chunk string, kind int, a binary, b binary, c binary"
 
     def send(batches):
@@ -268,14 +347,16 @@ def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, wri
 
             def take():
                 nonlocal size
-                doc, start, end, key = segments([x[2] for x in held], length, anchor)
+                doc, start, end, key = segments([x[2] for x in held], length, anchor, [x[4] for x in held] if apart else None, buckets)
                 wanted = np.zeros(len(doc), bool)
                 cuts = np.searchsorted(doc, np.arange(len(held) + 1))
-                for i, (_, _, _, low) in enumerate(held):
+                for i, (_, _, _, low, hot) in enumerate(held):
                     x, y = cuts[i], cuts[i + 1]
                     mine = key[x:y].astype(np.uint32)
                     place = np.minimum(np.searchsorted(low, mine), len(low) - 1)
                     wanted[x:y] = low[place] == mine
+                    if len(hot) and not apart:
+                        wanted[x:y] &= ~np.isin(codes(key[x:y], buckets), hot)
                 rows_ = np.empty((int(wanted.sum()), 3), np.int64)
                 numbers = []
                 for i, a, b, k in zip(*(v[wanted].tolist() for v in (doc, start, end, key))):
@@ -287,13 +368,13 @@ def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, wri
                     numbers.append(number)
                 rows_[:, 0], rows_[:, 1], rows_[:, 2] = numbers, doc[wanted] + len(docs), start[wanted]
                 at.append(rows_)
-                docs.extend((d, t) for d, t, _, _ in held)
+                docs.extend((x[0], x[1]) for x in held)
                 held.clear()
 
             for b in batches:
-                for d, t, text, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                for d, t, text, low, hot in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
                     data = text.as_buffer().to_pybytes()
-                    held.append((d, t, data, np.frombuffer(low.as_py(), np.uint32)))
+                    held.append((d, t, data, np.frombuffer(low.as_py(), np.uint32), np.frombuffer(hot.as_py(), np.uint64)))
                     total += len(data)
                     if total >= READ_BYTES:
                         take()
@@ -381,6 +462,7 @@ def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, wri
         schema = arrow_schema("d long, t long, cuts binary")
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
 
+    source = source.select("d", "t", "text", "anchors", "hot" if "hot" in source.columns else F.lit(b"").alias("hot"))
     sent = materialize(source.mapInArrow(send, ddl), "dedup-sent-segments", written)
     answers = sent.groupBy("bucket").applyInArrow(answer, answer_ddl)
     return answers.groupBy("chunk").applyInArrow(decide, "d long, t long, cuts binary").groupBy("d", "t").agg(
@@ -388,21 +470,40 @@ def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, wri
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   anchor: int = ANCHOR, buckets: int | None = None) -> DataFrame:
-    """(d, t, cuts) of the documents that lose bytes; NULL cuts mean the whole text."""
+                   anchor: int = ANCHOR, buckets: int | None = None, hot: int = HOT) -> DataFrame:
+    """(d, t, cuts, whole) of the documents that lose bytes: binaries of int32 pairs (start, end), which may overlap between
+    them. An anchor with more than ``hot`` different segments is taken apart by whole windows."""
     spark = docs.sparkSession
     buckets = buckets or max(64, 4 * docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = keyed(docs, id_col, text_col)
     copies = materialize(later_copies(source), "dedup-copies")
     firsts = source.filter("d is not null").join(small(copies), ["d", "t"], "left_anti")
     written: list[str] = []
-    shared = materialize(shared_anchors(firsts.select("d", "t", "text"), length, anchor, buckets, written), "dedup-anchors")
+    shared = materialize(shared_anchors(firsts, length, anchor, buckets, written, hot), "dedup-anchors")
     release(spark, written)
-    meeting = firsts.join(shared, ["d", "t"]).select("d", "t", "text", "anchors")
+    meeting = firsts.join(shared, ["d", "t"])
     cuts = materialize(smallest_runs(meeting, length, anchor, buckets, written), "dedup-cuts")
     release(spark, written)
-    return cuts.withColumn("whole", F.lit(False)).unionByName(copies.select(
-        "d", "t", F.lit(None).cast("binary").alias("cuts"), F.lit(True).alias("whole")))
+    named = shared.filter("hot != X''")
+    if named.head(1):
+        held = materialize(firsts.join(named.select("d", "t", "hot"), ["d", "t"]), "dedup-hot", written)
+        windows = materialize(shared_anchors(held, length, anchor, buckets, written, apart=True).drop("hot"), "dedup-windows", written)
+        more = materialize(smallest_runs(held.join(windows, ["d", "t"]), length, anchor, buckets, written, apart=True), "dedup-cuts")
+        release(spark, written)
+        cuts = cuts.unionByName(more)
+    return cuts.groupBy("d", "t").agg(F.collect_list("cuts").alias("cuts"), F.lit(False).alias("whole")).unionByName(
+        copies.select("d", "t", F.array().cast("array<binary>").alias("cuts"), F.lit(True).alias("whole")))
+
+
+def merged(cuts: list[bytes]) -> list[list[int]]:
+    """The maximal runs of several sorted lists of (start, end)."""
+    out: list[list[int]] = []
+    for x, y in sorted(pair for part in cuts for pair in np.frombuffer(part, np.int32).reshape(-1, 2).tolist()):
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], y)
+        else:
+            out.append([x, y])
+    return out
 
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -421,7 +522,7 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     data, cuts = data.as_py(), cuts.as_py()
                     spans = [(0, len(data))] if whole.as_py() and len(data) >= length else []
                     if cuts:
-                        spans = np.frombuffer(cuts, np.int32).reshape(-1, 2).tolist()
+                        spans = merged(cuts)
                     at, kept = 0, []
                     for x, y in spans:
                         kept.append(data[at:x])

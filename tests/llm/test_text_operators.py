@@ -210,6 +210,47 @@ def test_suffix_dedup(spark):
     got = suffix_dedup.cut_documents(frame(spark, rows))
     assert [(a, b, c, d, bytes(e)) for a, b, c, d, e in found(got)] == brute_dedup(rows)
     assert suffix_dedup.cut_documents(frame(spark, [])).count() == 0
+    for hot in (0, 4):  # anchors with more different segments are taken apart by whole windows
+        apart = suffix_dedup.cut_documents(frame(spark, rows), hot=hot)
+        assert [(a, b, c, d, bytes(e)) for a, b, c, d, e in found(apart)] == brute_dedup(rows)
+
+
+def test_hot_anchors_are_spread(spark, monkeypatch):
+    """A line of 36 bytes in every document, with random text around it: its windows must not meet in one bucket."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    line, passage = word(36), word(70)
+    rows = [(i, word(80) + line + word(80) + (passage if i % 400 == 0 else "")) for i in range(3000)]
+    kept = []
+    monkeypatch.setattr(suffix_dedup, "release", lambda spark, written: written.clear())
+    write = suffix_dedup.materialize
+
+    def noted(df, name, *args):
+        out = write(df, name, *args)
+        if name == "dedup-sent-segments":
+            kept.append(out.filter("kind = 0").selectExpr("bucket", "octet_length(b) as n"))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", noted)
+    sizes = []
+    for hot in (1 << 40, 100):
+        got = suffix_dedup.cut_documents(frame(spark, rows), buckets=64, hot=hot).select("doc_id", "n_removed").filter("n_removed > 0")
+        assert {r.doc_id for r in got.collect()} == set(range(400, 3000, 400))
+        sizes.append([r.n for sent in kept for r in sent.groupBy("bucket").agg(F.sum("n").alias("n")).collect()])
+        kept.clear()
+    together, spread = sizes
+    assert max(together) > 0.3 * sum(together) and max(spread) < 0.05 * sum(together)
+
+
+def test_suffix_arrays_of_many_letters(monkeypatch):
+    """The induction along chains that strings of names take, on random and periodic strings."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(suffix_array, "LETTERS", 0)
+    for t in range(600):
+        s = rng.integers(0, rng.integers(1, 7), rng.integers(2, 80))
+        s = np.tile(s[:max(1, len(s) // 5)], 5) if t % 3 == 0 else s
+        letters = s.tolist()
+        assert suffix_array.suffix_array(s).tolist() == sorted(range(len(letters)), key=lambda i: letters[i:])
 
 
 # ---------------------------------------------------------------- 4 n-gram join
