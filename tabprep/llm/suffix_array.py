@@ -101,19 +101,21 @@ def dense(key: np.ndarray) -> np.ndarray:
     """The rank of each key among the different keys, from 0."""
     order = np.argsort(key)
     out = np.empty(len(key), np.int64)
-    out[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+    key = key[order]
+    out[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
     return out
 
 
 def chain_ranks(key: np.ndarray, following: np.ndarray) -> np.ndarray:
     """The rank of each entry by the keys of the chain that starts there; the last entry of a chain follows itself."""
     rank = dense(key)
-    while True:
+    while rank.max() < len(rank) - 1:  # else all differ already
         rank = dense(rank * len(rank) + rank[following])
         further = following[following]
         if np.array_equal(further, following):
-            return rank
+            break
         following = further
+    return rank
 
 
 def ranks_by_chains(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, lms_rank: np.ndarray) -> np.ndarray:
