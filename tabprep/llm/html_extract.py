@@ -26,6 +26,7 @@ is tolerated.
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
 import zlib
@@ -152,13 +153,14 @@ def host_of(url: str | None) -> str:
 
 
 def signature(page_key: str, n: int) -> int:
-    """The page's part of a vector signature, within 62 bits so that sums wrap alike everywhere."""
+    """The page's part of a vector signature, within 31 bits so that the sum over a host's pages stays a long."""
     data = page_key.encode()
     return ((zlib.crc32(data) << 29) ^ zlib.crc32(data[::-1] + b"\x01")) * n % (1 << 31)
 
 
 def hash_of(text: str) -> int:
-    return zlib.crc32(text.encode()) + 1
+    """63 bits that stand for a text, never 0."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1 or 1
 
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
