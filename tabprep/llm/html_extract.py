@@ -10,18 +10,20 @@ enough pages, and it must nest, that is, lie in one other valid class.  The vali
 in them that all pages have, are the host's template; what lies between its tags are the slots.
 
 Slots under elements for menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments are boilerplate.  The main slot is the template's ``article``, else its
-``main``, and nothing inside these is dropped but nested boilerplate.  A class or id marks
-boilerplate only as a whole token or id.  A page whose articles or mains all lie below marked elements is read
-from these, if they hold at least as much text as the rest; marks on their ancestors do not count.  If the template has neither, the
-pages of the host are read again: the main slot is the deepest container of the template that covers nearly
-all text in its slots, titles included, without the template's own text, which is left out of the result too.  A page of a host without a template is read by
-the same rules with its own tags as the template.  The blocks of the main slot give the text.
+scripts, styles and comments are boilerplate.  A class or id marks boilerplate only as a whole token or id.
+The pages are read again, and the text in the slots of each container of the template is counted, without
+the template's own text.  The main slot is the deepest container that covers nearly all of it, titles included.
+It is widened or narrowed to the template's ``article``, else its ``main``, if it lies in that or half of its
+text does; nothing inside these is dropped but nested boilerplate.  Out of other main slots the template's own text is
+left too.  A page that has the main slot is read from it, unless most of the text is in an article or main of its own.
+A page of a host without a template is read from its own articles, else mains.  A page whose articles or mains all lie below
+marked elements is read from these, if they hold at least as much text as the rest; marks on their ancestors do not count.
+The blocks of the main slot give the text.
 
 Defined cases: NULL or empty html gives an empty text; a page without a main slot
 gives the text of its body without boilerplate; repeated rows give a row each;
 an empty table gives no rows; other columns are not read; an unclosed or unknown tag
-is tolerated.
+is tolerated; elements nested more than ``DEPTH`` deep count as part of the one around them at that depth.
 """
 
 from __future__ import annotations
@@ -35,11 +37,14 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, materialize, small
+from .common import arrow_schema, batches_of, materialize
 
 MIN_PAGES = 3
 MIN_SHARE = 0.5
 COVER = 0.95
+DEPTH = 512
+#: Templates are broadcast if all their paths and hashes together take at most this many bytes.
+BROADCAST_BYTES = 32_000_000
 
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,8 +63,11 @@ BOILERPLATE_WORDS = frozenset(
     "recommended widget pagination pager toolbar main-nav main-menu nav-menu site-nav site-header site-footer page-header "
     "page-footer cookie-banner cookie-notice cookie-consent share-buttons social-share social-links related-posts "
     "related-articles comment-list comments-area comment-form disqus_thread".split())
-#: Elements that can be the main slot where a template has neither article nor main.
-CONTAINERS = ("body", "center", "dd", "div", "section", "table", "tbody", "td", "tr")
+#: Elements that can be the main slot.
+CONTAINERS = ("article", "body", "center", "dd", "div", "main", "section", "table", "tbody", "td", "tr")
+NAMED = ("article", "main")
+#: An end tag of another name does not close elements outside these.
+BARRIERS = ("article", "main", "body", "table")
 #: A start tag of these closes an open paragraph.
 CLOSES_P = BLOCKS - {"body", "html", "caption", "legend", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li"}
 
@@ -94,6 +102,12 @@ def tokens(page: str):
     """(kind, tag, path, boilerplate, text): kind is open, close, void or text; path is that of the element; boilerplate
     is the length of the path of the innermost boilerplate element around, or 0."""
     stack: list[tuple[str, str, int]] = []  # (tag, path, boilerplate)
+    opened: Counter = Counter()  # the tags of the stack
+
+    def leave(i: int):
+        opened.subtract(x[0] for x in stack[i:])
+        del stack[i:]
+
     at, n = 0, len(page)
     while at < n:
         found, start = None, at
@@ -114,28 +128,33 @@ def tokens(page: str):
         if not tag:
             continue
         if found[1]:  # an end tag closes the nearest open element of its name, and what is open inside it
+            free = tag in ("body", "html", *NAMED)
+            if not opened[tag]:
+                if free or not any(opened[b] for b in BARRIERS):
+                    yield "void", tag, stack[-1][1] if stack else "", stack[-1][2] if stack else 0, ""
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     yield "close", tag, stack[i][1], stack[i][2], ""
-                    del stack[i:]
+                    leave(i)
                     break
-                if stack[i][0] in ("article", "main", "body", "table") and tag not in ("body", "html", "article", "main"):
+                if stack[i][0] in BARRIERS and not free:
                     break
-            else:
-                yield "void", tag, stack[-1][1] if stack else "", stack[-1][2] if stack else 0, ""
             continue
         attributes = found[3] or ""
         if tag in CLOSES_P or tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             ends = {"p"} if tag in CLOSES_P else {"p", tag, "dd" if tag == "dt" else "dt" if tag == "dd" else tag}
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(opened[t] for t in ends) else ():
                 if stack[i][0] in ends:
-                    del stack[i:]
+                    leave(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
         _, path, bad = stack[-1] if stack else ("", "", 0)
-        path = f"{path}/{label(tag, attributes)}"
-        bad = len(path) if is_boilerplate(tag, attributes) else bad
+        if len(stack) < DEPTH:
+            path = f"{path}/{label(tag, attributes)}"
+        if is_boilerplate(tag, attributes):
+            bad = len(path) + (len(stack) >= DEPTH)
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS:
             yield "void", tag, path, bad, ""
             continue
@@ -145,6 +164,7 @@ def tokens(page: str):
             at = end.end() if end else n
             continue
         stack.append((tag, path, bad))
+        opened[tag] += 1
 
 
 def host_of(url: str | None) -> str:
@@ -212,7 +232,7 @@ def valid_classes(tokens_of: list[tuple[str, int, int, int]]) -> set[tuple[int,
 
 def named_slot(tags: list[str]) -> str | None:
     """The outermost ``article`` of a template's tags, else its outermost ``main``."""
-    for name in ("article", "main"):
+    for name in NAMED:
         found = [p for p in tags if step_tag(p) == name]
         if found:
             return min(found, key=lambda p: (p.count("/"), p))
@@ -274,12 +294,13 @@ def slot_chars(pages: DataFrame, template: DataFrame) -> DataFrame:
                         row[1] += len(text) * title
             yield from batches_of(((*k, *v) for k, v in held.items()), arrow_schema(ddl), 20000)
 
-    rows = pages.select(host_column().alias("host"), "html").join(small(template), "host").select("host", "html", "paths", "texts")
+    rows = pages.select(host_column().alias("host"), "html").join(small_templates(template), "host").select("host", "html", "paths", "texts")
     return rows.mapInArrow(run, ddl).groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.sum("titles").alias("titles"))
 
 
-def covering(slots: list[tuple[str, int, int]]) -> str | None:
-    """The deepest path with at least COVER of the characters, its own and those of the paths in it, and all of the titles."""
+def main_slot(slots: list[tuple[str, int, int]], named: str | None = None) -> str | None:
+    """The deepest path with at least COVER of the characters, its own and those of the paths in it, and all of the titles;
+    ``named``, the template's article or main, if that path lies in it or half of its characters do."""
     sums: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for path, chars, titles in slots:
         while True:
@@ -290,35 +311,45 @@ def covering(slots: list[tuple[str, int, int]]) -> str | None:
             path = path.rpartition("/")[0]
     chars, titles = sums[""]
     found = [p for p, (n, t) in sums.items() if p and n >= COVER * chars and t == titles]
-    return max(found, key=lambda p: (p.count("/"), sums[p], p), default=None)
+    widest = max(found, key=lambda p: (p.count("/"), sums[p], p), default="")
+    if named and (under(widest, named) or 2 * sums[named][0] >= sums[widest][0]):
+        return named
+    return widest or None
+
+
+TEXTS_TYPE = "array<struct<path:string,text_hash:bigint>>"
+
+
+def small_templates(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its arrays are small: a row is as wide as the template of a host."""
+    width = F.lit(64) + F.aggregate("texts", F.lit(0), lambda n, x: n + F.length(x["path"]) + 16)
+    if "paths" in df.columns:
+        width += F.aggregate("paths", F.lit(0), lambda n, x: n + F.length(x) + 8)
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, main_path, texts): the path of the main slot in the template of each host that has one. ``texts`` are the
     template's own (path, text_hash) where the main slot is neither an article nor a main."""
-    found = materialize(deduced(pages, min_pages, min_share), "page-template")  # read by several branches
-    texts_type = "array<struct<path:string,text_hash:bigint>>"
-    named = found.filter("named").select("host", F.col("path").alias("main_path"), F.array().cast(texts_type).alias("texts"))
-    rest = found.join(small(named.select("host")), "host", "left_anti")
-    if not rest.head(1):
-        return named
     tag = F.regexp_extract("path", "/([a-z0-9]+)[^/]*$", 1)
-    template = materialize(rest.groupBy("host").agg(
+    template = materialize(deduced(pages, min_pages, min_share).groupBy("host").agg(
         F.collect_list(F.when((F.col("text_hash") == 0) & tag.isin(*CONTAINERS), F.col("path"))).alias("paths"),
-        F.collect_list(F.when(F.col("text_hash") != 0, F.struct("path", "text_hash"))).cast(texts_type).alias("texts")),
-        "page-open-template")
+        F.collect_list(F.when(F.col("text_hash") != 0, F.struct("path", "text_hash"))).cast(TEXTS_TYPE).alias("texts"),
+        F.max(F.when(F.col("named"), F.col("path"))).alias("named")), "page-template")
     ddl = "host string, main_path string"
 
     def choose(table):
         import pyarrow as pa
 
-        host, *slots = (table.column(c).to_pylist() for c in ("host", "path", "chars", "titles"))
-        return pa.table([pa.array(c, f.type) for c, f in zip(([host[0]], [covering(list(zip(*slots)))]), arrow_schema(ddl))],
+        host, named, *slots = (table.column(c).to_pylist() for c in ("host", "named", "path", "chars", "titles"))
+        return pa.table([pa.array(c, f.type) for c, f in zip(([host[0]], [main_slot(list(zip(*slots)), named[0])]), arrow_schema(ddl))],
                         schema=arrow_schema(ddl))
 
     # A row for each container of a template, whose number is bounded by that of a page.
-    chosen = slot_chars(pages, template).groupBy("host").applyInArrow(choose, ddl).filter("main_path is not null")
-    return named.unionByName(chosen.join(template, "host").select("host", "main_path", "texts"))
+    counted = slot_chars(pages, template).join(template.select("host", "named"), "host")
+    chosen = counted.groupBy("host").applyInArrow(choose, ddl).filter("main_path is not null")
+    own = F.when(F.regexp_extract("main_path", "/([a-z0-9]+)[^/]*$", 1).isin(*NAMED), F.array().cast(TEXTS_TYPE)).otherwise(F.col("texts"))
+    return materialize(chosen.join(template, "host").select("host", "main_path", own.alias("texts")), "page-slots")
 
 
 def host_column():
@@ -368,15 +399,17 @@ def main_text(page: str | None, main_path: str | None, texts=frozenset()) -> str
         return ""
     items = list(tokens(page))
     opened = [(path, tag) for kind, tag, path, bad, _ in items if kind == "open" and not bad]
-    paths = {p for p, _ in opened}
-    named = [p for p, tag in opened if tag == "article"] or [p for p, tag in opened if tag == "main"]
-    if main_path in paths and (not named or any(under(p, main_path) or under(main_path, p) for p in named)):
+    named = {p for p, tag in opened if tag == "article"} or {p for p, tag in opened if tag == "main"}
+
+    def chars(tops: set[str]) -> int:
+        return sum(len(" ".join(text.split())) for kind, _, path, bad, text in items
+                   if kind == "text" and not bad and any(under(path, t) for t in tops))
+
+    tops = named
+    if any(p == main_path for p, _ in opened) and (
+            main_path in named or not named or 2 * chars(named) < chars(named | {main_path})):
         tops = {main_path}
-        if named and not any(under(main_path, p) for p in named):  # the template's slot is wider than the page's own
-            tops = set(named)
-    else:
-        tops = set(named)
-    if texts and tops == {main_path} and not named:
+    if texts and tops == {main_path}:
         items = [x for x in items if x[0] != "text" or (x[2], hash_of(" ".join(x[4].split()))) not in texts]
     if tops:
         found = blocks_under(items, lambda path, bad: not bad and any(under(path, t) for t in tops))
@@ -392,7 +425,7 @@ def main_text(page: str | None, main_path: str | None, texts=frozenset()) -> str
 def extract(pages: DataFrame, **options) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     found = templates(pages, **options)
-    chosen = pages.select("page_id", "url", "html", host_column().alias("host")).join(small(found), "host", "left")
+    chosen = pages.select("page_id", "url", "html", host_column().alias("host")).join(small_templates(found), "host", "left")
     ddl = "page_id long, url string, text string, n_chars long"
 
     def run(batches):

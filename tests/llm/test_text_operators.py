@@ -449,6 +449,53 @@ def test_body_in_sibling_containers(spark):
         f"T{i}\n\nfirst part {i} {i}\n\nsecond part {i} which is longer" for i in range(5)}
 
 
+def test_slots_decide_whatever_the_tags_are_called(spark):
+    """The given pages with their articles renamed: classes find the slot that the name told, on every host with a template."""
+    pages = spark.read.parquet(f"/root/testdata/sf0.01/pages.parquet")
+    renamed = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1section"))
+    hosts = html_extract.host_column()
+    many = pages.groupBy(hosts.alias("host")).count().filter(f"count >= {html_extract.MIN_PAGES}")
+    held = pages.select("page_id", hosts.alias("host")).join(many, "host", "left_semi")
+    want = {r.page_id: r.text for r in html_extract.extract(pages).join(held, "page_id", "left_semi").collect()}
+    got = {r.page_id: r.text for r in html_extract.extract(renamed).join(held, "page_id", "left_semi").collect()}
+    assert len(want) > 150 and got == want
+    slots = {r.main_path for r in html_extract.templates(renamed).collect()}
+    assert slots == {"/html/body/section"} and {r.main_path for r in html_extract.templates(pages).collect()} == {"/html/body/article"}
+
+
+def test_named_elements_yield_to_the_slots(spark):
+    page = ("<body><div class=text><h1>T{i}</h1><p>the {long}text of page number {i}</p></div>"
+            "<div class=more><article>teaser {i}</article><article>other {i}</article></div></body>")
+    long = "long and longer " * 30
+    rows = [(i, "http://h/x", page.format(i=i, long=long)) for i in range(4)]
+    rows.append((9, "http://h/y", "<body><article><p>a page of another kind</article></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r.main_path for r in html_extract.templates(pages).collect()] == ["/body/div.text"]
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == {9: "a page of another kind"} | {
+        i: f"T{i}\n\nthe {long}text of page number {i}" for i in range(4)}
+
+
+def test_main_slot():
+    slots = [("/b", 2, 0), ("/b/article", 1, 0), ("/b/article/div", 97, 9)]
+    assert html_extract.main_slot(slots) == "/b/article/div" and html_extract.main_slot(slots, "/b/article") == "/b/article"
+    assert html_extract.main_slot([("/b/x", 60, 0), ("/b/article", 40, 0)], "/b/article") == "/b"
+    assert html_extract.main_slot([("/b/x", 50, 9), ("/b/article", 50, 0)], "/b/article") == "/b/article"
+    assert html_extract.main_slot([]) is None
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "section class=related"])
+def test_deep_nesting_takes_linear_memory(tag):
+    import tracemalloc
+    page = "<body><article><p>x</p>" + f"<{tag}>w " * 50_000 + "</i>" * 50_000
+    tracemalloc.start()
+    text = html_extract.main_text(page, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert text.split() == ["x"] + ["w"] * (0 if "related" in tag else 50_000)
+
+
 # ---------------------------------------------------------------- 6, 8 quality
 
 @pytest.fixture(scope="module")
