@@ -107,17 +107,41 @@ def dense(key: np.ndarray) -> np.ndarray:
 
 
 def chain_ranks(key: np.ndarray, following: np.ndarray) -> np.ndarray:
-    """The rank of each entry by the keys of the chain that starts there; the last entry of a chain follows itself."""
-    rank = dense(key)
-    while rank.max() < len(rank) - 1:  # else all differ already
-        rank = dense(rank * len(rank) + rank[following])
-        further = following[following]
-        if np.array_equal(further, following):
-            break
-        following = further
+    """The rank of each entry by the keys of the chain that starts there: the number of smaller entries. The last entry of a
+    chain follows itself, and its key is not the key of an entry before the end of a chain. Entries that differ from all others
+    and entries whose keys are all compared are left alone."""
+    n = len(key)
+    active = np.argsort(key)
+    new = starts(key[active])
+    rank, following = np.empty(n, np.int64), following.copy()
+    rank[active] = first_places(new)
+    active = active[~alone(new) & (following[active] != active)]
+    while len(active):  # all of a group of equal rank, or none of it
+        both = rank[active] * n + rank[following[active]]
+        order = np.argsort(both)
+        active, both = active[order], both[order]
+        old, new = rank[active], starts(both)
+        rank[active] = old - first_places(starts(old)) + first_places(new)
+        further = following[active]
+        active = active[~alone(new) & (following[further] != further)]
+        following[active] = following[following[active]]
     return rank
 
 
+def starts(ordered: np.ndarray) -> np.ndarray:
+    """True for the first of equal entries."""
+    return np.append(True, ordered[1:] != ordered[:-1])[:len(ordered)]
+
+
+def first_places(new: np.ndarray) -> np.ndarray:
+    """For each entry the place of the first one of its group."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def alone(new: np.ndarray) -> np.ndarray:
+    return new & np.append(new[1:], True)
+
+
 def ranks_by_chains(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, lms_rank: np.ndarray) -> np.ndarray:
     """The rank of every suffix, induced from the ranks of the LMS suffixes: equal ones give equal ranks to suffixes that are
     alike as far as that tells."""
