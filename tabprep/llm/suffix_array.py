@@ -202,32 +202,35 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 def common_prefixes(data: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
     """Permuted common prefixes, in text order: for each suffix the length, up to ``most``, that it has in common with the
-    suffix before it in the array (0 for the first). The text counts as ended by letters that match nothing."""
+    suffix before it in the array (0 for the first). The text counts as ended by letters that match nothing.
+
+    Where a suffix and the one before it are those of the place before, each less its first letter, which is the same, the
+    length is one less than there, so letters are compared only at the first place of such a run."""
     n = len(places)
     before = np.full(n, -1, np.int64)
     before[places[1:]] = places[:-1]
-    plcp = np.zeros(n, np.int16)
     words = word_at(np.concatenate([data, np.zeros(8, np.uint8)]), n)
-    active = np.flatnonzero(before >= 0)
-    room = n - np.maximum(active, before[active])
-    for k in range(0, most, 8):
-        if not len(active):
-            break
-        width = min(8, most - k)
-        x = words[active + k] ^ words[before[active] + k]
-        if width < 8:
-            x &= np.uint64((1 << 8 * width) - 1)
-        same = np.full(len(x), width)
+    new = np.ones(n, bool)
+    new[1:] = (before[:-1] < 0) | (before[1:] != before[:-1] + 1) | (data[:n - 1] != data[before[:-1]])
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, n))
+    length = np.zeros(len(first), np.int64)
+    run = np.flatnonzero(before[first] >= 0)
+    at, other = first[run], before[first[run]]
+    room = np.minimum(n - np.maximum(at, other), sizes[run] + most)
+    k = 0
+    while len(run):
+        x = words[at + k] ^ words[other + k]
+        same = np.full(len(x), 8)
         unequal = x != 0
         low = x[unequal] & (~x[unequal] + np.uint64(1))  # the lowest set bit
         same[unequal] = (np.log2(low.astype(np.float64)).astype(np.int64)) // 8
-        same = np.minimum(same, np.maximum(room - k, 0))
-        plcp[active] += same.astype(np.int16)
-        going = same == width
-        active, room = active[going], room[going]
-        keep = room > k + 8
-        active, room = active[keep], room[keep]
-    return plcp
+        length[run] += np.minimum(same, room - k)
+        k += 8
+        going = ~unequal & (room > k)
+        run, at, other, room = run[going], at[going], other[going], room[going]
+    inside = np.arange(n) - np.repeat(first, sizes)
+    return np.clip(np.repeat(length, sizes) - inside, 0, most).astype(np.int16)
 
 
 def word_at(padded: np.ndarray, n: int) -> np.ndarray:

@@ -185,7 +185,8 @@ def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, wr
             more = np.zeros(len(unique), np.int64)
             if kinds:
                 _, at = np.unique(np.concatenate([x[1] for x in kinds]), return_index=True)
-                more = np.bincount(np.searchsorted(unique, np.concatenate([x[0] for x in kinds])[at]), minlength=len(unique)) - 1
+                of = np.sort(np.concatenate([x[0] for x in kinds])[at])  # the anchors of ``unique``, each once for each variant
+                more = np.diff(np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))) - 1
             more = more[order]
             own = b"".join((owner[inside].astype(np.uint16).tobytes(), key[inside].astype(np.uint32).tobytes()))
             yield zlib.crc32(chunk.encode()) % buckets, chunk, 1, np.array(docs, np.int64).tobytes(), own
