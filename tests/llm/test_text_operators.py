@@ -198,6 +198,23 @@ def brute_dedup(rows, length=50):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("most", [3, 8, 50])
+def test_common_prefixes_of_near_copies(most):
+    """Long runs of places whose prefixes follow from the place before, cut by small changes."""
+    rng = np.random.default_rng(most)
+    for letters in (1, 2, 26):
+        text = rng.integers(0, letters, 300).astype(np.uint8)
+        other = text.copy()
+        other[::70] = 99
+        data = np.concatenate([text, other, text[40:]])
+        places = suffix_array.suffix_array(data.astype(np.int16))
+        want = np.zeros(len(data), int)
+        for a, b in zip(places[:-1].tolist(), places[1:].tolist()):
+            while want[b] < most and max(a, b) + want[b] < len(data) and data[a + want[b]] == data[b + want[b]]:
+                want[b] += 1
+        assert suffix_array.common_prefixes(data, places, most).tolist() == want.tolist()
+
+
 def test_suffix_dedup(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcd é") for _ in range(rng.randint(0, 400))) for _ in range(20)]
