@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +14,25 @@ from tabprep.functions.missing import nullify_tokens
 from tabprep.rules import CLEAN_TOKENS, DATE_FORMAT, DIRECTION_COLUMNS, YES_NO_COLUMNS
 
 
-def present(df: DataFrame, cols: Iterable[str], strict: bool = False) -> list[str]:
-    """The listed columns that exist in ``df`` (``strict`` raises on absent ones)."""
+_strict: ContextVar[bool] = ContextVar("strict", default=False)
+
+
+@contextmanager
+def strict_columns(on: bool = True) -> Iterator[None]:
+    """Within this block operators raise KeyError for listed columns that a frame lacks, instead of leaving them out."""
+    before = _strict.set(on)
+    try:
+        yield
+    finally:
+        _strict.reset(before)
+
+
+def present(df: DataFrame, cols: Iterable[str], strict: bool | None = None) -> list[str]:
+    """The listed columns that exist in ``df``. ``strict`` raises on absent ones; by default as ``strict_columns`` says."""
     cols = list(cols)
     have = set(df.columns)
     missing = [c for c in cols if c not in have]
-    if strict and missing:
+    if missing and (_strict.get() if strict is None else strict):
         raise KeyError(f"absent columns: {missing}")
     return [c for c in cols if c in have]
 

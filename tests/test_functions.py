@@ -1,10 +1,13 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabprep.functions.compass import compass_degrees, direction_to_radians, normalize_xy
 from tabprep.functions.missing import is_missing, nullify_tokens
 from tabprep.operators import normalize as N
+from tabprep.operators.normalize import strict_columns
+from tabprep.operators.stats import grouped_stats
 
 
 def test_is_missing_literal_rule(spark):
@@ -65,3 +68,17 @@ def test_absent_columns_skipped_or_strict(spark):
     import pytest
     with pytest.raises(KeyError):
         N.present(df, ["zz"], strict=True)
+
+
+def test_strict_columns_hold_for_operators(spark):
+    df = spark.createDataFrame([("x", 1.0)], "a string, b double")
+    calls = [lambda: N.normalize_case_trim(df, ["a", "zz"]), lambda: N.drop_columns(df, ["zz"]), lambda: N.cast_numeric(df, ["a", "zz"]),
+             lambda: grouped_stats(df, ["a"], ["b", "zz"]), lambda: grouped_stats(df, ["a"], ["b"], ["zz"])]
+    for call in calls:
+        call()
+        with strict_columns():
+            with pytest.raises(KeyError, match="zz"):
+                call()
+            with strict_columns(False):
+                call()
+        call()
