@@ -61,9 +61,25 @@ def saturating_distinct(df: DataFrame, cols: Iterable[str], limit: int) -> dict[
     return {c: exact.get(c, limit) for c in cols}
 
 
+def distinct_counts(df: DataFrame, cols: Iterable[str]) -> DataFrame:
+    """(column_name, n_distinct): all distinct values (NULL counts as one) of each column, 0 in an empty frame. The values are
+    grouped by Spark, so the number of them is not bounded."""
+    cols = present(df, cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, n_distinct long")
+    one = df.agg(*[(F.count_distinct(F.col(c)) + F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0))).alias(f"d{i}")
+                   for i, c in enumerate(cols)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").cast("long").alias("n_distinct"))
+                                         for i, c in enumerate(cols)])))
+
+
 def adaptive_bucket_count(df: DataFrame, cols: Iterable[str], lo: int = BIN_MIN_BUCKETS,
-                          hi: int = BIN_MAX_BUCKETS) -> DataFrame:
-    """Per column: distinct values d (NULL counts as one) as far as hi + 2, which decide the count, and min(hi, max(lo, d - 1))."""
+                          hi: int = BIN_MAX_BUCKETS, exact: bool = False) -> DataFrame:
+    """Per column: distinct values d (NULL counts as one) and min(hi, max(lo, d - 1)). With ``exact`` d counts all values, else as far
+    as hi + 2, which decide the buckets."""
+    if exact:
+        return distinct_counts(df, cols).withColumn(
+            "n_buckets", F.least(F.lit(hi), F.greatest(F.lit(lo), F.col("n_distinct") - 1)).cast("int"))
     rows = [(c, n, min(hi, max(lo, n - 1))) for c, n in saturating_distinct(df, cols, hi + 2).items()]
     return df.sparkSession.createDataFrame(rows, "column_name string, n_distinct long, n_buckets int")
 

@@ -53,11 +53,11 @@ _BC = ["num_a", "code", "month", "yn", "status"]
 
 
 @query("adaptive_bucket_count", W(S.OBS, body=" union all ".join(
-    f"select '{c}' as column_name, least(n, 12) as n_distinct, cast(least(10, greatest(3, n - 1)) as integer) as n_buckets from "
+    f"select '{c}' as column_name, n as n_distinct, cast(least(10, greatest(3, n - 1)) as integer) as n_buckets from "
     f"(select cast(count(distinct {c}) + max(case when {c} is null then 1 else 0 end) as bigint) as n from obs)"
     for c in _BC)))
 def q_adaptive_bucket_count(spark, sf):
-    return FE.adaptive_bucket_count(obs(spark, sf), _BC)
+    return FE.adaptive_bucket_count(obs(spark, sf), _BC, exact=True)
 
 
 def bin_invariants(train, df, cols, suffix="_bin", buckets: int = 10, error: float = 0.02):

@@ -29,6 +29,28 @@ def test_bucket_counts(spark):
     assert got == {"x": 10, "y": 3}  # y: a, b, c, NULL -> 4 distinct -> max(3, 3)
 
 
+def test_adaptive_bucket_count_of_many_values(spark):
+    """Columns of more values than decide the buckets are counted to the end."""
+    df = spark.range(3000, numPartitions=3).select(
+        F.when(F.col("id") > 0, F.col("id") / 2).alias("x"), (F.col("id") % 40).cast("string").alias("s"),
+        F.when(F.col("id") % 2 == 0, 0.0).when(F.col("id") % 3 == 0, -0.0).otherwise(float("nan")).alias("z"), F.lit(None).cast("int").alias("n"))
+    got = FE.adaptive_bucket_count(df, ["x", "s", "z", "n", "absent"], exact=True)
+    assert got.schema.simpleString() == "struct<column_name:string,n_distinct:bigint,n_buckets:int>"
+    assert sorted(map(tuple, got.collect())) == [("n", 1, 3), ("s", 40, 10), ("x", 3000, 10), ("z", 2, 3)]
+    assert sorted(map(tuple, FE.adaptive_bucket_count(df.limit(0), ["x", "n"], exact=True).collect())) == [("n", 0, 3), ("x", 0, 3)]
+
+
+def test_adaptive_bucket_count_query_counts_all_values(spark, tmp_path):
+    import datetime as dt
+
+    from __spark_entry__ import queries
+    spark.createDataFrame([(i, i % 30, "PFO"[i % 3], 10.0 + i, dt.datetime(2020, 1 + i % 11, 1), "1") for i in range(1, 400)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+                          "o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.column_name: (r.n_distinct, r.n_buckets) for r in queries()["adaptive_bucket_count"](spark, str(tmp_path)).collect()}
+    assert got == {"num_a": (399 - 57 + 1, 10), "code": (11, 10), "month": (11, 10), "yn": (4, 3), "status": (3, 3)}
+
+
 def test_quantile_bins_invariants(spark):
     n = norm_obs(spark, SF001)
     b = FE.quantile_bins(train_of(n), n, ["num_a", "num_b"], {"num_a": 4, "num_b": 3})
