@@ -38,7 +38,9 @@ from .common import arrow_schema, batches_of, filesystem, scratch_path, worker_s
 CACHE_UNITS = 550_000
 CORE_UNITS = 200_000
 CACHE_CHARS = 64
-PUNCTUATION = ".,;:!?%$&*#|"
+#: New units that are encoded as one text; bytes of texts that are cut at once.
+JOINED_UNITS = 1_000
+SLICE_BYTES = 8 << 20
 SHARD_BYTES = 64 << 20
 READ_BYTES = 8 << 20
 
@@ -71,8 +73,59 @@ def unframe(read, where: str = "") -> bytes | None:
     return body[:n]
 
 
+def byte_set(chars: str) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(chars.encode())] = True
+    return found
+
+
+#: Bytes that are, or may be, white space by themselves; that begin characters of which some are white space; ASCII letters;
+#: punctuation that, unlike an apostrophe, never joins letters.
+SPACES = byte_set("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")
+SPACE_LEADS = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
+LETTERS = byte_set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+PUNCTUATION = byte_set(".,;:!?%$&*#|")
+
+
+def may_be_space(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether a character that ends in the bytes a, b, c may be white space."""
+    return (SPACES[c] | ((b == 0xC2) & ((c == 0x85) | (c == 0xA0))) | ((a == 0xE1) & ((b == 0x9A) | (b == 0xA0)))
+            | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80)))
+
+
+def pieces_at(raw: np.ndarray, texts_at: np.ndarray) -> np.ndarray:
+    """Where the pieces of UTF-8 texts begin, that lie one after another, and where the last ends. Besides at the ends of
+    texts, they are cut where the pattern cuts whatever lies around: before a space or line break that follows another
+    character, after such a line break if it is not followed by white space, and between a Latin letter and punctuation."""
+    def after(kind):
+        """Places of a kind of byte that have a byte before them."""
+        found = np.flatnonzero(kind)
+        return found[1:] if len(found) and found[0] == 0 else found
+
+    def follows_text(places):
+        before = raw[places - 1]
+        free = ~SPACES[before]
+        wide = np.flatnonzero(before >= 0x80)  # these have a byte before them too
+        at = places[wide]
+        free[wide] = ~may_be_space(raw[at - 3], raw[at - 2], raw[at - 1])
+        return places[free]
+
+    mark = np.zeros(len(raw) + 1, bool)
+    mark[texts_at] = True
+    mark[follows_text(after(raw == 0x20))] = True
+    breaks = follows_text(after(raw == 0x0A))
+    mark[breaks] = True
+    breaks = breaks[breaks + 1 < len(raw)] + 1
+    mark[breaks[~(SPACES | SPACE_LEADS)[raw[breaks]]]] = True
+    marks = after(PUNCTUATION[raw])
+    b, c = raw[marks - 2], raw[marks - 1]
+    latin = (c >= 0x80) & (c < 0xC0) & (((b == 0xC3) & (c != 0x97) & (c != 0xB7)) | ((b >= 0xC4) & (b <= 0xC8)) | ((b == 0xC9) & (c < 0x90)))
+    mark[marks[LETTERS[c] | latin]] = True
+    return np.flatnonzero(mark)
+
+
 class UnitEncoder:
-    """A tokenizers file whose results for units between single spaces are remembered as packed ids."""
+    """A tokenizers file whose results for pieces of texts are remembered as packed ids."""
 
     def __init__(self, spec: str, width: int):
         import os
@@ -85,73 +138,93 @@ class UnitEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "H" if width == 2 else "I"
-        self.alphabet = byte_alphabet()
+        vocab, alphabet = self.tokenizer.get_vocab(), byte_alphabet()
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)  # ids of strings that begin with a space
+        self.spaced[[i for string, i in vocab.items() if string.startswith(alphabet[0x20])]] = True
+        self.line_break = vocab[alphabet[0x0A]]
+        self.joined = 1 if any(any(map(str.isspace, s)) for s in self.special) else JOINED_UNITS
         self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def whole(self, text: str) -> bytes:
-        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def cut(self, unit: str) -> list[str]:
-        """A unit (with its space) cut where the pattern always cuts: around a line break between other
-        characters, and between a Latin letter and the punctuation that ends a line."""
-        lines = unit.split("\n")
-        if len(lines) > 1 and not all(map(clean_edges, (lines[0][1:], *lines[1:]))):
-            return [unit]
-        out = []
-        for i, line in enumerate(lines):
-            body = line.rstrip(PUNCTUATION)
-            out += ["\n"] if i else []
-            out += [body, line[len(body):]] if len(body) < len(line) and body[-1:].isalpha() and body[-1] < "\u0250" else [line]
+        return array(self.kind, self.ids(text)).tobytes()
+
+    def learn(self, units: list[str]) -> None:
+        """Remembers the packed ids of units. Many are encoded as one text and told apart again: of a unit that has a space
+        before it and none within, the first id, and no other, stands for a string that begins with a space; units without
+        line breaks are joined by these."""
+        after_space, plain, other = [], [], []
+        for u in units:
+            if u[0] == " ":
+                (after_space if clean_edges(u[1:]) and " " not in u[1:] else other).append(u)
+            else:
+                (plain if clean_edges(u) and "\n" not in u else other).append(u)
+        for some, glue in ((after_space, ""), (plain, "\n")):
+            for k in range(0, len(some), self.joined):
+                part = some[k:k + self.joined]
+                ids = np.array(self.ids(glue + glue.join(part)), self.kind)
+                at = np.flatnonzero(ids == self.line_break if glue else self.spaced[ids])
+                if len(at) != len(part):  # a special token has taken white space
+                    other += part
+                    continue
+                packed, at = ids.tobytes(), [*(at * ids.itemsize).tolist(), ids.nbytes]
+                skip = ids.itemsize if glue else 0
+                self.units.update(zip(part, [packed[i + skip:j] for i, j in zip(at, at[1:])]))
+        self.units.update((u, self.whole(u)) for u in other)
+
+    def packed(self, units: list[str]) -> list[bytes]:
+        """Packed ids of different units."""
+        new = [u for u in units if u not in self.units]
+        if len(self.units) + len(new) > CACHE_UNITS:
+            self.units = dict(islice(self.units.items(), CORE_UNITS))
+            new = [u for u in units if u not in self.units]
+        self.learn(new)
+        out = list(map(self.units.__getitem__, units))
+        for u in new:
+            if len(u) > CACHE_CHARS:
+                del self.units[u]
         return out
 
-    def learn(self, parts: set[str]) -> None:
-        """Remembers the packed ids of units. A piece that begins with a space is itself a unit."""
-        units, pieces = self.units, self.pieces
-        cuts = {p: self.cut(" " + p) for p in parts}
-        wanted = {x for c in cuts.values() for x in c}
-        new = [x for x in wanted if (x[1:] not in units if x[0] == " " else x not in pieces)]
-        found = {}
-        tokenize, to_text = self.tokenizer.model.tokenize, self.alphabet.__getitem__
-        mixed = []
-        for x in new:
-            if (x[1:] if x[0] == " " else x).isalpha() and max(x) < "\u0250":  # one pre-token, for the library's model
-                found[x] = array(self.kind, [t.id for t in tokenize("".join(map(to_text, x.encode())))]).tobytes()
-            else:
-                mixed.append(x)
-        if mixed:
-            encoded = self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False)
-            found.update((x, array(self.kind, e.ids).tobytes()) for x, e in zip(mixed, encoded))
-        for x, packed in found.items():
-            if x[0] == " ":
-                units[x[1:]] = packed
-            else:
-                pieces[x] = packed
-        for p, c in cuts.items():
-            if len(c) > 1:
-                units[p] = b"".join([units[x[1:]] if x[0] == " " else pieces[x] for x in c])
+    def encode_texts(self, texts) -> list[bytes]:
+        """Packed ids of every whole text of an Arrow array (NULL: empty). The different pieces of the texts are numbered by
+        Arrow, and the ids of the pieces put in their places; a text with a special token is not cut."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.fill_null("").cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        if at[0] == at[-1]:
+            return [b""] * len(texts)
+        raw, at = np.frombuffer(data, np.uint8)[at[0]:at[-1]], at - at[0]
+        starts = pieces_at(raw, at)
+        coded = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(raw)).dictionary_encode()
+        placed = pa.array(self.packed(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, offsets, data = placed.buffers()
+        ends = np.frombuffer(offsets, np.int64)[np.searchsorted(starts, at)].tolist()
+        out = [data[i:j].to_pybytes() for i, j in zip(ends, ends[1:])]
+        for s in self.special:
+            for i in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = self.whole(texts[i].as_py())
+        return out
 
     def encode(self, text: str) -> bytes:
         """Packed ids of the whole text."""
-        first, *rest = text.split(" ")
-        if len(rest) < 2 or not clean_edges(first) or any(s in text for s in self.special):
-            return self.whole(text)
-        units = self.units
-        new = set(rest).difference(units)
-        if new:
-            if not all(map(clean_edges, new)):  # white space beside a space: the text is not cut
-                return self.whole(text)
-            if len(units) + len(new) > CACHE_UNITS:
-                units = self.units = dict(islice(units.items(), CORE_UNITS))
-                self.pieces.clear()
-                new = set(rest).difference(units)
-            self.learn(new)
-        out = b"".join([self.whole(first), *map(units.__getitem__, rest)])
-        for long in [p for p in new if len(p) > CACHE_CHARS]:
-            for x in self.cut(" " + long):
-                (self.units if x[0] == " " else self.pieces).pop(x[1:] if x[0] == " " else x, None)
-            units.pop(long, None)
-        return out
+        import pyarrow as pa
+
+        return self.encode_texts(pa.array([text], pa.large_string()))[0]
+
+
+def slices(column, most: int = SLICE_BYTES):
+    """The parts of an Arrow array of texts that begin where another ``most`` bytes are full."""
+    import pyarrow.compute as pc
+
+    filled = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(column)]
+    for i, j in zip(cuts, cuts[1:]):
+        yield column.slice(i, j - i)
 
 
 def worker_encoder(spec: str, width: int) -> UnitEncoder:
@@ -194,13 +267,14 @@ def write_records(docs: DataFrame, vocab_path: str, folder: str | None = None, e
         def rows():
             nonlocal shard, out, offsets, at, tokens, name, stem
             for b in batches:
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                texts = (packed for some in slices(b.column(1)) for packed in encoder.encode_texts(some))
+                for doc_id, packed in zip(b.column(0).to_pylist(), texts):
                     if out is None:
                         fs.create_dir(f"{base}/data", recursive=True)
                         stem = f"part-{part:06d}-{shard:04d}-{uuid.uuid4().hex[:8]}"
                         name = f"{base}/data/{stem}"
                         out, offsets, at, tokens = fs.open_output_stream(f"{name}.rec"), array("Q"), 0, 0
-                    packed = encoder.encode(text.as_py() or "") + end
+                    packed += end
                     record = frame(struct.pack("<BBq", width, doc_id is None, doc_id or 0) + packed)
                     out.write(record)
                     offsets.append(at)

@@ -118,6 +118,44 @@ def test_bpe_equals_the_library(library):
         assert np.frombuffer(packed.encode(x), np.uint16).tolist() == ids
 
 
+def test_packed_ids_of_arrays_of_texts_equal_the_library(library, monkeypatch):
+    """However texts lie beside one another, are cut and joined, and whatever the worker still remembers."""
+    import pyarrow as pa
+    rng = random.Random(10)
+    alphabet = [" ", " ", "\n", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u202f", "\u3000", "a", "Bc", "é",
+                "ß", "×", "÷", "ɐ", "Ж", "ع", "“", "…", "、", "テ", "한", "😀", "\u0301", "1", "23", ".", ",", "!!", "$$$", "'", "'s", "'ll", "-", "_", "ª",
+                "<|endoftext|>", "<|endo", "x" * 70]
+    texts = ODD + [None, "word. " * 400] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(6000)]
+    texts += [" ".join("".join(rng.choice(alphabet[15:-3]) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    rng.shuffle(texts)
+    want = [e.ids for e in library.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    monkeypatch.setattr(records, "CACHE_UNITS", 900)
+    monkeypatch.setattr(records, "CORE_UNITS", 300)
+    for width, joined, kind in ((2, 1000, pa.string()), (4, 7, pa.large_string()), (2, 1, pa.string())):
+        monkeypatch.setattr(records, "JOINED_UNITS", joined)
+        packed = records.UnitEncoder(bpe.read_spec(vocabulary()), width)
+        column = pa.array(["before", *texts, "behind"], kind).slice(1, len(texts))
+        parts = [*records.slices(column, 3000)]
+        assert len(parts) > 20 and sum(map(len, parts)) == len(texts) and max(map(len, parts)) > 20
+        got = [np.frombuffer(x, f"<u{width}").tolist() for part in parts for x in packed.encode_texts(part)]
+        assert got == want
+    assert packed.encode_texts(pa.array([], pa.string())) == [] and packed.encode_texts(pa.array([None, ""], pa.string())) == [b"", b""]
+    assert [*map(len, records.slices(pa.array(["", None, "aaaa", "b", "cccccccccc", "d"]), 4))] == [2, 2, 1, 1]
+
+
+def test_packed_ids_take_few_calls_of_the_library(monkeypatch):
+    """Pieces are encoded together, each once while it is remembered, instead of one by one."""
+    import pyarrow as pa
+    packed, calls = records.UnitEncoder(bpe.read_spec(vocabulary()), 2), []
+    ids = packed.ids
+    monkeypatch.setattr(packed, "ids", lambda text: calls.append(text) or ids(text))
+    texts = pa.array([f"Text{i} of w{i % 50}. And\nnext, v{i}é!!" for i in range(2000)])
+    first = packed.encode_texts(texts)
+    assert len(calls) <= 10
+    calls.clear()
+    assert packed.encode_texts(texts) == first and not calls
+
+
 def test_bpe_frames(spark, library):
     rows = [(i, x) for i, x in enumerate(ODD)] + [(None, None), (3, "b"), (3, "b")]
     docs = frame(spark, rows)
