@@ -814,7 +814,7 @@ def test_pipeline(spark):
 def test_every_operator_is_registered():
     import __spark_entry__ as E
     names = [re.match(r"op(\d+)_", k) for k in E.queries()]
-    assert sorted(int(m[1]) for m in names if m) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(m[1]) for m in names if m) == list(range(1, 14)) and "pipeline" in E.queries()
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
