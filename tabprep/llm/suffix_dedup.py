@@ -7,8 +7,8 @@ Whole copies of a text go first, by digest.  What is left is cut so that equal s
    equal anchors.  A segment is a run of windows with one anchor.  Each task sends each of its anchors once to a bucket of
    anchors, and the bucket answers which of them other documents have.
 2. Segments whose anchor several documents have are sent, once for each distinct segment of a task, to a bucket of anchors: a
-   shard.  The shard dedups them again, and for anchors with several different segments builds the suffix array of their
-   concatenation by induced sorting, and its permuted common prefixes.  Neighbours that have ``length`` bytes in common are
+   shard.  The shard dedups them again, some whole anchors at a time, and for those with several different segments builds the
+   suffix array of their concatenation by induced sorting, and its permuted common prefixes.  Neighbours that have ``length`` bytes in common are
    one string, and the smallest document id of each string goes back, as runs over the segment, to the tasks that sent it.
 3. An anchor with more than ``hot`` different segments is a common string within unlike texts.  Its windows leave 1 and 2 and
    go through them apart, each with the hash of the whole window as its anchor, so they spread over all buckets, and only windows
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,16 +34,24 @@ from pyspark.sql import functions as F
 
 from tabprep.session import release
 
-from .common import arrow_schema, batches_of, materialize, small, worker_state
-from .suffix_array import common_prefixes, suffix_array
+from .common import arrow_schema, batches_of, lean_worker, materialize, small, small_batches, worker_state
+from .suffix_array import common_prefixes, starts, suffix_array
 
 LENGTH = 50
 ANCHOR = 24
-READ_BYTES = 1 << 20
+READ_BYTES = 1 << 18
 CHUNK_ENTRIES = 1_500_000
 CHUNK_BYTES = 24 << 20
 CHUNK_DOCS = 60_000
+#: Bytes of whole anchors that are deduped at a time, places of whole documents that are sent in a row and that runs are joined
+#: to at a time, and bytes that a shard is sent. A suffix array takes 80 bytes of memory for each byte.
+PART_BYTES = 1 << 19
+PART_PLACES = 200_000
+SHARD_BYTES = 24 << 20
 HOT = 1_000
+#: Parquet's writer looks at its sizes every 100 rows by default, and messages are rows of up to a MB: readers and writers
+#: would hold pages and row groups of many MB in and outside the heap.
+MESSAGES = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 8}
 SHARED = 0xFFFF  # in place of a document's number: several documents of the chunk have the anchor
 #: Odd multiplier of the rolling hash, its inverse modulo 2 ** 64, and the multipliers that mix a hash.
 BASE = 0x9E3779B97F4A7C15
@@ -156,9 +165,27 @@ def grouped_reads(batches, length: int):
 
 def split_by(keys: np.ndarray, buckets: int):
     """(order, places): order[places[i]:places[i + 1]] are the entries of bucket i."""
-    bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
+    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint32))
+
+
+def parts_of(groups: np.ndarray, weights: np.ndarray, size: int):
+    """(start, end) of successive whole groups of equal neighbours that weigh ``size`` together, or are one group."""
+    if not len(groups):
+        return
+    ends = np.append(np.flatnonzero(groups[1:] != groups[:-1]) + 1, len(groups))
+    total, start, before = np.cumsum(weights)[ends - 1], 0, 0
+    while start < len(groups):
+        k = min(int(np.searchsorted(total, before + size)), len(ends) - 1)
+        yield start, (end := int(ends[k]))
+        start, before = end, int(total[k])
+
+
+def expanded(first: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, place): entry i with each of the places first[i] .. first[i] + times[i] - 1."""
+    entry = np.repeat(np.arange(len(times)), times)
+    return entry, np.arange(len(entry)) - np.repeat(np.cumsum(times) - times - first, times)
 
 
 def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, written: list | None = None, most: int = HOT,
@@ -177,26 +204,34 @@ def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, wr
 
         def flush():
             chunk, key, owner = uuid.uuid4().hex, np.concatenate(keys), np.concatenate(owners)
-            unique, first, back, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            inside = counts[back] > 1  # shared inside the chunk
-            entry = np.where(counts > 1, SHARED, owner[first]).astype(np.uint16)
-            order, places = split_by(unique, buckets)
-            low, entry = unique[order].astype(np.uint32), entry[order]
+            keys.clear(), owners.clear()
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            first = np.flatnonzero(starts(key))
+            counts = np.diff(np.append(first, len(key)))
+            inside = np.repeat(counts > 1, counts)  # shared inside the chunk
+            own = b"".join((owner[inside].tobytes(), key[inside].astype(np.uint32).tobytes()))
+            yield zlib.crc32(chunk.encode()) % buckets, chunk, 1, np.array(docs, np.int64).tobytes(), own
+            unique, entry = key[first], np.where(counts > 1, np.uint16(SHARED), owner[first])
+            del key, owner, order, first, counts, inside, own
             more = np.zeros(len(unique), np.int64)
             if kinds:
-                _, at = np.unique(np.concatenate([x[1] for x in kinds]), return_index=True)
-                of = np.sort(np.concatenate([x[0] for x in kinds])[at])  # the anchors of ``unique``, each once for each variant
+                both, of = (np.concatenate([x[i] for x in kinds]) for i in (1, 0))
+                kinds.clear()
+                order = np.argsort(both)
+                of = np.sort(of[order[starts(both[order])]])  # the anchors of ``unique``, each once for each variant
                 more = np.diff(np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))) - 1
-            more = more[order]
-            own = b"".join((owner[inside].astype(np.uint16).tobytes(), key[inside].astype(np.uint32).tobytes()))
-            yield zlib.crc32(chunk.encode()) % buckets, chunk, 1, np.array(docs, np.int64).tobytes(), own
+                del both, of
+            order, places = split_by(unique, buckets)
+            low, entry, more = unique[order].astype(np.uint32), entry[order], more[order]
+            del unique, order
             for i in range(buckets):
                 x, y = places[i], places[i + 1]
                 if y > x:
                     of = np.flatnonzero(more[x:y])  # few anchors have several segments
                     told = np.column_stack([of, more[x:y][of]]).astype(np.uint32)
                     yield i, chunk, 0, low[x:y].tobytes(), entry[x:y].tobytes() + told.tobytes()
-            docs.clear(), keys.clear(), owners.clear(), kinds.clear()
+            docs.clear()
 
         def rows():
             total = 0
@@ -208,7 +243,7 @@ def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, wr
                 order = np.lexsort((key, doc))
                 doc, key = doc[order], key[order]
                 new = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))[:len(doc)]
-                keys.append(key[new]), owners.append(doc[new] + len(docs))
+                keys.append(key[new]), owners.append((doc[new] + len(docs)).astype(np.uint16))
                 docs.extend((d, t) for d, t, _, _ in read)
                 total += len(keys[-1])
                 if total >= CHUNK_ENTRIES or len(docs) >= CHUNK_DOCS - 40_000:
@@ -217,7 +252,8 @@ def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, wr
             if docs:
                 yield from flush()
 
-        yield from batches_of(rows(), arrow_schema(ddl), 64)
+        yield from batches_of(rows(), arrow_schema(ddl), 16)
+        lean_worker("suffix_powers")
 
     answer_ddl = "chunk string, kind int, a binary, b binary"
 
@@ -287,7 +323,7 @@ def shared_anchors(source: DataFrame, length: int, anchor: int, buckets: int, wr
 
     if not apart:
         source = source.select("d", "t", "text", F.lit(b"").alias("hot"))
-    sent = materialize(source.select("d", "t", "text", "hot").mapInArrow(send, ddl), "dedup-sent-anchors", written)
+    sent = materialize(source.select("d", "t", "text", "hot").mapInArrow(send, ddl), "dedup-sent-anchors", written, MESSAGES)
     answers = sent.groupBy("bucket").applyInArrow(answer, answer_ddl)
     return answers.groupBy("chunk").applyInArrow(decide, "d long, t long, anchors binary, hot binary").groupBy("d", "t").agg(
         F.first("anchors").alias("anchors"), F.first("hot").alias("hot"))
@@ -311,17 +347,88 @@ def smallest_owners(parts: list[bytes], owners: np.ndarray, length: int) -> list
     return [at[e - n:e - length + 1] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
+def runs_of_segments(parts: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(segment, start, end, id) of the runs of places with one ``smallest_owners``, by segment and place."""
+    ids = smallest_owners(parts, owners, length)
+    sizes = np.array([len(x) for x in ids])
+    base = np.cumsum(sizes) - sizes
+    ids = np.concatenate(ids)
+    new = starts(ids)
+    new[base] = True
+    start = np.flatnonzero(new)
+    of = np.repeat(np.arange(len(sizes)), sizes)[start]
+    return of, start - base[of], np.append(start[1:], len(ids)) - base[of], ids[start]
+
+
+def told_segments(heads: list[np.ndarray], texts: list[memoryview], length: int) -> np.ndarray:
+    """Rows (chunk, segment, start, end, id) by chunk, of all the segments that chunks sent a shard. The different segments are
+    told apart some whole anchors at a time, and suffix arrays are built of about PART_BYTES."""
+    head = np.concatenate(heads)
+    counts = np.array([len(h) for h in heads])
+    chunk = np.repeat(np.arange(len(heads), dtype=np.int32), counts)
+    place = np.cumsum(head[:, 4]) - head[:, 4]
+    place -= np.repeat(place[np.minimum(np.cumsum(counts) - counts, len(head) - 1)], counts)
+    order = np.argsort(head[:, 3], kind="stable")
+    told = [np.zeros((0, 5), np.int64)]
+    parts: list[bytes] = []  # the different segments of anchors that have several
+    owners: list[np.ndarray] = []
+    meeting: list[tuple[np.ndarray, np.ndarray]] = []  # (entry, place in parts)
+
+    def compare():
+        of, start, end, least = runs_of_segments(parts, np.concatenate(owners), length)
+        entry, number = (np.concatenate(x) for x in zip(*meeting))
+        first = np.searchsorted(of, number)
+        at, run = expanded(first, np.searchsorted(of, number, "right") - first)
+        entry = entry[at]
+        mine = least[run] < head[entry, 2]
+        entry, run = entry[mine], run[mine]
+        told.append(np.column_stack([chunk[entry], head[entry, 0], start[run], end[run], least[run]]))
+        parts.clear(), owners.clear(), meeting.clear()
+
+    size = 0
+    for x, y in parts_of(head[order, 3], head[order, 4], PART_BYTES):
+        entry = order[x:y]
+        known: dict[bytes, int] = {}
+        number = np.array([known.setdefault(texts[c][p:p + n].tobytes(), len(known))
+                           for c, p, n in zip(chunk[entry].tolist(), place[entry].tolist(), head[entry, 4].tolist())])
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, head[entry, 1])
+        key = np.empty(len(known), np.int64)
+        key[number] = head[entry, 3]
+        _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+        several = times[back] > 1
+        alone = (least[number] < head[entry, 2]) & ~several[number]
+        own = entry[alone]
+        told.append(np.column_stack([chunk[own], head[own, 0], np.zeros(len(own), np.int64), head[own, 4] - length + 1, least[number[alone]]]))
+        if several.any():
+            those, to = several[number], np.cumsum(several) - 1 + len(parts)
+            meeting.append((entry[those], to[number[those]]))
+            owners.append(least[several])
+            new = [p for p, s in zip(known, several.tolist()) if s]
+            parts += new
+            size += sum(map(len, new))
+            if size >= PART_BYTES:
+                compare()
+                size = 0
+    if parts:
+        compare()
+    rows = np.concatenate(told)
+    return rows[np.argsort(rows[:, 0], kind="stable")]
+
+
 def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, written: list | None = None,
-                  apart: bool = False) -> DataFrame:
+                  apart: bool = False, shards: int | None = None) -> DataFrame:
     """(d, t, cuts) of the documents that lose bytes: int32 pairs (start, end), merged and sorted. ``apart`` takes the windows
-    of hot anchors, else all others are taken. What the tasks send is written first, as in ``shared_anchors``."""
+    of hot anchors, else all others are taken. What the tasks send is written first, as in ``shared_anchors``, to ``shards``
+    buckets; ``buckets`` is the number that the codes of hot anchors were made with."""
+    shards = shards or buckets
     ddl = "bucket int, chunk string, kind int, a binary, b binary, c binary"
 
     def send(batches):
         docs: list[tuple[int, int]] = []
         known: dict[bytes, int] = {}
-        keys: list[int] = []
-        at: list[np.ndarray] = []  # (segment, document, start)
+        keys = array("Q")
+        at: list[np.ndarray] = []  # (segment, document, start), documents in order
         size = 0
 
         def flush():
@@ -332,15 +439,20 @@ def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, wri
             low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
             np.minimum.at(low, found[:, 0], owner)
             np.maximum.at(high, found[:, 0], owner)
+            del owner
             parts, key = list(known), np.array(keys, np.uint64)
-            order, places = split_by(key, buckets)
-            yield (zlib.crc32(chunk.encode()) % buckets, chunk, 1, ids.tobytes(), found.astype(np.int32).tobytes(), b"")
-            for i in range(buckets):
+            order, places = split_by(key, shards)
+            known.clear(), at.clear()
+            del keys[:]
+            for x, y in parts_of(found[:, 1], np.ones(len(found), np.int64), PART_PLACES):
+                yield zlib.crc32(chunk.encode()) % shards, chunk, 1, ids.tobytes(), found[x:y].tobytes(), b""
+            del found
+            for i in range(shards):
                 own = order[places[i]:places[i + 1]]
                 if len(own):
                     head = np.column_stack([own, low[own], high[own], key[own].view(np.int64), [len(parts[k]) for k in own]])
                     yield i, chunk, 0, head.astype(np.int64).tobytes(), b"".join([parts[k] for k in own]), b""
-            docs.clear(), known.clear(), keys.clear(), at.clear()
+            docs.clear()
 
         def rows():
             nonlocal size
@@ -358,7 +470,7 @@ def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, wri
                     wanted[x:y] = low[place] == mine
                     if len(hot) and not apart:
                         wanted[x:y] &= ~np.isin(codes(key[x:y], buckets), hot)
-                rows_ = np.empty((int(wanted.sum()), 3), np.int64)
+                rows_ = np.empty((int(wanted.sum()), 3), np.int32)
                 numbers = []
                 for i, a, b, k in zip(*(v[wanted].tolist() for v in (doc, start, end, key))):
                     part = held[i][2][a:b]
@@ -388,7 +500,8 @@ def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, wri
             if docs:
                 yield from flush()
 
-        yield from batches_of(rows(), arrow_schema(ddl), 64)
+        yield from batches_of(rows(), arrow_schema(ddl), 16)
+        lean_worker("suffix_powers")
 
     answer_ddl = "chunk string, kind int, a binary, b binary"
 
@@ -397,84 +510,76 @@ def smallest_runs(source: DataFrame, length: int, anchor: int, buckets: int, wri
         the smallest, which is smaller than an id that the chunk has for the segment."""
         import pyarrow as pa
 
-        out, chunks, heads, known, number = [], [], [], {}, []
-        for chunk, kind, a, b in zip(*(table.column(c).to_pylist() for c in ("chunk", "kind", "a", "b"))):
-            if kind:
-                out.append((chunk, 1, a, b))
-                continue
-            head, place = np.frombuffer(a, np.int64).reshape(-1, 5), 0
-            for n in head[:, 4].tolist():
-                number.append(known.setdefault(b[place:place + n], len(known)))
-                place += n
-            chunks.append(chunk), heads.append(head)
-        if heads:
-            head, number = np.concatenate(heads), np.array(number)
-            of_chunk = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-            least = np.full(len(known), np.iinfo(np.int64).max)
-            np.minimum.at(least, number, head[:, 1])
-            key = np.empty(len(known), np.int64)
-            key[number] = head[:, 3]
-            parts = list(known)
-            sizes = np.array([len(p) for p in parts], np.int64)
-            _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
-            several = np.flatnonzero(counts[back] > 1)
-            runs = [[(0, n - length + 1, x)] for n, x in zip(sizes.tolist(), least.tolist())]
-            if len(several):
-                for k, ids in zip(several.tolist(), smallest_owners([parts[k] for k in several], least[several], length)):
-                    edges = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]).tolist()
-                    runs[k] = [(x, y, int(ids[x])) for x, y in zip(edges, edges[1:])]
-            told: list[list] = [[] for _ in chunks]
-            for c, k, segment, high in zip(of_chunk.tolist(), number.tolist(), head[:, 0].tolist(), head[:, 2].tolist()):
-                told[c].extend((segment, x, y, d) for x, y, d in runs[k] if d < high)
-            out += [(chunk, 0, np.array(rows, np.int64).tobytes(), b"") for chunk, rows in zip(chunks, told) if rows]
-        schema = arrow_schema(answer_ddl)
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
+        chunk, kind, a, b = (table.column(c) for c in ("chunk", "kind", "a", "b"))
+        kind, schema = kind.to_numpy(), arrow_schema(answer_ddl)
+        out = [schema.empty_table(), *(table.slice(i, 1).select(schema.names).cast(schema) for i in np.flatnonzero(kind).tolist())]
+        sent = np.flatnonzero(kind == 0).tolist()
+        if sent:
+            told = told_segments([np.frombuffer(a[i].as_buffer(), np.int64).reshape(-1, 5) for i in sent],
+                                 [memoryview(b[i].as_buffer()) for i in sent], length)
+            of, told = told[:, 0], told[:, 1:]
+            cuts = np.flatnonzero(starts(of)).tolist()
+            packed = [told[x:y].tobytes() for x, y in zip(cuts, [*cuts[1:], len(of)])]
+            names = [chunk[sent[k]].as_py() for k in of[cuts].tolist()]
+            out.append(pa.table([names, [0] * len(names), packed, [b""] * len(names)], schema=schema))
+            del of, told, packed
+        lean_worker("suffix_powers")
+        return pa.concat_tables(out)
 
     def decide(table):
         import pyarrow as pa
 
-        told, docs, found = [np.zeros((0, 4), np.int64)], None, None
-        for kind, a, b in zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b"))):
-            if kind:
-                docs, found = np.frombuffer(a, np.int64).reshape(-1, 2), np.frombuffer(b, np.int32).reshape(-1, 3).astype(np.int64)
+        told, docs, parts = [np.zeros((0, 4), np.int64)], None, []
+        for kind, a, b in zip(*(table.column(c) for c in ("kind", "a", "b"))):
+            if kind.as_py():  # all places of some documents of the chunk
+                docs = np.frombuffer(a.as_buffer(), np.int64).reshape(-1, 2)
+                parts.append(np.frombuffer(b.as_buffer(), np.int32).reshape(-1, 3))
             else:
-                told.append(np.frombuffer(a, np.int64).reshape(-1, 4))
+                told.append(np.frombuffer(a.as_buffer(), np.int64).reshape(-1, 4))
         runs = np.concatenate(told)
-        found = found[np.argsort(found[:, 0], kind="stable")]
-        first = np.searchsorted(found[:, 0], runs[:, 0])
-        times = np.searchsorted(found[:, 0], runs[:, 0], "right") - first
-        run = np.repeat(np.arange(len(runs)), times)  # every run at every place of its segment
-        place = np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times) + first[run]
-        doc = found[place, 1]
-        mine = docs[doc, 0] > runs[run, 3]
-        run, place, doc = run[mine], place[mine], doc[mine]
-        start = found[place, 2] + runs[run, 1]
-        end = found[place, 2] + runs[run, 2] - 1 + length
-        order = np.lexsort((start, doc))
-        doc, start, end = doc[order], start[order], end[order]
+        runs = runs[np.argsort(runs[:, 0], kind="stable")]
+        segment = np.ascontiguousarray(runs[:, 0])
         out = []
-        cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
-        for x, y in zip(cuts, np.append(cuts[1:], len(doc))):
-            reach = np.maximum.accumulate(end[x:y])
-            new = np.append(True, start[x + 1:y] > reach[:-1])
-            last = np.append(np.flatnonzero(new)[1:] - 1, y - x - 1)
-            out.append((int(docs[doc[x], 0]), int(docs[doc[x], 1]),
-                        np.column_stack([start[x:y][new], reach[last]]).astype(np.int32).tobytes()))
+        for part in parts:
+            part = part.astype(np.int64)
+            first = np.searchsorted(segment, part[:, 0])
+            place, run = expanded(first, np.searchsorted(segment, part[:, 0], "right") - first)  # every run at every place of its segment
+            doc = part[place, 1]
+            mine = docs[doc, 0] > runs[run, 3]
+            run, place, doc = run[mine], place[mine], doc[mine]
+            start = part[place, 2] + runs[run, 1]
+            end = part[place, 2] + runs[run, 2] - 1 + length
+            order = np.lexsort((start, doc))
+            doc, start, end = doc[order], start[order], end[order]
+            cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
+            for i, j in zip(cuts, np.append(cuts[1:], len(doc))):
+                reach = np.maximum.accumulate(end[i:j])
+                new = np.append(True, start[i + 1:j] > reach[:-1])
+                last = np.append(np.flatnonzero(new)[1:] - 1, j - i - 1)
+                out.append((int(docs[doc[i], 0]), int(docs[doc[i], 1]),
+                            np.column_stack([start[i:j][new], reach[last]]).astype(np.int32).tobytes()))
         schema = arrow_schema("d long, t long, cuts binary")
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
 
     source = source.select("d", "t", "text", "anchors", "hot" if "hot" in source.columns else F.lit(b"").alias("hot"))
-    sent = materialize(source.mapInArrow(send, ddl), "dedup-sent-segments", written)
+    sent = materialize(source.mapInArrow(send, ddl), "dedup-sent-segments", written, MESSAGES)
     answers = sent.groupBy("bucket").applyInArrow(answer, answer_ddl)
     return answers.groupBy("chunk").applyInArrow(decide, "d long, t long, cuts binary").groupBy("d", "t").agg(
         F.first("cuts").alias("cuts"))
 
 
+def shards_for(shared: DataFrame, buckets: int, length: int) -> int:
+    """Buckets for the segments of the anchors that documents share, each of about SHARD_BYTES: ``buckets`` at least."""
+    n = shared.agg(F.sum(F.octet_length("anchors"))).first()[0] or 0
+    return max(buckets, n // 4 * (length + 55) // SHARD_BYTES)  # a segment of one anchor is some bytes longer, and 40 go with it
+
+
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    anchor: int = ANCHOR, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """(d, t, cuts, whole) of the documents that lose bytes: binaries of int32 pairs (start, end), which may overlap between
     them. An anchor with more than ``hot`` different segments is taken apart by whole windows."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = buckets or max(64, 4 * docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = keyed(docs, id_col, text_col)
     copies = materialize(later_copies(source), "dedup-copies")
@@ -483,13 +588,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = materialize(shared_anchors(firsts, length, anchor, buckets, written, hot), "dedup-anchors")
     release(spark, written)
     meeting = firsts.join(shared, ["d", "t"])
-    cuts = materialize(smallest_runs(meeting, length, anchor, buckets, written), "dedup-cuts")
+    shards = shards_for(shared, buckets, length)
+    cuts = materialize(smallest_runs(meeting, length, anchor, buckets, written, shards=shards), "dedup-cuts")
     release(spark, written)
     named = shared.filter("hot != X''")
     if named.head(1):
         held = materialize(firsts.join(named.select("d", "t", "hot"), ["d", "t"]), "dedup-hot", written)
         windows = materialize(shared_anchors(held, length, anchor, buckets, written, apart=True).drop("hot"), "dedup-windows", written)
-        more = materialize(smallest_runs(held.join(windows, ["d", "t"]), length, anchor, buckets, written, apart=True), "dedup-cuts")
+        shards = shards_for(windows, buckets, length)
+        more = materialize(smallest_runs(held.join(windows, ["d", "t"]), length, anchor, buckets, written, True, shards), "dedup-cuts")
         release(spark, written)
         cuts = cuts.unionByName(more)
     return cuts.groupBy("d", "t").agg(F.collect_list("cuts").alias("cuts"), F.lit(False).alias("whole")).unionByName(

@@ -74,18 +74,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, name: str = "stage", written: list | None = None):
+def materialize(df, name: str = "stage", written: list | None = None, options: dict | None = None):
     """Write ``df`` once as parquet in the shared checkpoint folder and read it
     back: later passes scan the written table instead of recomputing the plan,
     and the data survives the loss of the executors that computed it. The path is
     appended to ``written``, with which its owner calls ``release``, and belongs to
-    the open ``scope`` besides."""
+    the open ``scope`` besides. ``options`` go to the writer."""
     path = scratch_path(df.sparkSession, name)
     owner = _SCOPE.get()
     for paths in (written, owner):
         if paths is not None:
             paths.append(path)
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").options(**(options or {})).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

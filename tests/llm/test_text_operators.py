@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +298,74 @@ def test_hot_anchors_are_spread(spark, monkeypatch):
     assert max(together) > 0.3 * sum(together) and max(spread) < 0.05 * sum(together)
 
 
+def test_segments_of_a_shard_are_compared_in_parts(monkeypatch):
+    """What a shard holds besides its segments must not grow with them: no suffix array is built of all of them."""
+    rng = random.Random(9)
+    heads, texts, every = [], [], []
+    for c in range(6):
+        rows, data = [], []
+        for k in range(300):
+            key = rng.randrange(120)
+            x, y = 2 * key, 2 * key + 1  # a window tells its anchor
+            text = bytes(rng.choice([[x] * 60, rng.choices([x, y], k=60), [x] * 9 + [y] * rng.randint(50, 90)]))
+            a, b = sorted(rng.sample(range(1000), 2))
+            rows.append((k, a, b, key - 60, len(text)))
+            data.append(text)
+            every.append((c, *rows[-1], text))
+        heads.append(np.array(rows, np.int64)), texts.append(memoryview(b"".join(data)))
+    least = {}
+    for _, _, low, _, key, n, text in every:
+        for i in range(n - 49):
+            w = (key, text[i:i + 50])
+            least[w] = min(low, least.get(w, low))
+    want = {(c, k, i, least[key, text[i:i + 50]]) for c, k, _, high, key, n, text in every for i in range(n - 49)
+            if least[key, text[i:i + 50]] < high}
+    built = []
+    array = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda s: built.append(len(s)) or array(s))
+    for size, most in ((1, 3_000), (4_000, 12_000), (1 << 19, 1 << 20)):
+        monkeypatch.setattr(suffix_dedup, "PART_BYTES", size)
+        told = suffix_dedup.told_segments(heads, texts, 50).tolist()
+        assert [x[0] for x in told] == sorted(x[0] for x in told)
+        got = [(c, k, i, d) for c, k, x, y, d in told for i in range(x, y)]
+        assert len(got) == len(want) and set(got) == want
+        assert max(built) <= most
+        built.clear()
+
+
+def test_suffix_dedup_in_small_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcd é") for _ in range(300)) for _ in range(8)]
+    rows = [(i, rng.choice(base)[rng.randint(0, 99):] + rng.choice(base) + str(i)) for i in range(60)]
+    for name, value in (("PART_BYTES", 300), ("PART_PLACES", 5), ("SHARD_BYTES", 500), ("READ_BYTES", 2000), ("CHUNK_BYTES", 9000), ("CHUNK_ENTRIES", 700)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    for hot in (1, 1000):
+        got = suffix_dedup.cut_documents(frame(spark, rows), hot=hot, buckets=4)
+        assert [(a, b, c, d, bytes(e)) for a, b, c, d, e in found(got)] == brute_dedup(rows)
+
+
+def test_messages_are_written_in_small_row_groups(spark, monkeypatch):
+    """Messages are rows of many kB: by Parquet's defaults a task's would be one row group, held whole by who writes and reads it."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=5000)) for _ in range(700)]
+    rows = [(2 * i + k, text + str(k)) for i, text in enumerate(texts) for k in (0, 1)]
+    groups = []
+    write = suffix_dedup.materialize
+
+    def noted(df, name, *args):
+        out = write(df, name, *args)
+        if name == "dedup-sent-segments":
+            for path in out.inputFiles():
+                meta = pq.read_metadata(path.removeprefix("file://").removeprefix("file:"))
+                groups.append([meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", noted)
+    got = suffix_dedup.cut_documents(frame(spark, rows).coalesce(1), buckets=64).agg(F.sum("n_removed")).first()[0]
+    assert got == 700 * 5000
+    assert sum(map(sum, groups)) > 24e6 and max(map(max, groups)) < 12e6
+
+
 def test_suffix_arrays_of_many_letters(monkeypatch):
     """The induction along chains that strings of names take, on random and periodic strings."""
     rng = np.random.default_rng(4)
